@@ -15,35 +15,43 @@ HORIZONS = (1, 3, 6, 12)
 
 def backtest_steps(paths: DataFrame, keys: list[str]) -> DataFrame:
     """Every forecast step that has an actual: clamped and rounded before scoring."""
-    return paths.filter((F.col("origin") >= 6) & (F.col("origin") < F.size("values"))).select(
-        *keys, "model", "origin", F.size("values").alias("n"),
-        F.expr("element_at(periods, cast(origin as int))").alias("origin_period"),
+    return paths.filter((F.col("origin") >= 6) & (F.col("origin") < F.col("n"))).select(
+        *keys, "model", "origin", "n", "origin_period",
         F.inline(
             F.expr(
-                "transform(sequence(1, least(12, size(values) - origin)), s -> named_struct("
-                "'step', s, 'actual', values[origin + s - 1], "
-                "'pred', floor(greatest(0D, path[s - 1]) * 100D + 0.5D) / 100D))"
+                "transform(ahead, (a, i) -> named_struct('step', i + 1, 'actual', a, "
+                "'pred', floor(greatest(0D, path[i]) * 100D + 0.5D) / 100D))"
             )
         ),
     )
 
 
-def rolling_backtest(steps: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per series, model and horizon; all steps up to the horizon count."""
-    in_horizon = F.array(
+def rolling_backtest(steps: DataFrame, keys: list[str], full: bool = False) -> DataFrame:
+    """One row per series, model and horizon; all steps up to the horizon count.
+
+    The four horizons are conditional aggregates over one pass, so no step row is
+    copied per horizon and the map side reduces to one row per series and model.
+    """
+    def inside(h: int) -> Column:
+        return (
+            (F.col("step") <= h) & (F.col("origin") + h <= F.col("n")) & (F.col("origin") >= (12 if h >= 6 else 6))
+        )
+
+    wide = steps.groupBy(*keys, "model").agg(
         *[
-            F.when(
-                (F.col("step") <= h) & (F.col("origin") + h <= F.col("n")) & (F.col("origin") >= (12 if h >= 6 else 6)),
-                F.lit(h),
-            )
+            c
             for h in HORIZONS
+            for c in (
+                F.count(F.when(inside(h) & (F.col("step") == 1), 1)).alias(f"h{h}_origins"),
+                *error_metrics(F.col("actual"), F.col("pred"), "statistical", f"h{h}_", inside(h)),
+            )
         ]
     )
-    rows = steps.withColumn("horizon", F.explode(F.array_compact(in_horizon)))
-    return rows.groupBy(*keys, "model", "horizon").agg(
-        F.count(F.when(F.col("step") == 1, 1)).alias("origins"),
-        *error_metrics(F.col("actual"), F.col("pred"), "statistical"),
+    names = ["origins", "wape", "bias", "stability", *(["mae", "rmse", "observations"] if full else [])]
+    per_horizon = F.array(
+        *[F.struct(F.lit(h).alias("horizon"), *[F.col(f"h{h}_{n}").alias(n) for n in names]) for h in HORIZONS]
     )
+    return wide.select(*keys, "model", F.inline(per_horizon)).filter(F.col("origins") > 0)
 
 
 def weighted_score(windows: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,10 +85,10 @@ def run_series(series: DataFrame, keys: list[str]) -> DataFrame:
     classes = classify(series, keys).select(
         *keys, "demand_class", "n", (F.forall(F.slice("values", -3, 3), lambda x: x == 0) & (F.col("n") >= 3)).alias("still")
     )
-    scores = weighted_score(rolling_backtest(backtest_steps(forecast_paths(series.filter(F.size("values") > 6), keys), keys), keys), keys)
-    tried = scores.join(classes.select(*keys, "demand_class"), keys).filter(
-        F.array_contains(allowed(F.col("demand_class")), F.col("model"))
-    )
+    long_enough = series.filter(F.size("values") > 6)
+    labelled = classify(long_enough, [*keys, "periods"]).withColumn("allowed", allowed(F.col("demand_class")))
+    paths = forecast_paths(labelled, keys, allowed="allowed")
+    tried = weighted_score(rolling_backtest(backtest_steps(paths, keys), keys), keys)
     best = tried.groupBy(*keys).agg(
         F.min_by(F.struct("model", "wape", "bias", "stability", "score"), F.struct("score", model_rank())).alias("w")
     )
@@ -132,10 +140,10 @@ def retrospective_rows(
         F.expr("filter(transform(folds, f -> cast(array_position(periods, f) as int)), i -> i >= 6)"),
     ).filter(F.size("positions") > 0)
     id_cols = [*keys, "island"]
-    states = prefix_states(with_folds.select(*id_cols, "values", "periods", "positions"), id_cols, "positions", extra=["positions"])
+    states = prefix_states(with_folds, id_cols, "positions", extra=["positions", "values"])
     paths = model_paths()
     candidates = states.select(
-        *id_cols, "origin", F.expr("periods[origin - 1]").alias("origin_period"),
+        *id_cols, "origin", "origin_period",
         F.expr("slice(values, 1, origin)").alias("values"),
         F.array(*[F.struct(F.lit(m).alias("model"), paths[m].alias("path")) for m in MODEL_NAMES]).alias("candidates"),
     )

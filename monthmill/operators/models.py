@@ -171,18 +171,18 @@ def model_paths() -> dict[str, Column]:
 def prefix_states(
     series: DataFrame, keys: list[str], origins: str = "sequence(1, size(values))", extra: list[str] | None = None
 ) -> DataFrame:
-    """One row per series and origin (months of history) with every model's state there."""
+    """One row per series and origin (months of history): model states and the months that follow."""
     scanned = series.select(
-        *keys, "values", "periods", *(extra or []),
+        *keys, "values", "periods", *[c for c in (extra or []) if c != "values"],
         ses_states().alias("ses_s"), holt_states().alias("holt_s"),
         holt_winters_states().alias("hw_s"), intermittent_states().alias("demand_s"),
         power_sums().alias("sums_s"),
     )
     return scanned.select(
-        *keys, "values", "periods",
+        *keys, F.size("values").alias("n"), *[c for c in (extra or []) if c != "positions"],
         F.expr(
             f"""inline(transform({origins}, o -> named_struct(
-                'origin', o,
+                'origin', o, 'origin_period', periods[o - 1], 'ahead', slice(values, o + 1, 12),
                 'tail', slice(values, greatest(o - 11, 1), least(o, 12)),
                 'level', ses_s[o - 1], 'holt', holt_s[o - 1],
                 'hw', if(hw_s is not null, hw_s[o], null),
@@ -192,16 +192,28 @@ def prefix_states(
 
 
 def forecast_paths(
-    series: DataFrame, keys: list[str], origins: str = "sequence(1, size(values))", models: list[str] | None = None
+    series: DataFrame,
+    keys: list[str],
+    origins: str = "sequence(1, size(values))",
+    models: list[str] | None = None,
+    allowed: str | None = None,
 ) -> DataFrame:
-    """Long rows (keys, origin, model, path): twelve raw steps per origin and model."""
-    states = prefix_states(series, keys, origins)
+    """Long rows (keys, origin, model, path): twelve raw steps per origin and model.
+
+    `allowed` names an array column of model names; other models are not computed.
+    """
+    extra = [allowed] if allowed else []
+    states = prefix_states(series, keys, origins, extra)
     paths = model_paths()
     names = models or MODEL_NAMES
+
+    def path(name: str) -> Column:
+        return F.when(F.array_contains(allowed, name), paths[name]) if allowed else paths[name]
+
     return (
         states.select(
-            *keys, "origin", "values", "periods",
-            F.inline(F.array(*[F.struct(F.lit(m).alias("model"), paths[m].alias("path")) for m in names])),
+            *keys, "n", "origin", "origin_period", "ahead",
+            F.inline(F.array(*[F.struct(F.lit(n).alias("model"), path(n).alias("path")) for n in names])),
         )
         .filter(F.col("path").isNotNull())
     )

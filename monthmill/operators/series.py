@@ -29,6 +29,17 @@ def dense_series(monthly: DataFrame, keys: list[str], measures: list[str], issue
     return grouped.select(*keys, months.alias("months"))
 
 
+def spread(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Even out series over all tasks before per-series scans.
+
+    A series row is small but costs much CPU, so size-based partition coalescing
+    would leave it to very few tasks; an explicit count is kept as given.
+    """
+    spark = series.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return series.repartition(tasks, *keys)
+
+
 def explode_series(series: DataFrame, keys: list[str]) -> DataFrame:
     """Long dense form with a 1-based month position; keeps the key partitioning."""
     return series.select(*keys, F.posexplode("months").alias("pos", "m")).select(

@@ -131,7 +131,7 @@ scored AS (SELECT *, {r('wape + abs(bias) * 0.25e0 + stability * 0.15e0', 2)} AS
 @query("b01_rolling_origin", with_(BASE, BRAND_VALS, PATHS, BT_SQL) + f"""
 SELECT {SPLIT}, model, horizon, origins, observations, wape, bias, mae, rmse, stability FROM win""")
 def rolling_origin(t: Tables):
-    return bt.rolling_backtest(bt.backtest_steps(m.forecast_paths(t.brand_values, CP), CP), CP)
+    return bt.rolling_backtest(bt.backtest_steps(m.forecast_paths(t.brand_values, CP), CP), CP, full=True)
 
 
 @query("g11_weighted_metrics", with_(BASE, BRAND_VALS, PATHS, BT_SQL) + f"""

@@ -116,16 +116,16 @@ class Tables:
     @cached_property
     def brand_values(self) -> DataFrame:
         """Observed sales per series from the first positive month to ISSUE."""
-        from monthmill.operators.series import observed_values
+        from monthmill.operators.series import observed_values, spread
 
-        return observed_values(self.monthly.filter(F.col("period") <= F.lit(ISSUE)), SERIES, "sales")
+        return spread(observed_values(self.monthly.filter(F.col("period") <= F.lit(ISSUE)), SERIES, "sales"), SERIES)
 
     @cached_property
     def part_values(self) -> DataFrame:
         """The same per part: sparse demand with real zeros."""
-        from monthmill.operators.series import observed_values
+        from monthmill.operators.series import observed_values, spread
 
-        return observed_values(self.monthly_by(["part_id"]), ["part_id"], "sales")
+        return spread(observed_values(self.monthly_by(["part_id"]), ["part_id"], "sales"), ["part_id"])
 
     @cached_property
     def events(self) -> DataFrame:
