@@ -281,3 +281,58 @@ def classify(series: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "values", F.col("n").cast("int").alias("n"), demand_class.alias("demand_class"),
         F.coalesce("adi", F.lit(999.0)).alias("adi"), "cv2", "trend_strength", "seasonal_corr",
     )
+
+
+# Smoothing grids per model family, in search order.
+GRIDS: dict[str, list[dict[str, float]]] = {
+    "SES": [{"alpha": a} for a in (0.15, 0.35, 0.65, 0.85)],
+    "Holt-Winters": [{"alpha": a, "beta": b, "gamma": g} for a in (0.2, 0.5) for b in (0.1, 0.3) for g in (0.1, 0.3)],
+    **{
+        name: [{"alpha": a, "beta": b} for a in (0.2, 0.5, 0.8) for b in (0.1, 0.3)]
+        for name in ("Holt", "Croston", "SBA", "TSB")
+    },
+}
+
+
+def _one_step(name: str) -> str:
+    """Forecast of the next month from the state after o months, with columns alpha, beta, gamma."""
+    demand = "if(s[o - 1].seen, s[o - 1].size / greatest(s[o - 1].interval, 1e-9D), 0D)"
+    return {
+        "SES": "s[o - 1]",
+        "Holt": "if(o >= 3, s[o - 1].level + s[o - 1].trend, null)",
+        "Holt-Winters": "if(o >= 24, s[o].level + s[o].trend + s[o].seasonal[cast(o % 12 as int)], null)",
+        "Croston": demand,
+        "SBA": f"{demand} * (1D - beta / 2D)",
+        "TSB": "if(s[o - 1].seen, s[o - 1].p * s[o - 1].size, 0D)",
+    }[name]
+
+
+def tune(series: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Smoothing parameters with the least one-step error over the last five months of the series."""
+    states = {
+        "SES": lambda: ses_states("alpha"),
+        "Holt": lambda: holt_states("alpha", "beta"),
+        "Holt-Winters": lambda: holt_winters_states("alpha", "beta", "gamma"),
+    }.get(name, lambda: intermittent_states("alpha", "beta"))
+    grid = F.array(
+        *[
+            F.struct(F.lit(i).alias("g"), *[F.lit(v).alias(k) for k, v in params.items()])
+            for i, params in enumerate(GRIDS[name])
+        ]
+    )
+    fields = list(GRIDS[name][0])
+    tried = series.filter(F.size("values") > 6).select(*keys, "values", F.inline(grid))
+    scanned = tried.select(*keys, "values", "g", *fields, states().alias("s"))
+    errors = F.expr(
+        "filter(transform(sequence(greatest(6, size(values) - 5), size(values) - 1), o -> "
+        f"abs(values[o] - greatest(0D, {_one_step(name)}))), e -> e is not null)"
+        if name != "Holt-Winters"
+        else "if(s is null, array(), filter(transform(sequence(greatest(6, size(values) - 5), size(values) - 1), o -> "
+        f"if(o >= 24, abs(values[o] - greatest(0D, {_one_step(name)})), null)), e -> e is not null))"
+    )
+    scored = scanned.withColumn("errors", errors).filter(F.size("errors") > 0).withColumn(
+        "mae", F.expr("aggregate(errors, 0D, (a, e) -> a + e) / size(errors)")
+    )
+    return scored.groupBy(*keys).agg(
+        F.min_by(F.struct(*fields), F.struct("mae", "g")).alias("params"), F.min("mae").alias("mae")
+    )

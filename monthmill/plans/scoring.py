@@ -404,7 +404,7 @@ def seasonal_lag_pairs(t: Tables):
 @query("g15_level_drift", with_(PANEL_BASE) + f"""
 SELECT chain_id, {r('abs(r3 - b9) / CASE WHEN sd <> 0 THEN sd ELSE 1e0 END', 2)} AS score, CASE WHEN {r('abs(r3 - b9) / CASE WHEN sd <> 0 THEN sd ELSE 1e0 END', 2)} >= 2 THEN 'alert' ELSE 'stable' END AS status FROM (
   SELECT chain_id, avg(s) FILTER (WHERE back <= 3) AS r3, avg(s) FILTER (WHERE back BETWEEN 4 AND 12) AS b9, stddev_pop(s) FILTER (WHERE back BETWEEN 4 AND 12) AS sd FROM (
-    SELECT chain_id, period, coalesce(sum(sales), 0e0) AS s, row_number() OVER (PARTITION BY chain_id ORDER BY period DESC) AS back FROM panel GROUP BY ALL) GROUP BY chain_id)""")
+    SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY period DESC) AS back FROM (SELECT chain_id, period, coalesce(sum(sales), 0e0) AS s FROM panel GROUP BY ALL)) GROUP BY chain_id)""")
 def level_drift(t: Tables):
     from monthmill.operators.closure import level_drift as drift
 
