@@ -83,14 +83,18 @@ def engine_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
 def rolling_accuracy(metrics: DataFrame, keys: list[str], period: str = "period") -> DataFrame:
     """Means of the monthly metrics over the last 1, 3, 6, 12 and all closures."""
     w = Window.partitionBy(*keys).orderBy(period)
+
+
+    def mean(name: str, frame) -> Column:
+        # published rates have four decimals: whole units sum exactly
+        return rounded(F.avg(F.floor(F.col(name) * 1e4 + 0.5).cast("double")).over(frame) / 1e4)
+
     out = metrics
     for size in (3, 6, 12):
         frame = w.rowsBetween(-(size - 1), 0)
-        out = out.withColumn(f"wape_{size}", rounded(F.avg("wape").over(frame))).withColumn(
-            f"bias_{size}", rounded(F.avg("bias").over(frame))
-        )
+        out = out.withColumn(f"wape_{size}", mean("wape", frame)).withColumn(f"bias_{size}", mean("bias", frame))
     all_rows = w.rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("wape_all", rounded(F.avg("wape").over(all_rows))).withColumn("closures", F.count("wape").over(all_rows))
+    return out.withColumn("wape_all", mean("wape", all_rows)).withColumn("closures", F.count("wape").over(all_rows))
 
 
 def persistent_bias(metrics: DataFrame, keys: list[str], period: str = "period") -> DataFrame:

@@ -13,6 +13,7 @@ from monthmill.plans.scoring import PAIRS_SQL, metric_sql, lpairs, pairs
 from monthmill.plans.sql_parts import (
     BASE, BRAND_VALS, ISLAND_VALS, ISSUE as ISSUE_SQL, PANEL_BASE, PATHS, r, vals, with_, ym,
 )
+from monthmill.session import cut_lineage
 from monthmill.sources.tables import ISSUE, SERIES, Tables
 
 CP = ["chain_id", "product_id"]
@@ -139,10 +140,11 @@ fb AS (SELECT f.*, CASE WHEN qp.n >= 3 THEN 'PRODUCT' WHEN qc.n >= 3 THEN 'CATEG
 """
 
 
-def final_points(t: Tables):
+def final_points(t: Tables, rows=None):
     """Winner (or the naive fallback) applied at the issue month: twelve points per product."""
     current = runs(t).filter(F.element_at("periods", -1) == F.lit(ISSUE))
-    winners = bt.series_winner(comparable(t), SERIES).select(*SERIES, F.col("model").alias("winner"))
+    rows = comparable(t) if rows is None else rows
+    winners = bt.series_winner(rows, SERIES).select(*SERIES, F.col("model").alias("winner"))
     labelled = m.classify(current, [*SERIES, "periods"]).join(winners, SERIES, "left").withColumn(
         "chosen", F.array(F.coalesce("winner", F.lit("Naive")))
     )
@@ -159,10 +161,11 @@ SELECT chain_id, product_id, category_id, horizon, strftime({ISSUE_SQL} + to_mon
   CASE WHEN q IS NOT NULL THEN {r('least(point, greatest(0e0, point + q[1]))', 2)} END AS p10, CASE WHEN q IS NOT NULL THEN {r('greatest(point, point + q[2])', 2)} END AS p90,
   CASE WHEN q IS NOT NULL THEN {r('greatest(greatest(point, point + q[2]), point + q[3])', 2)} END AS p95 FROM fb""")
 def forecast_table(t: Tables):
-    rows = comparable(t)
+    # read by the winner, the points and three band levels: written once
+    rows = cut_lineage(comparable(t))
     won = bt.series_winner(rows, SERIES).select(*SERIES, "model")
-    residuals = rows.join(won, [*SERIES, "model"], "left_semi").withColumn("residual", F.col("actual") - F.col("pred"))
-    chosen = bands.select_evidence(final_points(t), residuals, CP, ["chain_id", "category_id"], ["chain_id"])
+    residuals = cut_lineage(rows.join(won, [*SERIES, "model"], "left_semi").withColumn("residual", F.col("actual") - F.col("pred")))
+    chosen = bands.select_evidence(final_points(t, rows), residuals, CP, ["chain_id", "category_id"], ["chain_id"])
     b = bands.ordered_bands(F.col("point"), F.col("quantiles"))
     has = F.col("quantiles").isNotNull()
     return chosen.select(
