@@ -7,13 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from monthmill.functions import text as tx
 
 # Header shape "YYYY/MM label" and the label fragments of each metric.
-HEADER = "(20[0-9]{2}|19[0-9]{2})[/-](0[1-9]|1[0-2])\\s+(.+)$"
-METRIC_LABELS = {"VENTA": "SALES", "PEDIDO": "ORDER", "ENTREGA": "DELIVERY"}
+HEADER = "([0-9]{4})/(0[1-9]|1[0-2])\\s+(.+)"
+METRIC_LABELS = {"POS Qty": "SALES", "Total Eaches Str Ordered": "ORDER", "Total Eaches Str Received": "DELIVERY"}
 
 
 def header_fields(headers: DataFrame) -> DataFrame:
     """(source, sheet, column) with metric and period for headers that name both."""
-    label = F.upper(F.regexp_extract("header", HEADER, 3))
+    label = F.regexp_extract("header", HEADER, 3)
     metric = F.lit(None).cast("string")
     for fragment, code in METRIC_LABELS.items():
         metric = F.when(F.contains(label, F.lit(fragment)), code).otherwise(metric)
