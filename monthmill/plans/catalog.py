@@ -6,7 +6,7 @@ import importlib
 
 from monthmill.plans.registry import ORACLES, QUERIES
 
-MODULES = ["models", "facts", "scoring", "selection", "scored", "reconciling", "catalogued"]
+MODULES = ["models", "facts", "scoring", "selection", "scored", "reconciling", "catalogued", "intake"]
 
 for _name in MODULES:
     importlib.import_module(f"monthmill.plans.{_name}")
