@@ -33,38 +33,43 @@ def target_groups(targets: DataFrame) -> DataFrame:
 def select_peers(groups: DataFrame, peers: DataFrame) -> DataFrame:
     """At most twelve peers per group: by shared terms, then id; without terms when fewer than three share one.
 
-    Overlap is counted through shared terms (an equality join per term). The
-    unrelated case needs only the twelve smallest ids per scope and age limit.
+    Peers with the same term set in a scope rank the same but for their id, so
+    only the twelve smallest ids of each term set can ever be chosen. What is
+    joined is term sets that share a term, not products with products. Every
+    target age here is below the peers' minimum history, so ages share peers.
     """
-    g = groups.select("group_id", *SCOPE, "terms", "age").dropDuplicates(["group_id"])
-    p = peers.select(*SCOPE, F.col("product_id").alias("peer_id"), F.col("terms").alias("peer_terms"), F.col("values").alias("history")).filter(
-        F.size("values") >= MIN_MONTHS
+    g = groups.select("group_id", *SCOPE, "term_key", "terms", "age").dropDuplicates(["group_id"])
+    sigs = g.select(*SCOPE, "term_key", "terms").dropDuplicates([*SCOPE, "term_key"])
+    p = peers.filter(F.size("values") >= max(MIN_MONTHS, MAX_AGE + STEPS)).select(
+        *SCOPE, F.col("product_id").alias("peer_id"), F.array_sort("terms").alias("peer_terms"), F.col("values").alias("history")
     )
-    by_term = p.select(*SCOPE, "peer_id", F.size("history").alias("months"), F.explode("peer_terms").alias("term"))
+    per_set = Window.partitionBy(*SCOPE, "peer_terms").orderBy("peer_id")
+    usable = p.select(*SCOPE, "peer_id", "peer_terms").withColumn("pos", F.row_number().over(per_set)).filter(F.col("pos") <= MAX_PEERS)
+    sets = usable.groupBy(*SCOPE, "peer_terms").agg(F.sort_array(F.collect_list("peer_id")).alias("ids"))
+    by_term = sets.select(*SCOPE, "ids", F.explode("peer_terms").alias("term"))
+    key = [*SCOPE, "term_key"]
     shared = (
-        g.select("group_id", *SCOPE, "age", F.explode("terms").alias("term")).join(by_term, [*SCOPE, "term"])
-        .filter(F.col("months") >= F.col("age") + STEPS)
-        .groupBy("group_id", "peer_id").agg(F.count(F.lit(1)).alias("similarity"))
+        sigs.select(*key, F.explode("terms").alias("term")).join(by_term, [*SCOPE, "term"])
+        .select(*key, F.explode("ids").alias("peer_id"))
+        .groupBy(*key, "peer_id").agg(F.count(F.lit(1)).alias("similarity"))
     )
-    related = Window.partitionBy("group_id").orderBy(F.desc("similarity"), "peer_id")
-    best = shared.withColumn("rank", F.row_number().over(related)).filter(F.col("rank") <= MAX_PEERS)
-    enough = best.filter(F.col("rank") == MIN_PEERS).select("group_id")
-    chosen = best.join(enough, "group_id", "left_semi")
-    # fallback: per scope and age the related ones first, then the smallest ids
-    ages = g.join(enough, "group_id", "left_anti").select(*SCOPE, "age").distinct()
-    pool = ages.join(p.select(*SCOPE, "peer_id", F.size("history").alias("months")), SCOPE).filter(F.col("months") >= F.col("age") + STEPS)
-    scope_rank = Window.partitionBy(*SCOPE, "age").orderBy("peer_id")
-    smallest = pool.withColumn("pos", F.row_number().over(scope_rank)).filter(F.col("pos") <= MAX_PEERS).select(*SCOPE, "age", "peer_id")
-    rest = g.join(enough, "group_id", "left_anti").select("group_id", *SCOPE, "age").join(smallest, [*SCOPE, "age"]).select("group_id", "peer_id")
-    few = best.join(enough, "group_id", "left_anti").select("group_id", "peer_id", "similarity")
+    order = Window.partitionBy(*key).orderBy(F.desc("similarity"), "peer_id")
+    best = shared.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MAX_PEERS)
+    enough = best.filter(F.col("rank") == MIN_PEERS).select(*key)
+    chosen = best.join(enough, key, "left_semi")
+    # fallback: the related ones, then the smallest ids of the scope
+    open_sigs = sigs.select(*key).join(enough, key, "left_anti")
+    scope_order = Window.partitionBy(*SCOPE).orderBy("peer_id")
+    smallest = p.select(*SCOPE, "peer_id").withColumn("pos", F.row_number().over(scope_order)).filter(F.col("pos") <= MAX_PEERS).drop("pos")
+    few = best.join(enough, key, "left_anti").select(*key, "peer_id", "similarity")
     filled = (
-        rest.select("group_id", "peer_id", F.lit(0).cast("bigint").alias("similarity")).unionByName(few)
-        .groupBy("group_id", "peer_id").agg(F.max("similarity").alias("similarity"))
-        .withColumn("rank", F.row_number().over(related)).filter(F.col("rank") <= MAX_PEERS)
+        open_sigs.join(smallest, SCOPE).select(*key, "peer_id", F.lit(0).cast("bigint").alias("similarity")).unionByName(few)
+        .groupBy(*key, "peer_id").agg(F.max("similarity").alias("similarity"))
+        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MAX_PEERS)
     )
-    picked = chosen.select("group_id", "peer_id", "similarity", "rank").unionByName(filled.select("group_id", "peer_id", "similarity", "rank"))
-    scope = g.select("group_id", *SCOPE, "age")
-    return picked.join(scope, "group_id").join(p.select(*SCOPE, "peer_id", "history"), [*SCOPE, "peer_id"])
+    picked = chosen.select(*key, "peer_id", "similarity", "rank").unionByName(filled.select(*key, "peer_id", "similarity", "rank"))
+    with_history = picked.join(p.select(*SCOPE, "peer_id", "history"), [*SCOPE, "peer_id"])
+    return g.select("group_id", *key, "age").join(with_history, key).drop("term_key")
 
 
 def peer_ratios(picked: DataFrame) -> DataFrame:

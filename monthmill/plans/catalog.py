@@ -6,7 +6,9 @@ import importlib
 
 from monthmill.plans.registry import ORACLES, QUERIES
 
-MODULES = ["models", "facts", "scoring", "selection", "scored", "reconciling", "catalogued", "intake"]
+MODULES = [
+    "models", "facts", "scoring", "selection", "scored", "reconciling", "catalogued", "intake", "pooled", "streams",
+]
 
 for _name in MODULES:
     importlib.import_module(f"monthmill.plans.{_name}")

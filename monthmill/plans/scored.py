@@ -691,10 +691,10 @@ def statistical_with_ml(t: Tables):
 
 
 @query("t08_accuracy_ranking", with_(PANEL_BASE, PAIRS_SQL) + f"""
-SELECT chain_id, product_id, wape, row_number() OVER (PARTITION BY chain_id ORDER BY wape, product_id) AS rank FROM (SELECT chain_id, product_id, {metric_sql('generic')} FROM lpairs WHERE model = 'mean3' GROUP BY ALL) WHERE wape IS NOT NULL""")
+SELECT chain_id, product_id, wape, bias FROM (SELECT chain_id, product_id, {metric_sql('generic')} FROM lpairs WHERE model = 'mean3' GROUP BY ALL) WHERE wape IS NOT NULL""")
 def accuracy_ranking(t: Tables):
     m = lpairs(t).filter("model = 'mean3'").groupBy(*CP).agg(*em.error_metrics(F.col("actual"), F.col("forecast"), "generic")).filter("wape IS NOT NULL")
-    return m.select(*CP, "wape", F.row_number().over(Window.partitionBy("chain_id").orderBy("wape", "product_id")).alias("rank"))
+    return m.select(*CP, "wape", "bias").orderBy("chain_id", "wape", "product_id")
 
 
 @query("t03_worst_series", with_(PANEL_BASE, PAIRS_SQL) + f"""
