@@ -45,3 +45,23 @@ def horizon_completeness(horizons: DataFrame, keys: list[str], expected: int = 1
 
 def band_order(p10: Column, p50: Column, p90: Column, p95: Column) -> Column:
     return (p10 <= p50) & (p50 <= p90) & (p90 <= p95)
+
+
+def normalisation_guard(rows: DataFrame, keys: list[str], cutoff: Column) -> DataFrame:
+    """Violations of fact input: identity, period, availability, value, conflicting duplicates.
+
+    rows: keys, period, value, available_at. Returns rule and the key of each violation.
+    """
+    missing_key = F.lit(False)
+    for k in keys:
+        missing_key = missing_key | F.col(k).isNull() | (F.trim(F.col(k).cast("string")) == "")
+    rules = {
+        "identity_required": missing_key,
+        "period_after_cutoff": F.col("period") > cutoff,
+        "availability_required": F.col("available_at").isNull(),
+        "available_after_month_end": F.to_date("available_at") > F.last_day(cutoff),
+        "invalid_value": F.isnan("value") | (F.col("value") < 0) | (F.abs("value") == F.lit(float("inf"))),
+    }
+    row_level = violations(rows, rules, [*keys, "period"])
+    conflicts = rows.groupBy(*keys, "period").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).filter("lo <> hi")
+    return row_level.unionByName(conflicts.select(*keys, "period", F.lit("duplicate_observation_conflict").alias("rule")))

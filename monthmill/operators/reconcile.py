@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from monthmill.operators.skew import lookup
+
 KEY = ["chain_id", "product", "period", "metric"]
 
 
@@ -25,7 +27,7 @@ def identity_bridge(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
 def canonical_product(candidates: DataFrame) -> DataFrame:
     """Adds `product` and `ambiguous`; a UPC is never extrapolated beyond its observed months."""
     overall, by_period = identity_bridge(candidates)
-    joined = candidates.join(overall, ["chain_id", "item"], "left").join(by_period, ["chain_id", "item", "period"], "left")
+    joined = lookup(candidates, overall, ["chain_id", "item"], "left").join(by_period, ["chain_id", "item", "period"], "left")
     several = F.col("upc").isNull() & (F.col("n_upc") > 1)
     product = (
         F.when(F.col("upc").isNotNull(), F.col("upc")).when(F.col("n_upc") == 1, F.col("only_upc"))
@@ -57,7 +59,7 @@ def activation(rows: DataFrame) -> DataFrame:
 
 def zero_exclusions(rows: DataFrame) -> DataFrame:
     """Zeros before the first sale are not demand; zeros of a never-active product are unproven."""
-    joined = rows.join(activation(rows), ["chain_id", "product"])
+    joined = lookup(rows, activation(rows), ["chain_id", "product"])
     start = F.col("first_active")
     zero = F.col("value") == 0
     return joined.withColumn(
@@ -286,7 +288,7 @@ def apply_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
     The join is on equal source and metric; only the month range is a condition.
     Rows without a rule are kept; overlaps are counted for a guard.
     """
-    hit = rows.join(rules, ["source", "metric"]).filter(
+    hit = lookup(rows, rules, ["source", "metric"]).filter(
         (F.col("period") >= F.col("valid_from")) & (F.col("period") <= F.col("valid_to"))
     )
     per_row = hit.groupBy("row_id").agg(

@@ -404,3 +404,18 @@ def fact_rules(t: Tables):
         "unexpected_size": (F.col("event_type") == "signup") & (F.col("value") > 100), "availability_shape": half,
     }
     return violations(t.events, rules).groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
+
+
+@query("q01_normalisation_guard", with_(BASE) + """
+SELECT rule, count(*) AS violations FROM (
+  SELECT 'period_after_cutoff' AS rule FROM lines WHERE order_m > DATE '2000-12-01' UNION ALL SELECT 'availability_required' FROM lines WHERE l_returnflag = 'R'
+  UNION ALL SELECT 'available_after_month_end' FROM lines WHERE l_returnflag <> 'R' AND CAST(l_shipdate AS DATE) > DATE '2000-12-31'
+  UNION ALL SELECT 'duplicate_observation_conflict' FROM (SELECT chain_id, part_id, order_m FROM lines GROUP BY ALL HAVING min(qty) <> max(qty))) GROUP BY rule""")
+def normalisation_guard(t: Tables):
+    from monthmill.operators.quality import normalisation_guard as guard
+
+    rows = t.lines.select(
+        "chain_id", "part_id", F.col("order_m").alias("period"), F.col("qty").alias("value"),
+        F.when(F.col("l_returnflag") != "R", F.col("l_shipdate")).alias("available_at"),
+    )
+    return guard(rows, ["chain_id", "part_id"], F.lit("2000-12-01").cast("date")).groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))

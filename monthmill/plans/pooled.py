@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from monthmill.functions import periods as pr
 from monthmill.functions.numbers import rounded
@@ -85,10 +85,8 @@ def feature_importance(t: Tables):
 @query("t04_top_features")
 def top_features(t: Tables):
     top = _importance(t).orderBy(F.desc("importance"), "feature").limit(8)
-    total = top.agg(F.sum("importance").alias("total"))
-    # eight rows against one total
-    share = top.join(total, F.lit(True)).select("feature", rounded(100 * F.col("importance") / F.col("total"), 1).alias("share"))
-    return share
+    total = F.sum("importance").over(Window.partitionBy())  # over eight rows
+    return top.select("feature", rounded(100 * F.col("importance") / total, 1).alias("share"))
 
 
 def _importance(t: Tables):
