@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from monthmill.operators.quantiles import exact_quantiles
 from monthmill.operators.series import growth_features, lag_features, movement_features
+from monthmill.session import cut_lineage
 
 HORIZONS = (1, 3, 6, 12)
 RIDGE = 0.35
@@ -80,26 +81,61 @@ class Preprocessor:
         return [f"z_{n}" for n in self.stats] + [f"m_{n}" for n in self.stats]
 
 
-def preprocessing_table(train: DataFrame, features: list[str]) -> DataFrame:
-    """feature, median, mean, std of the imputed column; one row per feature."""
-    long = train.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])))
-    median = exact_quantiles(long, ["feature"], "v", [0.5]).select("feature", F.col("quantiles")[0].alias("median"))
-    moments = long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"), F.count("v").alias("k"), F.avg("v").alias("m"), F.var_pop("v").alias("var")
+def value_counts(rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """keys, feature, v, c: how often each feature value occurs; combined on the map side."""
+    long = rows.select(
+        *keys, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
+    )
+    return long.groupBy(*keys, "feature", "v").agg(F.count(F.lit(1)).alias("c"))
+
+
+def preprocessing_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, median, mean, std of the imputed column; missing values count as the median."""
+    median = exact_quantiles(counts, keys, "v", [0.5], weight="c").select(*keys, F.col("quantiles")[0].alias("median"))
+    known = F.when(F.col("v").isNotNull(), F.col("c"))
+    first = counts.groupBy(*keys).agg(
+        F.sum("c").alias("n"), F.coalesce(F.sum(known), F.lit(0)).alias("k"), F.sum(F.col("v") * F.col("c")).alias("s")
+    )
+    level = first.join(median, keys, "left").select(
+        *keys, F.coalesce("median", F.lit(0.0)).alias("median"), "n", "k",
+        ((F.coalesce("s", F.lit(0.0)) + (F.col("n") - F.col("k")) * F.coalesce("median", F.lit(0.0))) / F.col("n")).alias("mean"),
     )
-    j = moments.join(median, "feature", "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
-    # moments after filling: k observed values with mean m, n - k copies of the median
-    share = F.col("k") / F.col("n")
-    m = F.coalesce("m", F.lit(0.0))
-    mean = share * m + (1 - share) * F.col("median")
-    spread = share * (F.coalesce("var", F.lit(0.0)) + (m - mean) * (m - mean)) + (1 - share) * (F.col("median") - mean) * (F.col("median") - mean)
-    std = F.sqrt(spread)
-    return j.select("feature", "median", mean.alias("mean"), F.when(std < 1e-9, 1.0).otherwise(std).alias("std"))
+    gap = F.coalesce("v", "median") - F.col("mean")
+    spread = counts.join(level, keys).groupBy(*keys, "median", "mean", "n").agg(F.sum(gap * gap * F.col("c")).alias("ss"))
+    std = F.sqrt(F.col("ss") / F.col("n"))
+    return spread.select(*keys, "median", "mean", F.when(std < 1e-9, 1.0).otherwise(std).alias("std"))
+
+
+def preprocessing_table(train: DataFrame, features: list[str]) -> DataFrame:
+    return preprocessing_from_counts(value_counts(train, features, []), ["feature"])
+
+
+def _preprocessor(rows: list, features: list[str]) -> Preprocessor:
+    ordered = sorted(rows, key=lambda r: features.index(r["feature"]))
+    return Preprocessor({r["feature"]: (r["median"], r["mean"], r["std"]) for r in ordered})
 
 
 def fit_preprocessor(train: DataFrame, features: list[str]) -> Preprocessor:
-    rows = preprocessing_table(train, features).collect()  # one row per feature
-    return Preprocessor({r["feature"]: (r["median"], r["mean"], r["std"]) for r in sorted(rows, key=lambda r: features.index(r["feature"]))})
+    return _preprocessor(preprocessing_table(train, features).collect(), features)  # one row per feature
+
+
+def fit_preprocessors(rows: DataFrame, features: list[str], folds: list[tuple]) -> dict[int, Preprocessor]:
+    """Constants of every fold (horizon, first excluded target) from one pass over the samples.
+
+    Values are counted per target month first; only those counts are repeated per fold.
+    """
+    counts = value_counts(rows, features, ["horizon", "target_period"])
+    member = F.array_compact(
+        F.array(
+            *[F.when((F.col("horizon") == h) & (F.col("target_period") < F.lit(target)), F.lit(i)) for i, (h, target) in enumerate(folds)]
+        )
+    )
+    per_fold = counts.withColumn("fold", F.explode(member)).groupBy("fold", "feature", "v").agg(F.sum("c").alias("c"))
+    table = preprocessing_from_counts(cut_lineage(per_fold), ["fold", "feature"]).collect()  # folds x features rows
+    grouped: dict[int, list] = {}
+    for r in table:
+        grouped.setdefault(r["fold"], []).append(r)
+    return {i: _preprocessor(rs, features) for i, rs in grouped.items()}
 
 
 def encode_products(rows: DataFrame, key: str) -> tuple[DataFrame, str]:
@@ -148,36 +184,44 @@ def predictions(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("pred", F.greatest(F.lit(0.0), F.col("prediction")))
 
 
-def fold_targets(rows: DataFrame, horizon: int, last: int) -> list:
-    """The last target months of a horizon; with four or fewer months all of them are used."""
-    months = [r[0] for r in rows.filter(F.col("horizon") == horizon).select("target_period").distinct().orderBy("target_period").collect()]
-    take = min(last, max(0, len(months) - 4))
-    return months[-take:] if take else months
-
-
-def fold_predictions(rows: DataFrame, model_name: str, horizon: int, target, features: list[str] = FEATURES) -> DataFrame | None:
+def fold_targets(rows: DataFrame, horizons: tuple[int, ...], last: int) -> list[tuple]:
+    """The last target months per horizon with enough earlier rows; four or fewer months are all used."""
+    months = rows.filter(F.col("horizon").isin(*horizons)).groupBy("horizon", "target_period").agg(F.count(F.lit(1)).alias("n"))
+    by_horizon: dict[int, list] = {}
+    for r in months.orderBy("horizon", "target_period").collect():  # calendar x horizons rows
+        by_horizon.setdefault(r["horizon"], []).append((r["target_period"], r["n"]))
+    folds = []
+    for h, entries in by_horizon.items():
+        take = min(last, max(0, len(entries) - 4)) or len(entries)
+        earlier = 0
+        for i, (target, n) in enumerate(entries):
+            if i >= len(entries) - take and earlier >= MIN_TRAIN:
+                folds.append((h, target))
+            earlier += n
+    return folds
+
+
+def fold_predictions(rows: DataFrame, model_name: str, fold: tuple, prep: Preprocessor) -> DataFrame:
     """Fit on targets strictly before the fold month, predict the fold month."""
+    horizon, target = fold
     at_h = rows.filter(F.col("horizon") == horizon)
     train, test = at_h.filter(F.col("target_period") < F.lit(target)), at_h.filter(F.col("target_period") == F.lit(target))
-    if len(train.limit(MIN_TRAIN).take(MIN_TRAIN)) < MIN_TRAIN:
-        return None
-    prep = fit_preprocessor(train, features)
     model = MODELS[model_name](assemble(train, prep, ["series_vec"]))
     return predictions(model, assemble(test, prep, ["series_vec"]))
 
 
-def temporal_backtest(rows: DataFrame, model_name: str, keys: list[str], last: int = 2, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+def temporal_backtest(
+    rows: DataFrame, model_name: str, keys: list[str], last: int = 2, horizons: tuple[int, ...] = HORIZONS, features: list[str] = FEATURES
+) -> DataFrame:
     """Endpoint predictions of the last folds of every horizon."""
-    out = None
-    for h in horizons:
-        for target in fold_targets(rows, h, last):
-            fold = fold_predictions(rows, model_name, h, target)
-            if fold is None:
-                continue
-            part = fold.select(*keys, "horizon", "target_period", F.col("label").alias("actual"), "pred")
-            out = part if out is None else out.unionByName(part)
-    if out is None:
+    folds = fold_targets(rows, horizons, last)
+    if not folds:
         raise ValueError("no temporal window has enough training rows")
+    preps = fit_preprocessors(rows, features, folds)
+    out = None
+    for i, fold in enumerate(folds):
+        part = fold_predictions(rows, model_name, fold, preps[i]).select(
+            *keys, "horizon", "target_period", F.col("label").alias("actual"), "pred"
+        )
+        out = part if out is None else out.unionByName(part)
     return out
-
-

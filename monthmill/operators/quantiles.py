@@ -19,9 +19,15 @@ def _cell(value: Column, per_doubling: float) -> Column:
     return F.when(value < 0, -size).otherwise(size)
 
 
-def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: list[float]) -> DataFrame:
-    """keys, n, quantiles (array in the order of `probabilities`), linear interpolation."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+def exact_quantiles(
+    rows: DataFrame, keys: list[str], value: str, probabilities: list[float], weight: str | None = None
+) -> DataFrame:
+    """keys, n, quantiles (array in the order of `probabilities`), linear interpolation.
+
+    `weight` names a column of whole counts when rows are already counted per value.
+    """
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("c"))
     totals = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
     position = F.col("p") * (F.col("n") - 1)
     wanted = (

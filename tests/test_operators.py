@@ -177,7 +177,7 @@ def test_stream_ingest_is_idempotent(spark):
         jobs.ingest_monthly(stream, profile, f"{folder}/facts", f"{folder}/rejects-{run}", ["id"], ["period"]).option(
             "checkpointLocation", f"{folder}/state-{run}"
         ).trigger(availableNow=True).start().awaitTermination()
-    assert [r["id"] for r in spark.read.parquet(f"{folder}/facts").collect()] == [1] or [r["id"] for r in spark.read.parquet(f"{folder}/facts").collect()] == ["1"]
+    assert [str(r["id"]) for r in spark.read.parquet(f"{folder}/facts").collect()] == ["1"]
 
 
 # Pooled models ------------------------------------------------------------------------------
@@ -216,8 +216,8 @@ def test_folds_never_see_the_future(spark):
 
     def run(df):
         s, _ = po.encode_products(po.samples(df, keys, "sales", (1,)).withColumn("series_key", F.col("product_id")), "series_key")
-        target = po.fold_targets(s, 1, 2)[0]
-        return {r["product_id"]: r["pred"] for r in po.fold_predictions(s, "linear", 1, target).collect()}
+        first = po.temporal_backtest(s, "linear", keys, last=2, horizons=(1,)).filter(F.col("target_period") == F.lit(months[28]))
+        return {r["product_id"]: r["pred"] for r in first.collect()}
 
     changed = panel.withColumn("sales", F.when(F.col("period") >= months[28], 999.0).otherwise(F.col("sales")))
     a, b = run(panel), run(changed)
