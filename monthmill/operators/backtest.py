@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from monthmill.functions.numbers import hundredths, rounded
 from monthmill.operators.metrics import error_metrics
@@ -81,15 +81,19 @@ def allowed(demand_class: Column) -> Column:
 
 
 def run_series(series: DataFrame, keys: list[str]) -> DataFrame:
-    """Classify, backtest the allowed models, pick the winner; one row per series."""
-    classes = classify(series, keys).select(
-        *keys, "demand_class", "n", (F.forall(F.slice("values", -3, 3), lambda x: x == 0) & (F.col("n") >= 3)).alias("still")
-    )
-    long_enough = series.filter(F.size("values") > 6)
-    labelled = classify(long_enough, [*keys, "periods"]).withColumn("allowed", allowed(F.col("demand_class")))
-    paths = forecast_paths(labelled, keys, allowed="allowed")
-    tried = weighted_score(rolling_backtest(backtest_steps(paths, keys), keys), keys)
-    best = tried.groupBy(*keys).agg(
+    """Classify, backtest the allowed models, pick the winner; one row per series.
+
+    Class and tail flag travel with the series keys, so nothing is joined back.
+    Seven months always give the first origin, fewer never do.
+    """
+    still = F.forall(F.slice("values", -3, 3), lambda x: x == 0) & (F.size("values") >= 3)
+    tagged = series.withColumn("still", F.when(F.size("values") >= 3, still).otherwise(False))
+    long_enough = classify(tagged.filter(F.size("values") > 6), [*keys, "periods", "still"])
+    labelled = long_enough.withColumn("allowed", allowed(F.col("demand_class")))
+    wide_keys = [*keys, "demand_class", "still"]
+    paths = forecast_paths(labelled, wide_keys, allowed="allowed")
+    tried = weighted_score(rolling_backtest(backtest_steps(paths, wide_keys), wide_keys), wide_keys)
+    best = tried.groupBy(*wide_keys).agg(
         F.min_by(F.struct("model", "wape", "bias", "stability", "score"), F.struct("score", model_rank())).alias("w")
     )
     alerts = F.array_join(
@@ -100,12 +104,15 @@ def run_series(series: DataFrame, keys: list[str]) -> DataFrame:
         ),
         ",",
     )
-    return classes.join(best, keys, "left").select(
-        *keys, "demand_class", F.col("w.model").alias("winner"), F.col("w.wape").alias("wape"),
-        F.col("w.bias").alias("bias"), F.col("w.stability").alias("stability"), F.col("w.score").alias("score"),
-        F.when(F.col("w").isNotNull(), alerts).otherwise("").alias("alerts"),
-        F.when(F.col("w").isNull(), "insufficient").when(alerts != "", "completed_with_alerts").otherwise("completed").alias("status"),
+    evaluated = best.select(
+        *keys, "demand_class", F.col("w.model").alias("winner"), F.col("w.wape").alias("wape"), F.col("w.bias").alias("bias"),
+        F.col("w.stability").alias("stability"), F.col("w.score").alias("score"), alerts.alias("alerts"),
+        F.when(alerts != "", "completed_with_alerts").otherwise("completed").alias("status"),
     )
+    short = classify(series.filter(F.size("values") <= 6), keys).select(
+        *keys, "demand_class", F.lit("").alias("alerts"), F.lit("insufficient").alias("status")
+    )
+    return evaluated.unionByName(short, allowMissingColumns=True)
 
 
 # Retrospective evaluation -------------------------------------------------
@@ -172,12 +179,14 @@ def retrospective_rows(
 
 
 def common_support(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Only the (origin, horizon) rows that every evaluated model of the series covers."""
-    point = ["origin_period", "horizon"]
-    per_series = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("model")).alias("evaluated"))
-    per_point = rows.groupBy(*keys, *point).agg(F.count_distinct("model").alias("covered"))
-    full = per_point.join(per_series, keys).filter(F.col("covered") == F.size("evaluated")).select(*keys, *point)
-    return rows.join(full, [*keys, *point], "left_semi")
+    """Only the (origin, horizon) rows that every evaluated model of the series covers.
+
+    A series has at most folds x horizons x models rows, so both counts are windows
+    over one partitioning by series; the winner's aggregation reuses it.
+    """
+    evaluated = F.size(F.collect_set("model").over(Window.partitionBy(*keys)))
+    covered = F.count(F.lit(1)).over(Window.partitionBy(*keys, "origin_period", "horizon"))
+    return rows.withColumn("evaluated", evaluated).withColumn("covered", covered).filter("covered = evaluated").drop("covered", "evaluated")
 
 
 def series_winner(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -83,10 +83,12 @@ def peer_ratios(picked: DataFrame) -> DataFrame:
 
 
 def leave_one_out(ratios: DataFrame) -> DataFrame:
-    """WAPE and bias of both methods; the others' mean is the sum minus the held-out peer."""
+    """WAPE and bias of both methods and the mean ratio per step; the others' mean is the sum minus the held-out peer."""
     w = Window.partitionBy("group_id", "step")
     n, total = F.count(F.lit(1)).over(w), F.sum("ratio").over(w)
-    held = ratios.withColumns({"n": n, "analog": F.col("peer_level") * (total - F.col("ratio")) / (n - 1)}).filter("n >= 3")
+    held = ratios.withColumns({"n": n, "total": total}).filter("n >= 3").withColumns(
+        {"analog": F.col("peer_level") * (F.col("total") - F.col("ratio")) / (F.col("n") - 1), "mean_ratio": F.col("total") / F.col("n")}
+    )
     a = F.sum("actual")
 
     def rates(pred: str, prefix: str) -> list[Column]:
@@ -97,7 +99,8 @@ def leave_one_out(ratios: DataFrame) -> DataFrame:
         ]
 
     return held.groupBy("group_id").agg(
-        *rates("analog", "analog"), *rates("peer_level", "baseline"), F.count_distinct("peer_id").alias("peers")
+        *rates("analog", "analog"), *rates("peer_level", "baseline"), F.count_if(F.col("step") == 1).alias("peers"),
+        F.array(*[F.max(F.when(F.col("step") == h, F.col("mean_ratio"))) for h in range(1, STEPS + 1)]).alias("curve"),
     )
 
 
@@ -111,10 +114,10 @@ def launch_forecasts(targets: DataFrame, peers: DataFrame) -> DataFrame:
     """Twelve provisional months per target: level times the peers' mean ratio, or a flat level."""
     grouped = target_groups(targets.filter((F.size("values") >= 1) & (F.size("values") <= MAX_AGE)))
     ratios = peer_ratios(select_peers(grouped, peers))
-    method = choose_method(leave_one_out(ratios)).select("group_id", "model", "peers", "analog_wape", "baseline_wape")
-    curve = ratios.groupBy("group_id", "step").agg(F.avg("ratio").alias("ratio"))
+    method = choose_method(leave_one_out(ratios)).select("group_id", "model", "peers", "analog_wape", "baseline_wape", "curve")
     rows = grouped.drop("terms").withColumn("target_level", level(F.col("values"))).drop("values")
-    out = rows.join(method, "group_id").join(curve, "group_id")
+    steps = rows.join(method, "group_id").select("*", F.posexplode("curve").alias("pos", "ratio"))
+    out = steps.withColumn("step", F.col("pos") + 1).drop("curve", "pos")
     return out.withColumn(
         "forecast", F.when(F.col("model") == "analog", F.col("target_level") * F.col("ratio")).otherwise(F.col("target_level"))
     )

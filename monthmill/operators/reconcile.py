@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from monthmill.operators.skew import lookup
+from monthmill.session import cut_lineage
 
 KEY = ["chain_id", "product", "period", "metric"]
 
@@ -189,7 +190,7 @@ def pareto(clusters: DataFrame, count: str, thresholds: tuple[int, ...] = (80, 9
     Clusters of equal size are interchangeable, so the running sum runs over the
     distinct sizes: with n members there are at most about sqrt(2n) of them.
     """
-    sizes = clusters.groupBy(F.col(count).alias("size")).agg(F.count(F.lit(1)).alias("k"))
+    sizes = cut_lineage(clusters.groupBy(F.col(count).alias("size")).agg(F.count(F.lit(1)).alias("k")))
     # running sums in blocks of sizes, so that no task orders all of them
     block = F.floor(F.log2(F.col("size").cast("double")) * 8)
     tagged = sizes.withColumn("block", block).withColumn("members", F.col("size") * F.col("k"))

@@ -10,6 +10,7 @@ from monthmill.functions.numbers import rounded
 from monthmill.operators import reconcile as rc
 from monthmill.plans.registry import query
 from monthmill.plans.sql_parts import BASE, FACTS, PANEL_BASE, r, with_, ym
+from monthmill.session import cut_lineage
 from monthmill.sources.tables import SERIES, Tables
 
 CP = ["chain_id", "product_id"]
@@ -141,8 +142,9 @@ clus AS (SELECT chain_id, year(period) AS year, metric, reason, pattern, count(*
 
 
 def clusters(t: Tables):
-    blocked = decisions(t).filter("blocking").select(*KEYS, "reason")
-    claims = passing(t).filter("level = 'A'").select(*KEYS, F.concat_ws(":", "source", "sheet").alias("locator")).distinct()
+    rows = cut_lineage(passing(t))  # read by the decisions and by the claims
+    blocked = rc.resolve(rows).filter("blocking").select(*KEYS, "reason")
+    claims = rows.filter("level = 'A'").select(*KEYS, F.concat_ws(":", "source", "sheet").alias("locator")).distinct()
     # a key has one locator per source sheet: as many as there are files
     patterns = claims.groupBy(*KEYS).agg(F.array_join(F.array_sort(F.collect_set("locator")), ",").alias("pattern"))
     rows = blocked.join(patterns, KEYS)
