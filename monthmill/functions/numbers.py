@@ -11,6 +11,11 @@ def rounded(value: Column, digits: int = 4) -> Column:
     return F.floor(value * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
+def snapped(value: Column) -> Column:
+    """Drops the noise of the last bits, so that exact halves round the same way everywhere."""
+    return F.rint(value * F.lit(1e7)) / F.lit(1e7)
+
+
 def hundredths(value: Column) -> Column:
     """The value in whole hundredths; sums of these are exact in any order."""
     return F.floor(value * F.lit(100.0) + F.lit(0.5))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from monthmill.functions.numbers import rounded
+from monthmill.functions.numbers import rounded, snapped
 from monthmill.operators.quantiles import exact_quantiles
 
 PROBABILITIES = [0.1, 0.9, 0.95]
@@ -18,7 +18,7 @@ def ordered_bands(value: Column, quantiles: Column, digits: int = 2, scale: Colu
     p90 = F.greatest(value, value + q90)
     p95 = F.greatest(p90, value + q95)
     return {
-        "p10": rounded(p10, digits), "p50": rounded(value, digits), "p90": rounded(p90, digits), "p95": rounded(p95, digits)
+        n: rounded(snapped(c), digits) for n, c in (("p10", p10), ("p50", value), ("p90", p90), ("p95", p95))
     }
 
 

@@ -80,10 +80,11 @@ def islands(panel: DataFrame, keys: list[str], measure: str) -> DataFrame:
 def island_values(panel: DataFrame, keys: list[str], measure: str) -> DataFrame:
     """Each contiguous run as its own series, leading zeros dropped.
 
-    The issue-anchored history of any month is a prefix of the run holding it.
+    The issue-anchored history of any month is a prefix of the run holding it; a
+    run without any sale is no history.
     """
     runs = islands(panel, keys, measure)
-    return observed_values(runs, [*keys, "island"], measure)
+    return observed_values(runs, [*keys, "island"], measure).filter(F.exists("values", lambda x: x > 0))
 
 
 def launch_history(panel: DataFrame, keys: list[str], measure: str) -> DataFrame:

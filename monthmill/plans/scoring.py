@@ -9,7 +9,7 @@ from monthmill.functions.numbers import rounded
 from monthmill.operators import bands, metrics as em, pairs as prs, reporting as rep, series as sr
 from monthmill.operators.quantiles import exact_quantiles
 from monthmill.plans.registry import query
-from monthmill.plans.sql_parts import BASE, FACTS, ISLANDS, ISSUE as ISSUE_SQL, PANEL_BASE, r, with_, ym
+from monthmill.plans.sql_parts import BASE, FACTS, ISLANDS, ISSUE as ISSUE_SQL, PANEL_BASE, r, rs, with_, ym
 from monthmill.sources.tables import ISSUE, SERIES, Tables
 
 CP = ["chain_id", "product_id"]
@@ -247,7 +247,7 @@ banded AS (SELECT *, least(point, greatest(0e0, point + q[1])) AS b10, greatest(
 
 
 @query("g13_band_evidence", with_(PANEL_BASE, PAIRS_SQL, RES_SQL, EVID_SQL) + f"""
-SELECT chain_id, product_id, horizon, band_basis, band_observations, {r('b10', 2)} AS p10, {r('point', 2)} AS p50, {r('b90', 2)} AS p90, {r('b95', 2)} AS p95 FROM banded""")
+SELECT chain_id, product_id, horizon, band_basis, band_observations, {rs('b10', 2)} AS p10, {rs('point', 2)} AS p50, {rs('b90', 2)} AS p90, {rs('b95', 2)} AS p95 FROM banded""")
 def band_evidence(t: Tables):
     res = residuals(t)
     points = res.groupBy(*SERIES, "horizon").agg(F.max_by("mean3", "period").alias("point"))
@@ -393,12 +393,15 @@ def recent_decline(t: Tables):
 
 
 @query("j12_seasonal_lag_pairs", with_(PANEL_BASE) + f"""
-SELECT chain_id, product_id, count(*) AS n, {r('corr(sales, l12)')} AS seasonal_corr FROM (
+SELECT chain_id, product_id, count(*) AS n, CASE WHEN stddev_pop(sales) > 0 AND stddev_pop(l12) > 0 THEN {r('corr(sales, l12)')} END AS seasonal_corr FROM (
   SELECT *, lag(sales, 12) OVER (PARTITION BY chain_id, product_id ORDER BY idx) AS l12 FROM panel) WHERE sales IS NOT NULL AND l12 IS NOT NULL GROUP BY ALL""")
 def seasonal_lag_pairs(t: Tables):
     w = Window.partitionBy(*SERIES).orderBy("idx")
     rows = t.panel.withColumn("l12", F.lag("sales", 12).over(w)).filter("sales IS NOT NULL AND l12 IS NOT NULL")
-    return rows.groupBy(*CP).agg(F.count(F.lit(1)).alias("n"), rounded(F.corr("sales", "l12")).alias("seasonal_corr"))
+    return rows.groupBy(*CP).agg(F.count(F.lit(1)).alias("n"), 
+        # a constant side has no correlation
+        rounded(F.try_divide(F.covar_pop("sales", "l12"), F.stddev_pop("sales") * F.stddev_pop("l12"))).alias("seasonal_corr"),
+    )
 
 
 @query("g15_level_drift", with_(PANEL_BASE) + f"""

@@ -11,7 +11,7 @@ from monthmill.plans.models import ALLOWED_SQL, BT_SQL, CLASS_SQL, RUN_SQL
 from monthmill.plans.registry import query
 from monthmill.plans.scoring import PAIRS_SQL, metric_sql, lpairs, pairs
 from monthmill.plans.sql_parts import (
-    BASE, BRAND_VALS, ISLAND_VALS, ISSUE as ISSUE_SQL, PANEL_BASE, PATHS, r, vals, with_, ym,
+    BASE, BRAND_VALS, ISLAND_VALS, ISSUE as ISSUE_SQL, PANEL_BASE, PATHS, r, rs, vals, with_, ym,
 )
 from monthmill.session import cut_lineage
 from monthmill.sources.tables import ISSUE, SERIES, Tables
@@ -158,8 +158,8 @@ def final_points(t: Tables, rows=None):
 @query("f28_forecast_table", with_(PANEL_BASE, ISLAND_VALS, PATHS, ALLOWED_SQL, RETRO_SQL, FINAL_SQL) + f"""
 SELECT chain_id, product_id, category_id, horizon, strftime({ISSUE_SQL} + to_months(horizon), '%Y-%m') AS target, model, now_class AS demand_class,
   CASE WHEN idx < 18 THEN 'COLD_START' ELSE 'ACTIVE' END AS status, {r('point', 2)} AS forecast, band_basis, band_observations,
-  CASE WHEN q IS NOT NULL THEN {r('least(point, greatest(0e0, point + q[1]))', 2)} END AS p10, CASE WHEN q IS NOT NULL THEN {r('greatest(point, point + q[2])', 2)} END AS p90,
-  CASE WHEN q IS NOT NULL THEN {r('greatest(greatest(point, point + q[2]), point + q[3])', 2)} END AS p95 FROM fb""")
+  CASE WHEN q IS NOT NULL THEN {rs('least(point, greatest(0e0, point + q[1]))', 2)} END AS p10, CASE WHEN q IS NOT NULL THEN {rs('greatest(point, point + q[2])', 2)} END AS p90,
+  CASE WHEN q IS NOT NULL THEN {rs('greatest(greatest(point, point + q[2]), point + q[3])', 2)} END AS p95 FROM fb""")
 def forecast_table(t: Tables):
     # read by the winner, the points and three band levels: written once
     rows = cut_lineage(comparable(t))
@@ -184,8 +184,8 @@ def forecast_rollup(t: Tables):
 
 
 @query("f29_fallback_bands", with_(PANEL_BASE, PAIRS_SQL) + f"""
-SELECT chain_id, product_id, horizon, n, {r('least(pt, greatest(0e0, pt + q[1] * sc))')} AS p10, {r('pt')} AS p50, {r('greatest(pt, pt + q[2] * sc)')} AS p90,
-  {r('greatest(greatest(pt, pt + q[2] * sc), pt + q[3] * sc)')} AS p95
+SELECT chain_id, product_id, horizon, n, {rs('least(pt, greatest(0e0, pt + q[1] * sc))')} AS p10, {rs('pt')} AS p50, {rs('greatest(pt, pt + q[2] * sc)')} AS p90,
+  {rs('greatest(greatest(pt, pt + q[2] * sc), pt + q[3] * sc)')} AS p95
 FROM (SELECT *, CASE WHEN n < 5 THEN sqrt(horizon) ELSE 1e0 END AS sc FROM (
   SELECT chain_id, product_id, horizon, count(*) AS n, quantile_cont(actual - mean3, [0.1, 0.9, 0.95]) AS q, arg_max(mean3, period) AS pt FROM pairs GROUP BY ALL))""")
 def fallback_bands(t: Tables):

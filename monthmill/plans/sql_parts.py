@@ -9,6 +9,11 @@ def r(expr: str, digits: int = 4) -> str:
     return f"(floor(({expr}) * 1e{digits} + 0.5e0) / 1e{digits})"
 
 
+def rs(expr: str, digits: int = 4) -> str:
+    """Rounding after the last bits are dropped."""
+    return r(f"round(({expr}) * 1e7) / 1e7", digits)
+
+
 def ym(expr: str) -> str:
     return f"strftime({expr}, '%Y-%m')"
 
@@ -65,7 +70,9 @@ BASE = LINES.strip() + ",\n" + MONTHLY.strip()
 PANEL_BASE = BASE + ",\n" + PANEL.strip()
 
 
-def vals(source: str, sid: str, measure: str = "sales", order: str = "period", name: str = "vals") -> str:
+def vals(
+    source: str, sid: str, measure: str = "sales", order: str = "period", name: str = "vals", keep_zero: bool = True
+) -> str:
     """Observed values from the first positive month, numbered from 1."""
     return f"""
 {name} AS (
@@ -74,7 +81,7 @@ def vals(source: str, sid: str, measure: str = "sales", order: str = "period", n
   FROM (SELECT {sid} AS sid, {order} AS period, {measure} AS v,
                min(CASE WHEN {measure} > 0 THEN {order} END) OVER (PARTITION BY {sid}) AS launch
         FROM {source} WHERE {measure} IS NOT NULL)
-  WHERE launch IS NULL OR period >= launch)
+  WHERE {"launch IS NULL OR " if keep_zero else ""}period >= launch)
 """
 
 
@@ -88,7 +95,7 @@ runs AS (
   FROM panel)
 """
 ISLAND_VALS = ISLANDS.strip() + ",\n" + vals(
-    "runs", "chain_id || '|' || product_id || '|' || island").strip()
+    "runs", "chain_id || '|' || product_id || '|' || island", keep_zero=False).strip()
 
 STATES = """
 st AS (
