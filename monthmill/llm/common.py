@@ -66,7 +66,3 @@ def stored(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Deal rows evenly over at least `least` tasks when a scan would give fewer (few large files or row groups)."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(n, least or 0))
