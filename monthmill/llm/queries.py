@@ -1,6 +1,6 @@
 """Collects the registered queries of the subpackage."""
 
-from monthmill.llm import exact_dedup, line_dedup, simhash
+from monthmill.llm import exact_dedup, line_dedup, pii, simhash
 from monthmill.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "exact_dedup", "line_dedup", "simhash"]
+__all__ = ["ORACLES", "QUERIES", "exact_dedup", "line_dedup", "pii", "simhash"]
