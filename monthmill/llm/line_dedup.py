@@ -87,7 +87,8 @@ def line_dedup(
     for i in range(len(bounds) + 1):
         batch = lines.filter(F.col("batch") == i)
         runs.add(batch.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("doc_id")))
-    doomed = runs.merged(runs.rows()).filter(F.col("n") >= min_docs)
+    # stored, so that the join below reads plain rows on both sides and a hot line can be split
+    doomed = stored(runs.merged(runs.rows()).filter(F.col("n") >= min_docs), "doomed")
     drop = (
         lines.join(doomed, KEY).filter(F.col("doc_id") != F.col("keeper"))
         .groupBy("doc_id").agg(F.flatten(F.collect_list("lines")).alias("_gone"))
