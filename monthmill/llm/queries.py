@@ -1,6 +1,6 @@
 """Collects the registered queries of the subpackage."""
 
-from monthmill.llm import exact_dedup, line_dedup, pii, sentencepieces, simhash
+from monthmill.llm import exact_dedup, line_dedup, pii, sentencepieces, simhash, warc
 from monthmill.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "exact_dedup", "line_dedup", "pii", "sentencepieces", "simhash"]
+__all__ = ["ORACLES", "QUERIES", "exact_dedup", "line_dedup", "pii", "sentencepieces", "simhash", "warc"]
