@@ -1,8 +1,8 @@
 """Collects the registered queries of the subpackage."""
 
-from monthmill.llm import exact_dedup, line_dedup, pii, quality, sentencepieces, simhash, toxicity, warc
+from monthmill.llm import decontaminate, exact_dedup, line_dedup, pii, quality, sentencepieces, simhash, toxicity, warc
 from monthmill.llm.common import ORACLES, QUERIES
 
 __all__ = [
-    "ORACLES", "QUERIES", "exact_dedup", "line_dedup", "pii", "quality", "sentencepieces", "simhash", "toxicity", "warc",
+    "ORACLES", "QUERIES", "decontaminate", "exact_dedup", "line_dedup", "pii", "quality", "sentencepieces", "simhash", "toxicity", "warc",
 ]
