@@ -161,6 +161,19 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, expected_grade double, tails array<double>")
 
 
+def select(docs: DataFrame, model: OrdinalModel, grade: int, least: float) -> DataFrame:
+    """Whole rows, all columns as they are, of the texts with P(grade >= `grade`) of at least `least`."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = model.scorer()
+        for batch in batches:
+            scores = np.array([one(t or "") for t in batch.column(place).to_pylist()]).reshape(-1)
+            yield batch.filter(pa.array(model.tails(scores)[:, grade - 1] >= least, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """Grades from the two labels: 0 poor, 1 sound but toxic, 2 sound and clean; an unknown toxic label counts as clean."""
     return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1)

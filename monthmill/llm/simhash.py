@@ -46,7 +46,7 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th independent hash derived from h (splitmix64); k = 0 is h itself."""
     if k == 0:
         return h
-    x = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)
+    x = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
