@@ -36,6 +36,19 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one struct, so that working columns cannot clash with them."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(None)).alias("rest"))
+
+
+def unpacked(docs: DataFrame, *added: str) -> list[Column]:
+    """The columns of `docs` from its packed form; those named like an added column give way to it."""
+    return [
+        F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns if c not in added
+    ]
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, other letters untouched."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

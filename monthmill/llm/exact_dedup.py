@@ -43,7 +43,8 @@ def candidates(rows: DataFrame, key: str, counters: int = COUNTERS) -> DataFrame
         sketch = MisraGries(counters)
         for frame in frames:
             sketch.add(Counter(frame[key].value_counts().to_dict()))
-        yield pd.DataFrame({key: list(sketch.counts), "n": list(sketch.counts.values())}).astype({"n": "int64"})
+        if sketch.counts:
+            yield pd.DataFrame({key: list(sketch.counts), "n": list(sketch.counts.values())})
 
     sums = rows.select(key).mapInPandas(summarise, f"{key} string, n long").groupBy(key).agg(F.sum("n").alias("n"))
     return sums.filter(F.col("n") * (counters + 1) >= rows.count()).select(key)

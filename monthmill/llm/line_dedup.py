@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from monthmill.llm.common import SPACES, folder, lower_ascii, query, stored, table, texts
+from monthmill.llm.common import SPACES, folder, lower_ascii, packed, query, stored, table, texts, unpacked
 
 KEY = ["h1", "h2"]
 RUN = "h1 long, h2 long, n long, keeper long"
@@ -56,20 +56,25 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.trim(line, F.lit(SPACES)))
 
 
+def row_key() -> Column:
+    """Tells rows apart that share a doc_id; equal rows have equal keys."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
 def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row per document and line key of `min_chars` or more: 128 bits of hash and the line numbers."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    """One row per document and line key of `min_chars` or more: 128 bits of hash, and the places of its lines."""
+    lines = docs.select("doc_id", row_key().alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keys = lines.filter(F.length(F.trim("line", F.lit(SPACES))) >= min_chars).withColumn("key", line_key(F.col("line")))
     return (
-        keys.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-        .groupBy("doc_id", *KEY).agg(F.collect_list("pos").alias("lines"))
+        keys.select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+        .groupBy("doc_id", *KEY).agg(F.collect_list(F.struct("row", "pos")).alias("places"))
     )
 
 
 def line_dedup(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT
 ) -> DataFrame:
-    """All input columns, with text deduplicated, plus _n_lines and _n_dropped.
+    """All input columns, with text deduplicated, plus _n_lines and _n_dropped, which replace input columns so named.
 
     A key of at least `min_chars` code points found in `min_docs` documents or more loses all its lines except those
     in the largest doc_id that holds it. A null or empty text is one empty line and never loses it; a null text comes
@@ -91,25 +96,25 @@ def line_dedup(
     doomed = stored(runs.merged(runs.rows()).filter(F.col("n") >= min_docs), "doomed")
     drop = (
         lines.join(doomed, KEY).filter(F.col("doc_id") != F.col("keeper"))
-        .groupBy("doc_id").agg(F.flatten(F.collect_list("lines")).alias("_gone"))
-        .withColumnRenamed("doc_id", "_id")
+        .select("doc_id", F.inline("places"))
+        .groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list("pos").alias("_gone"))
     )
-    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns]).join(drop, F.col("doc_id") == F.col("_id"), "left")
+    held = packed(docs).join(drop, (F.col("doc_id") == F.col("_id")) & (row_key() == F.col("_row")), "left")
     parts = F.split("text", "\n", -1)
     every = F.sequence(F.lit(0), F.size(parts) - 1)
-    gone = F.array_intersect(every, "_gone")  # a repeated id may have fewer lines in one of its rows
+    gone = F.array_intersect(every, "_gone")  # equal rows give each place twice
     marks = F.array_sort(F.concat(
         F.transform(gone, lambda p: F.struct(p.alias("p"), F.lit(False).alias("keep"))),
         F.transform(F.array_except(every, "_gone"), lambda p: F.struct(p.alias("p"), F.lit(True).alias("keep"))),
     ))
     kept = F.array_join(F.zip_with(parts, marks, lambda line, mark: F.when(mark["keep"], line)), "\n")
     hit = F.col("_gone").isNotNull()
-    return held.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != "text"],
-        F.when(hit, kept).otherwise(F.col("text")).alias("text"),
+    out = held.select(
+        "doc_id", F.when(hit, kept).otherwise(F.col("text")).alias("text"), "rest",
         F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("_n_lines"),
         F.when(hit, F.size(gone)).otherwise(0).cast("long").alias("_n_dropped"),
     )
+    return out.select(*unpacked(docs, "_n_lines", "_n_dropped"), "_n_lines", "_n_dropped")
 
 
 SQL = f"""

@@ -13,7 +13,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from monthmill.llm.common import query, stored, table, texts
+from monthmill.llm.common import packed, query, stored, table, texts, unpacked
 
 # Fixed patterns, in the order in which spans are listed. Possessive, since nothing follows that could need a retry;
 # the look-behind skips starts that can only fail like the start of their run, and \G allows one after a match.
@@ -152,7 +152,8 @@ def disclosing(near: DataFrame, found: DataFrame, rows: DataFrame, support: int,
 def sanitise(
     docs: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
-    """All input columns, plus _base and _terms (arrays of kind, start, end, value in code points) and _clean.
+    """All input columns, plus _base and _terms (arrays of kind, start, end, value in code points) and _clean, which
+    replace input columns so named.
 
     _base holds the pattern spans by kind (email, ip, card, phone), then start; _terms the disclosing terms by start,
     with value `generalise` or `remove`. _clean is the text with base spans replaced by their kind in angle brackets,
@@ -161,7 +162,6 @@ def sanitise(
     disclose. Rows that repeat a doc_id and text count as separate documents in term counts, as one in entity counts,
     and get the same spans. A null doc_id is a value like any other. An empty table gives no rows.
     """
-    every = [F.col(f"`{c}`") for c in docs.columns]
     rows = row_key(texts(docs))
     found = stored(base_spans(rows).filter(F.size("base") > 0).dropDuplicates(ROW), "base")
     near = stored(mentions(found, reach), "mentions")
@@ -177,14 +177,15 @@ def sanitise(
     )
     marks = found.select(*ROW, F.col("base").alias("_base")).join(spans, ROW, "left")
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(*every, F.xxhash64(F.col("doc_id"), text).alias("_k1"),
+    keyed = packed(docs).select("*", F.xxhash64(F.col("doc_id"), text).alias("_k1"),
                         F.xxhash64(F.lit(1), F.col("doc_id"), text).alias("_k2"))
     joined = keyed.join(marks, (F.col("_k1") == F.col("r1")) & (F.col("_k2") == F.col("r2")), "left")
     none = F.expr(f"cast(array() as {SPANS})")
     out = joined.select(
-        *every, F.coalesce("_base", none).alias("_base"), F.coalesce(F.col("_terms").cast(SPANS), none).alias("_terms")
+        "doc_id", "text", "rest", F.coalesce("_base", none).alias("_base"), F.coalesce(F.col("_terms").cast(SPANS), none).alias("_terms")
     )
-    return out.withColumn("_clean", cleaned(text, F.col("_base"), F.col("_terms")))
+    out = out.withColumn("_clean", cleaned(text, F.col("_base"), F.col("_terms")))
+    return out.select(*unpacked(docs, "_base", "_terms", "_clean"), "_base", "_terms", "_clean")
 
 
 def cleaned(text: Column, base: Column, terms: Column) -> Column:
