@@ -11,7 +11,8 @@ token once.
 from __future__ import annotations
 
 import base64
-import re
+import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -22,7 +23,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from monthmill.llm.common import WORD, fold, lower_ascii, query, remainder, stored, table, texts
+from monthmill.llm.common import query, remainder, stored, table, texts
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # GPT-2's published pre-tokenisation, a fixed pattern
@@ -30,45 +31,64 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 END = 50256
 WIDTH, OVERLAP, DIM, INPUTS, CLASSES = 16, 4, 16, 1024, 64
 RATE, ROUNDS, BATCH, STEP = 64, 4, 64, 0.01
-SHARE, CACHE, WINDOWS = 1e-5, 300_000, 2048
-_WORDS = re.compile(WORD)
-
-
-def encoding(path: str = RANKS) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+SHARE, CACHE, WINDOWS, SEGMENT = 5e-6, 300_000, 1024, 512
 
 
 class Subwords:
-    """Ids of lists of words, each encoded with a blank before it; a bounded cache of words."""
+    """Ids of lists of words, each encoded with a blank before it; a bounded cache of words with their base values."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], frequent: dict[bytes | None, tuple[float, bool]] | None = None):
         self.encode = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.opens = np.zeros(END + 1, dtype=bool)
+        self.opens[[i for piece, i in ranks.items() if piece.startswith(b" ")]] = True
+        self.frequent = frequent or {}
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[int] = []
-        self.ends = [0]
-
-    def __call__(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids, each text closed by END, and the end of each text in them."""
+        self.known: dict[bytes | None, int] = {}
+        self.ids, self.ends = array("i"), array("q", [0])
+        self.units, self.hits, self.rare = array("d"), array("b"), array("b")
+
+    def pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in one go, and the end of each word in them: only a word's first piece opens with a blank."""
+        ids = np.array(self.encode("".join(" " + w.decode() for w in words)), dtype=np.int32)
+        return ids, np.r_[np.flatnonzero(self.opens[ids])[1:], len(ids)] if words else ids
+
+    def learn(self, words: list[bytes | None]) -> None:
+        some = [w for w in words if w is not None]
+        ids, ends = self.pieces(some)
+        if len(some) < len(words):
+            ids, ends, some = np.r_[ids, END].astype(np.int32), np.r_[ends, len(ids) + 1], [*some, None]
+        self.known.update(zip(some, range(len(self.ends) - 1, len(self.ends) - 1 + len(some))))
+        start = self.ends[-1]
+        self.ids.frombytes(ids.tobytes())
+        self.ends.frombytes((ends + start).astype(np.int64).tobytes())
+        values = list(map(self.frequent.get, some))
+        self.units.extend(0.0 if v is None else v[0] for v in values)
+        self.hits.extend(v is not None and v[1] for v in values)
+        self.rare.extend(v is None for v in values)
+
+    def place(self, docs: list[list[bytes]]) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+        """All words, a None closing each text; their places in the cache; and the end of each text."""
         every = list(chain.from_iterable(chain(d, (None,)) for d in docs))
-        fresh = {w for w in every if w not in self.known}
+        at = np.fromiter(map(self.known.get, every, repeat(-1)), dtype=np.int64, count=len(every))
+        missing = np.flatnonzero(at < 0)
+        fresh = list(dict.fromkeys(map(every.__getitem__, missing)))
         if len(self.known) + len(fresh) > CACHE:
             self.clear()
-            fresh = set(every)
-        for w in fresh:
-            self.known[w] = len(self.ends) - 1
-            self.ids += [END] if w is None else self.encode(" " + w)
-            self.ends.append(len(self.ids))
-        at = np.fromiter(map(self.known.__getitem__, every), dtype=np.int64, count=len(every))
+            missing, fresh = np.arange(len(every)), list(dict.fromkeys(every))
+        if fresh:
+            self.learn(fresh)
+            at[missing] = np.fromiter(map(self.known.__getitem__, map(every.__getitem__, missing)), dtype=np.int64, count=len(missing))
+        return every, at, np.cumsum([len(d) + 1 for d in docs])
+
+    def flat(self, at: np.ndarray, texts_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the placed words one after the other, and the end of each text in them."""
         ids, ends = np.array(self.ids, dtype=np.int32), np.array(self.ends, dtype=np.int64)
         size = ends[at + 1] - ends[at]
         stops = np.cumsum(size)
         flat = ids[np.repeat(ends[at] - stops + size, size) + np.arange(stops[-1] if len(stops) else 0)]
-        return flat, stops[np.cumsum([len(d) + 1 for d in docs]) - 1] if docs else stops
+        return flat, stops[texts_end - 1]
 
 
 def windows(ids: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +99,7 @@ def windows(ids: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     count = np.maximum(1, -(-(length - OVERLAP) // step))
     owner = np.repeat(np.arange(len(stops)), count)
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = (starts[owner] + nth * step)[:, None] + np.arange(WIDTH)
+    at = (starts[owner] + nth * step).astype(np.int32)[:, None] + np.arange(WIDTH, dtype=np.int32)
     inside = at < stops[owner][:, None]
     target = ids[np.minimum(at, len(ids) - 1)]
     before = ids[np.clip(at - 1, 0, len(ids) - 1)]
@@ -143,12 +163,11 @@ class Attention:
         y = h + z @ self.w2
         return {"x": x, "q": q, "k": k, "v": v, "a": a, "c": c, "h": h, "z": z, "y": y}
 
-    def class_logs(self, slots: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        """Log probability of the class of each target."""
-        y = self.forward(slots)["y"].reshape(-1, DIM)
-        logits = np.clip(y @ self.u + self.b, -40, 40)
-        picked = logits[np.arange(len(logits)), kinds.ravel()]
-        return (picked - np.log(np.exp(logits, out=logits).sum(axis=-1))).reshape(kinds.shape)
+    def class_logs(self, slots: np.ndarray, kinds: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """Log probability of the class of each target in use, in one row."""
+        logits = np.clip(self.forward(slots)["y"][use] @ self.u + self.b, -40, 40)
+        picked = logits[np.arange(len(logits)), kinds[use]]
+        return picked - np.log(np.exp(logits, out=logits).sum(axis=-1))
 
     def gradient(self, slots: np.ndarray, kinds: np.ndarray, use: np.ndarray) -> tuple[float, np.ndarray]:
         f = self.forward(slots)
@@ -206,8 +225,24 @@ class Model:
         return float(np.log10((count + 0.5) / (self.total + 0.5 * (self.kinds + 1))))
 
 
-def split_words(text: str) -> list[str]:
-    return _WORDS.findall(fold(text))
+def split_words(text: str) -> list[bytes]:
+    """Words between ASCII white space, A-Z lower-cased, in UTF-8; both are what bytes do by themselves."""
+    return text.encode().lower().split()
+
+
+def segments(text: str, rate: int) -> list[tuple[list[bytes], bool]]:
+    """Whole words of every `rate`-th stretch of SEGMENT bytes, by a checksum, and whether the stretch ends the text."""
+    data, out = text.encode().lower(), []
+    for at in range(0, max(1, len(data)), SEGMENT):
+        part = data[at:at + SEGMENT]
+        if zlib.crc32(part) % rate:
+            continue
+        last = at + SEGMENT >= len(data)
+        words = part.split()
+        begin = at > 0 and not data[at - 1:at].isspace()
+        stop = len(words) - (not last and not data[at + SEGMENT:at + SEGMENT + 1].isspace() and not part[-1:].isspace())
+        out.append((words[begin:stop], last))
+    return out
 
 
 def chunks(values: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
@@ -227,8 +262,26 @@ def train(docs: DataFrame, held_out, path: str = RANKS, rate: int = RATE, rounds
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     learn = texts(docs.filter(~held_out).select("doc_id", "text"))
-    words = learn.select(F.explode(F.split(lower_ascii(F.col("text")), r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
-    counts = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("c")), "counts")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays(
+                [pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "c"]
+            )
+            seen.clear()
+            return rows
+
+        for batch in batches:
+            for part in chunks(batch.column(1).to_pylist()):
+                seen.update(chain.from_iterable(map(split_words, part)))
+                if len(seen) > CACHE:
+                    yield flush()
+        yield flush()
+
+    counts = learn.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counts = stored(counts, "counts")
     ends = learn.count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, kinds = sums.n + ends, sums.v + (ends > 0)
@@ -236,11 +289,12 @@ def train(docs: DataFrame, held_out, path: str = RANKS, rate: int = RATE, rounds
     frequent = {r.word: r.c for r in counts.filter(F.col("c") >= max(1.0, share * total)).collect()}
 
     def subword_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, out = Subwords(ranks).encode, np.zeros(END + 1)
+        subwords, out = Subwords(ranks), np.zeros(END + 1)
         for frame in frames:
-            for w, c in zip(frame.word, frame.c):
-                for i in encode(" " + w):
-                    out[i] += c
+            if len(frame):
+                ids, stops = subwords.pieces(list(frame.word))
+                times = np.repeat(frame.c.to_numpy(), np.diff(np.r_[0, stops]))
+                out += np.bincount(ids, weights=times, minlength=END + 1)
         at = np.flatnonzero(out)
         yield pd.DataFrame({"id": at, "n": out[at]})
 
@@ -254,13 +308,15 @@ def train(docs: DataFrame, held_out, path: str = RANKS, rate: int = RATE, rounds
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(ranks)
         for batch in batches:
-            for part in chunks(batch.column(1).to_pylist()):
-                before, target, use, _ = windows(*subwords([split_words(t) for t in part]))
-                # a hash of its ids decides on a window
-                mixed = (target.astype(np.int64) * (np.arange(WIDTH) * 2 + 1)).sum(axis=1) * 2654435761 >> 11
-                pick = mixed % rate == 0
-                rows = [vocabulary.slot[before[pick]], vocabulary.kind[target[pick]], use[pick].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(r), pa.list_(pa.int32())) for r in rows], ["slots", "kinds", "use"])
+            parts = [p for t in batch.column(1).to_pylist() for p in segments(t, rate)]
+            if not parts:
+                continue
+            _, at, stops = subwords.place([w for w, _ in parts])
+            before, target, use, owner = windows(*subwords.flat(at, stops))
+            last = np.array([x for _, x in parts])
+            use &= (target != END) | last[owner][:, None]  # a stretch within a text has no end
+            rows = [vocabulary.slot[before], vocabulary.kind[target], use.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(r), pa.list_(pa.int32())) for r in rows], ["slots", "kinds", "use"])
 
     sample = stored(learn.mapInArrow(sampled, "slots array<int>, kinds array<int>, use array<int>"), "windows")
     flat = Attention.initial(vocabulary.bias)
@@ -302,45 +358,42 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     ranks, vocabulary, flat = model.ranks, model.vocabulary, model.flat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, net, known = Subwords(ranks), Attention(flat), frequent.value
+        subwords, net = Subwords(ranks, frequent.value), Attention(flat)
         for batch in batches:
             at = 0
             for part in chunks(batch.column(1).to_pylist()):
                 split = [split_words(t) for t in part]
-                ids, stops = subwords(split)
-                before, target, use, owner = windows(ids, stops)
-                logs = np.zeros(len(part))
+                words, place, ends = subwords.place(split)
+                before, target, use, owner = windows(*subwords.flat(place, ends))
+                logs, n = np.zeros(len(part)), len(part)
                 for i in range(0, len(owner), WINDOWS):
                     w = slice(i, i + WINDOWS)
-                    value = net.class_logs(vocabulary.slot[before[w]], vocabulary.kind[target[w]]) + vocabulary.within[target[w]]
-                    logs += np.bincount(owner[w], weights=(value * use[w]).sum(axis=1), minlength=len(part))
-                base, hits, rare, times = [], [], [], []
-                for words in split:
-                    seen = [x for x in map(known.get, words) if x is not None]
-                    other = Counter(w for w in words if w not in known) if len(seen) < len(words) else {}
-                    base.append(sum([u for u, _ in seen]) + known[None][0])
-                    hits.append(len(seen) + known[None][1])
-                    rare.append(list(other))
-                    times.append(list(other.values()))
-                n = len(part)
+                    row, own = use[w], target[w]
+                    value = net.class_logs(vocabulary.slot[before[w]], vocabulary.kind[own], row) + vocabulary.within[own[row]]
+                    logs += np.bincount(np.repeat(owner[w], row.sum(axis=1)), weights=value, minlength=n)
+                of = np.repeat(np.arange(n), np.diff(np.r_[0, ends]))
+                rare = np.flatnonzero(np.array(subwords.rare, dtype=bool)[place])
+                offsets = np.searchsorted(of[rare], np.arange(n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array([len(w) + 1 for w in split], pa.int64()),
-                    pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(logs / np.log(10), pa.float64()),
-                    pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32())),
-                ], ["doc_id", "row", "n_tokens", "hits", "base", "score", "words", "times"])
+                    batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(np.diff(np.r_[0, ends]), pa.int64()),
+                    pa.array(np.bincount(of, np.array(subwords.hits)[place], n).astype(np.int64), pa.int64()),
+                    pa.array(np.bincount(of, np.array(subwords.units)[place], n), pa.float64()),
+                    pa.array(logs / np.log(10), pa.float64()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array([words[i] for i in rare], pa.binary())),
+                ], ["doc_id", "row", "n_tokens", "hits", "base", "score", "words"])
                 at += n
 
     rows = texts(docs).withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(
-        run, "doc_id long, row long, n_tokens long, hits long, base double, score double, words array<string>, times array<int>"
+        run, "doc_id long, row long, n_tokens long, hits long, base double, score double, words array<binary>"
     )
     rows = stored(rows, "scored")
     rest = rows.filter(F.size("words") > 0).select(
-        "doc_id", "row", F.explode(F.arrays_zip("words", "times")).alias("w")
-    ).select("doc_id", "row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+        "doc_id", "row", F.explode("words").alias("word")
+    )
     c = F.coalesce("c", F.lit(0))
     unit = F.log10((c + 0.5) / F.lit(model.total + 0.5 * (model.kinds + 1)))
     rest = rest.join(model.counts, "word", "left").groupBy("doc_id", "row").agg(
-        F.sum(F.col("times") * unit).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("found")
+        F.sum(unit).alias("more"), F.sum((c > 0).cast("long")).alias("found")
     )
     # equal rows were counted together
     copies = rows.filter(F.size("words") > 0).groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
