@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from monthmill.session import checkpoint_dir
@@ -36,6 +40,28 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def lean(run):
+    """Wraps the function of a task: at its end, freed memory goes back to the system instead of staying with the worker."""
+
+    @wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return task
+
+
+def values(column: pa.Array) -> Iterator:
+    """The values of a column one after the other, so that a batch of long texts is not held twice."""
+    return (v.as_py() for v in column)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id, text and all other columns in one struct, so that working columns cannot clash with them."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]

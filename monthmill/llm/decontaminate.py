@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from monthmill.llm.common import fold, query, table, texts
+from monthmill.llm.common import fold, lean, query, table, texts
 
 LEAST, MAX_EDITS, DESIGN_EDITS, RECALL = 24, 0.2, 0.1, 0.95
 BLOCK_ITEMS, ANCHORS, SAMPLED, CHUNK = 2000, 8, 4, 200_000
@@ -190,7 +190,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDI
     usable = ((r.item_id, t) for r in rows if len(t := normal(r.text)) >= least)
     base = texts(docs)
     while items := list(islice(usable, block)):
-        found = found.union(base.mapInArrow(search(ItemTables(items, anchors, recall), max_edits), schema))
+        found = found.union(base.mapInArrow(lean(search(ItemTables(items, anchors, recall), max_edits)), schema))
     return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 

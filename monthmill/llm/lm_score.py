@@ -14,7 +14,7 @@ import base64
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from monthmill.llm.common import query, remainder, stored, table, texts
+from monthmill.llm.common import lean, query, remainder, stored, table, texts, values
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # GPT-2's published pre-tokenisation, a fixed pattern
@@ -63,10 +63,10 @@ class Subwords:
         start = self.ends[-1]
         self.ids.frombytes(ids.tobytes())
         self.ends.frombytes((ends + start).astype(np.int64).tobytes())
-        values = list(map(self.frequent.get, some))
-        self.units.extend(0.0 if v is None else v[0] for v in values)
-        self.hits.extend(v is not None and v[1] for v in values)
-        self.rare.extend(v is None for v in values)
+        found = list(map(self.frequent.get, some))
+        self.units.extend(0.0 if v is None else v[0] for v in found)
+        self.hits.extend(v is not None and v[1] for v in found)
+        self.rare.extend(v is None for v in found)
 
     def place(self, docs: list[list[bytes]]) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
         """All words, a None closing each text; their places in the cache; and the end of each text."""
@@ -245,9 +245,9 @@ def segments(text: str, rate: int) -> list[tuple[list[bytes], bool]]:
     return out
 
 
-def chunks(values: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
+def chunks(texts_: Iterable[str], size: int = 1 << 20) -> Iterator[list[str]]:
     out, held = [], 0
-    for v in values:
+    for v in texts_:
         if out and held + len(v) > size:
             yield out
             out, held = [], 0
@@ -274,13 +274,13 @@ def train(docs: DataFrame, held_out, path: str = RANKS, rate: int = RATE, rounds
             return rows
 
         for batch in batches:
-            for part in chunks(batch.column(1).to_pylist()):
+            for part in chunks(values(batch.column(1))):
                 seen.update(chain.from_iterable(map(split_words, part)))
                 if len(seen) > CACHE:
                     yield flush()
         yield flush()
 
-    counts = learn.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counts = learn.mapInArrow(lean(count), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     counts = stored(counts, "counts")
     ends = learn.count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -308,7 +308,7 @@ def train(docs: DataFrame, held_out, path: str = RANKS, rate: int = RATE, rounds
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(ranks)
         for batch in batches:
-            parts = [p for t in batch.column(1).to_pylist() for p in segments(t, rate)]
+            parts = [p for t in values(batch.column(1)) for p in segments(t, rate)]
             if not parts:
                 continue
             _, at, stops = subwords.place([w for w, _ in parts])
@@ -318,7 +318,7 @@ def train(docs: DataFrame, held_out, path: str = RANKS, rate: int = RATE, rounds
             rows = [vocabulary.slot[before], vocabulary.kind[target], use.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(list(r), pa.list_(pa.int32())) for r in rows], ["slots", "kinds", "use"])
 
-    sample = stored(learn.mapInArrow(sampled, "slots array<int>, kinds array<int>, use array<int>"), "windows")
+    sample = stored(learn.mapInArrow(lean(sampled), "slots array<int>, kinds array<int>, use array<int>"), "windows")
     flat = Attention.initial(vocabulary.bias)
     for k in range(rounds):
         flat = averaged(sample, flat, k)
@@ -361,7 +361,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         subwords, net = Subwords(ranks, frequent.value), Attention(flat)
         for batch in batches:
             at = 0
-            for part in chunks(batch.column(1).to_pylist()):
+            for part in chunks(values(batch.column(1))):
                 split = [split_words(t) for t in part]
                 words, place, ends = subwords.place(split)
                 before, target, use, owner = windows(*subwords.flat(place, ends))
@@ -384,7 +384,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 at += n
 
     rows = texts(docs).withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(
-        run, "doc_id long, row long, n_tokens long, hits long, base double, score double, words array<binary>"
+        lean(run), "doc_id long, row long, n_tokens long, hits long, base double, score double, words array<binary>"
     )
     rows = stored(rows, "scored")
     rest = rows.filter(F.size("words") > 0).select(

@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from monthmill.llm.common import WORD, query, remainder, table, texts
+from monthmill.llm.common import WORD, lean, query, remainder, table, texts, values
 
 DIMS = 1 << 16
 PER_GRADE = 3000  # bound of the training sample: texts of each grade
@@ -63,29 +63,29 @@ def features(text: str) -> dict[int, float]:
 class OrdinalModel:
     """Weights and ordered thresholds for grades 0 .. len(thresholds)."""
 
-    def __init__(self, rows: list[tuple[dict[int, float], int]], grades: int):
-        y = np.array([g for _, g in rows], dtype=np.int64)
-        owner = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-        at = np.array([s for f, _ in rows for s in f], dtype=np.int64)
-        value = np.array([v for f, _ in rows for v in f.values()])
+    def __init__(self, places: list[np.ndarray], weights: list[np.ndarray], grade: list[int], grades: int):
+        """Feature places and values of each text, and its grade."""
+        y, n = np.array(grade, dtype=np.int64), len(grade)
+        owner = np.repeat(np.arange(n), [len(p) for p in places])
+        at = np.concatenate([np.zeros(0, dtype=np.int32), *places]).astype(np.int64)
+        value = np.concatenate([np.zeros(0), *weights])
         self.weights = np.zeros(DIMS)
         # start from the shares of the grades; a grade without rows keeps a narrow band
         share = np.cumsum(np.bincount(y, minlength=grades) + 0.5)[:-1] / (len(y) + 0.5 * grades)
         self.thresholds = np.log(share / (1 - share))
-        low = np.r_[-np.inf, self.thresholds]
         first, gaps = self.thresholds[0], np.log(np.maximum(np.diff(self.thresholds), 1e-3))
         state = np.r_[self.weights, first, gaps]
         m, v = np.zeros_like(state), np.zeros_like(state)
-        for step in range(1, STEPS * bool(rows) + 1):
+        for step in range(1, STEPS * bool(n) + 1):
             w, first, gaps = state[:DIMS], state[DIMS], state[DIMS + 1:]
             cuts = first + np.r_[0.0, np.cumsum(np.exp(gaps))]
             low, high = np.r_[-np.inf, cuts], np.r_[cuts, np.inf]
-            s = np.bincount(owner, weights=w[at] * value, minlength=len(rows))
+            s = np.bincount(owner, weights=w[at] * value, minlength=n)
             a, b = 1 / (1 + np.exp(np.clip(s - high[y], -40, 40))), 1 / (1 + np.exp(np.clip(s - low[y], -40, 40)))
             p = np.maximum(a - b, 1e-12)
             da, db = a * (1 - a) / p, b * (1 - b) / p  # change of log p with the upper and lower threshold
-            gs = (da - db) / len(rows)
-            gc = (np.bincount(y, weights=-da, minlength=grades)[:-1] + np.bincount(y, weights=db, minlength=grades)[1:]) / len(rows)
+            gs = (da - db) / n
+            gc = (np.bincount(y, weights=-da, minlength=grades)[:-1] + np.bincount(y, weights=db, minlength=grades)[1:]) / n
             gg = np.array([gc[k + 1:].sum() * np.exp(gaps[k]) for k in range(len(gaps))])
             g = np.r_[np.bincount(at, weights=gs[owner] * value, minlength=DIMS) + RIDGE * w, gc.sum(), gg]
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -139,7 +139,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, per_grade: int = PER
     sample = texts(docs).join(F.broadcast(picks), "doc_id").select("doc_id", "grade", "text")
     rows = sample.mapInPandas(extract, "doc_id long, grade int, at array<int>, value array<double>").toPandas()
     rows = rows.sort_values("doc_id")
-    return OrdinalModel([(dict(zip(a, v)), g) for a, v, g in zip(rows["at"], rows["value"], rows.grade)], grades)
+    return OrdinalModel(list(rows["at"]), list(rows["value"]), list(rows.grade), grades)
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
@@ -152,13 +152,13 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = model.scorer()
         for batch in batches:
-            tails = model.tails(np.array([one(t) for t in batch.column(1).to_pylist()]).reshape(-1))
+            tails = model.tails(np.array([one(t) for t in values(batch.column(1))]).reshape(-1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(tails.sum(axis=1), pa.float64()), pa.array(tails.tolist(), pa.list_(pa.float64()))],
                 ["doc_id", "expected_grade", "tails"],
             )
 
-    return texts(docs).mapInArrow(run, "doc_id long, expected_grade double, tails array<double>")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, expected_grade double, tails array<double>")
 
 
 def select(docs: DataFrame, model: OrdinalModel, grade: int, least: float) -> DataFrame:
@@ -168,10 +168,10 @@ def select(docs: DataFrame, model: OrdinalModel, grade: int, least: float) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = model.scorer()
         for batch in batches:
-            scores = np.array([one(t or "") for t in batch.column(place).to_pylist()]).reshape(-1)
+            scores = np.array([one(t or "") for t in values(batch.column(place))]).reshape(-1)
             yield batch.filter(pa.array(model.tails(scores)[:, grade - 1] >= least, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def graded(labels: DataFrame) -> DataFrame:

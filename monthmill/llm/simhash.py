@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from monthmill.llm.common import WORD, fold, query, stored, table, texts
+from monthmill.llm.common import WORD, fold, lean, query, stored, table, texts, values
 from monthmill.llm.components import components
 
 SEED = 42
@@ -69,10 +69,10 @@ def fingerprints(docs: DataFrame, width: int, words: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t, width, words) for t in batch.column(1).to_pylist()]
+            fps = [fingerprint(t, width, words) for t in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp binary")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, fp binary")
 
 
 def _matrix(column: pd.Series, size: int) -> np.ndarray:
@@ -146,14 +146,14 @@ def plan(fps: DataFrame, bits: int, radius: int, choices: tuple[int, ...]) -> tu
     options = {m: group_bits(n, both, m) for m in choices}
     tried = [group for groups in options.values() for group in groups]
 
-    def values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def entered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             x = np.unpackbits(_matrix(frame.fp, bits // 8), axis=1)
             for i, group in enumerate(tried):
                 yield pd.DataFrame({"i": i, "value": packed(x[:, group])})
 
     # one row for each tried partition comes back
-    counts = fps.mapInPandas(values, "i int, value long").groupBy("i", "value").count()
+    counts = fps.mapInPandas(entered, "i int, value long").groupBy("i", "value").count()
     same = {r.i: float(r.s) for r in counts.groupBy("i").agg(F.sum(F.col("count") * F.col("count")).alias("s")).collect()}
     best, at = None, 0
     for m, groups in options.items():
@@ -270,7 +270,7 @@ def links(rows: DataFrame, words: int, radius: int, block: int = BLOCK) -> DataF
         if held is not None and len(held):
             yield unit_links(held, words, radius)
 
-    return units(rows, block).repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a binary, b binary")
+    return units(rows, block).repartition(*key).sortWithinPartitions(*key).mapInPandas(lean(run), "a binary, b binary")
 
 
 def near_groups(

@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from monthmill.llm.common import query, remainder, table, texts
+from monthmill.llm.common import lean, query, remainder, table, texts, values
 
 WINDOW, LEVEL = 48, 6
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
@@ -181,10 +181,10 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = None if model.constant is not None else Distances(model.ordinary, model.toxic)
         for batch in batches:
-            values = model.scores(batch.column(1).to_pylist(), measure)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["doc_id", "score"])
+            found = [model.scores([t], measure)[0] for t in values(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, score double")
 
 
 @query("op1_toxicity")

@@ -82,8 +82,8 @@ def test_quality_held_out(spark):
 
 
 def test_quality_gradient_direction():
-    rows = [({1: 1.0}, 0), ({2: 1.0}, 1), ({3: 1.0}, 2)] * 30
-    model = quality.OrdinalModel(rows, 3)
+    one = np.ones(1)
+    model = quality.OrdinalModel([np.array([k]) for k in (1, 2, 3)] * 30, [one] * 90, [0, 1, 2] * 30, 3)
     assert model.weights[1] < model.weights[2] < model.weights[3]
 
 
