@@ -29,15 +29,15 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # GPT-2's published pre-tokenisation, a fixed pattern
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
-WIDTH, OVERLAP, DIM, INPUTS, CLASSES = 16, 4, 16, 1024, 64
+WIDTH, OVERLAP, DIM, INPUTS, CLASSES = 16, 2, 12, 1024, 48
 RATE, ROUNDS, BATCH, STEP = 64, 4, 64, 0.01
-SHARE, CACHE, WINDOWS, SEGMENT = 5e-6, 300_000, 1024, 512
+SHARE, CACHE, WINDOWS, SEGMENT = 1e-6, 500_000, 1024, 512
 
 
 class Subwords:
     """Ids of lists of words, each encoded with a blank before it; a bounded cache of words with their base values."""
 
-    def __init__(self, ranks: dict[bytes, int], frequent: dict[bytes | None, tuple[float, bool]] | None = None):
+    def __init__(self, ranks: dict[bytes, int], frequent: dict[bytes | None, float] | None = None):
         self.encode = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.opens = np.zeros(END + 1, dtype=bool)
         self.opens[[i for piece, i in ranks.items() if piece.startswith(b" ")]] = True
@@ -47,7 +47,7 @@ class Subwords:
     def clear(self) -> None:
         self.known: dict[bytes | None, int] = {}
         self.ids, self.ends = array("i"), array("q", [0])
-        self.units, self.hits, self.rare = array("d"), array("b"), array("b")
+        self.units, self.rare = array("d"), array("b")
 
     def pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in one go, and the end of each word in them: only a word's first piece opens with a blank."""
@@ -64,8 +64,7 @@ class Subwords:
         self.ids.frombytes(ids.tobytes())
         self.ends.frombytes((ends + start).astype(np.int64).tobytes())
         found = list(map(self.frequent.get, some))
-        self.units.extend(0.0 if v is None else v[0] for v in found)
-        self.hits.extend(v is not None and v[1] for v in found)
+        self.units.extend(0.0 if v is None else v for v in found)
         self.rare.extend(v is None for v in found)
 
     def place(self, docs: list[list[bytes]]) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
@@ -353,9 +352,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     table gives no rows.
     """
     frequent = docs.sparkSession.sparkContext.broadcast(
-        {w: (model.unit(c), c > 0) for w, c in model.frequent.items()} | {None: (model.unit(model.ends), model.ends > 0)}
+        {w: model.unit(c) for w, c in model.frequent.items()} | {None: model.unit(model.ends)}
     )
-    ranks, vocabulary, flat = model.ranks, model.vocabulary, model.flat
+    ranks, vocabulary, flat, closed = model.ranks, model.vocabulary, model.flat, int(model.ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, net = Subwords(ranks, frequent.value), Attention(flat)
@@ -376,7 +375,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 offsets = np.searchsorted(of[rare], np.arange(n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(np.diff(np.r_[0, ends]), pa.int64()),
-                    pa.array(np.bincount(of, np.array(subwords.hits)[place], n).astype(np.int64), pa.int64()),
+                    pa.array(np.diff(np.r_[0, ends]) - np.diff(offsets) - 1 + closed, pa.int64()),
                     pa.array(np.bincount(of, np.array(subwords.units)[place], n), pa.float64()),
                     pa.array(logs / np.log(10), pa.float64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array([words[i] for i in rare], pa.binary())),
