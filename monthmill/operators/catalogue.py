@@ -22,17 +22,6 @@ class Rules:
     suffix_stop: list[str] = field(default_factory=list)
 
 
-# Vocabularies of the default household-textile rule set.
-DEFAULT_RULES = Rules(
-    types=["TOALLA", "TRAPO", "TAPETE", "BATA", "BATAS"],
-    leading=["TOALLA", "TRAPO", "TAPETE", "BATA", "BATAS"],
-    presentations={
-        "FACIAL": ["FACIAL"], "MEDIO BAÑO": ["MEDIO BAÑO", "MB"], "BAÑO": ["BAÑO", "BANO"], "PULLMAN": ["PULLMAN", "PULL"],
-    },
-    unresolved=["MS", "TW", "BA", "GE", "GG", "OPP", "ST", "STG", "SB"],
-    colours=["AZUL", "OXFORD", "ORQUÍDEA", "ROJO", "BEIGE", "GRIS"],
-    suffix_stop=["NAVIDAD", "VARIOS COLORES", "BOLSA", "PACK", "SET", "CON", "PZA", "SURTIDO"],
-)
 DIMENSIONS = "(?<!\\w)[0-9]+(?:[.,][0-9]+)?\\s*[X×]\\s*[0-9]+(?:[.,][0-9]+)?\\s*(?:CM|MM|M)(?!\\w)"
 SEASON = "(?<!\\w)(?:SS|FW|AW|SP)[0-9]{2}(?!\\w)|\\b20[0-9]{2}\\b"
 
@@ -102,12 +91,10 @@ def split_colour(text: Column, colours: list[str]) -> tuple[Column, Column]:
     return F.when(has, model), F.when(has, F.regexp_extract(text, pattern, 2))
 
 
-def split_colour_by(texts: DataFrame, colours: DataFrame, max_words: int = 4) -> DataFrame:
-    """The same against a colour table of any size: ending word groups are joined, the longest wins."""
-    tokens = texts.withColumn("tok", F.split("cleaned", "[\\s-]+"))
-    ends = tokens.select(
-        "cleaned", "tok", F.explode(F.sequence(F.lit(1), F.lit(max_words))).alias("k")
-    ).filter(F.size("tok") > F.col("k"))
+def split_colour_by(texts: DataFrame, colours: DataFrame) -> DataFrame:
+    """The same against a colour table of any size: all ending word groups are joined, the longest wins."""
+    tokens = texts.withColumn("tok", F.split("cleaned", "[\\s-]+")).filter(F.size("tok") > 1)
+    ends = tokens.select("cleaned", "tok", F.explode(F.sequence(F.lit(1), F.size("tok") - 1)).alias("k"))
     ends = ends.select("cleaned", "k", F.array_join(F.expr("slice(tok, -k, k)"), " ").alias("colour"), F.array_join(F.expr("slice(tok, 1, size(tok) - k)"), " ").alias("model"))
     hit = ends.join(colours.select("colour"), "colour")
     return hit.groupBy("cleaned").agg(F.max_by(F.struct("model", "colour"), F.struct(F.length("colour"), "k")).alias("m")).select("cleaned", "m.*")

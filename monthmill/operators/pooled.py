@@ -18,7 +18,7 @@ from monthmill.operators.quantiles import exact_quantiles
 from monthmill.operators.series import growth_features, lag_features, movement_features
 from monthmill.session import cut_lineage
 
-HORIZONS = (1, 3, 6, 12)
+HORIZONS = tuple(range(1, 13))
 RIDGE = 0.35
 SEED = 20260919
 MIN_TRAIN = 18

@@ -279,12 +279,14 @@ def customer_by_header(t: Tables):
 
 
 @query("j28_closed_observations", with_(BASE) + f"""
-, closed AS (SELECT period FROM monthly GROUP BY period HAVING count(sales) >= 100)
-SELECT objective, chain_id, product_id, {ym('period')} AS period, sum(v) AS value FROM (SELECT 'sales' AS objective, chain_id, product_id, period, sales AS v FROM monthly WHERE sales IS NOT NULL UNION ALL SELECT 'order', chain_id, product_id, period, orders FROM monthly WHERE orders IS NOT NULL) JOIN closed USING (period) GROUP BY ALL""")
+, closed AS (SELECT chain_id, product_id, ship_m AS period FROM lines GROUP BY ALL HAVING arg_max(l_linestatus, (l_shipdate, l_orderkey, l_linenumber)) = 'F')
+SELECT objective, chain_id, product_id, {ym('period')} AS period, sum(v) AS value FROM (SELECT 'sales' AS objective, chain_id, product_id, period, sales AS v FROM monthly WHERE sales IS NOT NULL UNION ALL SELECT 'order', chain_id, product_id, period, orders FROM monthly WHERE orders IS NOT NULL) JOIN closed USING (chain_id, product_id, period) GROUP BY ALL""")
 def closed_observations(t: Tables):
-    closed = t.monthly.groupBy("period").agg(F.count("sales").alias("k")).filter("k >= 100").select("period")
+    # a month of a series is closed when its latest status row says so, whatever its volume
+    status = F.max_by("l_linestatus", F.struct("l_shipdate", "l_orderkey", "l_linenumber"))
+    closed = t.lines.groupBy(*CP, F.col("ship_m").alias("period")).agg(status.alias("s")).filter("s = 'F'").select(*CP, "period")
     long = t.monthly.withColumnRenamed("orders", "order").unpivot([*CP, "period"], ["sales", "order"], "objective", "v").filter("v IS NOT NULL")
-    return long.join(closed, "period").groupBy("objective", *CP, pr.label("period").alias("period")).agg(F.sum("v").alias("value"))
+    return long.join(closed, [*CP, "period"]).groupBy("objective", *CP, pr.label("period").alias("period")).agg(F.sum("v").alias("value"))
 
 
 @query("j29_dense_training_matrix", with_(PANEL_BASE) + f"""

@@ -16,7 +16,7 @@ from monthmill.sources.tables import ISSUE, SERIES, Tables
 CP = ["chain_id", "product_id"]
 
 SAMPLE_SQL = """
-smp AS (SELECT p.*, h AS horizon, lead(sales, CAST(h AS INTEGER)) OVER (PARTITION BY chain_id, product_id, h ORDER BY idx) AS label, CAST(period + to_months(CAST(h AS INTEGER)) AS DATE) AS target FROM panel p, (SELECT unnest([1, 3, 6, 12]) AS h)),
+smp AS (SELECT p.*, h AS horizon, lead(sales, CAST(h AS INTEGER)) OVER (PARTITION BY chain_id, product_id, h ORDER BY idx) AS label, CAST(period + to_months(CAST(h AS INTEGER)) AS DATE) AS target FROM panel p, (SELECT unnest(range(1, 13)) AS h)),
 sm AS (SELECT * FROM smp WHERE label IS NOT NULL AND idx >= 2)
 """
 

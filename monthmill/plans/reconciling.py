@@ -540,11 +540,12 @@ def residual_closure(t: Tables):
 @query("q11_availability_evidence", """
 SELECT source, confidence, count(*) AS n FROM (SELECT CASE WHEN event_type = 'view' THEN 'system_timestamp' WHEN event_type = 'click' AND c.day IS NOT NULL THEN 'monthly_closure' WHEN event_type = 'error' THEN 'source_file_timestamp' WHEN event_type = 'signup' THEN 'business_rule' ELSE 'unknown' END AS source,
   CASE WHEN event_type = 'view' THEN 'verified' WHEN event_type = 'click' AND c.day IS NOT NULL THEN 'documented' WHEN event_type = 'signup' AND value > 50 THEN 'documented' ELSE 'unknown' END AS confidence
- FROM events e LEFT JOIN (SELECT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING sum(value) > 3000) c ON c.day = CAST(e.ts AS DATE)) GROUP BY ALL""")
+ FROM events e LEFT JOIN (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase') c ON c.user_id = e.user_id AND c.day = CAST(e.ts AS DATE)) GROUP BY ALL""")
 def availability_evidence(t: Tables):
     day = F.to_date("ts")
-    closures = t.events.filter("event_type = 'purchase'").groupBy(day.alias("day")).agg(F.sum("value").alias("s")).filter("s > 3000").select("day", F.lit(True).alias("closed"))
-    e = t.events.withColumn("day", day).join(closures, "day", "left")
+    # a user's day is closed by a closure row of that user and day
+    closures = t.events.filter("event_type = 'purchase'").select("user_id", day.alias("day")).distinct().withColumn("closed", F.lit(True))
+    e = t.events.withColumn("day", day).join(closures, ["user_id", "day"], "left")
     kind, closed = F.col("event_type"), F.col("closed").isNotNull()
     source = (
         F.when(kind == "view", "system_timestamp").when((kind == "click") & closed, "monthly_closure").when(kind == "error", "source_file_timestamp")

@@ -269,7 +269,7 @@ pr AS (SELECT a.chain_id, a.period, a.wape AS cw, b.wape AS hw, b.bias AS hb, ro
 ch AS (SELECT *, pos - coalesce(max(CASE WHEN NOT win THEN pos END) OVER (PARTITION BY chain_id ORDER BY period), 0) AS wins, count(*) OVER w3 >= 3 AND stddev_pop(hw) OVER w3 <= 8 AS stable FROM pr
   WINDOW w3 AS (PARTITION BY chain_id ORDER BY period ROWS 2 PRECEDING)),
 crit AS (SELECT chain_id, max(CASE WHEN hb - hl > 2 THEN 1 ELSE 0 END) = 1 AS degraded FROM (
-  SELECT chain_id, horizon, 100 * sum(abs(actual - mean3)) / sum(actual) AS hb, 100 * sum(abs(actual - last)) / sum(actual) AS hl FROM pairs WHERE horizon IN (1, 3) GROUP BY ALL) GROUP BY chain_id)
+  SELECT chain_id, horizon, 100 * sum(abs(actual - mean3)) / sum(actual) AS hb, 100 * sum(abs(actual - last)) / sum(actual) AS hl FROM pairs WHERE horizon IN (1, 2, 3) GROUP BY ALL) GROUP BY chain_id)
 """
 
 
@@ -295,7 +295,7 @@ def challenger_state(t: Tables):
     history = cl.challenger_history(challenger_pairs(t), ["chain_id"])
     a = F.col("actual")
     rate = lambda c: 100 * F.sum(F.abs(a - F.col(c))) / F.sum(a)
-    per = pairs(t).filter(F.col("horizon").isin(1, 3)).groupBy("chain_id", "horizon").agg((rate("mean3") - rate("last") > cl.MAX_CRITICAL_DEGRADATION).alias("worse"))
+    per = pairs(t).filter(F.col("horizon").isin(*cl.CRITICAL_HORIZONS)).groupBy("chain_id", "horizon").agg((rate("mean3") - rate("last") > cl.MAX_CRITICAL_DEGRADATION).alias("worse"))
     critical = per.groupBy("chain_id").agg(F.bool_or("worse").alias("degraded"))
     return cl.challenger_state(history.join(critical, "chain_id"), F.col("degraded")).select("chain_id", pr.label("period").alias("period"), "state")
 
@@ -512,7 +512,7 @@ def value_added_levels(t: Tables):
 # Completeness and bands ------------------------------------------------------------------
 
 @query("q05_horizon_completeness", with_(PANEL_BASE, PAIRS_SQL, RES_SQL, EVID_SQL) + """
-SELECT chain_id, product_id, count(DISTINCT horizon) AS distinct_horizons, count(*) AS points, count(DISTINCT horizon) = 4 AND count(*) = 4 AS complete,
+SELECT chain_id, product_id, count(DISTINCT horizon) AS distinct_horizons, count(*) AS points, count(DISTINCT horizon) = 12 AND count(*) = 12 AS complete,
   bool_and(CASE WHEN q IS NULL THEN true ELSE b10 <= point AND point <= b90 AND b90 <= b95 END) AS ordered FROM banded GROUP BY ALL""")
 def horizon_completeness(t: Tables):
     from monthmill.operators import bands
@@ -524,7 +524,7 @@ def horizon_completeness(t: Tables):
     ordered = F.coalesce(ql.band_order(*[F.col(n) for n in ("p10", "p50", "p90", "p95")]), F.lit(True))
     return rows.groupBy(*CP).agg(
         F.count_distinct("horizon").alias("distinct_horizons"), F.count(F.lit(1)).alias("points"),
-        ((F.count_distinct("horizon") == 4) & (F.count(F.lit(1)) == 4)).alias("complete"), F.bool_and(ordered).alias("ordered"),
+        ((F.count_distinct("horizon") == 12) & (F.count(F.lit(1)) == 12)).alias("complete"), F.bool_and(ordered).alias("ordered"),
     )
 
 
@@ -681,7 +681,7 @@ def published_forecast(t: Tables):
 
 
 @query("j31_statistical_with_ml", CALC + f"""
-SELECT a.calculation_id, a.horizon, {r('a.statistical_value')} AS statistical, {r('b.ml_value')} AS ml FROM hor a LEFT JOIN (SELECT * FROM hor WHERE engine = 'v1') b ON a.calculation_id = b.calculation_id AND a.horizon = b.horizon""")
+SELECT calculation_id, horizon, {r('statistical_value')} AS statistical, {r("CASE WHEN engine = 'v1' THEN ml_value END")} AS ml FROM hor""")
 def statistical_with_ml(t: Tables):
     s = horizons(t).select("calculation_id", "horizon", "statistical_value")
     ml = horizons(t).filter("engine = 'v1'").select("calculation_id", "horizon", "ml_value")

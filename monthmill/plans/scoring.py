@@ -14,17 +14,20 @@ from monthmill.sources.tables import ISSUE, SERIES, Tables
 
 CP = ["chain_id", "product_id"]
 
-PAIRS_SQL = """
+MONTHS = range(1, 13)
+LAST_CASES = " ".join(f"WHEN {h} THEN l{h}" for h in MONTHS)
+MEAN_CASES = " ".join(f"WHEN {h} THEN m{h}" for h in MONTHS)
+LAGGED = ", ".join(
+    f"lag(sales, {h}) OVER w AS l{h}, avg(sales) OVER (PARTITION BY chain_id, product_id ORDER BY idx "
+    f"ROWS BETWEEN {h + 2} PRECEDING AND {h} PRECEDING) AS m{h}" for h in MONTHS
+)
+
+PAIRS_SQL = f"""
 wide AS (
   SELECT chain_id, product_id, category_id, period, idx, sales AS actual, h AS horizon,
-    CASE h WHEN 1 THEN l1 WHEN 3 THEN l3 WHEN 6 THEN l6 ELSE l12 END AS last,
-    CASE h WHEN 1 THEN m1 WHEN 3 THEN m3 WHEN 6 THEN m6 ELSE m12 END AS mean3
-  FROM (SELECT *, lag(sales, 1) OVER w AS l1, lag(sales, 3) OVER w AS l3, lag(sales, 6) OVER w AS l6, lag(sales, 12) OVER w AS l12,
-          avg(sales) OVER (PARTITION BY chain_id, product_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS m1,
-          avg(sales) OVER (PARTITION BY chain_id, product_id ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 3 PRECEDING) AS m3,
-          avg(sales) OVER (PARTITION BY chain_id, product_id ORDER BY idx ROWS BETWEEN 8 PRECEDING AND 6 PRECEDING) AS m6,
-          avg(sales) OVER (PARTITION BY chain_id, product_id ORDER BY idx ROWS BETWEEN 14 PRECEDING AND 12 PRECEDING) AS m12
-        FROM panel WINDOW w AS (PARTITION BY chain_id, product_id ORDER BY idx)), (SELECT unnest([1, 3, 6, 12]) AS h)
+    CASE h {LAST_CASES} END AS last, CASE h {MEAN_CASES} END AS mean3
+  FROM (SELECT *, {LAGGED}
+        FROM panel WINDOW w AS (PARTITION BY chain_id, product_id ORDER BY idx)), (SELECT unnest(range(1, 13)) AS h)
   WHERE sales IS NOT NULL),
 pairs AS (SELECT * FROM wide WHERE last IS NOT NULL AND mean3 IS NOT NULL),
 lpairs AS (SELECT chain_id, product_id, category_id, period, idx, actual, horizon, 'last' AS model, last AS forecast FROM pairs

@@ -448,14 +448,14 @@ def recommendation(t: Tables):
 
 @query("g20_forecast_quality_gate", with_(PANEL_BASE, PAIRS_SQL) + f"""
 , hm AS (SELECT chain_id, product_id, horizon, {r('100 * sum(abs(actual - last)) / nullif(sum(actual), 0)')} AS c, {r('100 * sum(abs(actual - mean3)) / nullif(sum(actual), 0)')} AS b FROM pairs GROUP BY ALL),
-mx AS (SELECT chain_id, product_id, max(c - b) FILTER (WHERE horizon IN (1, 3)) AS degradation FROM hm GROUP BY ALL),
+mx AS (SELECT chain_id, product_id, max(c - b) FILTER (WHERE horizon IN (1, 2, 3)) AS degradation FROM hm GROUP BY ALL),
 ov AS (SELECT chain_id, product_id, {r('100 * sum(abs(actual - last)) / sum(actual)')} AS cw, {r('100 * sum(actual - last) / sum(actual)')} AS cb, {r('100 * sum(abs(actual - mean3)) / sum(actual)')} AS bw, {r('100 * sum(actual - mean3) / sum(actual)')} AS bb FROM pairs GROUP BY ALL HAVING sum(actual) > 0)
 SELECT chain_id, product_id, cw AS candidate_wape, bw AS baseline_wape, {r('degradation')} AS degradation, CASE WHEN abs(cb) > 5 + abs(bb) OR cw > bw - 0.25 THEN 'FORECAST_QUALITY_BLOCKED' WHEN degradation > 2 THEN 'FORECAST_QUALITY_WARNING' ELSE 'FORECAST_QUALITY_READY' END AS status FROM ov JOIN mx USING (chain_id, product_id)""")
 def forecast_quality_gate(t: Tables):
     def level(model: str):
         rows = lpairs(t).filter(F.col("model") == model)
         per_h = rows.groupBy(*CP, "horizon").agg(*em.error_metrics(F.col("actual"), F.col("forecast"), "generic"))
-        rates = per_h.filter(F.col("horizon").isin(1, 3)).groupBy(*CP).agg(
+        rates = per_h.filter(F.col("horizon").isin(1, 2, 3)).groupBy(*CP).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("horizon", "wape"))), lambda x: x["wape"]).alias("horizon_rates")
         )
         total = rows.groupBy(*CP).agg(*em.error_metrics(F.col("actual"), F.col("forecast"), "generic")).filter("wape IS NOT NULL")

@@ -56,19 +56,21 @@ def availability_lag(t: Tables):
 
 
 @query("x01_arriving_files", """
-SELECT strftime(ts, '%Y-%m') AS period, 'P' || user_id AS product_code, count(*) AS stored FROM (SELECT * FROM events WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1) GROUP BY ALL""")
+SELECT strftime(ts, '%Y-%m') AS period, 'P' || user_id AS product_code, count(*) AS stored, count(*) AS last_version, arg_max(CAST(value AS DOUBLE), (ts, event_id)) AS latest FROM events WHERE event_type <> 'error' GROUP BY ALL""")
 def arriving_files(t: Tables):
     folder = work_dir(t, "ingest")
     kind = F.col("event_type")
     stream = event_stream(t).select(
         F.col("event_id").cast("string").alias("event_id"), F.when(kind == "error", "total").otherwise(F.concat(F.lit("P"), F.col("user_id").cast("string"))).alias("SKU"),
-        kind.alias("TEXT"), F.date_format("ts", "yyyy-MM").alias("MONTH"), F.col("value").cast("string").alias("SOLD"),
+        kind.alias("TEXT"), F.date_format("ts", "yyyy-MM").alias("MONTH"), F.col("value").cast("string").alias("SOLD"), F.col("ts"),
     )
     profile = {"product_code": "SKU", "description": "TEXT", "period": "MONTH", "sales": "SOLD"}
-    writer = jobs.ingest_monthly(stream, profile, f"{folder}/facts", f"{folder}/rejects", ["event_id"], ["period"])
+    writer = jobs.ingest_monthly(stream, profile, f"{folder}/facts", f"{folder}/rejects", ["product_code", "period"], ["ts", F.col("event_id").cast("long")])
     writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    stored = t.spark.read.parquet(f"{folder}/facts")
-    return stored.groupBy(F.col("period").cast("string").alias("period"), "product_code").agg(F.count(F.lit(1)).alias("stored"))
+    stored = t.spark.read.option("basePath", f"{folder}/facts").parquet(f"{folder}/facts")
+    return stored.groupBy(F.col("period").cast("string").alias("period"), "product_code").agg(
+        F.count(F.lit(1)).alias("stored"), F.max("version_no").alias("last_version"), F.max_by(F.col("sales").cast("double"), "version_no").alias("latest")
+    )
 
 
 @query("x02_late_corrections", """

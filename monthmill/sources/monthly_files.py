@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from monthmill.functions import text as tx
 from monthmill.operators.quality import split_valid
@@ -111,6 +111,33 @@ def append_new(rows: DataFrame, path: str, keys: list[str], partition_by: list[s
     batch.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def append_versions(rows: DataFrame, path: str, batch_id: int, keys: list[str], order: list[str], period: str) -> None:
+    """Append every row as the next version of its key; late corrections become new versions.
+
+    A batch owns the folder `batch=<id>` and overwrites it, so a repeated batch changes nothing. Only earlier batches
+    and the periods that the batch touches are read for the numbers. Rows of one batch are numbered in `order`.
+    """
+    spark = rows.sparkSession
+    own = Window.partitionBy(*keys).orderBy(*order)
+    numbered = rows.withColumn("_nth", F.row_number().over(own))
+    if batch_id > 0 and path_exists(spark, path):
+        touched = rows.select(period).distinct()
+        schema = T.StructType([*rows.schema.fields, T.StructField("version_no", T.LongType()), T.StructField("batch", T.LongType())])
+        earlier = spark.read.schema(schema).option("basePath", path).parquet(path)
+        earlier = earlier.filter(F.col("batch") < batch_id).join(touched, period, "left_semi")
+        counts = earlier.groupBy(*keys).agg(F.max("version_no").alias("_stored"))
+        numbered = numbered.join(counts, keys, "left")
+    else:
+        numbered = numbered.withColumn("_stored", F.lit(0))
+    out = numbered.withColumn("version_no", F.coalesce("_stored", F.lit(0)).cast("long") + F.col("_nth"))
+    out.select(*rows.columns, "version_no").write.mode("overwrite").partitionBy(period).parquet(f"{path}/batch={batch_id}")
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").json(path)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from monthmill.sources.monthly_files import append_new, parse_monthly
+from monthmill.sources.monthly_files import append_versions, parse_monthly
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
@@ -18,12 +18,12 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "
     return reader.load(path)
 
 
-def ingest_monthly(stream: DataFrame, profile: dict[str, str], facts_path: str, rejects_path: str, keys: list[str], partition_by: list[str]) -> DataStreamWriter:
-    """Validate each micro-batch and append rows whose key is new. A replayed batch adds nothing."""
+def ingest_monthly(stream: DataFrame, profile: dict[str, str], facts_path: str, rejects_path: str, keys: list[str], order: list[str], period: str = "period") -> DataStreamWriter:
+    """Validate each micro-batch and append its rows as the next versions of their keys. A replayed batch adds nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         accepted, rejected = parse_monthly(batch, profile)
-        append_new(accepted, facts_path, keys, partition_by)
+        append_versions(accepted, facts_path, batch_id, keys, order, period)
         # rejects carry the batch id, so a retried batch overwrites its own folder
         rejected.write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
 

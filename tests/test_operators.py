@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import tempfile
+import time
 
 import numpy as np
 import pytest
@@ -166,18 +167,43 @@ def test_file_copies_are_found(spark):
     assert got == [1, 2]
 
 
-def test_stream_ingest_is_idempotent(spark):
+def test_stream_keeps_every_version_and_is_idempotent(spark):
     folder = tempfile.mkdtemp(prefix="monthmill-test-")
-    rows = [("1", "A1", "towel", "2024-01", "5"), ("2", "A1", "towel", "2024-02", "x"), ("3", "B2", "", "2024-01", "4"), ("1", "A1", "towel", "2024-01", "5")]
     schema = "id string, sku string, txt string, mon string, qty string"
-    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/in")
+    files = [
+        [("1", "A1", "towel", "2024-01", "5"), ("2", "A1", "towel", "2024-02", "x"), ("3", "B2", "", "2024-01", "4"), ("4", "C3", "mat", "2024-01", "2")],
+        [("5", "A1", "towel", "2024-03", "8")],
+        [("6", "A1", "towel", "2024-01", "7"), ("7", "A1", "towel", "2024-01", "9")],  # a late correction, twice in one file
+    ]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(0.05)
     profile = {"product_code": "sku", "description": "txt", "period": "mon", "sales": "qty"}
+    want = [("A1", "2024-01", 1, 5.0), ("A1", "2024-01", 2, 7.0), ("A1", "2024-01", 3, 9.0), ("A1", "2024-03", 1, 8.0), ("C3", "2024-01", 1, 2.0)]
     for run in ("one", "two"):  # the second run replays the files from the start
-        stream = jobs.file_stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema)
-        jobs.ingest_monthly(stream, profile, f"{folder}/facts", f"{folder}/rejects-{run}", ["id"], ["period"]).option(
+        stream = jobs.file_stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, per_trigger=1)
+        jobs.ingest_monthly(stream, profile, f"{folder}/facts", f"{folder}/rejects-{run}", ["product_code", "period"], ["id"]).option(
             "checkpointLocation", f"{folder}/state-{run}"
         ).trigger(availableNow=True).start().awaitTermination()
-    assert [str(r["id"]) for r in spark.read.parquet(f"{folder}/facts").collect()] == ["1"]
+        stored = spark.read.parquet(f"{folder}/facts").collect()
+        assert sorted((r["product_code"], str(r["period"]), r["version_no"], r["sales"]) for r in stored) == want
+
+
+def test_long_colours_are_found(spark):
+    from monthmill.operators import catalogue as ct
+
+    texts = spark.createDataFrame([("RIVERA AZUL MAR DEL SUR PROFUNDO",), ("RIVERA PROFUNDO",), ("SOLO",)], "cleaned string")
+    colours = spark.createDataFrame([("AZUL MAR DEL SUR PROFUNDO",), ("PROFUNDO",)], "colour string")
+    got = {r["cleaned"]: (r["model"], r["colour"]) for r in ct.split_colour_by(texts, colours).collect()}
+    assert got == {
+        "RIVERA AZUL MAR DEL SUR PROFUNDO": ("RIVERA", "AZUL MAR DEL SUR PROFUNDO"), "RIVERA PROFUNDO": ("RIVERA", "PROFUNDO"),
+    }
+
+
+def test_pairs_and_samples_cover_twelve_horizons():
+    from monthmill.operators import pairs
+
+    assert pairs.HORIZONS == po.HORIZONS == tuple(range(1, 13))
 
 
 # Pooled models ------------------------------------------------------------------------------
