@@ -18,10 +18,17 @@ SCOPE = ["chain_id", "category_id"]
 
 
 def level(values: Column) -> Column:
-    """Mean of the last three values, at least one."""
+    """Mean of the last three values, at least one; one without values."""
     tail = F.slice(values, F.greatest(F.size(values) - 2, F.lit(1)), F.lit(3))
     mean = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(tail)
-    return F.greatest(F.lit(1.0), mean)
+    return F.when(F.size(values) == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0), mean))
+
+
+def median(values: Column) -> Column:
+    """Median of a short array."""
+    ordered = F.array_sort(values)
+    n = F.size(ordered)
+    return (F.get(ordered, ((n - 1) / 2).cast("int")) + F.get(ordered, (n / 2).cast("int"))) / 2
 
 
 def target_groups(targets: DataFrame) -> DataFrame:
@@ -73,22 +80,37 @@ def select_peers(groups: DataFrame, peers: DataFrame) -> DataFrame:
 
 
 def peer_ratios(picked: DataFrame) -> DataFrame:
-    """Per group, peer and step: the peer's value, its level at that age and their ratio."""
+    """Per group, peer and step: the peer's value, its level at that age and their ratio; at age 0 the level is one."""
     prefix = F.slice("history", F.lit(1), F.col("age"))
     leveled = picked.withColumn("peer_level", level(prefix))
     return leveled.select(
         "group_id", "peer_id", "age", "peer_level",
         F.posexplode(F.slice("history", F.col("age") + 1, F.lit(STEPS))).alias("pos", "actual"),
-    ).select("group_id", "peer_id", "peer_level", (F.col("pos") + 1).alias("step"), "actual", (F.col("actual") / F.col("peer_level")).alias("ratio"))
+    ).select("group_id", "peer_id", "age", "peer_level", (F.col("pos") + 1).alias("step"), "actual", (F.col("actual") / F.col("peer_level")).alias("ratio"))
 
 
 def leave_one_out(ratios: DataFrame) -> DataFrame:
-    """WAPE and bias of both methods and the mean ratio per step; the others' mean is the sum minus the held-out peer."""
-    w = Window.partitionBy("group_id", "step")
+    """WAPE and bias of both methods and the typical ratio per step, each peer against the others.
+
+    With history: the level times the others' mean ratio (the sum minus the held-out peer), against the flat level.
+    Without: the others' median month, against their flat median first month. A group has at most twelve peers.
+    """
+    w, group = Window.partitionBy("group_id", "step"), Window.partitionBy("group_id")
     n, total = F.count(F.lit(1)).over(w), F.sum("ratio").over(w)
-    held = ratios.withColumns({"n": n, "total": total}).filter("n >= 3").withColumns(
-        {"analog": F.col("peer_level") * (F.col("total") - F.col("ratio")) / (F.col("n") - 1), "mean_ratio": F.col("total") / F.col("n")}
-    )
+    one = F.struct("peer_id", F.col("ratio").alias("v"))
+    held = ratios.withColumns(
+        {"n": n, "total": total, "month": F.collect_list(one).over(w), "launch": F.collect_list(F.when(F.col("step") == 1, one)).over(group)}
+    ).filter("n >= 3")
+
+    def others(values: str) -> Column:
+        return median(F.transform(F.filter(values, lambda x: x["peer_id"] != F.col("peer_id")), lambda x: x["v"]))
+
+    new = F.col("age") == 0
+    held = held.withColumns({
+        "analog": F.when(new, others("month")).otherwise(F.col("peer_level") * (F.col("total") - F.col("ratio")) / (F.col("n") - 1)),
+        "flat": F.when(new, others("launch")).otherwise(F.col("peer_level")),
+        "mean_ratio": F.when(new, median(F.col("month.v"))).otherwise(F.col("total") / F.col("n")),
+    })
     a = F.sum("actual")
 
     def rates(pred: str, prefix: str) -> list[Column]:
@@ -99,7 +121,7 @@ def leave_one_out(ratios: DataFrame) -> DataFrame:
         ]
 
     return held.groupBy("group_id").agg(
-        *rates("analog", "analog"), *rates("peer_level", "baseline"), F.count_if(F.col("step") == 1).alias("peers"),
+        *rates("analog", "analog"), *rates("flat", "baseline"), F.count_if(F.col("step") == 1).alias("peers"),
         F.array(*[F.max(F.when(F.col("step") == h, F.col("mean_ratio"))) for h in range(1, STEPS + 1)]).alias("curve"),
     )
 
@@ -111,13 +133,19 @@ def choose_method(scores: DataFrame) -> DataFrame:
 
 
 def launch_forecasts(targets: DataFrame, peers: DataFrame) -> DataFrame:
-    """Twelve provisional months per target: level times the peers' mean ratio, or a flat level."""
-    grouped = target_groups(targets.filter((F.size("values") >= 1) & (F.size("values") <= MAX_AGE)))
+    """Twelve provisional months per target: level times the peers' typical ratio, or a flat level.
+
+    A target without history has level one and the peers' months for ratios; its flat level is their first month.
+    """
+    grouped = target_groups(targets.filter(F.size("values") <= MAX_AGE))
     ratios = peer_ratios(select_peers(grouped, peers))
     method = choose_method(leave_one_out(ratios)).select("group_id", "model", "peers", "analog_wape", "baseline_wape", "curve")
     rows = grouped.drop("terms").withColumn("target_level", level(F.col("values"))).drop("values")
-    steps = rows.join(method, "group_id").select("*", F.posexplode("curve").alias("pos", "ratio"))
+    rows = rows.join(method, "group_id").withColumn(
+        "flat", F.when(F.col("age") == 0, F.col("curve")[0]).otherwise(F.col("target_level"))
+    )
+    steps = rows.select("*", F.posexplode("curve").alias("pos", "ratio"))
     out = steps.withColumn("step", F.col("pos") + 1).drop("curve", "pos")
     return out.withColumn(
-        "forecast", F.when(F.col("model") == "analog", F.col("target_level") * F.col("ratio")).otherwise(F.col("target_level"))
+        "forecast", F.when(F.col("model") == "analog", F.col("target_level") * F.col("ratio")).otherwise(F.col("flat"))
     )

@@ -422,7 +422,8 @@ def offset_page(t: Tables):
 COLD_SQL = f"""
 pt AS (SELECT chain_id, part_id, category_id, any_value(p_name) AS p_name, ship_m AS period, sum(CASE WHEN l_returnflag = 'R' THEN 0e0 ELSE qty END) AS s FROM lines WHERE ship_m <= {ISSUE_SQL} GROUP BY chain_id, part_id, category_id, ship_m),
 tl AS (SELECT *, min(CASE WHEN s > 0 THEN period END) OVER (PARTITION BY chain_id, part_id) AS launch FROM pt),
-tg AS (SELECT chain_id, part_id, category_id, any_value(p_name) AS p_name, list(s ORDER BY period) AS vv, count(*) AS age FROM tl WHERE launch IS NULL OR period >= launch GROUP BY chain_id, part_id, category_id HAVING count(*) <= 5),
+tg AS (SELECT chain_id, part_id, category_id, any_value(p_name) AS p_name, list(s ORDER BY period) AS vv, count(*) AS age FROM tl WHERE launch IS NULL OR period >= launch GROUP BY chain_id, part_id, category_id HAVING count(*) <= 5
+  UNION ALL SELECT chain_id, part_id, category_id, any_value(p_name), CAST([] AS DOUBLE[]), 0 FROM lines GROUP BY chain_id, part_id, category_id HAVING min(ship_m) > {ISSUE_SQL}),
 bname AS (SELECT p_brand AS product_id, arg_min(p_name, p_partkey) AS p_name FROM part GROUP BY p_brand),
 bl AS (SELECT *, min(CASE WHEN sales > 0 THEN period END) OVER (PARTITION BY chain_id, product_id) AS launch FROM monthly WHERE sales IS NOT NULL AND period <= {ISSUE_SQL}),
 br AS (SELECT chain_id, product_id, category_id, any_value(b.p_name) AS p_name, list(sales ORDER BY period) AS hist, count(*) AS n FROM bl JOIN bname b USING (product_id) WHERE launch IS NULL OR period >= launch GROUP BY chain_id, product_id, category_id HAVING count(*) >= 18),
@@ -432,11 +433,15 @@ cn2 AS (SELECT *, count(*) FILTER (WHERE similarity >= 1) OVER (PARTITION BY cha
 pk AS (SELECT * FROM cn2 WHERE rel < 3 OR similarity >= 1 QUALIFY row_number() OVER (PARTITION BY chain_id, category_id, tk, age ORDER BY similarity DESC, peer_id) <= 12)
 """
 COLD2_SQL = f"""
-rat AS (SELECT chain_id, category_id, tk, age, peer_id, lv, h AS step, hist[age + h] AS actual, hist[age + h] / lv AS ratio FROM (SELECT *, greatest(1e0, list_avg(hist[greatest(age - 2, 1):age])) AS lv FROM pk), (SELECT unnest(range(1, 13)) AS h)),
-lo AS (SELECT *, count(*) OVER w AS n, lv * (sum(ratio) OVER w - ratio) / (count(*) OVER w - 1) AS analog FROM rat WINDOW w AS (PARTITION BY chain_id, category_id, tk, age, step)),
-sco AS (SELECT chain_id, category_id, tk, age, count(DISTINCT peer_id) AS peers, {r('100 * sum(abs(analog - actual)) / sum(actual)', 2)} AS analog_wape, {r('100 * sum(analog - actual) / sum(actual)', 2)} AS analog_bias, {r('100 * sum(abs(lv - actual)) / sum(actual)', 2)} AS baseline_wape, {r('100 * sum(lv - actual) / sum(actual)', 2)} AS baseline_bias FROM lo WHERE n >= 3 GROUP BY ALL),
+rat AS (SELECT chain_id, category_id, tk, age, peer_id, lv, h AS step, hist[age + h] AS actual, hist[age + h] / lv AS ratio FROM (SELECT *, CASE WHEN age = 0 THEN 1e0 ELSE greatest(1e0, list_avg(hist[greatest(age - 2, 1):age])) END AS lv FROM pk), (SELECT unnest(range(1, 13)) AS h)),
+zer AS (SELECT a.chain_id, a.category_id, a.tk, a.peer_id, a.step, median(b.ratio) AS med FROM rat a JOIN rat b ON a.age = 0 AND b.age = 0 AND a.chain_id = b.chain_id AND a.category_id = b.category_id AND a.tk = b.tk AND a.step = b.step AND a.peer_id <> b.peer_id GROUP BY ALL),
+lo AS (SELECT rat.*, count(*) OVER w AS n, CASE WHEN age = 0 THEN m.med ELSE lv * (sum(ratio) OVER w - ratio) / nullif(count(*) OVER w - 1, 0) END AS analog, CASE WHEN age = 0 THEN f.med ELSE lv END AS flat
+  FROM rat LEFT JOIN zer m ON age = 0 AND m.chain_id = rat.chain_id AND m.category_id = rat.category_id AND m.tk = rat.tk AND m.peer_id = rat.peer_id AND m.step = rat.step
+  LEFT JOIN zer f ON age = 0 AND f.chain_id = rat.chain_id AND f.category_id = rat.category_id AND f.tk = rat.tk AND f.peer_id = rat.peer_id AND f.step = 1
+  WINDOW w AS (PARTITION BY rat.chain_id, rat.category_id, rat.tk, age, rat.step)),
+sco AS (SELECT chain_id, category_id, tk, age, count(DISTINCT peer_id) AS peers, {r('100 * sum(abs(analog - actual)) / sum(actual)', 2)} AS analog_wape, {r('100 * sum(analog - actual) / sum(actual)', 2)} AS analog_bias, {r('100 * sum(abs(flat - actual)) / sum(actual)', 2)} AS baseline_wape, {r('100 * sum(flat - actual) / sum(actual)', 2)} AS baseline_bias FROM lo WHERE n >= 3 GROUP BY ALL),
 cho AS (SELECT *, CASE WHEN abs(analog_bias) <= abs(baseline_bias) + 5 AND analog_wape < baseline_wape THEN 'analog' ELSE 'baseline' END AS model FROM sco),
-crv AS (SELECT chain_id, category_id, tk, age, step, avg(ratio) AS ratio FROM rat GROUP BY ALL)
+crv AS (SELECT chain_id, category_id, tk, age, step, CASE WHEN age = 0 THEN median(ratio) ELSE avg(ratio) END AS ratio FROM rat GROUP BY chain_id, category_id, tk, age, step)
 """
 COLD = with_(BASE, COLD_SQL, COLD2_SQL)
 
@@ -447,7 +452,10 @@ def cold_targets(t: Tables):
     keys = ["chain_id", "part_id", "category_id", "p_name"]
     known = t.lines.filter(F.col("ship_m") <= F.lit(ISSUE))
     monthly = known.groupBy(*keys, F.col("ship_m").alias("period")).agg(F.sum(F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("qty"))).alias("s"))
-    series = observed_values(monthly, keys, "s").filter(F.size("values") <= cs.MAX_AGE)
+    series = observed_values(monthly, keys, "s").filter(F.size("values") <= cs.MAX_AGE).select(*keys, "values")
+    # sold by the chain, but not yet at the issue: no history
+    first = t.lines.groupBy(*keys).agg(F.min("ship_m").alias("first")).filter(F.col("first") > F.lit(ISSUE))
+    series = series.unionByName(first.select(*keys, F.array().cast("array<double>").alias("values")))
     return series.withColumn("terms", tx.terms(F.col("p_name"), []))
 
 
@@ -489,8 +497,8 @@ def cold_start_method(t: Tables):
 
 
 @query("f25_cold_start_forecast", COLD + f"""
-SELECT t.chain_id, t.part_id, t.age, c.model, k.step AS horizon, {r("CASE c.model WHEN 'analog' THEN t.lv * k.ratio ELSE t.lv END", 2)} AS forecast
-FROM (SELECT *, list_aggregate(list_sort(string_split(p_name, ' ')), 'string_agg', ' ') AS tk, greatest(1e0, list_avg(vv[greatest(age - 2, 1):age])) AS lv FROM tg) t JOIN cho c USING (chain_id, category_id, tk, age) JOIN crv k USING (chain_id, category_id, tk, age)""")
+SELECT t.chain_id, t.part_id, t.age, c.model, k.step AS horizon, {r("CASE c.model WHEN 'analog' THEN t.lv * k.ratio ELSE CASE WHEN t.age = 0 THEN z.ratio ELSE t.lv END END", 2)} AS forecast
+FROM (SELECT *, list_aggregate(list_sort(string_split(p_name, ' ')), 'string_agg', ' ') AS tk, greatest(1e0, coalesce(list_avg(vv[greatest(age - 2, 1):age]), 1e0)) AS lv FROM tg) t JOIN cho c USING (chain_id, category_id, tk, age) JOIN crv k USING (chain_id, category_id, tk, age) JOIN (SELECT chain_id, category_id, tk, age, ratio FROM crv WHERE step = 1) z USING (chain_id, category_id, tk, age)""")
 def cold_start_forecast(t: Tables):
     return cs.launch_forecasts(cold_targets(t), cold_peers(t)).select(
         "chain_id", "part_id", "age", "model", F.col("step").alias("horizon"), rounded(F.col("forecast"), 2).alias("forecast")

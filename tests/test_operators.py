@@ -286,6 +286,25 @@ def test_cold_start_against_loops(spark):
         assert row[0]["analog_wape"] == pytest.approx(wape(analog), abs=0.011) and row[0]["baseline_wape"] == pytest.approx(wape(base), abs=0.011)
 
 
+def test_cold_start_without_history(spark):
+    hist = {f"B{i}": [float(10 * (i + 1) + (j * (i + 2)) % 9) for j in range(30)] for i in range(4)}
+    kind = "chain_id string, category_id string, {} string, terms array<string>, values array<double>"
+    peers = spark.createDataFrame([("c", "k", p, ["red"], v) for p, v in hist.items()], kind.format("product_id"))
+    rows = cs.launch_forecasts(spark.createDataFrame([("c", "k", "new", ["red"], [])], kind.format("part_id")), peers).collect()
+    actual, analog, base = [], [], []
+    for held in hist:
+        rest = [v for p, v in hist.items() if p != held]
+        for h in range(12):
+            actual.append(hist[held][h])
+            analog.append(float(np.median([v[h] for v in rest])))
+            base.append(float(np.median([v[0] for v in rest])))
+    wape = lambda f: 100 * sum(abs(a - b) for a, b in zip(actual, f)) / sum(actual)
+    assert rows[0]["analog_wape"] == pytest.approx(wape(analog), abs=0.011) and rows[0]["baseline_wape"] == pytest.approx(wape(base), abs=0.011)
+    curve = [float(np.median([v[h] for v in hist.values()])) for h in range(12)]
+    want = curve if rows[0]["model"] == "analog" else [curve[0]] * 12
+    assert [r["forecast"] for r in sorted(rows, key=lambda r: r["step"])] == pytest.approx(want)
+
+
 def test_nested_document(spark):
     doc = json.dumps({"horizons": [{"horizon": 1, "value": 2.5}, {"horizon": 2, "value": None}]})
     df = spark.createDataFrame([("v1", doc)], "id string, d string")
