@@ -151,8 +151,16 @@ def assemble(rows: DataFrame, prep: Preprocessor, extra: list[str]) -> DataFrame
     return out.drop(*prep.columns)
 
 
-def linear(train: DataFrame, wide: bool = False):
-    """Ridge with a free intercept; the penalty is rescaled to the estimator's own objective."""
+NORMAL_WIDTH = 4096  # the normal-equation solver of the estimator takes no more columns
+
+
+def linear(train: DataFrame):
+    """Ridge with a free intercept; the penalty is rescaled to the estimator's own objective.
+
+    Beyond NORMAL_WIDTH columns, thousands of one-hot series, the same objective is minimised iteratively.
+    """
+    first = train.select("features").first()
+    wide = first is not None and first["features"].size > NORMAL_WIDTH
     stats = train.agg(F.count("label").alias("n"), F.stddev_pop("label").alias("s")).first()
     reg = RIDGE / stats["n"] * (stats["s"] or 1.0)
     return LinearRegression(

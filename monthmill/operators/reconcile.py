@@ -253,14 +253,16 @@ def route_memberships(rows: DataFrame, members: DataFrame) -> DataFrame:
         )
 
     by_item = summary(["source", "item", "period"], "i")
-    by_upc = summary(["source", "upc", "period"], "u").filter(F.col("upc").isNotNull())
+    # rows without a code match nothing; a key of their item keeps them from meeting in one task
+    by_upc = summary(["source", "upc", "period"], "u").filter(F.col("upc").isNotNull()).withColumnRenamed("upc", "_upc")
+    coded = rows.withColumn("_upc", F.coalesce("upc", F.concat(F.lit("\0"), F.coalesce(F.col("item").cast("string"), F.lit("")))))
     in_unit = (
         members.groupBy("source", "item", "period", F.col("unit").alias("explicit_unit"))
         .agg(F.count_distinct("upc").alias("e_upcs"), F.min("upc").alias("e_upc"))
     )
     known = members.filter(F.col("upc").isNotNull()).select(F.col("unit").alias("final_unit"), "item").distinct().withColumn("known", F.lit(True))
     j = (
-        rows.join(by_item, ["source", "item", "period"], "left").join(by_upc, ["source", "upc", "period"], "left")
+        coded.join(by_item, ["source", "item", "period"], "left").join(by_upc, ["source", "_upc", "period"], "left")
         .join(in_unit, ["source", "item", "period", "explicit_unit"], "left")
     )
     has_upc, explicit = F.col("upc").isNotNull(), F.col("explicit_unit").isNotNull()

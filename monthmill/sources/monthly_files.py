@@ -102,12 +102,8 @@ def append_new(rows: DataFrame, path: str, keys: list[str], partition_by: list[s
     """
     spark = rows.sparkSession
     batch = rows.dropDuplicates(keys)
-    try:
-        stored = spark.read.schema(rows.schema).parquet(path)
-        batch = unseen(batch, stored, keys)
-    except Exception as error:  # first write: the folder does not exist yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    if path_exists(spark, path):
+        batch = unseen(batch, spark.read.schema(rows.schema).parquet(path), keys)
     batch.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 

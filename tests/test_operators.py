@@ -208,6 +208,17 @@ def test_pairs_and_samples_cover_twelve_horizons():
 
 # Pooled models ------------------------------------------------------------------------------
 
+def test_ridge_with_thousands_of_series(spark):
+    """More one-hot columns than the normal equations take: each series' coefficient is its shrunken mean."""
+    from pyspark.ml.linalg import Vectors
+
+    n = po.NORMAL_WIDTH + 104
+    rows = [(Vectors.sparse(n, {i: 1.0}), float(i % 5 + k)) for i in range(n) for k in (0, 1)]
+    model = po.linear(spark.createDataFrame(rows, ["features", "label"]))
+    want = {v: 2 * ((v + 0.5) - model.intercept) / (2 + po.RIDGE) for v in range(5)}
+    assert all(abs(c - want[i % 5]) < 1e-3 for i, c in enumerate(model.coefficients))
+
+
 def test_ridge_equals_closed_form(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 3))
