@@ -15,8 +15,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b); the component is its smallest node.
 
     Both steps point nodes at a smaller neighbour by a minimum for each node and a join, so that a node with very many
-    neighbours is never collected; joins on such a node are left to the splitting of skewed partitions. Links are
-    rewritten to shared storage after each round; the rounds grow with the logarithm of the longest path.
+    neighbours is never collected. The minima are stored first: the join then reads plain rows on both sides, and a
+    node with many neighbours can be split. Links are rewritten to shared storage after each round; the rounds grow
+    with the logarithm of the longest path.
     """
     links = stored(
         links.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a"))
@@ -26,9 +27,10 @@ def components(links: DataFrame) -> DataFrame:
     while before[0]:
         both = links.select("a", "b").union(links.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(least, "least")
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.filter(F.col("a") != F.col("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large.filter(F.col("a") != F.col("b")).distinct(), "large")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m"))
         links = stored(small.filter(F.col("a") != F.col("b")).distinct(), "links")
         after = _mark(links)

@@ -293,7 +293,9 @@ def near_groups(
     found = links(entries(nodes.select("fp"), bits, groups, thresholds), words, radius, block)
     parts = components(found).withColumnRenamed("node", "fp")
     nodes = nodes.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    heads = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    nodes = stored(nodes, "components")
+    # stored, so that the members of a large component can be split in the join
+    heads = stored(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "heads")
     named = nodes.join(heads, "component").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
