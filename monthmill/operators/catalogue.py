@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,7 +13,11 @@ from monthmill.functions.text import comparison_key
 
 @dataclass(frozen=True)
 class Rules:
-    """Vocabularies a user supplies; all matching is on comparison keys."""
+    """Vocabularies a user supplies; all matching is on comparison keys, so accents and case do not matter.
+
+    In texts with a word of `apparel`, sizes are `apparel_sizes` instead of presentations, and `descriptors` right after
+    the word describe the product, not its size.
+    """
 
     types: list[str]
     leading: list[str]
@@ -20,21 +25,35 @@ class Rules:
     unresolved: list[str]
     colours: list[str]
     suffix_stop: list[str] = field(default_factory=list)
+    brands: list[str] = field(default_factory=list)
+    apparel: list[str] = field(default_factory=list)
+    apparel_sizes: list[str] = field(default_factory=list)
+    descriptors: list[str] = field(default_factory=list)
 
 
 DIMENSIONS = "(?<!\\w)[0-9]+(?:[.,][0-9]+)?\\s*[X×]\\s*[0-9]+(?:[.,][0-9]+)?\\s*(?:CM|MM|M)(?!\\w)"
 SEASON = "(?<!\\w)(?:SS|FW|AW|SP)[0-9]{2}(?!\\w)|\\b20[0-9]{2}\\b"
 
 
+def key(word: str) -> str:
+    """The comparison key of a vocabulary entry."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+    return " ".join(plain.upper().split())
+
+
+def choice(words: list[str]) -> str:
+    ordered = sorted({key(w) for w in words}, key=lambda w: (-len(w), w))
+    return "(" + "|".join(re.escape(w).replace("\\ ", "\\s+") for w in ordered) + ")"
+
+
 def alternation(words: list[str]) -> str:
     """Whole words, longest first."""
-    ordered = sorted(set(words), key=lambda w: (-len(w), w))
-    return "(?<!\\w)(" + "|".join(re.escape(w).replace("\\ ", "\\s+") for w in ordered) + ")(?!\\w)"
+    return "(?<!\\w)" + choice(words) + "(?!\\w)"
 
 
 def product_type(description: Column, category: Column, rules: Rules) -> Column:
     """Single distinct type word of the description, else of the category; several are ambiguous."""
-    pattern = alternation([w.upper() for w in rules.types])
+    pattern = alternation(rules.types)
 
     def found(text: Column) -> Column:
         return F.array_distinct(F.regexp_extract_all(comparison_key(text), F.lit(pattern), 1))
@@ -46,34 +65,52 @@ def product_type(description: Column, category: Column, rules: Rules) -> Column:
     )
 
 
+def sized(description: Column, rules: Rules) -> tuple[Column, list[Column]]:
+    """The text with sizes blanked out, and each size if it was there.
+
+    Groups are taken in order, the longest spelling first, and what one has matched is gone for the next.
+    """
+    text = comparison_key(description)
+    worn = text.rlike(alternation(rules.apparel)) if rules.apparel else F.lit(False)
+    if rules.apparel and rules.descriptors:
+        text = F.regexp_replace(text, alternation(rules.apparel) + "\\s+" + choice(rules.descriptors) + "(?!\\w)", "$1 ")
+    found = []
+    for name, literals in rules.presentations.items():
+        pattern = alternation(literals)
+        found.append(F.when(~worn & text.rlike(pattern), F.lit(name)))
+        text = F.when(worn, text).otherwise(F.regexp_replace(text, pattern, " "))
+    for size in rules.apparel_sizes:
+        pattern = alternation([size])
+        found.append(F.when(worn & text.rlike(pattern), F.lit(size)))
+        text = F.when(worn, F.regexp_replace(text, pattern, " ")).otherwise(text)
+    return text, found
+
+
 def presentations(description: Column, rules: Rules) -> Column:
     """Homologated sizes and literal dimensions found in a description, sorted."""
-    text = comparison_key(description)
-    entries = [
-        F.when(text.rlike(alternation([w.upper() for w in literals])), F.lit(name)) for name, literals in rules.presentations.items()
-    ]
-    named = F.array_compact(F.array(*entries))
+    text, found = sized(description, rules)
+    named = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
     return F.array_sort(F.array_distinct(F.concat(named, F.regexp_extract_all(text, F.lit(DIMENSIONS), 0))))
 
 
+def blanked(description: Column, rules: Rules) -> Column:
+    """The text without sizes, dimensions, and leading generic and brand words."""
+    text = F.regexp_replace(sized(description, rules)[0], DIMENSIONS, " ")
+    return F.regexp_replace(text, f"^([\\s-]*{choice(rules.leading + rules.brands)}(?!\\w))+", "")
+
+
 def cleaned(description: Column, rules: Rules) -> Column:
-    """The text without presentation words and leading generic words."""
-    text = comparison_key(description)
-    literals = [w.upper() for words in rules.presentations.values() for w in words]
-    text = F.regexp_replace(text, DIMENSIONS, " ")
-    text = F.regexp_replace(text, alternation(literals), " ")
-    lead = "|".join(re.escape(w.upper()) for w in sorted(rules.leading, key=lambda w: (-len(w), w)))
-    text = F.regexp_replace(text, f"^([\\s-]*({lead})(?!\\w))+", "")
-    text = F.regexp_replace(text, "\\s+", " ")
-    return F.regexp_replace(text, "^[ -]+|[ -]+$", "")
+    """The blanked text as one phrase."""
+    return F.regexp_replace(F.regexp_replace(blanked(description, rules), "\\s+", " "), "^[ -]+|[ -]+$", "")
 
 
 def problems(description: Column, rules: Rules) -> Column:
-    text = comparison_key(description)
+    """Quality flags of what is left of the text."""
+    text = blanked(description, rules)
     return F.array_sort(
         F.array_compact(
             F.array(
-                F.when(text.rlike(alternation([w.upper() for w in rules.unresolved])), "UNRESOLVED_ABBREVIATION"),
+                F.when(text.rlike(alternation(rules.unresolved)), "UNRESOLVED_ABBREVIATION"),
                 F.when(text.rlike(SEASON), "SEASON_CODE_UNVALIDATED"),
                 F.when(F.contains(text, F.lit("(")) | F.contains(text, F.lit(")")), "LEGACY_OR_PARENTHETICAL_NAME"),
                 F.when(F.size(presentations(description, rules)) > 1, "MULTIPLE_PRESENTATION_LITERALS"),
@@ -84,8 +121,7 @@ def problems(description: Column, rules: Rules) -> Column:
 
 def split_colour(text: Column, colours: list[str]) -> tuple[Column, Column]:
     """(model, colour) by the longest colour of a fixed vocabulary at the end of the text."""
-    ordered = sorted({c.upper() for c in colours}, key=lambda c: (-len(c), c))
-    pattern = "^(.*?)[ -]+(" + "|".join(re.escape(c) for c in ordered) + ")$"
+    pattern = "^(.*?)[ -]+" + choice(colours) + "$"
     model = F.regexp_replace(F.regexp_extract(text, pattern, 1), "^[ -]+|[ -]+$", "")
     has = model != ""
     return F.when(has, model), F.when(has, F.regexp_extract(text, pattern, 2))
@@ -107,8 +143,8 @@ def learn_colours(texts: DataFrame, seeds: DataFrame, rules: Rules, passes: int
     leading word groups, so no text is compared with another.
     """
     colours = seeds.select("colour", F.lit("SEED").alias("source"))
-    stop = alternation([w.upper() for w in (rules.suffix_stop + rules.unresolved) or ["\u0000"]])
-    barred = alternation([w.upper() for w in rules.types + rules.suffix_stop])
+    stop = alternation((rules.suffix_stop + rules.unresolved) or ["\u0000"])
+    barred = alternation(rules.types + rules.suffix_stop)
     distinct = texts.groupBy("cleaned").agg(F.min("n_problems").alias("n_problems"), F.min("n_barred").alias("n_barred"))
     for _ in range(passes):
         known = split_colour_by(distinct.filter("n_barred = 0"), colours).select("model").distinct().filter(

@@ -189,6 +189,24 @@ def test_stream_keeps_every_version_and_is_idempotent(spark):
         assert sorted((r["product_code"], str(r["period"]), r["version_no"], r["sales"]) for r in stored) == want
 
 
+def test_catalogue_with_accents_brands_and_overlaps(spark):
+    from monthmill.operators import catalogue as ct
+
+    rules = ct.Rules(
+        types=["TOALLA", "BATA"], leading=["TOALLA", "BATA"], presentations={"MEDIO BAÑO": ["MEDIO BAÑO", "MB"], "BAÑO": ["BAÑO"]},
+        unresolved=["GG"], colours=["AZUL", "ORQUÍDEA", "GRIS"], brands=["Casa Añil"], apparel=["BATA"], apparel_sizes=["GG", "CH"], descriptors=["DE BAÑO", "BAÑO"],
+    )
+    texts = ["TOALLA MEDIO BAÑO FLORES AZUL", "toalla casa añil baño rosas orquídea", "BATA DE BAÑO LISA GG GRIS", "TOALLA LISA GG GRIS", "TOALLA BAÑO 2010 x 90 cm LUNA AZUL"]
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    d = F.col("d")
+    model, colour = ct.split_colour(ct.cleaned(d, rules), rules.colours)
+    got = [tuple(r) for r in df.select(ct.presentations(d, rules), model, colour, ct.problems(d, rules)).collect()]
+    assert got == [
+        (["MEDIO BAÑO"], "FLORES", "AZUL", []), (["BAÑO"], "ROSAS", "ORQUIDEA", []), (["GG"], "LISA", "GRIS", []),
+        ([], "LISA GG", "GRIS", ["UNRESOLVED_ABBREVIATION"]), (["2010 X 90 CM", "BAÑO"], "LUNA", "AZUL", ["MULTIPLE_PRESENTATION_LITERALS"]),
+    ]
+
+
 def test_long_colours_are_found(spark):
     from monthmill.operators import catalogue as ct
 
