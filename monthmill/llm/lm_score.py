@@ -3,15 +3,14 @@
 Counts come from all training texts. Base: words frequent enough to be few (at most `1 / share` of them) are looked up
 in a broadcast table where the text is read; the other words of a text meet their counts in a join. Model: one layer of
 masked attention in numpy predicts the class of the next subword; within a class, corpus frequencies decide. It is
-trained on every `1 / rate`-th window of all training texts: each task trains on its windows, weights are averaged over
-the windows, and the next round starts from the average. Texts are scored in overlapping windows that score each
-token once.
+trained on the windows of all training texts, the same windows as in scoring, each in one of the rounds: each task trains
+on its windows, weights are averaged over the windows, and the next round starts from the average. Texts are scored in
+overlapping windows that score each token once.
 """
 
 from __future__ import annotations
 
 import base64
-import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -29,9 +28,9 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # GPT-2's published pre-tokenisation, a fixed pattern
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
-WIDTH, OVERLAP, DIM, INPUTS, CLASSES = 16, 2, 12, 1024, 48
-RATE, ROUNDS, BATCH, STEP = 64, 4, 64, 0.01
-SHARE, CACHE, WINDOWS, SEGMENT = 1e-6, 500_000, 1024, 512
+WIDTH, OVERLAP, DIM, INPUTS, CLASSES = 16, 4, 16, 1024, 64
+RATE, ROUNDS, BATCH, STEP = 1, 4, 64, 0.01
+SHARE, CACHE, WINDOWS = 1e-6, 500_000, 1024
 
 
 class Subwords:
@@ -229,21 +228,6 @@ def split_words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def segments(text: str, rate: int) -> list[tuple[list[bytes], bool]]:
-    """Whole words of every `rate`-th stretch of SEGMENT bytes, by a checksum, and whether the stretch ends the text."""
-    data, out = text.encode().lower(), []
-    for at in range(0, max(1, len(data)), SEGMENT):
-        part = data[at:at + SEGMENT]
-        if zlib.crc32(part) % rate:
-            continue
-        last = at + SEGMENT >= len(data)
-        words = part.split()
-        begin = at > 0 and not data[at - 1:at].isspace()
-        stop = len(words) - (not last and not data[at + SEGMENT:at + SEGMENT + 1].isspace() and not part[-1:].isspace())
-        out.append((words[begin:stop], last))
-    return out
-
-
 def chunks(texts_: Iterable[str], size: int = 1 << 20) -> Iterator[list[str]]:
     out, held = [], 0
     for v in texts_:
@@ -257,7 +241,7 @@ def chunks(texts_: Iterable[str], size: int = 1 << 20) -> Iterator[list[str]]:
 
 
 def train(docs: DataFrame, held_out, path: str = RANKS, rate: int = RATE, rounds: int = ROUNDS, share: float = SHARE) -> Model:
-    """Counts and model from all rows for which `held_out` is false."""
+    """Counts and model from all rows for which `held_out` is false; with a rate over 1 the model sees one text in `rate`."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     learn = texts(docs.filter(~held_out).select("doc_id", "text"))
@@ -304,41 +288,36 @@ def train(docs: DataFrame, held_out, path: str = RANKS, rate: int = RATE, rounds
         vocabulary_counts[r.id] += r.n
     vocabulary = Vocabulary(vocabulary_counts)
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(ranks)
-        for batch in batches:
-            parts = [p for t in values(batch.column(1)) for p in segments(t, rate)]
-            if not parts:
-                continue
-            _, at, stops = subwords.place([w for w, _ in parts])
-            before, target, use, owner = windows(*subwords.flat(at, stops))
-            last = np.array([x for _, x in parts])
-            use &= (target != END) | last[owner][:, None]  # a stretch within a text has no end
-            rows = [vocabulary.slot[before], vocabulary.kind[target], use.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(r), pa.list_(pa.int32())) for r in rows], ["slots", "kinds", "use"])
-
-    sample = stored(learn.mapInArrow(lean(sampled), "slots array<int>, kinds array<int>, use array<int>"), "windows")
     flat = Attention.initial(vocabulary.bias)
     for k in range(rounds):
-        flat = averaged(sample, flat, k)
+        flat = averaged(part_of(learn, k, rounds, rate), ranks, vocabulary, flat, k)
     return Model(ranks, total, kinds, ends, frequent, vocabulary, flat, counts)
 
 
-def averaged(sample: DataFrame, flat: np.ndarray, number: int) -> np.ndarray:
-    """One round: each task trains on its windows from the same weights; the mean of theirs, by number of windows."""
+def part_of(learn: DataFrame, number: int, rounds: int, rate: int) -> DataFrame:
+    """The training texts of one round: with rate 1, every text is in exactly one of the rounds."""
+    return learn.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rate * rounds)) == number)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, seen = flat, 0
-        for i, frame in enumerate(frames):
-            if len(frame):
-                arrays = [np.stack(frame[c].to_numpy()) for c in ("slots", "kinds")]
-                use = np.stack(frame["use"].to_numpy()).astype(bool)
-                now, seen = descend(now, *arrays, use, np.random.default_rng(1000 * number + i)), seen + len(frame)
+
+def averaged(learn: DataFrame, ranks: dict[bytes, int], vocabulary: Vocabulary, flat: np.ndarray, number: int) -> np.ndarray:
+    """One round: each task trains on all windows of its texts from the same weights; the mean of theirs, by number of windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords, now, seen, i = Subwords(ranks), flat, 0, 0
+        for batch in batches:
+            for part in chunks(values(batch.column(1))):
+                _, at, stops = subwords.place([split_words(t) for t in part])
+                before, target, use, _ = windows(*subwords.flat(at, stops))
+                order = np.random.default_rng(1000 * number + i)
+                now = descend(now, vocabulary.slot[before], vocabulary.kind[target], use, order)
+                seen, i = seen + len(use), i + 1
         if seen:
-            yield pd.DataFrame({"at": np.arange(len(flat)), "w": now.astype(np.float64) * seen, "n": seen})
+            weights = [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(now.astype(np.float64) * seen)]
+            yield pa.RecordBatch.from_arrays([*weights, pa.array(np.full(len(flat), seen))], ["at", "w", "n"])
 
     # as many rows as the model has weights
-    rows = sample.mapInPandas(run, "at int, w double, n long").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
+    trained = learn.mapInArrow(lean(run), "at int, w double, n long")
+    rows = trained.groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
     out = flat.copy()
     out[rows["at"].to_numpy()] = rows["w"].to_numpy()
     return out

@@ -179,3 +179,13 @@ def test_training_lowers_the_loss():
     for _ in range(4):
         flat = lm_score.descend(flat, slots, kinds, use, np.random.default_rng(1))
     assert lm_score.Attention(flat).gradient(slots, kinds, use)[0] < before / 2
+
+
+def test_language_model_is_whole(spark):
+    """Every training text is in exactly one round, and a scored token has the context of an overlap of four."""
+    rows = [*corpus(), *ODD]
+    learn = lm_score.texts(documents(spark, rows))
+    parts = [Counter((r.doc_id, r.text) for r in lm_score.part_of(learn, k, lm_score.ROUNDS, lm_score.RATE).collect()) for k in range(lm_score.ROUNDS)]
+    assert sum(parts, Counter()) == Counter((i, t or "") for i, t in rows)
+    assert all(len([p for p in parts if key in p]) == 1 for key in sum(parts, Counter()))
+    assert lm_score.OVERLAP >= 4 and lm_score.DIM >= 16 and lm_score.CLASSES >= 64
