@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from monthmill.llm import components, decontaminate, simhash
 from tests.llm.data import by_id, corpus, documents
 
@@ -129,3 +130,21 @@ def test_decontaminate_against_brute_force(spark):
     assert all(got[k] == want[k] for k in got)
     assert decontaminate.find_items(documents(spark, []), benchmark).collect() == []
     assert decontaminate.find_items(documents(spark, rows[:3]), benchmark.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("m", corpus_pipeline.NEAR["choices"])
+def test_pipeline_links_up_to_the_radius(spark, m):
+    """Pairs at every distance up to the radius meet with every number of partitions the plan may choose."""
+    near = corpus_pipeline.NEAR
+    assert near["reach"] == near["radius"] == 40
+    rng = np.random.default_rng(m)
+    pairs = []
+    for k in range(82):
+        a = rng.integers(0, 2, 256, dtype=np.uint8)
+        b = a.copy()
+        b[rng.choice(256, k % 41, replace=False)] ^= 1
+        pairs.append((np.packbits(a).tobytes(), np.packbits(b).tobytes()))
+    fps = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p})], "fp binary")
+    groups_, thresholds = simhash.plan(fps, 256, near["reach"], (m,))
+    found = {frozenset((bytes(r.a), bytes(r.b))) for r in simhash.links(simhash.entries(fps, 256, groups_, thresholds), 4, 40).collect()}
+    assert {frozenset(p) for p in pairs if p[0] != p[1]} <= found
