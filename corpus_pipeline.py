@@ -30,8 +30,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays; rows without an id stay."""
-    groups = simhash.near_groups(docs, **NEAR)
+    """Of each group of near duplicates, with a shingle similarity of 0.8 or more, the smallest doc_id stays; rows without an id stay."""
+    groups = simhash.similar_groups(docs, **NEAR)
     return without(docs, groups.filter(F.col("doc_id") != F.col("component_id")))
 
 

@@ -5,7 +5,8 @@ fingerprints within the radius are within t_i in at least one partition i (t_i =
 programming picks the thresholds, and the number of partitions, with the fewest estimated probes and candidates over
 all fingerprints. Each fingerprint is entered under every value within t_i of its own; entries that meet are compared
 in full. Large buckets are cut into blocks and every pair of blocks is one unit of work, so no task holds more than
-two blocks, and only links of a spanning forest leave a unit.
+two blocks, and only links of a spanning forest leave a unit. Where links are to be verified on the texts, a second pass
+sends all pairs between what the verified links of the first have not joined.
 """
 
 from __future__ import annotations
@@ -76,7 +77,8 @@ def fingerprints(docs: DataFrame, width: int, words: int = 1) -> DataFrame:
 
 
 def _matrix(column: pd.Series, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, size)
+    """The first `size` bytes of each value; all values are equally long."""
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, len(column.iloc[0]) if len(column) else size)[:, :size]
 
 
 def bit_counts(fps: DataFrame, bits: int) -> tuple[int, np.ndarray]:
@@ -229,7 +231,7 @@ def forest(x: np.ndarray, home: np.ndarray, radius: int) -> list[tuple[int, int]
 
 def unit_links(frame: pd.DataFrame, words: int, radius: int) -> pd.DataFrame:
     """Links of whole units that lie one after the other in the frame."""
-    x = np.frombuffer(b"".join(frame.fp), dtype=np.uint64).reshape(-1, words)
+    x = _matrix(frame.fp, 8 * words).copy().view(np.uint64)
     home = frame.home.to_numpy()
     ids = frame[["part", "value", "lo", "hi"]].to_numpy()
     first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])
@@ -254,10 +256,44 @@ def unit_links(frame: pd.DataFrame, words: int, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"a": fp[np.concatenate([none, *a])], "b": fp[np.concatenate([none, *b])]})
 
 
-def links(rows: DataFrame, words: int, radius: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect what the buckets connect; a unit holds at most two blocks."""
+def unit_pairs(frame: pd.DataFrame, words: int, radius: int, groups: list[list[int]], thresholds: list[int]) -> Iterator[pd.DataFrame]:
+    """All pairs of whole units whose labels, the last 16 bytes, differ; a pair leaves one bucket only."""
+    size, fp = len(frame.fp.iloc[0]), frame.fp.to_numpy()
+    whole = _matrix(frame.fp, size)
+    x, label = whole[:, :8 * words].copy().view(np.uint64), whole[:, size - 16:].copy().view(np.uint64)
+    home, part = frame.home.to_numpy(), frame.part.to_numpy()
+    inside = np.zeros((len(groups), 64 * words), dtype=np.uint8)
+    for i, group in enumerate(groups):
+        inside[i, group] = 1
+    masks, most = np.packbits(inside, axis=1).view(np.uint64), np.array(thresholds)
+    ids = frame[["part", "value", "lo", "hi"]].to_numpy()
+    first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])
+    for f, stop in zip(first, np.r_[first[1:], len(x)]):
+        if (label[f:stop] == label[f]).all():
+            continue
+        for a in range(f, stop - 1):
+            b = np.arange(a + 1, stop)
+            b = b[(home[a] | home[b]) & (label[b] != label[a]).any(axis=1)]
+            b = b[np.bitwise_count(x[b] ^ x[a]).sum(axis=1) <= radius]
+            if not len(b):
+                continue
+            # where the pair first meets, under the value of the smaller
+            meets = np.bitwise_count((x[b] ^ x[a])[:, None, :] & masks).sum(axis=2) <= most
+            smaller = np.array([home[a] if fp[a] < fp[j] else home[j] for j in b])
+            b = b[(meets.argmax(axis=1) == part[a]) & smaller]
+            yield pd.DataFrame({"a": np.repeat(fp[a:a + 1], len(b)), "b": fp[b]})
+
+
+def links(rows: DataFrame, words: int, radius: int, block: int = BLOCK, plan_: tuple | None = None) -> DataFrame:
+    """Links (a, b) that connect what the buckets connect; a unit holds at most two blocks.
+
+    With a plan, the partitions and thresholds of the entries, all pairs with different labels instead.
+    """
     key = ["part", "value", "lo", "hi"]
 
+    def of(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        return unit_pairs(frame, words, radius, *plan_) if plan_ else iter([unit_links(frame, words, radius)])
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for frame in frames:
@@ -265,10 +301,10 @@ def links(rows: DataFrame, words: int, radius: int, block: int = BLOCK) -> DataF
             last = (held[key] == held[key].iloc[-1]).all(axis=1).to_numpy()
             cut = int(np.argmax(last))
             if cut:
-                yield unit_links(held.iloc[:cut], words, radius)
+                yield from of(held.iloc[:cut])
                 held = held.iloc[cut:]
         if held is not None and len(held):
-            yield unit_links(held, words, radius)
+            yield from of(held)
 
     return units(rows, block).repartition(*key).sortWithinPartitions(*key).mapInPandas(lean(run), "a binary, b binary")
 
@@ -300,6 +336,72 @@ def near_groups(
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    return np.unique(shingle_hashes(text, width)).view(np.int64)
+
+
+def set_digest(distinct: np.ndarray) -> bytes:
+    return xxhash.xxh128_digest(distinct.tobytes(), SEED)
+
+
+def similar(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The links (a, b) whose texts have shingle sets of a Jaccard similarity of at least `least`; ids end in the sets' digests."""
+    pairs = stored(pairs.select("a", "b").distinct(), "candidates")
+    digest = lambda c: F.substring(c, -16, 16)
+    wanted = pairs.select(digest(F.col("a")).alias("digest")).union(pairs.select(digest(F.col("b")))).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in values(batch.column(1))]
+            columns = [pa.array([set_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "shingles"])
+
+    every = texts(docs).mapInArrow(lean(run), "digest binary, shingles array<long>")
+    sets = stored(every.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles")), "sets")
+    joined = (
+        pairs.join(sets.withColumnRenamed("shingles", "x"), digest(F.col("a")) == F.col("digest")).drop("digest")
+        .join(sets.withColumnRenamed("shingles", "y"), digest(F.col("b")) == F.col("digest")).drop("digest")
+    )
+    both = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - both
+    return stored(joined.filter((F.size("x") == 0) & (F.size("y") == 0) | (both >= least * union)).select("a", "b"), "verified")
+
+
+def similar_groups(
+    docs: DataFrame, width: int, radius: int, words: int = 1, reach: int | None = None,
+    choices: tuple[int, ...] = (2, 3, 4), block: int = BLOCK, least: float = 0.8,
+) -> DataFrame:
+    """Like `near_groups` (doc_id, component_id), but links join only if the texts' distinct shingles are similar.
+
+    Rows with equal fingerprint and shingle set are one node. Links of a spanning forest are verified first; then all
+    links between the components that these leave, so the components are those of all verified links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [fingerprint(t, width, words) + set_digest(shingle_set(t, width)) for t in values(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "fp"])
+
+    rows = stored(texts(docs).mapInArrow(lean(run), "doc_id long, fp binary"), "fingerprints")
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    if nodes.isEmpty():
+        return rows.select("doc_id", F.col("doc_id").alias("component_id"))
+    bits, size = 64 * words, 8 * words + 16
+    plan_ = plan(nodes.select("fp"), bits, radius if reach is None else reach, choices)
+    kept = similar(links(entries(nodes.select("fp"), bits, *plan_), words, radius, block), docs, width, least)
+    parts = components(kept).withColumnRenamed("node", "fp")
+    labelled = nodes.select("fp").join(parts, "fp", "left").select(
+        F.concat("fp", F.unhex(F.md5(F.coalesce("component", "fp")))).alias("fp"))
+    labelled = stored(labelled, "labelled")
+    more = links(entries(labelled, bits, *plan_), words, radius, block, plan_)
+    more = similar(more.select(*[F.substring(c, 1, size).alias(c) for c in ("a", "b")]), docs, width, least)
+    parts = components(kept.union(more)).withColumnRenamed("node", "fp")
+    nodes = stored(nodes.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "components")
+    heads = stored(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "heads")
+    return rows.join(nodes.join(heads, "component").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+
+
 @query("op8_simhash")
 def op8_simhash(spark: SparkSession, root: str) -> DataFrame:
     out = near_groups(table(spark, root, "documents"), width=3, radius=3)

@@ -148,3 +148,40 @@ def test_pipeline_links_up_to_the_radius(spark, m):
     groups_, thresholds = simhash.plan(fps, 256, near["reach"], (m,))
     found = {frozenset((bytes(r.a), bytes(r.b))) for r in simhash.links(simhash.entries(fps, 256, groups_, thresholds), 4, 40).collect()}
     assert {frozenset(p) for p in pairs if p[0] != p[1]} <= found
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_similar_groups_against_brute_force(spark, block):
+    """Components of the pairs within the radius whose shingle sets are similar, and of no others."""
+    rng, near = random.Random(8), corpus_pipeline.NEAR
+    words = ["w%d" % i for i in range(500)]
+    rows = []
+    for base in range(3):
+        text = [rng.choice(words) for _ in range(120)]
+        for k in range(10):
+            copy = list(text)
+            for _ in range(k // 2):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((10 * base + k, " ".join(copy)))
+    repeated = " ".join(["a b c d e f g"] * 60)
+    rows += [(90, None), (91, ""), (92, rows[0][1]), (93, repeated), (94, repeated + " " + rows[5][1]), (95, "x y")]
+    fps = {i: int.from_bytes(simhash.fingerprint(t or "", 5, 4), "big") for i, t in rows}
+    sets = {i: set(simhash.shingle_hashes(t or "", 5).tolist()) for i, t in rows}
+
+    def close(i, j):
+        return (fps[i] ^ fps[j]).bit_count() <= 40
+
+    def alike(i, j):
+        return sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+
+    ids = [i for i, _ in rows]
+    assert any(close(i, j) and not alike(i, j) for i in ids for j in ids)
+    label = {i: i for i in ids}
+    while True:
+        new = {i: min(label[j] for j in ids if close(i, j) and alike(i, j)) for i in ids}
+        if new == label:
+            break
+        label = new
+    out = simhash.similar_groups(documents(spark, rows), **near, block=block).collect()
+    assert {r.doc_id: r.component_id for r in out} == label and len(out) == len(rows)
+    assert simhash.similar_groups(documents(spark, []), **near).collect() == []
