@@ -11,6 +11,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -138,11 +139,11 @@ def fit_preprocessors(rows: DataFrame, features: list[str], folds: list[tuple])
     return {i: _preprocessor(rs, features) for i, rs in grouped.items()}
 
 
-def encode_products(rows: DataFrame, key: str) -> tuple[DataFrame, str]:
-    """Sparse one-hot of the series identity."""
+def encode_products(rows: DataFrame, key: str, keep_index: bool = False) -> tuple[DataFrame, str]:
+    """Sparse one-hot of the series identity; its position stays as series_ix if asked for."""
     indexed = StringIndexer(inputCol=key, outputCol="series_ix", handleInvalid="keep").fit(rows).transform(rows)
     out = OneHotEncoder(inputCol="series_ix", outputCol="series_vec", dropLast=False).fit(indexed).transform(indexed)
-    return out.drop("series_ix"), "series_vec"
+    return (out if keep_index else out.drop("series_ix")), "series_vec"
 
 
 def assemble(rows: DataFrame, prep: Preprocessor, extra: list[str]) -> DataFrame:
@@ -181,11 +182,20 @@ def boosting(train: DataFrame):
 MODELS = {"linear": linear, "forest": forest, "boosting": boosting}
 
 
-def importance(model, names: list[str]) -> list[tuple[str, float]]:
-    """Normalised |coefficient| or impurity gain per named feature."""
-    raw = [abs(x) for x in (model.coefficients if hasattr(model, "coefficients") else model.featureImportances.toArray())]
-    total = sum(raw) or 1.0
-    return [(n, v / total) for n, v in zip(names, raw)]
+def column_names(rows: DataFrame, features: list[str], key: str) -> DataFrame:
+    """(position, feature) of the assembled columns that have a name: the features, and the products after the missing flags."""
+    own = rows.sparkSession.createDataFrame(list(enumerate(features)), "position int, feature string")
+    at = F.lit(2 * len(features)) + F.col("series_ix").cast("int")
+    return own.unionByName(rows.select(at.alias("position"), F.concat(F.lit("product:"), F.col(key)).alias("feature")).distinct())
+
+
+def importance(model, names: DataFrame) -> DataFrame:
+    """(feature, importance): |coefficient| or impurity gain of every named column, as a share of all columns."""
+    raw = model.coefficients if hasattr(model, "coefficients") else model.featureImportances
+    vector = names.sparkSession.createDataFrame([(raw,)], ["v"])
+    weights = vector.select(F.posexplode(vector_to_array("v")).alias("position", "w")).withColumn("w", F.abs("w"))
+    total = weights.agg(F.sum("w")).first()[0] or 1.0
+    return names.join(weights, "position").select("feature", (F.col("w") / F.lit(total)).alias("importance"))
 
 
 def predictions(model, rows: DataFrame) -> DataFrame:

@@ -53,10 +53,10 @@ def preprocessor(t: Tables):
     return table.select("feature", rounded(F.col("median"), 3).alias("median"), rounded(F.col("mean"), 3).alias("mean"), rounded(F.col("std"), 3).alias("std"))
 
 
-def encoded(t: Tables, horizons=po.HORIZONS):
+def encoded(t: Tables, horizons=po.HORIZONS, keep_index: bool = False):
     """Samples with the one-hot series vector, written once because every fold reads them."""
     rows = po.samples(t.panel, SERIES, "sales", horizons).withColumn("series_key", F.concat_ws("|", *CP))
-    out, _ = po.encode_products(cut_lineage(rows), "series_key")
+    out, _ = po.encode_products(cut_lineage(rows), "series_key", keep_index)
     return out
 
 
@@ -90,11 +90,10 @@ def top_features(t: Tables):
 
 
 def _importance(t: Tables):
-    rows = encoded(t, (1,))
+    rows = encoded(t, (1,), keep_index=True)
     prep = po.fit_preprocessor(rows, po.FEATURES)
     model = po.forest(po.assemble(rows, prep, ["series_vec"]))
-    ranked = po.importance(model, po.FEATURES)
-    return t.spark.createDataFrame([(n, float(v)) for n, v in ranked], "feature string, importance double")
+    return po.importance(model, po.column_names(rows, po.FEATURES, "series_key"))
 
 
 @query("b05_pooled_backtest")

@@ -339,3 +339,21 @@ def test_nested_document(spark):
     df = spark.createDataFrame([("v1", doc)], "id string, d string")
     got = mf.explode_document(df, "d", "horizons array<struct<horizon int, value double>>", "horizons", ["id"]).collect()
     assert [(r["horizon"], r["value"]) for r in got] == [(1, 2.5), (2, None)]
+
+
+def test_importance_names_products(spark):
+    """A product that decides the label ranks first under its own name; shares are of all columns."""
+    from pyspark.sql import functions as F
+
+    from monthmill.operators import pooled
+
+    raw = [(f"s{i % 6}", float(i % 7), None if i % 11 == 0 else float(i % 5), 100.0 if i % 6 == 4 else 1.0) for i in range(240)]
+    rows = spark.createDataFrame(raw, "key string, u double, v double, label double")
+    rows, _ = pooled.encode_products(rows, "key", keep_index=True)
+    prep = pooled.fit_preprocessor(rows, ["u", "v"])
+    assert prep.columns == ["z_u", "z_v", "m_u", "m_v"]
+    data = pooled.assemble(rows, prep, ["series_vec"])
+    for fit in (pooled.forest, pooled.boosting, pooled.linear):
+        out = pooled.importance(fit(data), pooled.column_names(rows, ["u", "v"], "key")).orderBy(F.desc("importance"), "feature").collect()
+        assert {r.feature for r in out} == {"u", "v", *[f"product:s{i}" for i in range(6)]}
+        assert out[0].feature == "product:s4" and 0 < sum(r.importance for r in out) <= 1 + 1e-9
