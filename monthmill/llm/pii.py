@@ -105,15 +105,20 @@ def base_spans(rows: DataFrame) -> DataFrame:
     return found.withColumn("base", F.concat(*[F.col(f"_spans_{k}") for k in PATTERNS])).select(*rows.columns, "base")
 
 
-def mentions(rows: DataFrame, reach: int) -> DataFrame:
-    """One row for each term within `reach` code points of a base span: document, entity, term and place."""
-    at = rows.select(*ROW, "text", "base", F.explode("base").alias("s"))
+def entity_key() -> tuple[Column, Column]:
+    """e1 and e2, 128 bits that stand for the value of the span s."""
     number = F.concat(F.col("s.kind"), F.lit(":"), digits(F.col("s.value")))
     entity = F.when(F.col("s.kind") == "email", F.concat(F.lit("email:"), F.lower("s.value")))
     entity = entity.when(F.col("s.kind") == "ip", F.concat(F.lit("ip:"), F.col("s.value"))).otherwise(number)
+    return F.xxhash64(entity).alias("e1"), F.xxhash64(F.lit(1), entity).alias("e2")
+
+
+def mentions(rows: DataFrame, reach: int) -> DataFrame:
+    """One row for each term within `reach` code points of a base span: document, entity, term and place."""
+    at = rows.select(*ROW, "text", "base", F.explode("base").alias("s"))
     low = F.greatest(F.col("s.start") - reach, F.lit(0))
     at = at.select(
-        *ROW, "base", F.xxhash64(entity).alias("e1"), F.xxhash64(F.lit(1), entity).alias("e2"),
+        *ROW, "base", *entity_key(),
         F.inline(F.array(
             F.struct(low.alias("at"), F.substring("text", low + 1, F.col("s.start") - low).alias("near"),
                      (low > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
@@ -138,7 +143,9 @@ def disclosing(near: DataFrame, found: DataFrame, rows: DataFrame, support: int,
         near.select(*ROW, "e1", "e2", "term").distinct().groupBy("e1", "e2", "term")
         .agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
     )
-    entities = near.select(*ROW, "e1", "e2").distinct().groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n_c"))
+    # every document with the value, whether or not it has a term near it
+    values_ = found.select(*ROW, F.explode("base").alias("s")).select(*ROW, *entity_key())
+    entities = values_.distinct().groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n_c"))
     words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = rows.count()

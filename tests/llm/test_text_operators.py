@@ -139,3 +139,13 @@ def test_disclosing_terms(spark):
 
 def test_pii_empty(spark):
     assert pii.sanitise(documents(spark, [])).collect() == []
+
+
+def test_entity_counts_are_of_all_documents(spark):
+    """A document that holds the value without any term near it counts among the documents with the value."""
+    held = [(i, f"zanzibar boss@corp.example {i}") for i in range(4)] + [(10 + i, f"{i} boss@corp.example {i}") for i in range(12)]
+    rows = pii.row_key(pii.texts(documents(spark, held + [(100 + i, "zanzibar") for i in range(4)] + [(200 + i, "plain") for i in range(44)])))
+    found = pii.base_spans(rows).filter("size(base) > 0")
+    got = pii.disclosing(pii.mentions(found, 120), found, rows, 3, 0.0).collect()
+    # 64 documents, 16 with the value, 8 with the term, 4 with both: 1 - log(8 / 4) / log(64 / 16)
+    assert [round(r.share, 9) for r in got] == [0.5]
