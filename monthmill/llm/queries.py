@@ -1,8 +1,11 @@
 """Collects the registered queries of the subpackage."""
 
-from monthmill.llm import decontaminate, exact_dedup, line_dedup, lm_score, pii, quality, sentencepieces, simhash, toxicity, warc
+from monthmill.llm import (
+    decontaminate, exact_dedup, line_dedup, lm_score, merkle, mixing, pii, quality, sentencepieces, simhash, toxicity, warc, whitening,
+)
 from monthmill.llm.common import ORACLES, QUERIES
 
 __all__ = [
-    "ORACLES", "QUERIES", "decontaminate", "exact_dedup", "line_dedup", "lm_score", "pii", "quality", "sentencepieces", "simhash", "toxicity", "warc",
+    "ORACLES", "QUERIES", "decontaminate", "exact_dedup", "line_dedup", "lm_score", "merkle", "mixing", "pii", "quality",
+    "sentencepieces", "simhash", "toxicity", "warc", "whitening",
 ]

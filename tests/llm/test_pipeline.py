@@ -68,4 +68,4 @@ def test_run_and_empty_tables(spark, tables, tmp_path):
 
 
 def test_all_operators_are_registered():
-    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 14))
