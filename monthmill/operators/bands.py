@@ -58,6 +58,8 @@ def select_evidence(points: DataFrame, residuals: DataFrame, product: list[str],
 
 
 def interval_coverage(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A tie with a bound counts as inside; values are compared without the noise of the last bits."""
+    rows = rows.withColumns({c: snapped(F.col(c)) for c in ("actual", "p10", "p50", "p90", "p95")})
     a, lower = F.col("actual"), F.coalesce(F.col("p10"), F.lit(0.0))
     share = lambda c: rounded(100 * F.sum(F.when(c, 1).otherwise(0)) / F.count(F.lit(1)))
     return rows.groupBy(*keys).agg(
@@ -71,6 +73,7 @@ def interval_coverage(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def coverage_bucket(actual: Column, p10: Column, p50: Column, p90: Column, p95: Column) -> Column:
+    actual, p10, p50, p90, p95 = (snapped(c) for c in (actual, p10, p50, p90, p95))
     return (
         F.when(actual < p10, "below_p10").when(actual < p50, "p10_p50").when(actual < p90, "p50_p90")
         .when(actual < p95, "p90_p95").otherwise("above_p95")

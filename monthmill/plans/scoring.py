@@ -260,8 +260,9 @@ def band_evidence(t: Tables):
 
 
 COV_SQL = """
-cov AS (SELECT l.*, least(forecast, greatest(0e0, forecast + q[1])) AS p10, forecast AS p50, greatest(forecast, forecast + q[2]) AS p90, greatest(greatest(forecast, forecast + q[2]), forecast + q[3]) AS p95
-  FROM res l JOIN (SELECT chain_id, product_id, horizon, quantile_cont(residual, [0.1, 0.9, 0.95]) AS q FROM res GROUP BY ALL) USING (chain_id, product_id, horizon))
+cov0 AS (SELECT l.*, least(forecast, greatest(0e0, forecast + q[1])) AS p10, forecast AS p50, greatest(forecast, forecast + q[2]) AS p90, greatest(greatest(forecast, forecast + q[2]), forecast + q[3]) AS p95
+  FROM res l JOIN (SELECT chain_id, product_id, horizon, quantile_cont(residual, [0.1, 0.9, 0.95]) AS q FROM res GROUP BY ALL) USING (chain_id, product_id, horizon)),
+cov AS (SELECT chain_id, horizon, """ + ", ".join(f"round({c} * 1e7) / 1e7 AS {c}" for c in ("actual", "p10", "p50", "p90", "p95")) + """ FROM cov0)
 """
 
 
