@@ -142,6 +142,20 @@ def certified(pairs: DataFrame, keys: list[str], period: str = "period") -> Data
     return overall.join(trend.select(*keys, worse.alias("certified_deterioration")), keys, "left")
 
 
+def pooled_winner(rows: DataFrame) -> DataFrame:
+    """Best model of every chain (product ALL) and of every product with six observations, by WAPE, then |bias|, then name."""
+    sets = [[F.col("chain_id"), F.col("product_id"), F.col("model")], [F.col("chain_id"), F.col("model")]]
+    scored = (
+        rows.groupingSets(sets, F.col("chain_id"), F.col("product_id"), F.col("model"))
+        .agg(*error_metrics(F.col("actual"), F.col("forecast"), "generic"))
+        .withColumn("product_id", F.coalesce("product_id", F.lit("ALL")))
+        .filter((F.col("product_id") == "ALL") | (F.col("observations") >= PRODUCT_OBSERVATIONS)).filter(F.col("wape").isNotNull())
+    )
+    order = F.struct(F.col("wape"), F.abs("bias"), F.col("model"))
+    return scored.groupBy("chain_id", "product_id").agg(F.min_by(F.struct("model", "wape", "observations"), order).alias("w")).select(
+        "chain_id", "product_id", "w.*")
+
+
 # Recommendation ---------------------------------------------------------------------
 
 def recommend(candidates: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from monthmill.functions import periods as pr
-from monthmill.functions.numbers import rounded
-from monthmill.operators import backtest as bt, bands, metrics as em, models as m, selection as sel, series as sr
+from monthmill.functions.numbers import rounded, snapped
+from monthmill.operators import backtest as bt, bands, metrics as em, models as m, records as rec, selection as sel, series as sr
 from monthmill.plans.models import ALLOWED_SQL, BT_SQL, CLASS_SQL, RUN_SQL
+from monthmill.plans.pooled import NEXT_SQL, RECORDS_SQL, family_records, future_records, records
 from monthmill.plans.registry import query
 from monthmill.plans.scoring import PAIRS_SQL, metric_sql, lpairs, pairs
 from monthmill.plans.sql_parts import (
@@ -258,16 +259,12 @@ def total_series(t: Tables):
 
 
 # Blending ------------------------------------------------------------------------------
-# Two aligned candidates: mean of three months ("statistical") and last value ("ml").
-
-def records(t: Tables):
-    return pairs(t).withColumnsRenamed({"mean3": "statistical", "last": "ml"})
-
+# Two aligned candidates: the statistical winner of each series ("statistical") and the pooled ridge ("ml").
 
 WEIGHT_SQL = f"""
 wt AS (SELECT CAST(unnest(range(0, 41)) AS INTEGER) AS step),
 wp AS (SELECT chain_id, step, period, sum(abs(actual - pred)) AS ae, sum(actual - pred) AS e, sum(actual) AS a, count(*) AS n
-  FROM (SELECT chain_id, period, actual, step, greatest(0e0, mean3 * (step / 40e0) + last * (1 - step / 40e0)) AS pred FROM pairs, wt) GROUP BY ALL),
+  FROM (SELECT chain_id, period, actual, step, greatest(0e0, statistical * (step / 40e0) + ml * (1 - step / 40e0)) AS pred FROM rec, wt) GROUP BY ALL),
 wr AS (SELECT *, 100 * ae / a AS rate, row_number() OVER (PARTITION BY chain_id, step ORDER BY period) AS pos, count(*) OVER (PARTITION BY chain_id, step) AS cnt FROM wp WHERE a <> 0),
 wm AS (SELECT chain_id, step, CAST(sum(n) AS BIGINT) AS observations, count(*) AS windows, {r('100 * sum(ae) / sum(a)')} AS wape, {r('100 * sum(e) / sum(a)')} AS bias,
     {r('CASE WHEN count(*) > 1 THEN stddev_pop(rate) ELSE 0e0 END')} AS stability,
@@ -278,7 +275,21 @@ ctr AS (SELECT chain_id, step AS center FROM ws WHERE step % 4 = 0 QUALIFY row_n
 wcand AS (SELECT ws.*, step / 40e0 AS statistical_weight, CASE step WHEN 40 THEN 'statistical' WHEN 0 THEN 'ml' ELSE 'ensemble' END AS strategy
   FROM ws JOIN ctr USING (chain_id) WHERE step % 4 = 0 OR abs(step - center) <= 4)
 """
-WEIGHTS = with_(PANEL_BASE, PAIRS_SQL, WEIGHT_SQL)
+BEST_SQL = "bst AS (SELECT * FROM wcand QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY score, wape, statistical_weight DESC) = 1)"
+WEIGHTS = RECORDS_SQL.rstrip() + ",\n" + WEIGHT_SQL.strip() + "\n"
+BLENDED = WEIGHTS + ", " + BEST_SQL + "\n"
+
+
+def best_weights(t: Tables):
+    """The weight of the best candidate of each chain."""
+    order = F.struct(F.col("score"), F.col("wape"), -F.col("statistical_weight"))
+    return sel.weight_search(records(t), ["chain_id"]).groupBy("chain_id").agg(F.min_by("statistical_weight", order).alias("w"))
+
+
+def blended(t: Tables):
+    """The records with the ensemble of their chain's best weight."""
+    value = sel.blend(F.col("statistical"), F.col("ml"), F.col("w"))
+    return records(t).join(best_weights(t), "chain_id").withColumn("ensemble", value)
 
 
 @query("b13_weight_search", WEIGHTS + """
@@ -296,8 +307,7 @@ def weight_grid(t: Tables):
     )
 
 
-@query("b14_strategy_states", WEIGHTS + """
-, bst AS (SELECT * FROM wcand QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY score, wape, statistical_weight DESC) = 1),
+@query("b14_strategy_states", BLENDED + """,
 inc AS (SELECT * FROM wcand WHERE strategy = 'statistical'),
 el AS (SELECT b.chain_id, b.step AS best_step, least(i.wape, 60e0) AS bench,
   b.strategy <> 'statistical' AND least(i.wape, 60e0) - b.wape >= 0.25 AND b.observations >= 24 AND b.windows >= 3 AND abs(b.bias) <= abs(i.bias) + 5 AND b.stability <= i.stability + 10 AND b.score < i.score AS eligible
@@ -310,18 +320,18 @@ def strategy_states(t: Tables):
     )
 
 
-@query("f24_ensemble_value", with_(PANEL_BASE, PAIRS_SQL) + f"""
-SELECT chain_id, product_id, {ym('period')} AS period, horizon, {r('greatest(0e0, mean3 * 0.6e0 + last * 0.4e0)')} AS ensemble FROM pairs""")
+@query("f24_ensemble_value", BLENDED + f"""
+SELECT chain_id, product_id, {ym('period')} AS period, horizon, statistical_weight, {rs('greatest(0e0, statistical * statistical_weight + ml * (1 - statistical_weight))')} AS ensemble FROM rec JOIN bst USING (chain_id)""")
 def ensemble_value(t: Tables):
-    value = F.greatest(F.lit(0.0), F.col("statistical") * 0.6 + F.col("ml") * 0.4)
-    return records(t).select(*CP, pr.label("period").alias("period"), "horizon", rounded(value).alias("ensemble"))
+    return blended(t).select(
+        *CP, pr.label("period").alias("period"), "horizon", F.col("w").alias("statistical_weight"), rounded(snapped(F.col("ensemble"))).alias("ensemble"))
 
 
-@query("p31_divergence", with_(PANEL_BASE, PAIRS_SQL) + f"""
-SELECT chain_id, product_id, {ym('period')} AS period, horizon, {r('100 * abs(mean3 - last) / greatest(abs(mean3), 1e0)')} AS divergence, 100 * abs(mean3 - last) / greatest(abs(mean3), 1e0) >= 30 AS alert FROM pairs""")
+@query("p31_divergence", NEXT_SQL + f"""
+SELECT chain_id, product_id, {ym('period')} AS period, horizon, {rs('100 * abs(statistical - ml) / greatest(abs(statistical), 1e0)')} AS divergence, 100 * abs(statistical - ml) / greatest(abs(statistical), 1e0) >= 30 AS alert FROM paired""")
 def divergence(t: Tables):
     d = sel.divergence(F.col("statistical"), F.col("ml"))
-    return records(t).select(*CP, pr.label("period").alias("period"), "horizon", rounded(d).alias("divergence"), (d >= 30).alias("alert"))
+    return future_records(t).select(*CP, pr.label("period").alias("period"), "horizon", rounded(snapped(d)).alias("divergence"), (d >= 30).alias("alert"))
 
 
 @query("p32_confidence", with_(PANEL_BASE, PAIRS_SQL) + f"""
@@ -334,11 +344,12 @@ def confidence(t: Tables):
     return g.select(*CP, "model", sel.confidence(F.col("wape"), F.col("stability"), F.abs("bias"), F.col("observations")).alias("confidence"))
 
 
-@query("g51_mean_divergence", with_(PANEL_BASE, PAIRS_SQL) + f"""
-SELECT chain_id, product_id, {r('avg(100 * abs(mean3 - last) / greatest(abs(mean3), 1e0))')} AS mean_divergence FROM pairs WHERE period > {ISSUE_SQL} - INTERVAL 12 MONTH GROUP BY ALL""")
+@query("g51_mean_divergence", NEXT_SQL + f"""
+SELECT chain_id, product_id, {rs('avg(100 * abs(statistical - ml) / greatest(abs(statistical), 1e0))')} AS mean_divergence FROM paired GROUP BY ALL""")
 def mean_divergence(t: Tables):
-    recent = records(t).filter(F.col("period") > F.add_months(F.lit(ISSUE), -12))
-    return recent.groupBy(*CP).agg(rounded(F.avg(sel.divergence(F.col("statistical"), F.col("ml")))).alias("mean_divergence"))
+    """Over the twelve months after the issue month."""
+    d = sel.divergence(F.col("statistical"), F.col("ml"))
+    return future_records(t).groupBy(*CP).agg(rounded(snapped(F.avg(d))).alias("mean_divergence"))
 
 
 # Split, certification, recommendation ------------------------------------------------------
@@ -371,67 +382,64 @@ def split_counts(t: Tables):
     return labelled(t).groupBy("chain_id", "split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("period").alias("targets"))
 
 
-@query("b15_certified_metrics", with_(PANEL_BASE, PAIRS_SQL, SPLIT_SQL) + f"""
-SELECT a.*, d.certified_deterioration FROM (SELECT chain_id, model, {metric_sql('generic', 'certified_')} FROM lab WHERE split = 'certification' GROUP BY ALL) a
+LONG_SQL = """
+lrec AS (SELECT chain_id, product_id, period, horizon, actual, 'statistical' AS model, statistical AS forecast FROM rec
+  UNION ALL SELECT chain_id, product_id, period, horizon, actual, 'ml', ml FROM rec
+  UNION ALL SELECT chain_id, product_id, period, horizon, actual, 'ensemble', greatest(0e0, statistical * statistical_weight + ml * (1 - statistical_weight)) FROM rec JOIN bst USING (chain_id))
+"""
+HELD_SQL = SPLIT_SQL.split("lab AS")[0].strip() + """
+hrec AS (SELECT l.*, CASE WHEN l.period >= p.cert_start THEN 'certification' ELSE 'validation' END AS split FROM lrec l JOIN plan p USING (chain_id) WHERE l.period >= p.first_target)
+"""
+
+
+@query("b15_certified_metrics", BLENDED.rstrip() + "," + LONG_SQL.strip() + "," + HELD_SQL + f"""
+SELECT a.*, d.certified_deterioration FROM (SELECT chain_id, model, {metric_sql('generic', 'certified_')} FROM hrec WHERE split = 'certification' GROUP BY ALL) a
 LEFT JOIN (SELECT chain_id, model, CASE WHEN count(*) >= 2 THEN {r('greatest(0e0, arg_max(wape, period) - arg_min(wape, period))')} END AS certified_deterioration
-  FROM (SELECT chain_id, model, period, {metric_sql('generic')} FROM lab WHERE split = 'certification' GROUP BY ALL) WHERE wape IS NOT NULL GROUP BY ALL) d USING (chain_id, model)""")
+  FROM (SELECT chain_id, model, period, {metric_sql('generic')} FROM hrec WHERE split = 'certification' GROUP BY ALL) WHERE wape IS NOT NULL GROUP BY ALL) d USING (chain_id, model)""")
 def certified_metrics(t: Tables):
-    return sel.certified(labelled(t), ["chain_id", "model"])
+    long = blended(t).unpivot([*CP, "period", "horizon", "actual"], ["statistical", "ml", "ensemble"], "model", "forecast")
+    return sel.certified(sel.labelled_split(long, sel.split_plan(t.panel, ["chain_id"], ISSUE), ["chain_id"]), ["chain_id", "model"])
 
 
-@query("b12_pooled_winner", with_(PANEL_BASE, PAIRS_SQL) + f"""
-SELECT chain_id, product_id, model, wape, observations FROM (SELECT chain_id, product_id, model, {metric_sql('generic')} FROM lpairs GROUP BY ALL)
-WHERE observations >= 6 AND wape IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chain_id, product_id ORDER BY wape, abs(bias), model) = 1
-UNION ALL SELECT chain_id, 'ALL', model, wape, observations FROM (SELECT chain_id, model, {metric_sql('generic')} FROM lpairs GROUP BY ALL)
-QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY wape, abs(bias), model) = 1""")
+@query("b12_pooled_winner")
 def pooled_winner(t: Tables):
-    sets = [[F.col("chain_id"), F.col("product_id"), F.col("model")], [F.col("chain_id"), F.col("model")]]
-    scored = (
-        lpairs(t).groupingSets(sets, F.col("chain_id"), F.col("product_id"), F.col("model"))
-        .agg(*em.error_metrics(F.col("actual"), F.col("forecast"), "generic"))
-        .withColumn("product_id", F.coalesce("product_id", F.lit("ALL")))
-        .filter("wape IS NOT NULL AND (product_id = 'ALL' OR observations >= 6)")
-    )
-    order = F.struct(F.col("wape"), F.abs("bias"), F.col("model"))
-    best = scored.groupBy(*CP).agg(F.min_by(F.struct("model", "wape", "observations"), order).alias("w"))
-    return best.select(*CP, "w.*")
+    """The best pooled family of each chain (product ALL) and of each product with six observations, on the same records."""
+    long = family_records(t).filter(F.col("chain_id") != rec.TOTAL["chain_id"]).unpivot(
+        [*CP, "actual"], ["linear", "forest", "boosting"], "model", "forecast")
+    return sel.pooled_winner(long)
 
 
 REC_SQL = f"""
-fam AS (SELECT chain_id, product_id, period, horizon, actual, 'statistical' AS family, 'mean3' AS model, mean3 AS forecast FROM pairs
-  UNION ALL SELECT chain_id, product_id, period, horizon, actual, 'ml', 'last', last FROM pairs
-  UNION ALL SELECT chain_id, product_id, period, horizon, actual, 'ensemble', 'blend', greatest(0e0, mean3 * 0.5e0 + last * 0.5e0) FROM pairs),
-fm AS (SELECT chain_id, product_id, family, model, {metric_sql('generic')}, count(DISTINCT period) AS windows,
-   {r('100 * sum(abs(actual - forecast)) FILTER (WHERE horizon = 1) / nullif(sum(actual) FILTER (WHERE horizon = 1), 0)')} AS h1,
-   {r('100 * sum(abs(actual - forecast)) FILTER (WHERE horizon = 3) / nullif(sum(actual) FILTER (WHERE horizon = 3), 0)')} AS h3 FROM fam GROUP BY ALL),
-ok AS (SELECT f.*, b.wape AS bw, b.bias AS bb, b.stability AS bs, b.h1 AS bh1, b.h3 AS bh3, count(*) OVER (PARTITION BY f.chain_id, f.product_id) AS nc
+last_model AS (SELECT chain_id, product_id, arg_max(model, issue) AS name FROM rec GROUP BY ALL),
+fam AS (SELECT chain_id, product_id, period, horizon, actual, 'statistical' AS family, name AS model, statistical AS forecast FROM rec JOIN last_model USING (chain_id, product_id)
+  UNION ALL SELECT chain_id, product_id, period, horizon, actual, 'ml', 'linear', ml FROM rec
+  UNION ALL SELECT chain_id, product_id, period, horizon, actual, 'ensemble', 'blend', greatest(0e0, statistical * statistical_weight + ml * (1 - statistical_weight)) FROM rec JOIN bst USING (chain_id)),
+fm AS (SELECT chain_id, product_id, family, model, {metric_sql('generic')}, count(DISTINCT period) AS windows, count(DISTINCT horizon) AS horizons,
+   {', '.join(f"{r(f'100 * sum(abs(actual - forecast)) FILTER (WHERE horizon = {h}) / nullif(sum(actual) FILTER (WHERE horizon = {h}), 0)')} AS h{h}" for h in (1, 2, 3))} FROM fam GROUP BY ALL),
+ok AS (SELECT f.*, b.wape AS bw, b.bias AS bb, b.stability AS bs, b.h1 AS bh1, b.h2 AS bh2, b.h3 AS bh3, count(*) OVER (PARTITION BY f.chain_id, f.product_id) AS nc
   FROM fm f LEFT JOIN fm b ON b.chain_id = f.chain_id AND b.product_id = f.product_id AND b.family = 'statistical' AND b.observations >= 6
-  WHERE f.observations >= 6 AND f.wape IS NOT NULL AND (f.family <> 'ensemble' OR (f.observations >= 24 AND f.windows >= 3))),
+  WHERE f.observations >= 6 AND f.wape IS NOT NULL AND f.horizons = 12 AND (f.family <> 'ensemble' OR (f.observations >= 24 AND f.windows >= 3))),
 safe AS (SELECT *, CASE family WHEN 'statistical' THEN 0 WHEN 'ensemble' THEN 1 ELSE 2 END AS rf FROM ok WHERE family = 'statistical' OR bw IS NULL
-  OR NOT (abs(bias) > abs(bb) + 5 OR coalesce(h1 > bh1 + 2, false) OR coalesce(h3 > bh3 + 2, false) OR coalesce(stability > bs + 10, false))),
+  OR NOT (abs(bias) > abs(bb) + 5 OR coalesce(h1 > bh1 + 2, false) OR coalesce(h2 > bh2 + 2, false) OR coalesce(h3 > bh3 + 2, false) OR coalesce(stability > bs + 10, false))),
 top AS (SELECT *, count(*) OVER (PARTITION BY chain_id, product_id) AS ns FROM safe QUALIFY row_number() OVER (PARTITION BY chain_id, product_id ORDER BY wape, abs(bias), stability, rf) = 1),
-dec AS (SELECT t.chain_id, t.product_id, t.ns, t.nc, s.wape IS NOT NULL AND s.wape - t.wape < 0.25 AND t.family <> 'statistical' AS tie, t.family, t.model, t.wape, t.observations, t.windows,
+decided AS (SELECT t.chain_id, t.product_id, t.ns, t.nc, s.wape IS NOT NULL AND s.wape - t.wape < 0.25 AND t.family <> 'statistical' AS tie, t.family, t.model, t.wape, t.observations, t.windows,
   s.model AS smodel, s.wape AS swape, s.observations AS so, s.windows AS sw FROM top t LEFT JOIN safe s ON s.chain_id = t.chain_id AND s.product_id = t.product_id AND s.family = 'statistical')
 """
 
 
-@query("b16_recommendation", with_(PANEL_BASE, PAIRS_SQL, REC_SQL) + """
+@query("b16_recommendation", BLENDED.rstrip() + "," + REC_SQL + """
 SELECT chain_id, product_id, CASE WHEN tie THEN 'statistical' ELSE family END AS family, CASE WHEN tie THEN smodel ELSE model END AS model, CASE WHEN tie THEN swape ELSE wape END AS wape,
  CASE WHEN CASE WHEN tie THEN so ELSE observations END >= 24 AND CASE WHEN tie THEN sw ELSE windows END >= 3 AND nc > 1 THEN 'Alta' WHEN CASE WHEN tie THEN so ELSE observations END >= 12 AND nc > 1 THEN 'Media' ELSE 'Baja' END AS confidence,
- CASE WHEN ns = 1 THEN 'SUGGESTED_ONLY_ELIGIBLE' ELSE 'SUGGESTED_RETROSPECTIVE' END AS status, CASE WHEN nc > 1 THEN 'COMPARABLE' ELSE 'ONLY_ELIGIBLE_CANDIDATE' END AS comparison_status, tie AS practical_tie FROM dec""")
+ CASE WHEN ns = 1 THEN 'SUGGESTED_ONLY_ELIGIBLE' ELSE 'SUGGESTED_RETROSPECTIVE' END AS status, CASE WHEN nc > 1 THEN 'COMPARABLE' ELSE 'ONLY_ELIGIBLE_CANDIDATE' END AS comparison_status, tie AS practical_tie FROM decided""")
 def recommendation(t: Tables):
-    rows = records(t).select(
-        *CP, "period", "horizon", "actual",
-        F.inline(
-            F.array(
-                F.struct(F.lit("statistical").alias("family"), F.lit("mean3").alias("model"), F.col("statistical").alias("forecast")),
-                F.struct(F.lit("ml").alias("family"), F.lit("last").alias("model"), F.col("ml").alias("forecast")),
-                F.struct(
-                    F.lit("ensemble").alias("family"), F.lit("blend").alias("model"),
-                    sel.blend(F.col("statistical"), F.col("ml"), F.lit(0.5)).alias("forecast"),
-                ),
-            )
-        ),
+    rows = blended(t)
+    named = rows.groupBy(*CP).agg(F.max_by("model", "issue").alias("name"))
+    long = rows.drop("model").join(named, CP).select(
+        *CP, "issue", "period", "horizon", "actual",
+        F.inline(F.array(*[
+            F.struct(F.lit(family).alias("family"), model.alias("model"), F.col(family).alias("forecast"))
+            for family, model in (("statistical", F.col("name")), ("ml", F.lit("linear")), ("ensemble", F.lit("blend")))
+        ])),
     )
 
     def at(h: int):
@@ -439,10 +447,12 @@ def recommendation(t: Tables):
         e = F.sum(F.when(hit, F.abs(F.col("actual") - F.col("forecast"))))
         return rounded(F.try_divide(100 * e, F.sum(F.when(hit, F.col("actual")))))
 
-    scored = rows.groupBy(*CP, "family", "model").agg(
+    point = F.concat_ws(",", pr.label("issue"), pr.label("period"), F.col("horizon").cast("string"), F.col("actual").cast("string"))
+    scored = long.groupBy(*CP, "family", "model").agg(
         *em.error_metrics(F.col("actual"), F.col("forecast"), "generic"), F.count_distinct("period").alias("windows"),
-        at(1).alias("h1"), F.lit(None).cast("double").alias("h2"), at(3).alias("h3"),
-    ).withColumns({"signature": F.lit("same pairs"), "horizons": F.lit(12)})
+        *[at(h).alias(f"h{h}") for h in (1, 2, 3)], F.count_distinct("horizon").alias("horizons"),
+        F.sha2(F.array_join(F.array_sort(F.collect_set(point)), ";"), 256).alias("signature"),  # of at most folds x horizons rows
+    )
     return sel.recommend(scored, CP)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,10 +20,20 @@ METRICS = ["SALES", "ORDER", "DELIVERY"]
 class Tables:
     """Lazy access to one folder of parquet tables."""
 
+    # what was written to the checkpoint folder of this application: (application, folder, name) to its rows
+    stored: dict[tuple[str, str, str], DataFrame] = {}
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
 
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Rows that several queries read, written once per application and folder; the tables are taken as unchanging."""
+        key = (self.spark.sparkContext.applicationId, self.root, name)
+        if key not in self.stored:
+            self.stored[key] = build()
+        return self.stored[key]
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
