@@ -5,8 +5,13 @@ fingerprints within the radius are within t_i in at least one partition i (t_i =
 programming picks the thresholds, and the number of partitions, with the fewest estimated probes and candidates over
 all fingerprints. Each fingerprint is entered under every value within t_i of its own; entries that meet are compared
 in full. Large buckets are cut into blocks and every pair of blocks is one unit of work, so no task holds more than
-two blocks, and only links of a spanning forest leave a unit. Where links are to be verified on the texts, a second pass
-sends all pairs between what the verified links of the first have not joined.
+two blocks, and only links of a spanning forest leave a unit.
+
+Groups of similar texts are verified on the shingles. A similarity of 0.8 is about 39 of 256 differing bits, and no
+partition of the bits is selective at that distance. So the pigeonhole covers the closest pairs, and those further
+apart meet under a few least hashes of their shingles, as they share at least four fifths of these; all that meet are
+compared in Hamming distance. A first pass verifies the links of a spanning forest of close pairs, a second one all
+pairs between what the first has not joined.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from monthmill.llm.common import WORD, fold, lean, query, stored, table, texts, values
 from monthmill.llm.components import components
@@ -54,8 +59,12 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprint(text: str, width: int, words: int = 1) -> bytes:
+    return majority(shingle_hashes(text, width), words)
+
+
+def majority(hashes: np.ndarray, words: int) -> bytes:
     """`words` big-endian 64-bit fingerprints; a bit is 1 if it is set in over half of the hashes."""
-    hashes, out = shingle_hashes(text, width), b""
+    out = b""
     for k in range(words):
         ones = np.zeros(64, dtype=np.int64)
         for at in range(0, len(hashes), 1 << 15):
@@ -256,43 +265,86 @@ def unit_links(frame: pd.DataFrame, words: int, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"a": fp[np.concatenate([none, *a])], "b": fp[np.concatenate([none, *b])]})
 
 
-def unit_pairs(frame: pd.DataFrame, words: int, radius: int, groups: list[list[int]], thresholds: list[int]) -> Iterator[pd.DataFrame]:
-    """All pairs of whole units whose labels, the last 16 bytes, differ; a pair leaves one bucket only."""
+def pairs_within(size: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same unit, a few arrays at a time: small units by their distance, others row by row."""
+    unit = np.repeat(np.arange(len(size)), size)
+    small = size <= 48
+    at = np.flatnonzero(small[unit])
+    for d in range(1, int(size[small].max(initial=0))):
+        i = at[at + d < len(unit)]
+        i = i[unit[i] == unit[i + d]]
+        yield i, i + d
+    for f, n in zip(first[~small], size[~small]):
+        for a in range(f, f + n - 1):
+            b = np.arange(a + 1, f + n)
+            yield np.full(len(b), a), b
+
+
+def unit_pairs(frame: pd.DataFrame, words: int, radius: int) -> Iterator[pd.DataFrame]:
+    """All pairs of whole units within the radius whose labels, the last 16 bytes, differ."""
     size, fp = len(frame.fp.iloc[0]), frame.fp.to_numpy()
     whole = _matrix(frame.fp, size)
     x, label = whole[:, :8 * words].copy().view(np.uint64), whole[:, size - 16:].copy().view(np.uint64)
-    home, part = frame.home.to_numpy(), frame.part.to_numpy()
-    inside = np.zeros((len(groups), 64 * words), dtype=np.uint8)
-    for i, group in enumerate(groups):
-        inside[i, group] = 1
-    masks, most = np.packbits(inside, axis=1).view(np.uint64), np.array(thresholds)
+    home = frame.home.to_numpy()
     ids = frame[["part", "value", "lo", "hi"]].to_numpy()
     first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])
-    for f, stop in zip(first, np.r_[first[1:], len(x)]):
-        if (label[f:stop] == label[f]).all():
-            continue
-        for a in range(f, stop - 1):
-            b = np.arange(a + 1, stop)
-            b = b[(home[a] | home[b]) & (label[b] != label[a]).any(axis=1)]
-            b = b[np.bitwise_count(x[b] ^ x[a]).sum(axis=1) <= radius]
-            if not len(b):
-                continue
-            # where the pair first meets, under the value of the smaller
-            meets = np.bitwise_count((x[b] ^ x[a])[:, None, :] & masks).sum(axis=2) <= most
-            smaller = np.array([home[a] if fp[a] < fp[j] else home[j] for j in b])
-            b = b[(meets.argmax(axis=1) == part[a]) & smaller]
-            yield pd.DataFrame({"a": np.repeat(fp[a:a + 1], len(b)), "b": fp[b]})
+    for a, b in pairs_within(np.diff(np.r_[first, len(x)]), first):
+        other = (home[a] | home[b]) & (label[a] != label[b]).any(axis=1)
+        a, b = a[other], b[other]
+        near = np.bitwise_count(x[a] ^ x[b]).sum(axis=1) <= radius
+        if near.any():
+            yield pd.DataFrame({"a": fp[a[near]], "b": fp[b[near]]})
+
 
+LINK = "a binary, b binary"
+ENTRY = "part int, value long, home boolean, fp binary"
 
-def links(rows: DataFrame, words: int, radius: int, block: int = BLOCK, plan_: tuple | None = None) -> DataFrame:
-    """Links (a, b) that connect what the buckets connect; a unit holds at most two blocks.
 
-    With a plan, the partitions and thresholds of the entries, all pairs with different labels instead.
+def links(rows: DataFrame, words: int, radius: int, block: int = BLOCK, labelled: bool = False) -> DataFrame:
+    """Links (a, b) that connect what the buckets connect, or all pairs with different labels.
+
+    Entries are shuffled once, by bucket. What lies in a bucket of over `block` entries is handed on and cut into
+    blocks; a unit, and so a task, holds at most two of them.
     """
-    key = ["part", "value", "lo", "hi"]
+    bucket, key = ["part", "value"], ["part", "value", "lo", "hi"]
 
     def of(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        return unit_pairs(frame, words, radius, *plan_) if plan_ else iter([unit_links(frame, words, radius)])
+        return unit_pairs(frame, words, radius) if labelled else iter([unit_links(frame, words, radius)])
+
+    def spread_out(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Whole buckets: links of the small ones, the entries of the large ones."""
+        if not len(frame):
+            return
+        ids = frame[bucket].to_numpy()
+        first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])
+        size = np.repeat(np.diff(np.r_[first, len(frame)]), np.diff(np.r_[first, len(frame)]))
+        small = frame[(size > 1) & (size <= block)]
+        if len(small):
+            for found in of(small.assign(lo=0, hi=0).reset_index(drop=True)):
+                yield found.assign(part=None, value=None, home=None, fp=None)
+        if (size > block).any():
+            yield frame[size > block].assign(a=None, b=None)[["a", "b", *bucket, "home", "fp"]]
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, large = None, None
+        for frame in frames:
+            if large is not None:  # the rest of a bucket that is handed on
+                rest = (frame[bucket] == large).all(axis=1).to_numpy()
+                if rest.any():
+                    yield frame[rest].assign(a=None, b=None)[["a", "b", *bucket, "home", "fp"]]
+                frame = frame[~rest]
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not len(held):
+                continue
+            last = held[bucket].iloc[-1]
+            cut = int(np.argmax((held[bucket] == last).all(axis=1).to_numpy()))
+            yield from spread_out(held.iloc[:cut])
+            held = held.iloc[cut:]
+            if len(held) > block:
+                yield held.assign(a=None, b=None)[["a", "b", *bucket, "home", "fp"]]
+                held, large = None, last
+        if held is not None:
+            yield from spread_out(held)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -301,12 +353,16 @@ def links(rows: DataFrame, words: int, radius: int, block: int = BLOCK, plan_: t
             last = (held[key] == held[key].iloc[-1]).all(axis=1).to_numpy()
             cut = int(np.argmax(last))
             if cut:
-                yield from of(held.iloc[:cut])
+                yield from of(held.iloc[:cut].reset_index(drop=True))
                 held = held.iloc[cut:]
         if held is not None and len(held):
-            yield from of(held)
+            yield from of(held.reset_index(drop=True))
 
-    return units(rows, block).repartition(*key).sortWithinPartitions(*key).mapInPandas(lean(run), "a binary, b binary")
+    met = rows.repartition(*bucket).sortWithinPartitions(*bucket).mapInPandas(lean(meet), f"{LINK}, {ENTRY}")
+    met = stored(met, "met")
+    large = units(met.filter(F.col("fp").isNotNull()).select(*bucket, "home", "fp"), block)
+    return met.filter(F.col("a").isNotNull()).select("a", "b").union(
+        large.repartition(*key).sortWithinPartitions(*key).mapInPandas(lean(run), LINK))
 
 
 def near_groups(
@@ -345,61 +401,110 @@ def set_digest(distinct: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(distinct.tobytes(), SEED)
 
 
-def similar(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """The links (a, b) whose texts have shingle sets of a Jaccard similarity of at least `least`; ids end in the sets' digests."""
+def least_hashes(distinct: np.ndarray, keys: int) -> list[int]:
+    """The least of the shingles' hashes under each of `keys` independent hash functions; two sets agree in each with
+    the probability of their similarity."""
+    own = distinct.view(np.uint64)
+    return [int(mixed(own, 64 + k).min().view(np.int64)) if len(own) else 0 for k in range(keys)]
+
+
+def key_entries(nodes: DataFrame) -> DataFrame:
+    """Entries like those of the partitions, under the least hashes of a node's shingles."""
+    return nodes.select("fp", F.posexplode("mins").alias("k", "value")).select(
+        (F.lit(1000) + F.col("k")).cast("int").alias("part"), "value", F.lit(True).alias("home"), "fp")
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The links (a, b) whose texts have shingle sets of a Jaccard similarity of at least `least`; ids end in the sets' digests.
+
+    One text of each node in question is read again. Of a pair, the shingles of the node with fewer pairs travel to
+    the other, so those of a hub do not travel with each of its pairs.
+    """
     pairs = stored(pairs.select("a", "b").distinct(), "candidates")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    degree = stored(degree.join(nodes.select("fp", "key"), "fp"), "degrees")
     digest = lambda c: F.substring(c, -16, 16)
-    wanted = pairs.select(digest(F.col("a")).alias("digest")).union(pairs.select(digest(F.col("b")))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, width) for t in values(batch.column(1))]
-            columns = [pa.array([set_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["digest", "shingles"])
-
-    every = texts(docs).mapInArrow(lean(run), "digest binary, shingles array<long>")
-    sets = stored(every.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles")), "sets")
+            for at, text in enumerate(values(batch.column(1))):  # one text at a time: sets of long texts are large
+                x = shingle_set(text, width)
+                yield pa.RecordBatch.from_arrays([pa.array([set_digest(x)], pa.binary()), pa.array([x], pa.list_(pa.int64()))], ["digest", "shingles"])
+
+    wanted = docs.withColumn("_key", text_key()).join(degree.select(F.col("key").alias("_key")).distinct(), "_key", "left_semi")
+    every = texts(wanted).mapInArrow(lean(run), "digest binary, shingles array<long>")
+    sets = stored(every.groupBy("digest").agg(F.first("shingles").alias("shingles")), "sets")
+    n = degree.select("fp", "n")
+    oriented = (
+        pairs.join(n.withColumnsRenamed({"fp": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"fp": "b", "n": "nb"}), "b")
+        .select(F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("few"),
+                F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("many"))
+    )
     joined = (
-        pairs.join(sets.withColumnRenamed("shingles", "x"), digest(F.col("a")) == F.col("digest")).drop("digest")
-        .join(sets.withColumnRenamed("shingles", "y"), digest(F.col("b")) == F.col("digest")).drop("digest")
+        stored(oriented, "oriented").withColumn("_few", digest(F.col("few"))).join(sets.toDF("_few", "x"), "_few")
+        .withColumn("_many", digest(F.col("many"))).join(sets.toDF("_many", "y"), "_many")
     )
     both = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - both
-    return stored(joined.filter((F.size("x") == 0) & (F.size("y") == 0) | (both >= least * union)).select("a", "b"), "verified")
+    similar_ = (F.size("x") == 0) & (F.size("y") == 0) | (both >= least * union)
+    return stored(joined.filter(similar_).select(F.col("few").alias("a"), F.col("many").alias("b")), "verified")
 
 
 def similar_groups(
-    docs: DataFrame, width: int, radius: int, words: int = 1, reach: int | None = None,
-    choices: tuple[int, ...] = (2, 3, 4), block: int = BLOCK, least: float = 0.8,
+    docs: DataFrame, width: int, radius: int, words: int = 4, reach: int = 12, choices: tuple[int, ...] = (13,), block: int = BLOCK,
+    least: float = 0.8, near: int = 30, keys: int = 4,
 ) -> DataFrame:
-    """Like `near_groups` (doc_id, component_id), but links join only if the texts' distinct shingles are similar.
-
-    Rows with equal fingerprint and shingle set are one node. Links of a spanning forest are verified first; then all
-    links between the components that these leave, so the components are those of all verified links.
+    """One row per input row: doc_id, component_id (smallest doc_id reachable by links, itself included).
+
+    Two texts are linked if the sets of their shingles have a Jaccard similarity of at least `least` (0.8) and their
+    fingerprints differ in at most `radius` bits, and they meet: within `reach` bits they always do, beyond it if one
+    of `keys` least hashes agrees, which at a similarity of 0.8 fails in 0.2 ** keys of the pairs. What is found does
+    not depend on the size of the corpus. Null texts count as empty; texts without words are one group. Rows with equal
+    shingle sets are one node. A null doc_id counts last, so it is the component only of a group without any other id;
+    repeated rows belong to one group. An empty table gives no rows. Links of at most `near` bits that span what they
+    connect are verified first, then all pairs between the groups that these leave.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [fingerprint(t, width, words) + set_digest(shingle_set(t, width)) for t in values(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "fp"])
-
-    rows = stored(texts(docs).mapInArrow(lean(run), "doc_id long, fp binary"), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+            ids, mins = [], []
+            for text in values(batch.column(1)):
+                hashes = shingle_hashes(text, width)
+                own = np.unique(hashes).view(np.int64)
+                ids.append(majority(hashes, words) + set_digest(own))
+                mins.append(least_hashes(own, keys))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "mins"])
+
+    read = texts(docs.withColumn("_key", text_key()), "_key")
+    rows = stored(read.mapInArrow(lean(run), "doc_id long, key long, fp binary, mins array<long>"), "fingerprints")
+    # equal sets of shingles with different repeats have different fingerprints: the least one stands for the set
+    own = F.substring("fp", -16, 16)
+    nodes = stored(rows.groupBy(own.alias("digest")).agg(
+        F.min("doc_id").alias("least"), F.min(F.struct("fp", "key", "mins")).alias("n")).select("digest", "least", "n.*"), "nodes")
     if nodes.isEmpty():
         return rows.select("doc_id", F.col("doc_id").alias("component_id"))
     bits, size = 64 * words, 8 * words + 16
-    plan_ = plan(nodes.select("fp"), bits, radius if reach is None else reach, choices)
-    kept = similar(links(entries(nodes.select("fp"), bits, *plan_), words, radius, block), docs, width, least)
+    plan_ = plan(nodes.select("fp"), bits, reach, choices)
+
+    def entered(labelled: DataFrame) -> DataFrame:
+        return entries(labelled.select("fp"), bits, *plan_).unionByName(key_entries(labelled))
+
+    kept = similar(links(entered(nodes), words, near, block), nodes, docs, width, least)
     parts = components(kept).withColumnRenamed("node", "fp")
-    labelled = nodes.select("fp").join(parts, "fp", "left").select(
-        F.concat("fp", F.unhex(F.md5(F.coalesce("component", "fp")))).alias("fp"))
-    labelled = stored(labelled, "labelled")
-    more = links(entries(labelled, bits, *plan_), words, radius, block, plan_)
-    more = similar(more.select(*[F.substring(c, 1, size).alias(c) for c in ("a", "b")]), docs, width, least)
+    labelled = nodes.select("fp", "mins").join(parts, "fp", "left").select(
+        F.concat("fp", F.unhex(F.md5(F.coalesce("component", "fp")))).alias("fp"), "mins")
+    more = links(entered(stored(labelled, "labelled")), words, radius, block, labelled=True)
+    more = similar(more.select(*[F.substring(c, 1, size).alias(c) for c in ("a", "b")]), nodes, docs, width, least)
     parts = components(kept.union(more)).withColumnRenamed("node", "fp")
-    nodes = stored(nodes.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "components")
+    nodes = stored(nodes.join(parts, "fp", "left").select("digest", "fp", "least", F.coalesce("component", "fp").alias("component")), "components")
     heads = stored(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "heads")
-    return rows.join(nodes.join(heads, "component").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    named = nodes.join(heads, "component").select("digest", "component_id")
+    return rows.select("doc_id", own.alias("digest")).join(named, "digest").select("doc_id", "component_id")
 
 
 @query("op8_simhash")

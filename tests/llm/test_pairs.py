@@ -132,24 +132,64 @@ def test_decontaminate_against_brute_force(spark):
     assert decontaminate.find_items(documents(spark, rows[:3]), benchmark.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("m", corpus_pipeline.NEAR["choices"])
-def test_pipeline_links_up_to_the_radius(spark, m):
-    """Pairs at every distance up to the radius meet with every number of partitions the plan may choose."""
-    near = corpus_pipeline.NEAR
-    assert near["reach"] == near["radius"] == 40
-    rng = np.random.default_rng(m)
+def similar_sets(rng, n, similarity):
+    """Two word lists whose sets of five-word shingles have about the similarity: one has a changed stretch."""
+    text = ["w%d" % rng.randrange(10 ** 6) for _ in range(n)]
+    changed = max(1, round(n * (1 - similarity) / (1 + similarity)) - 4)
+    at = rng.randrange(n - changed)
+    return " ".join(text), " ".join(text[:at] + ["v%d" % rng.randrange(10 ** 6) for _ in range(changed)] + text[at + changed:])
+
+
+@pytest.mark.parametrize("band", [0.80, 0.82, 0.85, 0.90])
+def test_pairs_of_every_band_are_found(spark, band):
+    """Of pairs of similarity 0.8 and more, nine of ten or more are joined, in each band and for short and long texts."""
+    rng, rows, wanted = random.Random(int(100 * band)), [], []
+    for k in range(240):
+        for _ in range(200):
+            a, b = similar_sets(rng, (60, 200, 900)[k % 3], band + 0.01)
+            x, y = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
+            if band <= len(x & y) / len(x | y) < band + 0.04:
+                break
+        else:
+            continue
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        wanted.append(k)
+    assert len(wanted) > 150
+    out = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, rows), **corpus_pipeline.NEAR).collect()}
+    found = sum(out[2 * k + 1] == 2 * k for k in wanted)
+    assert found >= 0.95 * len(wanted)
+    assert all(c // 2 == i // 2 for i, c in out.items())
+
+
+def test_close_fingerprints_meet_without_a_shared_key(spark):
+    """Pairs at every distance up to the reach are found by the partitions alone."""
+    rng, reach = np.random.default_rng(4), 12
     pairs = []
-    for k in range(82):
+    for k in range(52):
         a = rng.integers(0, 2, 256, dtype=np.uint8)
         b = a.copy()
-        b[rng.choice(256, k % 41, replace=False)] ^= 1
+        b[rng.choice(256, k % 13, replace=False)] ^= 1
         pairs.append((np.packbits(a).tobytes(), np.packbits(b).tobytes()))
     fps = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p})], "fp binary")
-    groups_, thresholds = simhash.plan(fps, 256, near["reach"], (m,))
-    found = {frozenset((bytes(r.a), bytes(r.b))) for r in simhash.links(simhash.entries(fps, 256, groups_, thresholds), 4, 40).collect()}
+    groups_, thresholds = simhash.plan(fps, 256, reach, (13,))
+    found = {frozenset((bytes(r.a), bytes(r.b))) for r in simhash.links(simhash.entries(fps, 256, groups_, thresholds), 4, 52).collect()}
     assert {frozenset(p) for p in pairs if p[0] != p[1]} <= found
 
 
+@pytest.mark.parametrize("block", [3, 40, 4096])
+def test_buckets_of_any_size_are_handed_on_whole(spark, block):
+    """A bucket larger than a block, over several batches, gives the same pairs as a small one."""
+    rng = np.random.default_rng(6)
+    rows = [(0, 5, True, rng.bytes(8) + bytes(15) + bytes([k % 3])) for k in range(120)]
+    rows += [(0, 6 + k // 2, True, rng.bytes(8) + bytes(15) + bytes([k % 2])) for k in range(60)]
+    df = spark.createDataFrame(rows, simhash.ENTRY)
+    got = {frozenset((bytes(r.a), bytes(r.b))) for r in simhash.links(df, 1, 24, block, labelled=True).collect()}
+    number = lambda f: int.from_bytes(f[:8], "big")
+    want = {frozenset((a[3], b[3])) for i, a in enumerate(rows) for b in rows[:i]
+            if a[1] == b[1] and a[3][8:] != b[3][8:] and (number(a[3]) ^ number(b[3])).bit_count() <= 24}
+    assert got == want and len(want) > 20
+
+
 @pytest.mark.parametrize("block", [3, 4096])
 def test_similar_groups_against_brute_force(spark, block):
     """Components of the pairs within the radius whose shingle sets are similar, and of no others."""
@@ -169,7 +209,7 @@ def test_similar_groups_against_brute_force(spark, block):
     sets = {i: set(simhash.shingle_hashes(t or "", 5).tolist()) for i, t in rows}
 
     def close(i, j):
-        return (fps[i] ^ fps[j]).bit_count() <= 40
+        return (fps[i] ^ fps[j]).bit_count() <= near["radius"]
 
     def alike(i, j):
         return sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])

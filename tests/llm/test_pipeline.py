@@ -45,19 +45,26 @@ def test_stages(spark, tables):
     assert all(r.parity and r.round_trip for r in final.values())
 
 
-def test_stages_against_brute_force(spark, tables):
+def test_near_duplicates_against_all_pairs(spark, tables):
+    """The stage as it runs: of every group linked by a shingle similarity of 0.8 the smallest id stays, and nothing else goes."""
     docs = spark.read.parquet(f"{tables}/documents.parquet")
-    groups = simhash.near_groups(docs, **corpus_pipeline.NEAR).collect()
-    fps = {(r.doc_id, i): int.from_bytes(simhash.fingerprint(r.text or "", 5, 4), "big") for i, r in enumerate(docs.collect())}
-    component = {r.doc_id: r.component_id for r in groups if r.doc_id is not None}
-    for (a, _), x in fps.items():
-        for (b, _), y in fps.items():
-            if a is not None and b is not None and (x ^ y).bit_count() <= corpus_pipeline.NEAR["reach"]:
-                assert component[a] == component[b]
-    # nobody is in a group without a neighbour within the radius
-    for (a, i), x in fps.items():
-        if a is not None and component[a] != a:
-            assert any((x ^ y).bit_count() <= corpus_pipeline.NEAR["radius"] for (b, j), y in fps.items() if j != i)
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before, out = out, stage(spark, out, tables).cache()
+    rows = [(r.doc_id, set(simhash.shingle_hashes(r.text or "", 5).tolist())) for r in before.collect()]
+    label = list(range(len(rows)))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    place = {i: n for n, i in enumerate(order)}
+    label = [place[i] for i in range(len(rows))]
+    alike = [[i == j or rows[i][1] == rows[j][1] or len(rows[i][1] & rows[j][1]) >= 0.8 * len(rows[i][1] | rows[j][1])
+              for j in range(len(rows))] for i in range(len(rows))]
+    while True:
+        new = [min(label[j] for j in range(len(rows)) if alike[i][j]) for i in range(len(rows))]
+        if new == label:
+            break
+        label = new
+    want = sorted(str(rows[i][0]) for i in range(len(rows)) if rows[i][0] is None or rows[order[label[i]]][0] == rows[i][0])
+    assert sorted(str(r.doc_id) for r in out.select("doc_id").collect()) == want
 
 
 def test_run_and_empty_tables(spark, tables, tmp_path):
