@@ -2,10 +2,14 @@
 
 The CGK walk reads a text with a pointer that moves on or stays by a random bit of the step and the symbol, and turns
 a small edit distance into a small Hamming distance. Windows start at anchors: places whose eight bytes are those at an
-anchor word of some item, a rare and long word of each of `anchors` stretches of the item. Each table samples a few places of the walk; a
-document window that shares a table's key with an item window is a candidate, and the whole item is then searched for
-around it with the exact edit distance. Tables are added until edited copies of the items themselves are found with
-the target recall. The benchmark is the query set: it is taken in blocks, and all documents are read for each block.
+anchor of some item, up to `anchors` words of it, so all words of an ordinary item; in scripts without blanks every
+character begins a word. Each table samples a few places of the walk; a document window that shares a table's key with
+an item window is a candidate. Candidates of an item that lie close together are one stretch; a stretch that holds two
+thirds of the runs of five characters that so many random edits leave is searched with the exact edit distance. Tables
+are added until copies of the items with as many edits as the search allows are found, runs counted, with the target
+recall, else it is an error. Short items
+are found through pieces of which one must be intact. The benchmark is the query set: it is taken in blocks, and all
+documents are read for each block.
 """
 
 from __future__ import annotations
@@ -14,14 +18,16 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from monthmill.llm.common import fold, lean, query, table, texts
 
-LEAST, MAX_EDITS, DESIGN_EDITS, RECALL = 24, 0.2, 0.1, 0.95
-BLOCK_ITEMS, ANCHORS, SAMPLED, CHUNK = 2000, 8, 4, 200_000
+SHORT, MAX_EDITS, RECALL = 40, 0.2, 0.95
+BLOCK_ITEMS, ANCHORS, SAMPLED, CHUNK, MOST_TABLES = 2000, 64, 4, 200_000, 64
+GRAM, LEFT = 5, 0.65
 STEPS = (128, 32)  # lengths of the long and the short walk; a walk reads about half as many symbols
 LUT_BITS = 20
 
@@ -32,9 +38,9 @@ def normal(text: str) -> str:
 
 
 def starts(data: np.ndarray) -> np.ndarray:
-    """Positions of the first byte of each word."""
+    """Positions of the first byte of each word, and of each character of the scripts that take three bytes or four."""
     word = data > 32
-    return np.flatnonzero(word & ~np.r_[False, word[:-1]])
+    return np.flatnonzero(word & ~np.r_[False, word[:-1]] | (data >= 0xE0))
 
 
 def prefixes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -75,7 +81,7 @@ class Embedding:
         out = []
         for r in rows:
             key = prefix.copy()
-            for s in r:
+            for s in r:  # the prefix and SAMPLED symbols fit into 52 bits
                 key = (key << 8) | symbols[s]
             out.append(key)
         return np.array(out)
@@ -88,8 +94,9 @@ class Embedding:
 class ItemTables:
     """Keys of the items' windows, table by table."""
 
-    def __init__(self, items: list[tuple[int, str]], anchors: int, recall: float):
-        self.items = items
+    def __init__(self, items: list[tuple[int, str]], anchors: int, recall: float, max_edits: float):
+        self.items, self.max_edits = items, max_edits
+        self.runs = [grams(text) for _, text in items]
         self.data = [padded(t.encode()) for _, t in items]
         every = [(starts(d), d) for d in self.data]
         seen = Counter(h for at, d in every for h in set(prefixes(d, at).tolist()))
@@ -101,7 +108,9 @@ class ItemTables:
             for part in np.array_split(np.arange(len(at)), min(anchors, len(at))):
                 self.windows.append((i, int(at[min(part, key=lambda j: (seen[hashes[j]], -sizes[j]))])))
         self.tables, found = 0, 0.0
-        while found < recall and self.tables < 64:
+        while items and found < recall:
+            if self.tables == MOST_TABLES:
+                raise ValueError(f"{MOST_TABLES} tables find {found:.2f} of the edited items, {recall} are wanted: allow fewer edits or more anchors")
             self.tables += 4
             self.embedding = Embedding(self.tables)
             self.build()
@@ -141,18 +150,24 @@ class ItemTables:
         return out
 
     def simulated(self) -> float:
-        """Share of items found in a copy with DESIGN_EDITS random edits."""
+        """Share of items found in a copy with max_edits random edits."""
         rng, hit = np.random.default_rng(5), 0
         sample = range(0, len(self.items), max(1, len(self.items) // 200))
         for i in sample:
             text = list(self.items[i][1])
-            for _ in range(int(DESIGN_EDITS * len(text))):
+            for _ in range(int(self.max_edits * len(text))):
                 p, kind = int(rng.integers(len(text))), int(rng.integers(3))
                 text[p:p + (kind != 1)] = [] if kind == 2 else ["abcdefghijklmnopqrstuvwxyz "[int(rng.integers(27))]]
-            found = self.candidates(padded(normal("".join(text)).encode()))
-            hit += any(self.windows[w][0] == i for _, w in found)
+            copy = normal("".join(text))
+            found = self.candidates(padded(copy.encode()))
+            hit += any(self.windows[w][0] == i for _, w in found) and self.alike(i, copy)
         return hit / max(1, len(sample))
 
+    def alike(self, i: int, part: str) -> bool:
+        """Whether a part of a text holds enough of an item's runs for an edited copy."""
+        runs = self.runs[i]
+        return len(runs & grams(part)) >= LEFT * (1 - self.max_edits) ** GRAM * len(runs)
+
 
 def edits_within(item: str, text: str, most: int) -> int | None:
     """Least edit distance of the item to any part of the text, if at most `most` (bit-parallel columns)."""
@@ -174,45 +189,106 @@ def edits_within(item: str, text: str, most: int) -> int | None:
     return best if best <= most else None
 
 
+def grams(text: str) -> set[str]:
+    return {text[i:i + GRAM] for i in range(len(text) - GRAM + 1)}
+
+
+class Pieces:
+    """Short items, found by pieces: of one more pieces than edits, one is intact."""
+
+    def __init__(self, items: list[tuple[int, str]], max_edits: float):
+        self.items, self.automaton = items, ahocorasick.Automaton()
+        at: dict[str, list[tuple[int, int]]] = {}
+        for i, (_, text) in enumerate(items):
+            parts = int(max_edits * len(text)) + 1
+            for k in range(parts):
+                first = k * len(text) // parts
+                at.setdefault(text[first:(k + 1) * len(text) // parts], []).append((i, first))
+        for piece, places in at.items():
+            self.automaton.add_word(piece, (len(piece), places))
+        if at:
+            self.automaton.make_automaton()
+
+    def places(self, text: str) -> Iterator[tuple[int, int]]:
+        """(item, where it would begin)."""
+        for last, (size, places) in self.automaton.iter(text) if self.items else ():
+            for i, first in places:
+                yield i, last + 1 - size - first
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, anchors: int = ANCHORS,
-               recall: float = RECALL, block: int = BLOCK_ITEMS, least: int = LEAST) -> DataFrame:
+               recall: float = RECALL, block: int = BLOCK_ITEMS, short: int = SHORT) -> DataFrame:
     """(doc_id, item_id, edits): items that a document holds with at most max_edits edits per code point of the item.
 
     Texts are compared with A-Z lower-cased and white space as single blanks; an item may lie anywhere in a whole
-    text. Items of fewer than `least` code points, null ones among them, are not searched for. Null and empty texts
-    hold nothing. Repeated rows of a document or an item count once; null ids come back as null. Without items, or
-    documents, there are no rows.
+    text. Items of fewer than `short` code points are all found, longer ones with `recall` or more at the largest
+    number of random edits; a ValueError says that this cannot be reached. Null and empty items are held by no text,
+    null and empty texts hold nothing. Repeated rows of a document or an item count once; null ids come back as null.
+    Without items, or documents, there are no rows.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, edits int"
     found = spark.createDataFrame([], schema)
     rows = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).distinct().toLocalIterator()
-    usable = ((r.item_id, t) for r in rows if len(t := normal(r.text)) >= least)
+    usable = ((r.item_id, t) for r in rows if (t := normal(r.text)))
     base = texts(docs)
     while items := list(islice(usable, block)):
-        found = found.union(base.mapInArrow(lean(search(ItemTables(items, anchors, recall), max_edits)), schema))
+        long = ItemTables([x for x in items if len(x[1]) >= short], anchors, recall, max_edits)
+        found = found.union(base.mapInArrow(lean(search(long, [x for x in items if len(x[1]) < short], max_edits)), schema))
     return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 
-def search(tables: ItemTables, max_edits: float):
-    def verified(text: str, at: list[tuple[int, int]]) -> dict[int, int]:
-        raw, out, tried = text.encode(), {}, set()
+def stretches(begins: list[int], size: int, most: int) -> Iterator[tuple[int, int]]:
+    """Parts of a text in which an item may lie, from where it would begin; those that overlap are one."""
+    first, last = None, 0
+    for begin in sorted(set(begins)):
+        low, high = max(0, begin - most), max(0, begin + size + most)
+        if first is not None and low <= last:
+            last = high
+            continue
+        if first is not None:
+            yield first, last
+        first, last = low, high
+    if first is not None:
+        yield first, last
+
+
+def search(tables: ItemTables, short: list[tuple[int, str]], max_edits: float):
+    def least(text: str, item: str, begins: list[int], long: int | None = None) -> int | None:
+        most, best = int(max_edits * len(item)), None
+        for low, high in stretches(begins, len(item), most):
+            part = text[low:high]
+            if long is not None and not tables.alike(long, part):
+                continue
+            edits = edits_within(item, part, most if best is None else best)
+            if edits is not None:
+                best = edits if best is None else min(best, edits)
+            if best == 0:
+                break
+        return best
+
+    def long_items(text: str, raw: bytes, at: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        begins: dict[int, list[int]] = {}
         for position, w in at:
             i, offset = tables.windows[w]
-            item = tables.items[i][1]
-            most = int(max_edits * len(item))
-            begin = len(raw[:position].decode()) - len(bytes(tables.data[i][:offset]).decode())
-            if (i, begin) in tried:
-                continue
-            tried.add((i, begin))
-            if out.get(i) == 0:
-                continue
-            edits = edits_within(item, text[max(0, begin - most):max(0, begin + len(item) + most)], most)
+            before = len(bytes(tables.data[i][:offset]).decode())
+            begins.setdefault(i, []).append(len(raw[:position].decode()) - before)
+        for i, places in begins.items():
+            edits = least(text, tables.items[i][1], places, i)
             if edits is not None:
-                out[i] = min(edits, out.get(i, edits))
-        return out
+                yield tables.items[i][0], edits
+
+    def short_items(pieces: Pieces, text: str) -> Iterator[tuple[int, int]]:
+        begins: dict[int, list[int]] = {}
+        for i, begin in pieces.places(text):
+            begins.setdefault(i, []).append(begin)
+        for i, places in begins.items():
+            edits = least(text, short[i][1], places)
+            if edits is not None:
+                yield short[i][0], edits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(short, max_edits)
         for batch in batches:
             ids, whole = batch.column(0).to_pylist(), batch.column(1)
             for first, part in groups(whole):
@@ -220,12 +296,12 @@ def search(tables: ItemTables, max_edits: float):
                 raw = [t.encode() for t in clean]
                 bounds = np.cumsum([0, *(len(r) + 1 for r in raw)])
                 hits: dict[int, list] = {}
-                for position, w in sorted(tables.candidates(padded(b"\0".join(raw) + b"\0"))):
+                for position, w in sorted(tables.candidates(padded(b"\0".join(raw) + b"\0"))) if tables.items else ():
                     d = int(np.searchsorted(bounds, position, "right")) - 1
                     hits.setdefault(d, []).append((position - int(bounds[d]), w))
-                out = [
-                    (ids[first + d], tables.items[i][0], e) for d, at in hits.items() for i, e in verified(clean[d], at).items()
-                ]
+                out = [(ids[first + d], item, e) for d, at in hits.items() for item, e in long_items(clean[d], raw[d], at)]
+                if short:
+                    out += [(ids[first + d], item, e) for d, text in enumerate(clean) for item, e in short_items(pieces, text)]
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32()))],

@@ -115,23 +115,58 @@ def test_decontaminate_against_brute_force(spark):
     rows = [(i, say(rng.randint(0, 60))) for i in range(40)]
     rows += [(100 + i, say(15) + "\n" + edited(t, 0.06) + "  " + say(9)) for i, t in items]
     rows += [(200, items[0][1]), (200, items[0][1]), (None, say(5) + " " + items[1][1]), (300, None), (301, ""), (302, "x" * 50000)]
-    benchmark = spark.createDataFrame([(i, t, 1) for i, t in items + [(50, None), (51, "too short"), (0, items[0][1])]], "item_id long, text string, edits int")
+    short = [(51, "too short"), (52, "Qx"), (53, "a phrase of thirty characters")]
+    rows += [(210, "this is  TOO  sho\trt, or toshort"), (211, say(4) + " a phrase ofthirtyy charakters " + say(3)), (212, "qx")]
+    benchmark = spark.createDataFrame([(i, t, 1) for i, t in items + short + [(50, None), (54, " "), (0, items[0][1])]], "item_id long, text string, edits int")
     got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find_items(documents(spark, rows), benchmark, block=7).collect()}
     want = {}
-    for d, t in rows[:-1]:
+    for d, t in rows:
+        if d == 302:
+            continue
         text = decontaminate.normal(t or "")
-        for i, item in items:
+        for i, item in items + short:
             q = decontaminate.normal(item)
             e = distance(q, text)
             if e <= int(0.2 * len(q)):
                 want[(d, i)] = e
     assert set(got) <= set(want)
-    assert len(set(got)) >= 0.95 * len(want) and {(200, 0), (None, 1)} <= set(got)
+    assert len(set(got)) >= 0.95 * len(want) and {(200, 0), (None, 1), (210, 51), (211, 53), (212, 52)} <= set(got)
+    assert {k for k in want if k[1] > 50} <= set(got)  # short items are found exactly
     assert all(got[k] == want[k] for k in got)
     assert decontaminate.find_items(documents(spark, []), benchmark).collect() == []
     assert decontaminate.find_items(documents(spark, rows[:3]), benchmark.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("share,least", [(0.1, 0.98), (0.15, 0.95), (0.2, 0.9)])
+def test_edited_items_are_found_up_to_the_limit(share, least):
+    """Copies with as many random edits as the search allows, inside other text, in blanks and in scripts without."""
+    rng = random.Random(int(100 * share))
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    say = lambda k: " ".join(rng.choice(vocabulary) for _ in range(k))
+    signs = [chr(0x4E00 + i) for i in range(600)]
+    items = [(i, say(rng.randint(20, 50))) for i in range(120)] + [(200 + i, "".join(rng.choice(signs) for _ in range(120))) for i in range(20)]
+    tables = decontaminate.ItemTables(items, decontaminate.ANCHORS, decontaminate.RECALL, decontaminate.MAX_EDITS)
+    run, docs = decontaminate.search(tables, [], decontaminate.MAX_EDITS), []
+    for i, text in items:
+        out = list(text)
+        for p in rng.sample(range(len(out)), int(share * len(out))):
+            out[p] = rng.choice(["", "z", out[p] + "q", "k"])
+        docs.append((i, say(30) + " " + "".join(out) + " " + say(20)))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], ["doc_id", "text"])
+    found = {(r["doc_id"], r["item_id"]) for b in run([batch]) for r in b.to_pylist()}
+    within = [(i, i) for (i, t), (_, d) in zip(items, docs)
+              if decontaminate.edits_within(decontaminate.normal(t), decontaminate.normal(d), int(0.2 * len(decontaminate.normal(t)))) is not None]
+    assert len(within) >= 120 and len(found & set(within)) >= least * len(within)
+    assert found <= set(within)
+
+
+def test_an_unreachable_recall_is_an_error():
+    with pytest.raises(ValueError, match="tables find"):
+        decontaminate.ItemTables([(i, "word" + " longer words here %d" % i * 4) for i in range(30)], 1, 0.99, 0.45)
+
+
 def similar_sets(rng, n, similarity):
     """Two word lists whose sets of five-word shingles have about the similarity: one has a changed stretch."""
     text = ["w%d" % rng.randrange(10 ** 6) for _ in range(n)]
