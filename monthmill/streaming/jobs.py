@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from monthmill.sources.monthly_files import append_versions, parse_monthly
@@ -30,19 +32,78 @@ def ingest_monthly(stream: DataFrame, profile: dict[str, str], facts_path: str,
     return stream.writeStream.foreachBatch(write)
 
 
-def corrections(stream: DataFrame, event_id: str, event_time: str, delay: str) -> DataFrame:
-    """Late corrections, each counted once within the watermark."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([event_id])
+# State of a fact: the version in force, and the ids of all versions seen, so that a repeated file changes nothing.
+IN_FORCE = "at timestamp, id long, value long, seen array<long>"
+
+
+def changes(stream: DataFrame, keys: list[str], at: str, version: str, value: str) -> DataFrame:
+    """keys, old, new, added: how each micro-batch changes the version in force of a fact.
+
+    The version with the latest time, then the largest id, is in force, in whatever order versions arrive. `value` is a
+    whole number (hundredths, say), so sums of it are exact. `old` is null for a fact seen for the first time; old and
+    new are equal if only older versions arrived; a version that arrives again is not counted. State is kept for each
+    fact, so neither the facts nor earlier batches are read again.
+    """
+    names = [*keys, "old", "new", "added"]
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = tuple(state.get) if state.exists else (None, None, None, [])
+        seen, best = set(held[3] if held[3] is not None else []), held[:3] if state.exists else None
+        old, added = best[2] if best else None, 0
+        for frame in frames:
+            for when, number, amount in zip(frame[at], frame[version].tolist(), frame[value].tolist()):
+                if number in seen:
+                    continue
+                seen.add(number)
+                added += 1
+                if best is None or (pd.Timestamp(when), number) > (pd.Timestamp(best[0]), best[1]):
+                    best = (when, number, amount)
+        state.update((pd.Timestamp(best[0]).to_pydatetime(), int(best[1]), int(best[2]), sorted(seen)))
+        if added:
+            yield pd.DataFrame({n: [v] for n, v in zip(names, [*key, old, int(best[2]), added])}).astype({"old": "Int64"})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.select(*keys).schema)
+    return stream.select(*keys, at, version, value).groupBy(*keys).applyInPandasWithState(
+        update, f"{kinds}, old long, new long, added long", IN_FORCE, "update", GroupStateTimeout.NoTimeout)
+
+
+def retractions(changed: DataFrame, forecasts: DataFrame, scope: list[str], forecast: str) -> DataFrame:
+    """scope and what its sums change by: the old version's share is taken back, the new one's is added.
+
+    `forecasts` are frozen, one for each scope; facts without one are not scored.
+    """
+    joined = changed.join(forecasts, scope)
+
+    def share(value: Column, of: Column) -> Column:
+        return F.sum(F.when(value.isNotNull(), of).otherwise(0))
+
+    old, new, f = F.col("old"), F.col("new"), F.col(forecast)
+    return joined.groupBy(*scope).agg(
+        F.sum(F.when(old.isNull(), 1).otherwise(0)).alias("facts"), F.sum("added").alias("versions"),
+        (F.sum(new) - share(old, old)).alias("actual"), (F.sum(F.abs(new - f)) - share(old, F.abs(old - f))).alias("error"),
+        (F.sum(new - f) - share(old, old - f)).alias("bias"),
+    )
+
 
+def rescore(
+    stream: DataFrame, keys: list[str], at: str, version: str, value: str, forecasts: DataFrame, scope: list[str], forecast: str, path: str
+) -> DataStreamWriter:
+    """Keeps the error sums of frozen forecasts up to date as facts and corrections arrive, late ones included.
 
-def rescore(stream: DataFrame, keys: list[str], score: Callable[[DataFrame], DataFrame], path: str) -> DataStreamWriter:
-    """Recompute only the facts a batch touched; `score` maps the touched keys to result rows."""
+    Each micro-batch writes what it changes, one row for each scope it touches, to a folder of its own; a batch that is
+    repeated overwrites it. `scores` adds them up.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select(*keys).distinct()
-        score(touched).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        retractions(batch, forecasts, scope, forecast).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(write)
+    return changes(stream, keys, at, version, value).writeStream.outputMode("update").foreachBatch(write)
+
+
+def scores(spark: SparkSession, path: str, scope: list[str]) -> DataFrame:
+    """The error sums of each scope over all batches so far."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows.groupBy(*scope).agg(*[F.sum(c).alias(c) for c in ("facts", "versions", "actual", "error", "bias")])
 
 
 def running_totals(stream: DataFrame, event_time: str, value: str, keys: list[str], window: str = "1 day", delay: str = "1 day") -> DataFrame:

@@ -357,3 +357,46 @@ def test_importance_names_products(spark):
         out = pooled.importance(fit(data), pooled.column_names(rows, ["u", "v"], "key")).orderBy(F.desc("importance"), "feature").collect()
         assert {r.feature for r in out} == {"u", "v", *[f"product:s{i}" for i in range(6)]}
         assert out[0].feature == "product:s4" and 0 < sum(r.importance for r in out) <= 1 + 1e-9
+
+
+def test_late_versions_are_retracted(spark, tmp_path):
+    """Files in any order, one late, one repeated, the stream stopped in between: sums equal those of the latest versions."""
+    import random
+
+    from monthmill.streaming import jobs
+
+    rng = random.Random(4)
+    kind = "scope string, fact string, ts timestamp, id long, cents long"
+    rows = [(f"s{i % 3}", f"f{rng.randrange(12)}", dt.datetime(2024, 1, 1 + rng.randrange(20)), i, rng.randrange(1000)) for i in range(150)]
+    newest, oldest = [r for r in rows if r[2].day > 12], [r for r in rows if r[2].day <= 5]
+    middle = [r for r in rows if 5 < r[2].day <= 12]
+    forecasts = spark.createDataFrame([("s0", 400), ("s1", 10)], "scope string, forecast long")  # s2 has none
+    schema = spark.createDataFrame([], kind).schema
+
+    def arrive(part):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def drain():
+        stream = jobs.file_stream(spark, f"{tmp_path}/in", schema, per_trigger=1)
+        writer = jobs.rescore(stream, ["scope", "fact"], "ts", "id", "cents", forecasts, ["scope"], "forecast", f"{tmp_path}/out")
+        writer.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        return {r["scope"]: (r["facts"], r["versions"], r["actual"], r["error"], r["bias"]) for r in jobs.scores(spark, f"{tmp_path}/out", ["scope"]).collect()}
+
+    def batch(known):
+        latest = {}
+        for s, f, ts, i, cents in known:
+            latest[s, f] = max(latest.get((s, f), (dt.datetime.min, -1, 0)), (ts, i, cents))
+        out = {}
+        for s, forecast in (("s0", 400), ("s1", 10)):
+            v = [c for (x, _), (_, _, c) in latest.items() if x == s]
+            out[s] = (len(v), sum(r[0] == s for r in known), sum(v), sum(abs(c - forecast) for c in v), sum(c - forecast for c in v))
+        return out
+
+    arrive(middle)
+    assert drain() == batch(middle)
+    arrive(newest)
+    arrive(middle)  # the same file again
+    assert drain() == batch(middle + newest)
+    arrive(oldest)  # older than what is in force: nothing to retract, but versions count
+    arrive(oldest)
+    assert drain() == batch(rows)
