@@ -81,10 +81,11 @@ def lower_ascii(c: Column) -> Column:
 
 
 def fold(text: str) -> str:
-    return text.translate(_FOLD)
+    """A-Z to a-z; in UTF-8 no other character has these bytes."""
+    return text.encode().translate(_FOLD).decode()
 
 
-_FOLD = str.maketrans(UPPER, LOWER)
+_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def remainder(doc_id: Column, modulus: int = 5) -> Column:

@@ -119,10 +119,6 @@ class Encoder:
         self.model = Model(data)
         self.tokenizer = rebuild(self.model)
         self.checker = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.spelling = [
-            bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (UNKNOWN, CONTROL) else p.encode()
-            for p, k in zip(self.model.pieces, self.model.kinds)
-        ]
         self.size, self.split = cache, re.compile(" +[^ ]*").findall
         self.clear()
 
@@ -139,7 +135,8 @@ class Encoder:
         return [text] if text else []
 
     def learn(self, parts: list[str]) -> None:
-        """Encode new parts; where the sentencepiece library differs, its ids are used and the part is marked."""
+        """Encode new parts with the rebuilt tokenizer and decode them again; parts are marked where the sentencepiece
+        library has other ids, and where the text does not come back."""
         words = self.model.by_words
         plain = [p[1:] for p in parts] if words else parts
         wants = self.checker.encode(plain, num_threads=1)
@@ -149,12 +146,10 @@ class Encoder:
             wants[i] = made[i] = [self.checker.piece_to_id(MARK)]
         self.known.update(zip(parts, range(len(self.same), len(self.same) + len(parts))))
         self.same.extend(map(operator.eq, made, wants))
-        self.ids.extend(chain.from_iterable(wants))
-        self.ends.extend(accumulate(map(len, wants), initial=self.ends.pop()))
-        # decoding is the sequence of the pieces' bytes, so a text comes back if all its parts do
-        spelling = self.spelling.__getitem__
-        marked = (p.replace(" ", MARK).encode() for p in parts) if words else (f"{MARK}{p}".replace(" ", MARK).encode() for p in parts)
-        self.back.extend(b"".join(map(spelling, ids)) == want for ids, want in zip(wants, marked))
+        self.ids.extend(chain.from_iterable(made))
+        self.ends.extend(accumulate(map(len, made), initial=self.ends.pop()))
+        # no piece spans two parts, so a text comes back if all its parts do
+        self.back.extend(map(operator.eq, self.tokenizer.decode_batch(made, skip_special_tokens=False), plain))
 
     def places(self, parts: list[str]) -> np.ndarray:
         return np.fromiter(map(self.known.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
@@ -206,9 +201,9 @@ def chunks(texts_: Iterable[str], size: int = CHUNK) -> Iterator[list[str]]:
 def encode(docs: DataFrame, model: str = MODEL, cache: int = CACHE) -> DataFrame:
     """One row per input row: doc_id, ids (array of int), n_tokens, parity, round_trip.
 
-    `parity` says that the rebuilt tokenizer gives the ids of the sentencepiece library for the whole text; ids are the
-    library's in any case. `round_trip` says that decoding the ids gives the text back; the marker character itself
-    comes back as a blank. `cache` is the number of words that a task holds, memory against repeated encoding. Null and
+    The ids are those of the rebuilt tokenizer. `parity` says that the sentencepiece library gives the same for the
+    whole text. `round_trip` says that its decoder gives the text back; the marker character itself comes back as a
+    blank. `cache` is the number of words that a task holds, memory against repeated encoding. Null and
     empty texts have no ids. Repeated rows and null ids are rows like any other; an empty table gives no rows.
     """
     with open(model, "rb") as f:
@@ -233,7 +228,8 @@ def encode(docs: DataFrame, model: str = MODEL, cache: int = CACHE) -> DataFrame
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); null ids give null."""
+    """(doc_id, text) from (doc_id, ids): null ids give null, no ids an empty text. Repeated rows and null doc_ids are
+    rows like any other, other columns play no part; an empty table gives no rows."""
     with open(model, "rb") as f:
         data = f.read()
 

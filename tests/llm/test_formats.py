@@ -106,6 +106,26 @@ def test_small_cache_and_many_texts():
         assert [flat[a:b].tolist() for a, b in zip(starts, ends)] == encoder.checker.encode(part) and all(same)
 
 
+def test_ids_and_texts_are_those_of_the_rebuilt_tokenizer():
+    """Where the checking library says otherwise, the ids stay and parity is false."""
+    with open(sentencepieces.MODEL, "rb") as f:
+        encoder = sentencepieces.Encoder(f.read())
+    want = encoder.checker.encode(["one odd word", "same"])
+
+    class Other:
+        def encode(self, parts, num_threads):
+            return [[7] if p == "odd" else ids for p, ids in zip(parts, own.encode(parts))]
+
+        def __getattr__(self, name):
+            return getattr(own, name)
+
+    own, encoder.checker = encoder.checker, Other()
+    flat, ends, same, back = encoder.encode(["one odd word", "same"])
+    assert [flat[:ends[0]].tolist(), flat[ends[0]:].tolist()] == want
+    assert same.tolist() == [False, True] and back.tolist() == [True, True]
+    assert encoder.decode(want) == ["one odd word", "same"]
+
+
 def message(*fields):
     """A protobuf message from (number, value) pairs."""
     def number(n):
