@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from monthmill.functions.numbers import hundredths, rounded
+from monthmill.operators import kernel
 from monthmill.operators.metrics import error_metrics
 from monthmill.operators.models import INTERMITTENT_MODELS, MODEL_NAMES, classify, forecast_paths, model_paths, prefix_states
 
@@ -69,52 +70,42 @@ def weighted_score(windows: DataFrame, keys: list[str]) -> DataFrame:
     return averaged.withColumn("score", score)
 
 
-def model_rank() -> Column:
-    """Registry position of a model name; breaks ties."""
-    return F.array_position(F.array(*[F.lit(m) for m in MODEL_NAMES]), F.col("model"))
-
-
 def allowed(demand_class: Column) -> Column:
     return F.when(
         F.contains(F.lower(demand_class), F.lit("intermitente")), F.array(*[F.lit(m) for m in INTERMITTENT_MODELS])
     ).otherwise(F.array(*[F.lit(m) for m in MODEL_NAMES]))
 
 
-def run_series(series: DataFrame, keys: list[str]) -> DataFrame:
-    """Classify, backtest the allowed models, pick the winner; one row per series.
+def series_results(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Classify, backtest the allowed models, pick the winner; one row per series with its periods.
 
-    Class and tail flag travel with the series keys, so nothing is joined back.
-    Seven months always give the first origin, fewer never do.
+    comparisons holds every model that could be tested, forecast the winner's next twelve months, history its one-step
+    forecasts from the seventh month on. Seven months always give the first origin, fewer never do.
     """
     still = F.forall(F.slice("values", -3, 3), lambda x: x == 0) & (F.size("values") >= 3)
     tagged = series.withColumn("still", F.when(F.size("values") >= 3, still).otherwise(False))
     long_enough = classify(tagged.filter(F.size("values") > 6), [*keys, "periods", "still"])
-    labelled = long_enough.withColumn("allowed", allowed(F.col("demand_class")))
-    wide_keys = [*keys, "demand_class", "still"]
-    paths = forecast_paths(labelled, wide_keys, allowed="allowed")
-    tried = weighted_score(rolling_backtest(backtest_steps(paths, wide_keys), wide_keys), wide_keys)
-    best = tried.groupBy(*wide_keys).agg(
-        F.min_by(F.struct("model", "wape", "bias", "stability", "score"), F.struct("score", model_rank())).alias("w")
-    )
+    labelled = long_enough.withColumn("sparse", F.contains(F.lower("demand_class"), F.lit("intermitente")))
+    ran = kernel.run(labelled, [*keys, "periods", "demand_class", "still"], "sparse")
     alerts = F.array_join(
         F.array_compact(
-            F.array(
-                F.when(F.col("w.wape") >= 50, "accuracy"), F.when(F.abs("w.bias") >= 25, "bias"), F.when(F.col("still"), "no_movement")
-            )
+            F.array(F.when(F.col("wape") >= 50, "accuracy"), F.when(F.abs("bias") >= 25, "bias"), F.when(F.col("still"), "no_movement"))
         ),
         ",",
     )
-    evaluated = best.select(
-        *keys, "demand_class", F.col("w.model").alias("winner"), F.col("w.wape").alias("wape"), F.col("w.bias").alias("bias"),
-        F.col("w.stability").alias("stability"), F.col("w.score").alias("score"), alerts.alias("alerts"),
-        F.when(alerts != "", "completed_with_alerts").otherwise("completed").alias("status"),
-    )
-    short = classify(series.filter(F.size("values") <= 6), keys).select(
-        *keys, "demand_class", F.lit("").alias("alerts"), F.lit("insufficient").alias("status")
+    evaluated = ran.withColumn("alerts", alerts).withColumn(
+        "status", F.when(F.col("alerts") != "", "completed_with_alerts").otherwise("completed")).drop("still")
+    short = classify(series.filter(F.size("values") <= 6), [*keys, "periods"]).select(
+        *keys, "periods", "demand_class", F.lit("").alias("alerts"), F.lit("insufficient").alias("status")
     )
     return evaluated.unionByName(short, allowMissingColumns=True)
 
 
+def run_series(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Class, winner with its metrics, and alerts of every series."""
+    return series_results(series, keys).select(*keys, "demand_class", "winner", "wape", "bias", "stability", "score", "alerts", "status")
+
+
 # Retrospective evaluation -------------------------------------------------
 
 MAX_FOLDS = 12

@@ -168,25 +168,31 @@ def model_paths() -> dict[str, Column]:
     }
 
 
+# What each state column costs, the field that carries it at an origin, and the models that read it.
+STATES = {
+    "level": (ses_states, "{s}[o - 1]", ("SES",)), "holt": (holt_states, "{s}[o - 1]", ("Holt",)),
+    "hw": (holt_winters_states, "if({s} is not null, {s}[o], null)", ("Holt-Winters",)),
+    "demand": (intermittent_states, "{s}[o - 1]", ("Croston", "SBA", "TSB")),
+    "sums": (power_sums, "{s}[o - 1]", ("Tendencia lineal", "Tendencia polinómica")),
+}
+
+
 def prefix_states(
-    series: DataFrame, keys: list[str], origins: str = "sequence(1, size(values))", extra: list[str] | None = None
+    series: DataFrame, keys: list[str], origins: str = "sequence(1, size(values))", extra: list[str] | None = None,
+    models: list[str] | None = None,
 ) -> DataFrame:
-    """One row per series and origin (months of history): model states and the months that follow."""
+    """One row per series and origin (months of history): the states that the models need and the months that follow."""
+    needed = [n for n, (_, _, users) in STATES.items() if models is None or set(users) & set(models)]
     scanned = series.select(
-        *keys, "values", "periods", *[c for c in (extra or []) if c != "values"],
-        ses_states().alias("ses_s"), holt_states().alias("holt_s"),
-        holt_winters_states().alias("hw_s"), intermittent_states().alias("demand_s"),
-        power_sums().alias("sums_s"),
+        *keys, "values", "periods", *[c for c in (extra or []) if c != "values"], *[STATES[n][0]().alias(f"{n}_s") for n in needed],
     )
+    fields = "".join(f", '{n}', {STATES[n][1].format(s=f'{n}_s')}" for n in needed)
     return scanned.select(
         *keys, F.size("values").alias("n"), *[c for c in (extra or []) if c != "positions"],
         F.expr(
             f"""inline(transform({origins}, o -> named_struct(
                 'origin', o, 'origin_period', periods[o - 1], 'ahead', slice(values, o + 1, 12),
-                'tail', slice(values, greatest(o - 11, 1), least(o, 12)),
-                'level', ses_s[o - 1], 'holt', holt_s[o - 1],
-                'hw', if(hw_s is not null, hw_s[o], null),
-                'demand', demand_s[o - 1], 'sums', sums_s[o - 1])))"""
+                'tail', slice(values, greatest(o - 11, 1), least(o, 12)){fields})))"""
         ),
     )
 
@@ -203,7 +209,7 @@ def forecast_paths(
     `allowed` names an array column of model names; other models are not computed.
     """
     extra = [allowed] if allowed else []
-    states = prefix_states(series, keys, origins, extra)
+    states = prefix_states(series, keys, origins, extra, models)
     paths = model_paths()
     names = models or MODEL_NAMES
 

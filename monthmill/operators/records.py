@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from monthmill.functions.numbers import rounded, snapped
-from monthmill.operators import backtest as bt, models as m
+from monthmill.operators import backtest as bt, kernel
 
 TOTAL = {"chain_id": "ALL", "product_id": "total"}
 
@@ -29,17 +29,11 @@ def winner_paths(values: DataFrame, keys: list[str], issue: dt.date) -> DataFram
     value see the history up to the last one with a value.
     """
     winners = bt.run_series(values, keys).select(*keys, "winner")
-    naive = F.lit("Naive")
-    chosen = values.join(winners, keys).withColumn("chosen", F.array_distinct(F.array(F.coalesce("winner", naive), naive)))
-    paths = m.forecast_paths(chosen.withColumn("months", F.col("periods")), [*keys, "winner", "months"], allowed="chosen")
+    paths = kernel.every_path(values.join(winners, keys), keys, "winner")
     following = F.try_element_at("months", F.col("origin") + 1)
     last = F.coalesce(F.add_months(following, -1), F.lit(issue))
-    best = paths.withColumn("last", last).groupBy(*keys, "origin_period", "last").agg(
-        F.max_by(F.struct("model", "path"), F.when(F.col("model") == F.col("winner"), 1).otherwise(0)).alias("p"))
-    return best.select(
-        *keys, F.explode(F.expr("sequence(origin_period, last, interval 1 month)")).alias("issue"), F.col("p.model").alias("model"),
-        F.col("p.path").alias("path"),
-    )
+    months = F.sequence(F.element_at("months", F.col("origin")), last, F.expr("interval 1 month"))
+    return paths.select(*keys, F.explode(months).alias("issue"), "model", "path")
 
 
 def at_step(path: Column, horizon: Column) -> Column:

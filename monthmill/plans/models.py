@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from monthmill.functions.numbers import rounded
 from monthmill.functions.periods import label
-from monthmill.operators import backtest as bt
+from monthmill.operators import backtest as bt, kernel
 from monthmill.operators import models as m
 from monthmill.operators.series import island_values
 from monthmill.plans.registry import query
@@ -131,23 +131,20 @@ scored AS (SELECT *, {r('wape + abs(bias) * 0.25e0 + stability * 0.15e0', 2)} AS
 @query("b01_rolling_origin", with_(BASE, BRAND_VALS, PATHS, BT_SQL) + f"""
 SELECT {SPLIT}, model, horizon, origins, observations, wape, bias, mae, rmse, stability FROM win""")
 def rolling_origin(t: Tables):
-    return bt.rolling_backtest(bt.backtest_steps(m.forecast_paths(t.brand_values, CP), CP), CP, full=True)
+    return kernel.backtest(t.brand_values, CP).select(
+        *CP, "model", "horizon", "origins", "observations", "wape", "bias", "mae", "rmse", "stability")
 
 
 @query("g11_weighted_metrics", with_(BASE, BRAND_VALS, PATHS, BT_SQL) + f"""
 SELECT {SPLIT}, model, wape, bias, stability, origins, score FROM scored""")
 def weighted_metrics(t: Tables):
-    return bt.weighted_score(bt.rolling_backtest(bt.backtest_steps(m.forecast_paths(t.brand_values, CP), CP), CP), CP)
+    return bt.weighted_score(kernel.backtest(t.brand_values, CP), CP)
 
 
 @query("b02_one_step_history", with_(BASE, BRAND_VALS, PATHS, BT_SQL) + f"""
 SELECT {SPLIT}, model, {ym('period')} AS period, actual, pred AS forecast FROM bt WHERE step = 1""")
 def one_step_history(t: Tables):
-    steps = bt.backtest_steps(m.forecast_paths(t.brand_values, CP), CP).filter("step = 1")
-    target = t.brand_values.select(*CP, F.posexplode("periods").alias("pos", "target"))
-    return steps.join(target, [*CP]).filter(F.col("pos") == F.col("origin")).select(
-        *CP, "model", label(F.col("target")).alias("period"), "actual", F.col("pred").alias("forecast")
-    )
+    return kernel.one_step(t.brand_values, CP).select(*CP, "model", label(F.col("period")).alias("period"), "actual", F.col("pred").alias("forecast"))
 
 
 RUN_SQL = """
@@ -175,3 +172,32 @@ def series_run(t: Tables):
 SELECT CAST(sid AS BIGINT) AS part_id, demand_class, winner, wape, bias, stability, score, alerts, status FROM res""")
 def series_run_parts(t: Tables):
     return bt.run_series(t.part_values, ["part_id"])
+
+
+RESULT_SQL = with_(BASE, BRAND_VALS, PATHS, BT_SQL, CLASS_SQL, ALLOWED_SQL, RUN_SQL)
+
+
+@query("b03_series_forecast", RESULT_SQL + f"""
+SELECT {SPLIT}, winner, step AS horizon, {ym('last_p + to_months(step)')} AS period, {r('greatest(0e0, pred)', 2)} AS forecast
+FROM res JOIN (SELECT sid, max(period) AS last_p, max(n) AS n FROM vals GROUP BY sid) USING (sid) JOIN paths p USING (sid) WHERE p.model = winner AND p.origin = n""")
+def series_forecast(t: Tables):
+    """The winner's twelve months after the last month of its series."""
+    ahead = bt.series_results(t.brand_values, CP).select(*CP, "winner", F.element_at("periods", -1).alias("last"), F.posexplode("forecast").alias("p", "forecast"))
+    step = F.col("p") + 1
+    return ahead.select(*CP, "winner", step.alias("horizon"), label(F.add_months("last", step)).alias("period"), "forecast")
+
+
+@query("b03_series_comparisons", RESULT_SQL + f"""
+SELECT {SPLIT}, model, wape, bias, stability, score, origins, model = winner AS selected FROM scored JOIN res USING (sid)
+WHERE demand_class NOT LIKE '%ntermitente%' OR model IN (SELECT model FROM sparse)""".replace("wape, bias, stability, score, origins", "scored.wape, scored.bias, scored.stability, scored.score, origins"))
+def series_comparisons(t: Tables):
+    out = bt.series_results(t.brand_values, CP).select(*CP, "winner", F.explode("comparisons").alias("c"))
+    return out.select(*CP, "c.model", "c.wape", "c.bias", "c.stability", "c.score", "c.origins", (F.col("c.model") == F.col("winner")).alias("selected"))
+
+
+@query("b03_series_history", RESULT_SQL + f"""
+SELECT {SPLIT}, {ym('period')} AS period, pred AS forecast FROM bt JOIN res USING (sid) WHERE step = 1 AND model = winner""")
+def series_history(t: Tables):
+    """The winner's forecast of each month from the one before, as it would have been."""
+    rows = bt.series_results(t.brand_values, CP).select(*CP, "periods", F.posexplode("history").alias("p", "forecast"))
+    return rows.filter("forecast is not null").select(*CP, label(F.element_at("periods", F.col("p") + 7)).alias("period"), "forecast")

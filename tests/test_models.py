@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from monthmill.operators import backtest as bt, metrics as em, models as m, series as sr
+from monthmill.operators import backtest as bt, kernel, metrics as em, models as m, series as sr
 from monthmill.operators.quantiles import exact_quantiles
 
 
@@ -199,3 +199,54 @@ def test_contiguous_history_stops_at_gaps(spark):
     runs = {r["island"]: r["values"] for r in sr.island_values(df, ["k"], "v").collect()}
     assert runs == {0: [5.0, 6.0], 1: [7.0, 8.0, 9.0]}
     assert [r["v"] for r in sr.launch_history(df, ["k"], "v").orderBy("idx").collect()] == [5.0, 6.0]
+
+
+def ragged(seed=9):
+    rng = random.Random(seed)
+    out = {f"s{n}": [float(rng.choice([0, 0, 3, 8, 12, 25])) if n % 3 else float(rng.randint(0, 40)) for _ in range(n)] for n in (1, 2, 3, 5, 6, 7, 11, 12, 13, 18, 23, 24, 25, 31, 40)}
+    return out | {"zero": [0.0] * 26, "late": [0.0] * 9 + [4.0, 0.0, 7.0] * 6, "ones": [1.0] * 30}
+
+
+def test_kernel_paths_equal_the_expressions(spark):
+    """Every model from every origin of series of any length, digit for digit."""
+    import pyarrow as pa
+
+    series = ragged()
+    want = {(r["k"], r["origin"], r["model"]): r["path"] for r in m.forecast_paths(frame(spark, series), ["k"]).collect()}
+    s = kernel.Series(pa.array(list(series.values()), pa.list_(pa.float64())))
+    got = {}
+    for model in m.MODEL_NAMES:
+        paths = s.paths(model)
+        for i, (k, v) in enumerate(series.items()):
+            for o in range(1, len(v) + 1):
+                if not math.isnan(paths[i, o - 1, 0]):
+                    got[k, o, model] = paths[i, o - 1].tolist()
+    assert set(got) == set(want)
+    assert all(got[k] == want[k] for k in want)
+
+
+def test_kernel_backtest_equals_the_step_rows(spark):
+    df = frame(spark, ragged())
+    key = lambda r: (r["k"], r["model"], r["horizon"])
+    figures = lambda r: tuple(r[n] for n in ("origins", "wape", "bias", "stability", "mae", "rmse", "observations"))
+    want = {key(r): figures(r) for r in bt.rolling_backtest(bt.backtest_steps(m.forecast_paths(df, ["k"]), ["k"]), ["k"], full=True).collect()}
+    got = {key(r): figures(r) for r in kernel.backtest(df, ["k"]).collect()}
+    assert got == want and len(want) > 300
+
+
+def test_series_results_hold_forecast_history_and_comparisons(spark):
+    series = ragged()
+    paths = {(r["k"], r["origin"], r["model"]): r["path"] for r in m.forecast_paths(frame(spark, series), ["k"]).collect()}
+    rows = {r["k"]: r for r in bt.series_results(frame(spark, series), ["k"]).collect()}
+    assert set(rows) == set(series)
+    clamp = lambda x: math.floor(max(0.0, x) * 100 + 0.5) / 100
+    for k, v in series.items():
+        r = rows[k]
+        if len(v) <= 6:
+            assert r["winner"] is None and r["status"] == "insufficient"
+            continue
+        scores = {c["model"]: c["score"] for c in r["comparisons"]}
+        assert r["winner"] == min(scores, key=lambda n: (scores[n], m.MODEL_NAMES.index(n))) and scores[r["winner"]] == r["score"]
+        assert r["forecast"] == [clamp(x) for x in paths[k, len(v), r["winner"]]]
+        want = [clamp(paths[k, o, r["winner"]][0]) if (k, o, r["winner"]) in paths else None for o in range(6, len(v))]
+        assert r["history"] == want
