@@ -29,8 +29,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 WIDTH, OVERLAP, DIM, INPUTS, CLASSES = 16, 4, 16, 1024, 64
-RATE, ROUNDS, BATCH, STEP = 1, 4, 64, 0.01
-SHARE, CACHE, WINDOWS = 1e-6, 500_000, 1024
+RATE, ROUNDS, BATCH, STEP = 1, 4, 128, 0.01
+SHARE, CACHE, WINDOWS = 1e-6, 500_000, 128
 
 
 class Subwords:
@@ -127,6 +127,11 @@ class Vocabulary:
         self.bias = np.log(total / total.sum()).astype(np.float32)
 
 
+def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w as one product of two matrices and not one for each window."""
+    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[-1])
+
+
 class Attention:
     """Embedding, one masked self-attention layer, one hidden layer, class logits; weights in one flat vector."""
 
@@ -150,15 +155,15 @@ class Attention:
 
     def forward(self, slots: np.ndarray) -> dict[str, np.ndarray]:
         x = self.e[slots] + self.p
-        q, k, v = np.split(x @ self.qkv, 3, axis=-1)
-        s = np.clip(q @ k.transpose(0, 2, 1) * np.float32(DIM ** -0.5), -30, 30)
+        q, k, v = np.split(times(x, self.qkv), 3, axis=-1)
+        s = np.clip((q * np.float32(DIM ** -0.5)) @ k.transpose(0, 2, 1), -30, 30)
         a = np.exp(s, out=s)
         a *= self.mask
         a /= a.sum(axis=-1, keepdims=True)
         c = a @ v
-        h = x + c @ self.o
-        z = np.maximum(h @ self.w1, 0)
-        y = h + z @ self.w2
+        h = x + times(c, self.o)
+        z = np.maximum(times(h, self.w1), 0)
+        y = h + times(z, self.w2)
         return {"x": x, "q": q, "k": k, "v": v, "a": a, "c": c, "h": h, "z": z, "y": y}
 
     def class_logs(self, slots: np.ndarray, kinds: np.ndarray, use: np.ndarray) -> np.ndarray:
@@ -170,31 +175,32 @@ class Attention:
     def gradient(self, slots: np.ndarray, kinds: np.ndarray, use: np.ndarray) -> tuple[float, np.ndarray]:
         f = self.forward(slots)
         y, n = f["y"], max(1, int(use.sum()))
-        logits = np.clip(y @ self.u + self.b, -40, 40)
-        p = np.exp(logits)
+        own, rows = kinds[use], np.arange(n)
+        p = np.clip(y[use] @ self.u + self.b, -40, 40) if use.any() else np.zeros((1, CLASSES), dtype=np.float32)
+        np.exp(p, out=p)
         p /= p.sum(axis=-1, keepdims=True)
-        rows, cols = np.indices(kinds.shape)
-        loss = -np.log(p[rows, cols, kinds] + 1e-12)[use].sum() / n
-        p[rows, cols, kinds] -= 1
-        p *= (use / np.float32(n))[..., None]
+        loss = -np.log(p[rows, own] + 1e-12).sum() / n if use.any() else 0.0
+        p[rows[:len(own)], own] -= 1
+        p *= np.float32(use.any() / n)
 
         def outer(left, right):
             return left.reshape(-1, left.shape[-1]).T @ right.reshape(-1, right.shape[-1])
 
-        g = {"u": outer(y, p), "b": p.sum(axis=(0, 1))}
-        dy = p @ self.u.T
+        g = {"u": y[use].T @ p[:len(own)], "b": p.sum(axis=0)}
+        dy = np.zeros_like(y)
+        dy[use] = p[:len(own)] @ self.u.T
         g["w2"] = outer(f["z"], dy)
-        dz = (dy @ self.w2.T) * (f["z"] > 0)
+        dz = times(dy, self.w2.T) * (f["z"] > 0)
         g["w1"] = outer(f["h"], dz)
-        dh = dy + dz @ self.w1.T
+        dh = dy + times(dz, self.w1.T)
         g["o"] = outer(f["c"], dh)
-        dc = dh @ self.o.T
+        dc = times(dh, self.o.T)
         da = dc @ f["v"].transpose(0, 2, 1)
         ds = f["a"] * (da - (da * f["a"]).sum(axis=-1, keepdims=True)) * np.float32(DIM ** -0.5)
         dq, dk, dv = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"], f["a"].transpose(0, 2, 1) @ dc
         dqkv = np.concatenate([dq, dk, dv], axis=-1)
         g["qkv"] = outer(f["x"], dqkv)
-        dx = dh + dqkv @ self.qkv.T
+        dx = dh + times(dqkv, self.qkv.T)
         g["p"] = dx.sum(axis=0)
         flat = slots.ravel()
         g["e"] = np.stack([np.bincount(flat, weights=dx[..., i].ravel(), minlength=INPUTS) for i in range(DIM)], axis=1)
