@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from monthmill.functions.numbers import rounded
 from monthmill.functions.periods import month_index
+from monthmill.operators.backtest import series_results
+from monthmill.session import cut_lineage
 
 
 def replay_totals(versions: DataFrame, keys: list[str], cutoff: str, order: list[str], value: str) -> DataFrame:
@@ -33,6 +39,86 @@ def replay_totals(versions: DataFrame, keys: list[str], cutoff: str, order: list
     )
 
 
+def known_totals(versions: DataFrame, scope: list[str], fact: list[str], period: str, available: str, order: list[str], value: str) -> DataFrame:
+    """scope, period, cutoff, known: the total of a month's facts in force, at each cutoff at which it changes.
+
+    A version adds what it differs by from the one before it at the month in which it becomes available; of versions
+    that become available together the last in `order` counts.
+    """
+    keys = [*scope, *fact, period]
+    each = versions.groupBy(*keys, F.col(available).alias("cutoff")).agg(F.max_by(F.col(value), F.struct(*order)).cast("decimal(28,6)").alias("v"))
+    before = F.lag("v").over(Window.partitionBy(*keys).orderBy("cutoff"))
+    moved = each.withColumn("dv", F.col("v") - F.coalesce(before, F.lit(0))).groupBy(*scope, period, "cutoff").agg(F.sum("dv").alias("dv"))
+    upto = Window.partitionBy(*scope, period).orderBy("cutoff").rowsBetween(Window.unboundedPreceding, 0)
+    return moved.select(*scope, F.col(period).alias("period"), "cutoff", F.sum("dv").over(upto).cast("double").alias("known"))
+
+
+def prefixes(known: DataFrame, scope: list[str], end: dt.date) -> DataFrame:
+    """One row for each scope and cutoff up to `end`: cutoff, run_cutoff, n, and the history if it differs from the last one.
+
+    run_cutoff is the cutoff at which the history that holds was first known: equal to cutoff where something changed,
+    earlier where the history, and so the forecast, is carried forward. A scope's changes are bounded by the calendar.
+    """
+    moves = known.groupBy(*scope).agg(F.collect_list(F.struct("cutoff", "period", "known")).alias("moves"))
+    names = [*scope, "cutoff", "run_cutoff", "n", "periods", "values"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                own = sorted((m["cutoff"], m["period"], m["known"]) for m in row["moves"])
+                at, now, held, since = 0, {}, None, None
+                for cutoff in months_between(own[0][0], end):
+                    while at < len(own) and own[at][0] <= cutoff:
+                        now[own[at][1]] = own[at][2]
+                        at += 1
+                    history = [(p, now[p]) for p in sorted(now) if p <= cutoff]
+                    while history and history[0][1] <= 0:
+                        history = history[1:]  # before the first sale
+                    changed = history != held
+                    if changed:
+                        held, since = history, cutoff
+                    shown = history if changed else None
+                    out.append({**{k: row[k] for k in scope}, "cutoff": cutoff, "run_cutoff": since, "n": len(history),
+                                "periods": [p for p, _ in shown] if changed else None, "values": [v for _, v in shown] if changed else None})
+            kinds = [batch.schema.field(k) for k in scope] + [
+                pa.field("cutoff", pa.date32()), pa.field("run_cutoff", pa.date32()), pa.field("n", pa.int32()),
+                pa.field("periods", pa.list_(pa.date32())), pa.field("values", pa.list_(pa.float64()))]
+            yield from pa.Table.from_pylist(out, pa.schema(kinds)).to_batches()
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.select(*scope).schema)
+    return moves.mapInArrow(run, f"{kinds}, cutoff date, run_cutoff date, n int, periods array<date>, values array<double>").select(*names)
+
+
+def months_between(first: dt.date, last: dt.date) -> Iterator[dt.date]:
+    for k in range(first.year * 12 + first.month - 1, last.year * 12 + last.month):
+        yield dt.date(k // 12, k % 12 + 1, 1)
+
+
+def replay(known: DataFrame, scope: list[str], end: dt.date) -> DataFrame:
+    """What a run at each cutoff gives: status, whether it is carried forward, winner, last known month and the forecast.
+
+    COMPLETED; SKIPPED_INSUFFICIENT_HISTORY below seven months; BLOCKED without any. Only histories that changed are
+    run, each once; the others take the run of the cutoff that they equal. residuals are those of the winner's one-step
+    history, from the seventh month on.
+    """
+    every = cut_lineage(prefixes(known, scope, end))
+    changed = every.filter(F.size("values") > 0).withColumn("at", F.col("cutoff")).select(*scope, "at", "periods", "values")
+    results = series_results(changed, [*scope, "at"]).select(
+        *[F.col(c).alias(f"_{c}") for c in scope], F.col("at").alias("_at"), "winner", "forecast", "history", F.element_at("periods", -1).alias("last_month"))
+    amounts = changed.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("at").alias("_at"), F.col("values").alias("amounts"))
+    residuals = F.zip_with(F.slice("amounts", 7, 10 ** 6), "history", lambda a, p: a - p)
+    results = results.join(amounts, [*[f"_{c}" for c in scope], "_at"]).withColumn("residuals", residuals)
+    met = F.col("run_cutoff") == F.col("_at")
+    for c in scope:
+        met &= F.col(c) == F.col(f"_{c}")
+    status = F.when(F.col("n") == 0, "BLOCKED").when(F.col("n") < 7, "SKIPPED_INSUFFICIENT_HISTORY").otherwise("COMPLETED")
+    return every.join(results, met, "left").select(
+        *scope, "cutoff", "run_cutoff", "n", status.alias("status"), (F.col("cutoff") != F.col("run_cutoff")).alias("carried"),
+        "winner", "last_month", "forecast", "residuals",
+    )
+
+
 def readiness(panel: DataFrame, keys: list[str], measure: str, minimum: int = 7) -> DataFrame:
     """Per series and month: launch-anchored consecutive months and whether a backtest is possible."""
     w = Window.partitionBy(*keys).orderBy("idx")

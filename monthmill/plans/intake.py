@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from monthmill.functions import periods as pr
 from monthmill.functions import text as tx
 from monthmill.functions.numbers import rounded
-from monthmill.operators import coldstart as cs, replay as rp, series as sr
+from monthmill.operators import bands, champions, coldstart as cs, replay as rp, series as sr
 from monthmill.plans.facts import RAW_SQL, raw_cells
+from monthmill.plans.models import ALLOWED_SQL, BT_SQL, CLASS_SQL, RUN_SQL
 from monthmill.plans.reconciling import CAND_SQL, candidates
 from monthmill.plans.registry import query
 from monthmill.plans.scored import CALC, calculations, horizons
-from monthmill.plans.sql_parts import BASE, FACTS, ISSUE as ISSUE_SQL, PANEL_BASE, PART_BASE, PART_VALS, r, with_, ym
+from monthmill.plans.sql_parts import BASE, FACTS, ISSUE as ISSUE_SQL, PANEL_BASE, PART_BASE, PART_VALS, PATHS, r, vals, with_, ym
+from monthmill.session import checkpoint_dir, cut_lineage
 from monthmill.sources import cells as cl
 from monthmill.sources import monthly_files as mf
+from monthmill.sources.ledger import Ledger, versioned
 from monthmill.sources.tables import ISSUE, SERIES, Tables
 
 CP = ["chain_id", "product_id"]
@@ -170,21 +175,41 @@ def frozen_fan_out(t: Tables):
     )
 
 
-@query("s13_append_only_rows", with_(BASE, FACTS) + f"""
-SELECT chain_id, product_id, {ym('period')} AS period, metric_code, value FROM facts WHERE period >= DATE '1999-06-01' AND (chain_id, product_id, period, metric_code) NOT IN (SELECT chain_id, product_id, period, metric_code FROM facts WHERE period < DATE '2000-01-01')""")
-def append_only_rows(t: Tables):
+FACT_KEY = [*CP, "period", "metric_code"]
+
+
+def two_uploads(t: Tables):
+    """Facts before 2000, and those from June 1999 on, which overlap by seven months."""
     cut = lambda c: F.lit(c).cast("date")
-    incoming, stored = t.facts.filter(F.col("period") >= cut("1999-06-01")), t.facts.filter(F.col("period") < cut("2000-01-01"))
-    return mf.unseen(incoming, stored, [*CP, "period", "metric_code"]).select(*CP, pr.label("period").alias("period"), "metric_code", "value")
+    rows = cut_lineage(t.facts.select(*FACT_KEY, "value"))
+    return rows.filter(F.col("period") < cut("2000-01-01")), rows.filter(F.col("period") >= cut("1999-06-01"))
 
 
-@query("s14_batch_confirm", with_(BASE, FACTS) + """
-SELECT metric_code, version_no, count(*) AS n FROM (SELECT i.metric_code, 1 + coalesce(e.k, 0) AS version_no FROM (SELECT * FROM facts WHERE period >= DATE '1999-06-01') i
- LEFT JOIN (SELECT chain_id, product_id, period, metric_code, count(*) AS k FROM facts WHERE period < DATE '2000-01-01' GROUP BY ALL) e USING (chain_id, product_id, period, metric_code)) GROUP BY ALL""")
+@query("s13_append_only_rows", with_(BASE, FACTS) + f"""
+SELECT chain_id, product_id, {ym('period')} AS period, metric_code, value, CASE WHEN period < DATE '2000-01-01' THEN 1 ELSE 2 END AS batch FROM facts""")
+def append_only_rows(t: Tables):
+    """Both uploads, the first again in another order, and a batch that breaks off before its manifest; then read back."""
+    ledger = Ledger(t.spark, f"{checkpoint_dir(t.spark)}/facts-{uuid.uuid4().hex}")
+    stored, incoming = two_uploads(t)
+    ledger.append_new(stored, FACT_KEY, ["value"])
+    ledger.append_new(incoming, FACT_KEY, ["value"])
+    ledger.commit(stored.orderBy(F.desc("value")))
+    ledger.stage(incoming.withColumn("value", F.lit(-1.0)))
+    return ledger.read(stored.schema).select(*CP, pr.label("period").alias("period"), "metric_code", "value", "batch")
+
+
+@query("s14_batch_confirm", with_(BASE, FACTS) + f"""
+SELECT chain_id, product_id, {ym('period')} AS period, metric_code, value, v AS version_no, v_at AS available_at FROM facts,
+  LATERAL (SELECT 1 AS v, CASE WHEN period < DATE '2000-01-01' THEN '2000-01-05' ELSE '2001-08-05' END AS v_at UNION ALL SELECT 2, '2001-08-05' WHERE period >= DATE '1999-06-01' AND period < DATE '2000-01-01') x""")
 def batch_confirm(t: Tables):
-    cut = lambda c: F.lit(c).cast("date")
-    incoming, stored = t.facts.filter(F.col("period") >= cut("1999-06-01")), t.facts.filter(F.col("period") < cut("2000-01-01"))
-    return mf.next_versions(incoming, stored, [*CP, "period", "metric_code"]).groupBy("metric_code", "version_no").agg(F.count(F.lit(1)).alias("n"))
+    """Both uploads as versions, each confirmed twice; what overlaps gets a second version."""
+    ledger = Ledger(t.spark, f"{checkpoint_dir(t.spark)}/versions-{uuid.uuid4().hex}")
+    stored, incoming = two_uploads(t)
+    for rows, at in ((stored, "2000-01-05"), (stored, "2000-02-05"), (incoming, "2001-08-05"), (incoming, "2001-09-05")):
+        ledger.append_versions(rows, FACT_KEY, ["value"], at)
+    return ledger.read(versioned(stored)).select(
+        *CP, pr.label("period").alias("period"), "metric_code", "value", F.col("version_no").cast("int").alias("version_no"),
+        F.date_format("available_at", "yyyy-MM-dd").alias("available_at"))
 
 
 @query("s14_product_upsert", with_(BASE) + f"""
@@ -214,7 +239,9 @@ def import_preview(t: Tables):
 SELECT '{"chain_id":"' || chain_id || '","product_id":"' || product_id || '","months":' || count(*) || ',"sold":' || CAST(sum(sales) AS BIGINT) || '}' AS line FROM monthly GROUP BY chain_id, product_id""")
 def json_export(t: Tables):
     g = t.monthly.groupBy(*CP).agg(F.count(F.lit(1)).alias("months"), F.sum("sales").cast("bigint").alias("sold"))
-    return g.select(F.to_json(F.struct(*CP, "months", "sold")).alias("line"))
+    path = f"{checkpoint_dir(t.spark)}/export-{uuid.uuid4().hex}"
+    mf.write_json(g, path)
+    return t.spark.read.text(path).select(F.col("value").alias("line"))
 
 
 S17_SQL = """
@@ -369,25 +396,133 @@ def eligibility_counts(t: Tables):
     return t.part_values.groupBy(sr.lifecycle_label(positive).alias("lifecycle")).agg(F.count(F.lit(1)).alias("series"))
 
 
-@query("b18_champion_publication", with_(BASE) + """
-SELECT chain_id, year(order_m) AS scope_year, arg_max(o_orderstatus, (o_orderdate, l_orderkey)) AS champion, count(DISTINCT order_m) AS publications FROM lines GROUP BY ALL""")
-def champion_publication(t: Tables):
-    return t.lines.groupBy("chain_id", F.year("order_m").alias("scope_year")).agg(
-        F.max_by("o_orderstatus", F.struct("o_orderdate", "l_orderkey")).alias("champion"), F.count_distinct("order_m").alias("publications")
+# Publications: every order proposes a version for the chain and objective it belongs to. Who may publish, what is
+# certified and which version the author expects in force follow from its numbers.
+EVENTS_SQL = """
+pub AS (SELECT c_mktsegment AS chain_id, CASE o_orderstatus WHEN 'F' THEN 'SALES' WHEN 'O' THEN 'ORDER' ELSE 'DELIVERY' END AS objective, o_orderdate AS moment, o_orderkey AS seq, 'V' || (o_custkey % 5) AS version,
+  CASE WHEN o_orderkey % 4 <> 0 THEN 'V' || (o_orderkey % 5) END AS expected,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'UNAUTHORISED' WHEN o_custkey % 7 = 0 THEN 'UNCERTIFIED' WHEN day(o_orderdate) = 13 THEN 'GATE_NOT_READY' WHEN o_orderkey % 13 < 2 THEN 'COMMENT_TOO_SHORT' END AS own
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+lined AS (SELECT *, row_number() OVER (PARTITION BY chain_id, objective ORDER BY moment, seq) AS k FROM pub WHERE own IS NULL),
+fold(chain_id, objective, k, moment, seq, version, expected, before, now) AS (
+  SELECT chain_id, objective, k, moment, seq, version, expected, CAST(NULL AS VARCHAR), CASE WHEN expected IS NULL THEN version END FROM lined WHERE k = 1 UNION ALL
+  SELECT l.chain_id, l.objective, l.k, l.moment, l.seq, l.version, l.expected, f.now, CASE WHEN l.expected IS NULL OR l.expected IS NOT DISTINCT FROM f.now OR l.version IS NOT DISTINCT FROM f.now THEN l.version ELSE f.now END
+  FROM fold f JOIN lined l ON l.chain_id = f.chain_id AND l.objective = f.objective AND l.k = f.k + 1),
+told AS (SELECT *, CASE WHEN version IS NOT DISTINCT FROM before THEN 'UNCHANGED' WHEN expected IS NOT NULL AND expected IS DISTINCT FROM before THEN 'REFUSED' ELSE 'PUBLISHED' END AS outcome FROM fold),
+champ AS (SELECT chain_id, objective, moment AS valid_from, seq, version, before AS previous_version, lead(moment) OVER (PARTITION BY chain_id, objective ORDER BY moment, seq) AS valid_to FROM told WHERE outcome = 'PUBLISHED')
+"""
+SCOPE = ["chain_id", "objective"]
+
+
+def publication_events(t: Tables):
+    rows = t.read("orders").join(t.read("customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    key, cust, status = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
+    return rows.select(
+        F.col("c_mktsegment").alias("chain_id"), F.when(status == "F", "SALES").when(status == "O", "ORDER").otherwise("DELIVERY").alias("objective"),
+        F.col("o_orderdate").cast("timestamp").alias("at"), key.alias("seq"), F.concat(F.lit("V"), (cust % 5).cast("string")).alias("version"),
+        F.when(key % 4 != 0, F.concat(F.lit("V"), (key % 5).cast("string"))).alias("expected"), F.when(key % 11 != 0, F.concat(F.lit("U"), (cust % 9).cast("string"))).alias("actor"),
+        (cust % 7 != 0).alias("certified"), (F.dayofmonth("o_orderdate") != 13).alias("gate_ready"), F.when(key % 13 < 2, 2).otherwise(20).alias("comment_length"),
     )
 
 
-@query("g41_replay_summary", CALC + f"""
-SELECT horizon, count(*) AS observations, {r('100 * sum(abs(p.sales - h.ensemble_value)) / sum(p.sales)')} AS wape, {r('100 * sum(p.sales - h.ensemble_value) / sum(p.sales)')} AS bias, count(*) FILTER (WHERE p.sales < h.ensemble_value * 0.6e0) AS below_p10, count(*) FILTER (WHERE p.sales >= h.ensemble_value * 1.4e0) AS above_p90
-FROM hor h JOIN panel p ON p.chain_id = h.chain_id AND p.product_id = h.product_id AND p.period = h.target WHERE p.sales IS NOT NULL GROUP BY GROUPING SETS ((horizon), ())""")
+def published(t: Tables):
+    return champions.publications(publication_events(t), SCOPE)
+
+
+@query("b18_champion_publication", with_(EVENTS_SQL) + """
+SELECT chain_id, objective, seq, version, previous_version, strftime(valid_from, '%Y-%m-%d') AS valid_from, strftime(valid_to, '%Y-%m-%d') AS valid_to, CASE WHEN valid_to IS NULL THEN 'ACTIVE' ELSE 'RETIRED' END AS status FROM champ""")
+def champion_publication(t: Tables):
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return champions.in_force(published(t)).select(
+        *SCOPE, "seq", "version", "previous_version", day("at").alias("valid_from"), day("valid_to").alias("valid_to"), "status")
+
+
+@query("b18_refused_transitions", with_(EVENTS_SQL) + """
+SELECT chain_id, objective, outcome, reason, count(*) AS n FROM (SELECT chain_id, objective, 'REFUSED' AS outcome, own AS reason FROM pub WHERE own IS NOT NULL
+  UNION ALL SELECT chain_id, objective, outcome, CASE WHEN outcome = 'REFUSED' THEN 'STALE_PREDECESSOR' END FROM told WHERE outcome <> 'PUBLISHED') GROUP BY ALL""")
+def refused_transitions(t: Tables):
+    return published(t).filter("outcome <> 'PUBLISHED'").groupBy(*SCOPE, "outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Facts become known late: deliveries one to three months after their month, corrected sales three or four.
+KNOWN_SQL = f"""
+fv AS (SELECT chain_id, product_id, period, 1 AS ver, delivery AS v, CAST(period + to_months(CAST(1 + bn % 3 AS INTEGER)) AS DATE) AS av FROM (SELECT *, CAST(substr(product_id, 7) AS INTEGER) AS bn FROM panel) WHERE sales IS NOT NULL
+  UNION ALL SELECT chain_id, product_id, period, 2, sales, CAST(period + to_months(CAST(3 + bn % 2 AS INTEGER)) AS DATE) FROM (SELECT *, CAST(substr(product_id, 7) AS INTEGER) AS bn FROM panel) WHERE sales IS NOT NULL),
+cutoffs AS (SELECT chain_id, CAST(unnest(generate_series(min(av), {ISSUE_SQL}, INTERVAL 1 MONTH)) AS DATE) AS c FROM fv GROUP BY chain_id),
+kn AS (SELECT chain_id, c, period, sum(v) AS v FROM (SELECT k.chain_id, c, product_id, period, arg_max(v, (av, ver)) AS v FROM cutoffs k JOIN fv f ON f.chain_id = k.chain_id AND f.av <= k.c AND f.period <= k.c GROUP BY ALL) GROUP BY ALL),
+"""
+REPLAY_VALS = vals("(SELECT chain_id || '|' || strftime(c, '%Y-%m') AS s, period, v AS sales FROM kn)", "s", keep_zero=False)
+REPLAY_RUN = with_(PANEL_BASE, KNOWN_SQL, REPLAY_VALS, PATHS, BT_SQL, CLASS_SQL, ALLOWED_SQL, RUN_SQL, f"""
+hist AS (SELECT sid, list((period, v) ORDER BY period) AS h, max(period) AS last_p, max(n) AS n FROM vals GROUP BY sid),
+runs AS (SELECT k.chain_id, k.c, coalesce(n, 0) AS n, last_p, sid, h IS NOT DISTINCT FROM lag(h) OVER (PARTITION BY k.chain_id ORDER BY k.c) AND row_number() OVER (PARTITION BY k.chain_id ORDER BY k.c) > 1 AS carried
+  FROM cutoffs k LEFT JOIN hist ON sid = k.chain_id || '|' || strftime(k.c, '%Y-%m')),
+vint AS (SELECT r.*, winner, CASE WHEN r.n = 0 THEN 'BLOCKED' WHEN r.n < 7 THEN 'SKIPPED_INSUFFICIENT_HISTORY' ELSE 'COMPLETED' END AS state FROM runs r LEFT JOIN res USING (sid)),
+pts AS (SELECT v.chain_id, v.c, p.step AS horizon, CAST(last_p + to_months(p.step) AS DATE) AS target, {r('greatest(0e0, p.pred)', 2)} AS forecast FROM vint v JOIN paths p ON p.sid = v.sid AND p.origin = v.n AND p.model = v.winner),
+fin AS (SELECT chain_id, period AS target, v AS actual FROM kn WHERE c = {ISSUE_SQL}),
+rq AS (SELECT v.chain_id, v.c, quantile_cont(b.actual - b.pred, [0.1, 0.5, 0.9, 0.95]) AS q FROM vint v JOIN bt b ON b.sid = v.sid AND b.model = v.winner AND b.step = 1 GROUP BY ALL),
+ev AS (SELECT *, CASE WHEN a < b10 THEN 'below_p10' WHEN a < b50 THEN 'p10_p50' WHEN a < b90 THEN 'p50_p90' WHEN a < b95 THEN 'p90_p95' ELSE 'above_p95' END AS coverage FROM (
+  SELECT p.*, actual, round(actual * 1e7) / 1e7 AS a, round(greatest(0e0, forecast + q[1]) * 1e7) / 1e7 AS b10, round(greatest(0e0, forecast + q[2]) * 1e7) / 1e7 AS b50, round((forecast + q[3]) * 1e7) / 1e7 AS b90, round((forecast + q[4]) * 1e7) / 1e7 AS b95
+  FROM pts p JOIN fin USING (chain_id, target) JOIN rq USING (chain_id, c)))
+""")
+
+
+def replayed(t: Tables):
+    """Every chain at every month from its first known fact to the issue month; stored."""
+    def build():
+        bn = F.substring("product_id", 7, 9).cast("int")
+        rows = t.panel.filter("sales IS NOT NULL").select(*CP, "period", F.inline(F.array(
+            F.struct(F.lit(1).alias("ver"), F.col("delivery").alias("v"), F.add_months("period", 1 + bn % 3).alias("av")),
+            F.struct(F.lit(2).alias("ver"), F.col("sales").alias("v"), F.add_months("period", 3 + bn % 2).alias("av")),
+        )))
+        known = cut_lineage(rp.known_totals(rows.filter(F.col("av") <= F.lit(ISSUE)), ["chain_id"], ["product_id"], "period", "av", ["ver"], "v"))
+        final = known.groupBy("chain_id", "period").agg(F.max_by("known", "cutoff").alias("actual"))
+        return cut_lineage(rp.replay(known, ["chain_id"], ISSUE).join(
+            final.groupBy("chain_id").agg(F.map_from_entries(F.collect_list(F.struct("period", "actual"))).alias("actuals")), "chain_id"))
+
+    return t.kept("replayed", build)
+
+
+def replay_points(t: Tables):
+    """One row for each run and horizon whose month is known by now, with the bands of the run's own one-step residuals."""
+    runs = replayed(t).filter("status = 'COMPLETED'")
+    steps = runs.select("chain_id", "cutoff", "last_month", "actuals", F.posexplode("forecast").alias("p", "forecast"))
+    rows = steps.withColumns({"horizon": F.col("p") + 1, "target": F.add_months("last_month", F.col("p") + 1)})
+    return rows.withColumn("actual", F.col("actuals")[F.col("target")]).filter("actual is not null").select("chain_id", "cutoff", "horizon", "target", "forecast", "actual")
+
+
+@query("b19_replay_runs", REPLAY_RUN + f"""
+SELECT v.chain_id, {ym('v.c')} AS cutoff, state AS status, carried, CAST(v.n AS INTEGER) AS known_months, {ym('last_p')} AS last_month, winner, forecast AS next_month FROM vint v LEFT JOIN pts p ON p.chain_id = v.chain_id AND p.c = v.c AND p.horizon = 1""")
+def replay_runs(t: Tables):
+    return replayed(t).select(
+        "chain_id", pr.label("cutoff").alias("cutoff"), "status", "carried", F.col("n").alias("known_months"), pr.label("last_month").alias("last_month"), "winner",
+        F.col("forecast")[0].alias("next_month"))
+
+
+@query("g41_replay_summary", REPLAY_RUN + f"""
+SELECT chain_id, count(*) AS periods_requested, count(*) FILTER (WHERE state = 'COMPLETED') AS executed, count(*) FILTER (WHERE state = 'SKIPPED_INSUFFICIENT_HISTORY') AS skipped, count(*) FILTER (WHERE state = 'BLOCKED') AS blocked,
+  count(*) FILTER (WHERE carried) AS carried, {ym("min(CASE WHEN state = 'COMPLETED' THEN c END)")} AS first_forecastable, {ym("max(CASE WHEN state = 'COMPLETED' THEN c END)")} AS last_forecast FROM vint GROUP BY chain_id""")
 def replay_summary(t: Tables):
-    actual = t.panel.filter("sales IS NOT NULL").select(*CP, F.col("period").alias("target_period"), F.col("sales").alias("actual"))
-    rows = horizons(t).join(actual, [*CP, "target_period"])
-    a, f = F.col("actual"), F.col("ensemble_value")
-    return rows.rollup("horizon").agg(
-        F.count(F.lit(1)).alias("observations"), rounded(100 * F.sum(F.abs(a - f)) / F.sum(a)).alias("wape"), rounded(100 * F.sum(a - f) / F.sum(a)).alias("bias"),
-        F.count_if(a < f * 0.6).alias("below_p10"), F.count_if(a >= f * 1.4).alias("above_p90"),
-    )
+    done = F.when(F.col("status") == "COMPLETED", F.col("cutoff"))
+    of = lambda s: F.count_if(F.col("status") == s)
+    return replayed(t).groupBy("chain_id").agg(
+        F.count(F.lit(1)).alias("periods_requested"), of("COMPLETED").alias("executed"), of("SKIPPED_INSUFFICIENT_HISTORY").alias("skipped"), of("BLOCKED").alias("blocked"),
+        F.count_if("carried").alias("carried"), pr.label(F.min(done)).alias("first_forecastable"), pr.label(F.max(done)).alias("last_forecast"))
+
+
+@query("g41_replay_metrics", REPLAY_RUN + f"""
+SELECT horizon, count(*) AS observations, {r('100 * sum(abs(actual - forecast)) / sum(actual)')} AS wape, {r('100 * sum(actual - forecast) / sum(actual)')} AS bias,
+  {', '.join(f"count(*) FILTER (WHERE coverage = '{b}') AS {b}" for b in ('below_p10', 'p10_p50', 'p50_p90', 'p90_p95', 'above_p95'))} FROM ev GROUP BY GROUPING SETS ((horizon), ())""")
+def replay_metrics(t: Tables):
+    """Errors and coverage of all runs by horizon, and over all horizons."""
+    q = F.percentile("residual", F.array(*[F.lit(p) for p in (0.1, 0.5, 0.9, 0.95)])).alias("q")
+    quantiles = replayed(t).select("chain_id", "cutoff", F.explode("residuals").alias("residual")).filter("residual is not null").groupBy("chain_id", "cutoff").agg(q)
+    rows = replay_points(t).join(quantiles, ["chain_id", "cutoff"])
+    a, f = F.col("actual"), F.col("forecast")
+    low = lambda i: F.greatest(F.lit(0.0), f + F.col("q")[i])
+    bucket = bands.coverage_bucket(a, low(0), low(1), f + F.col("q")[2], f + F.col("q")[3])
+    counted = [F.count_if(F.col("coverage") == b).alias(b) for b in ("below_p10", "p10_p50", "p50_p90", "p90_p95", "above_p95")]
+    return rows.withColumn("coverage", bucket).rollup("horizon").agg(
+        F.count(F.lit(1)).alias("observations"), rounded(100 * F.sum(F.abs(a - f)) / F.sum(a)).alias("wape"), rounded(100 * F.sum(a - f) / F.sum(a)).alias("bias"), *counted)
 
 
 @query("g42_availability_matrix", """

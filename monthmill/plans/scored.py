@@ -663,12 +663,23 @@ def curve_overlay(t: Tables):
     )
 
 
-@query("j26_champion_context", CALC + """
-SELECT a.calculation_id, b.calculation_id AS champion_id FROM calc a JOIN (SELECT chain_id, product_id, engine, suggested, max(issue) AS issue, arg_max(calculation_id, issue) AS calculation_id FROM calc WHERE status = 'DECIDED' GROUP BY ALL) b USING (chain_id, product_id, engine, suggested)""")
+CONTEXT_SQL = """
+ctx AS (SELECT *, CASE WHEN bn % 2 = 0 THEN 'SALES' ELSE 'ORDER' END AS objective, CASE WHEN day(created_at) < 20 THEN 'LIVE' ELSE 'TEST' END AS environment, md5(chain_id || '|' || product_id || '|' || year(issue) || '|' || CAST(sv AS BIGINT) % 4) AS data_hash FROM calc)
+"""
+
+
+@query("j26_champion_context", CALC.rstrip() + "," + CONTEXT_SQL + """
+SELECT a.calculation_id, b.calculation_id AS champion_id FROM ctx a JOIN (SELECT chain_id, product_id, objective, environment, data_hash, engine, arg_max(calculation_id, issue) AS calculation_id FROM ctx WHERE status = 'DECIDED' GROUP BY ALL) b USING (chain_id, product_id, objective, environment, data_hash, engine)""")
 def champion_context(t: Tables):
-    context = [*CP, "engine", "suggested_candidate"]
-    champion = calculations(t).filter("status = 'DECIDED'").groupBy(*context).agg(F.max_by("calculation_id", "issue").alias("champion_id"))
-    return calculations(t).join(champion, context).select("calculation_id", "champion_id")
+    """A calculation's champion is the latest decided one of the same chain, product, objective, environment, data and engine."""
+    context = [*CP, "objective", "environment", "data_hash", "engine"]
+    rows = calculations(t).withColumns({
+        "objective": F.when(F.col("bn") % 2 == 0, "SALES").otherwise("ORDER"),
+        "environment": F.when(F.dayofmonth("created_at") < 20, "LIVE").otherwise("TEST"),
+        "data_hash": F.md5(F.concat_ws("|", *CP, F.year("issue").cast("string"), (F.col("statistical_value").cast("bigint") % 4).cast("string")).cast("binary")),
+    })
+    champion = rows.filter("status = 'DECIDED'").groupBy(*context).agg(F.max_by("calculation_id", "issue").alias("champion_id"))
+    return rows.join(champion, context).select("calculation_id", "champion_id")
 
 
 @query("j30_published_forecast", CALC + f"""
