@@ -10,8 +10,8 @@ two blocks, and only links of a spanning forest leave a unit.
 Groups of similar texts are verified on the shingles. A similarity of 0.8 is about 39 of 256 differing bits, and no
 partition of the bits is selective at that distance. So the pigeonhole covers the closest pairs, and those further
 apart meet under a few least hashes of their shingles, as they share at least four fifths of these; all that meet are
-compared in Hamming distance. A first pass verifies the links of a spanning forest of close pairs, a second one all
-pairs between what the first has not joined.
+compared in Hamming distance, and by the parities of their shingles' places, which bound the similarity from above. A first pass verifies the links of a spanning forest of close pairs that share a least hash, further ones
+the nearest neighbours in other groups, the last one all pairs between what is not joined by then.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from monthmill.llm.components import components
 
 SEED = 42
 BLOCK = 4096
+NEAREST = (8,)  # neighbours of each text that are verified before all pairs
+PARITY = 64  # bytes
 PROBE_COST = 20.0  # one entry costs about as much as this many comparisons
 _WORDS = re.compile(WORD)
 
@@ -222,15 +224,38 @@ def units(rows: DataFrame, block: int) -> DataFrame:
     )
 
 
-def forest(x: np.ndarray, home: np.ndarray, radius: int) -> list[tuple[int, int]]:
+class Members:
+    """The rows of some units: fingerprints and, if `least` is given, what bounds the similarity of their sets."""
+
+    def __init__(self, fp: pd.Series, words: int, least: float | None):
+        self.fp, at, self.least = fp.to_numpy(), 8 * words, least
+        self.whole = _matrix(fp, len(fp.iloc[0]))
+        self.x = self.whole[:, :at].copy().view(np.uint64)
+        if least is not None:
+            self.parity = self.whole[:, at:at + PARITY].copy().view(np.uint64)
+            self.n = self.whole[:, at + PARITY:at + PARITY + 4].copy().view("<u4")[:, 0].astype(np.int64)
+
+    def bits(self, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+        return np.bitwise_count(self.x[a] ^ self.x[b]).sum(axis=1)
+
+    def possible(self, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+        """Whether two sets can be as similar as `least`: at that, (1 - least) / (1 + least) of all their elements may
+        be in one of them only, and there are at least as many such elements as places in which their parities differ."""
+        if self.least is None:
+            return np.ones(len(a), dtype=bool)
+        apart = np.bitwise_count(self.parity[a] ^ self.parity[b]).sum(axis=1)
+        return apart <= (self.n[a] + self.n[b]) * (1 - self.least) / (1 + self.least) + 1e-9
+
+
+def forest(rows: Members, first: int, n: int, home: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Spanning-forest links of one unit: members are reached breadth first, each compared once as a centre."""
-    free, links = np.arange(len(x)), []
+    free, links = np.arange(first, first + n), []
     while len(free):
         queue, free = [free[0]], free[1:]
         while queue and len(free):
             c = queue.pop()
-            near = np.bitwise_count(x[free] ^ x[c]).sum(axis=1) <= radius
-            near &= home[free] | home[c]
+            near = rows.bits(free, c) <= radius
+            near &= (home[free] | home[c]) & rows.possible(free, c)
             hits = free[near]
             links += [(c, h) for h in hits]
             queue += list(hits)
@@ -238,31 +263,29 @@ def forest(x: np.ndarray, home: np.ndarray, radius: int) -> list[tuple[int, int]
     return links
 
 
-def unit_links(frame: pd.DataFrame, words: int, radius: int) -> pd.DataFrame:
+def unit_links(frame: pd.DataFrame, words: int, radius: int, least: float | None = None) -> pd.DataFrame:
     """Links of whole units that lie one after the other in the frame."""
-    x = _matrix(frame.fp, 8 * words).copy().view(np.uint64)
-    home = frame.home.to_numpy()
+    rows, home = Members(frame.fp, words, least), frame.home.to_numpy()
     ids = frame[["part", "value", "lo", "hi"]].to_numpy()
     first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])
-    size = np.diff(np.r_[first, len(x)])
+    size = np.diff(np.r_[first, len(home)])
     unit = np.repeat(np.arange(len(first)), size)
     a, b = [], []
     small = size[unit] <= 48
     at = np.flatnonzero(small)
     for d in range(1, int(size[size <= 48].max(initial=0))):
-        i = at[at + d < len(x)]
+        i = at[at + d < len(home)]
         i = i[unit[i] == unit[i + d]]
         i = i[home[i] | home[i + d]]
-        i = i[np.bitwise_count(x[i] ^ x[i + d]).sum(axis=1) <= radius]
+        i = i[(rows.bits(i, i + d) <= radius) & rows.possible(i, i + d)]
         a.append(i)
         b.append(i + d)
     for f, n in zip(first[size > 48], size[size > 48]):
-        pairs = np.array(forest(x[f:f + n], home[f:f + n], radius), dtype=np.int64).reshape(-1, 2) + f
+        pairs = np.array(forest(rows, f, n, home, radius), dtype=np.int64).reshape(-1, 2)
         a.append(pairs[:, 0])
         b.append(pairs[:, 1])
     none = np.zeros(0, dtype=np.int64)
-    fp = frame.fp.to_numpy()
-    return pd.DataFrame({"a": fp[np.concatenate([none, *a])], "b": fp[np.concatenate([none, *b])]})
+    return pd.DataFrame({"a": rows.fp[np.concatenate([none, *a])], "b": rows.fp[np.concatenate([none, *b])]})
 
 
 def pairs_within(size: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -280,28 +303,34 @@ def pairs_within(size: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarr
             yield np.full(len(b), a), b
 
 
-def unit_pairs(frame: pd.DataFrame, words: int, radius: int) -> Iterator[pd.DataFrame]:
-    """All pairs of whole units within the radius whose labels, the last 16 bytes, differ."""
-    size, fp = len(frame.fp.iloc[0]), frame.fp.to_numpy()
-    whole = _matrix(frame.fp, size)
-    x, label = whole[:, :8 * words].copy().view(np.uint64), whole[:, size - 16:].copy().view(np.uint64)
-    home = frame.home.to_numpy()
+def unit_pairs(frame: pd.DataFrame, words: int, radius: int, least: float | None = None, nearest: int | None = None) -> Iterator[pd.DataFrame]:
+    """Pairs of whole units within the radius whose labels, the last 16 bytes, differ: all of them, or in large units
+    those of each row and the `nearest` rows below it."""
+    rows, home = Members(frame.fp, words, least), frame.home.to_numpy()
+    label = rows.whole[:, -16:].copy().view(np.uint64)
     ids = frame[["part", "value", "lo", "hi"]].to_numpy()
     first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])
-    for a, b in pairs_within(np.diff(np.r_[first, len(x)]), first):
+    for a, b in pairs_within(np.diff(np.r_[first, len(home)]), first):
         other = (home[a] | home[b]) & (label[a] != label[b]).any(axis=1)
         a, b = a[other], b[other]
-        near = np.bitwise_count(x[a] ^ x[b]).sum(axis=1) <= radius
-        if near.any():
-            yield pd.DataFrame({"a": fp[a[near]], "b": fp[b[near]]})
+        bits = rows.bits(a, b)
+        near = np.flatnonzero((bits <= radius) & rows.possible(a, b))
+        if nearest is not None and len(near) > nearest and a[0] == a[-1]:
+            near = near[np.argsort(bits[near], kind="stable")[:nearest]]
+        if len(near):
+            yield pd.DataFrame({"a": rows.fp[a[near]], "b": rows.fp[b[near]]})
 
 
 LINK = "a binary, b binary"
 ENTRY = "part int, value long, home boolean, fp binary"
 
 
-def links(rows: DataFrame, words: int, radius: int, block: int = BLOCK, labelled: bool = False) -> DataFrame:
-    """Links (a, b) that connect what the buckets connect, or all pairs with different labels.
+def links(
+    rows: DataFrame, words: int, radius: int, block: int = BLOCK, labelled: bool = False, nearest: int | None = None, least: float | None = None
+) -> DataFrame:
+    """Links (a, b) that connect what the buckets connect, or the pairs with different labels (see `unit_pairs`). With
+    `least`, fingerprints are followed by the parities and the size of their sets, and pairs that cannot be as similar
+    are left out.
 
     Entries are shuffled once, by bucket. What lies in a bucket of over `block` entries is handed on and cut into
     blocks; a unit, and so a task, holds at most two of them.
@@ -309,7 +338,7 @@ def links(rows: DataFrame, words: int, radius: int, block: int = BLOCK, labelled
     bucket, key = ["part", "value"], ["part", "value", "lo", "hi"]
 
     def of(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        return unit_pairs(frame, words, radius) if labelled else iter([unit_links(frame, words, radius)])
+        return unit_pairs(frame, words, radius, least, nearest) if labelled else iter([unit_links(frame, words, radius, least)])
 
     def spread_out(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Whole buckets: links of the small ones, the entries of the large ones."""
@@ -358,11 +387,12 @@ def links(rows: DataFrame, words: int, radius: int, block: int = BLOCK, labelled
         if held is not None and len(held):
             yield from of(held.reset_index(drop=True))
 
-    met = rows.repartition(*bucket).sortWithinPartitions(*bucket).mapInPandas(lean(meet), f"{LINK}, {ENTRY}")
+    # in the order of the fingerprints, so that a group has the same centre in all buckets that it fills
+    met = rows.repartition(*bucket).sortWithinPartitions(*bucket, "fp").mapInPandas(lean(meet), f"{LINK}, {ENTRY}")
     met = stored(met, "met")
     large = units(met.filter(F.col("fp").isNotNull()).select(*bucket, "home", "fp"), block)
     return met.filter(F.col("a").isNotNull()).select("a", "b").union(
-        large.repartition(*key).sortWithinPartitions(*key).mapInPandas(lean(run), LINK))
+        large.repartition(*key).sortWithinPartitions(*key, "fp").mapInPandas(lean(run), LINK))
 
 
 def near_groups(
@@ -401,6 +431,12 @@ def set_digest(distinct: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(distinct.tobytes(), SEED)
 
 
+def parities(distinct: np.ndarray) -> bytes:
+    """Whether an odd number of elements falls into each of 8 * PARITY places, and the number of elements."""
+    places = (mixed(distinct.view(np.uint64), 99) & np.uint64(8 * PARITY - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=8 * PARITY) & 1).tobytes() + len(distinct).to_bytes(4, "little")
+
+
 def least_hashes(distinct: np.ndarray, keys: int) -> list[int]:
     """The least of the shingles' hashes under each of `keys` independent hash functions; two sets agree in each with
     the probability of their similarity."""
@@ -465,8 +501,9 @@ def similar_groups(
     of `keys` least hashes agrees, which at a similarity of 0.8 fails in 0.2 ** keys of the pairs. What is found does
     not depend on the size of the corpus. Null texts count as empty; texts without words are one group. Rows with equal
     shingle sets are one node. A null doc_id counts last, so it is the component only of a group without any other id;
-    repeated rows belong to one group. An empty table gives no rows. Links of at most `near` bits that span what they
-    connect are verified first, then all pairs between the groups that these leave.
+    repeated rows belong to one group. An empty table gives no rows. Links of at most `near` bits that span what the least
+    hashes bring together are verified first, then each text's nearest ones in other groups, at last all pairs between
+    the groups that these leave, so a large group of copies is joined before its pairs are looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,7 +512,7 @@ def similar_groups(
             for text in values(batch.column(1)):
                 hashes = shingle_hashes(text, width)
                 own = np.unique(hashes).view(np.int64)
-                ids.append(majority(hashes, words) + set_digest(own))
+                ids.append(majority(hashes, words) + parities(own) + set_digest(own))
                 mins.append(least_hashes(own, keys))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "mins"])
@@ -488,19 +525,20 @@ def similar_groups(
         F.min("doc_id").alias("least"), F.min(F.struct("fp", "key", "mins")).alias("n")).select("digest", "least", "n.*"), "nodes")
     if nodes.isEmpty():
         return rows.select("doc_id", F.col("doc_id").alias("component_id"))
-    bits, size = 64 * words, 8 * words + 16
+    bits, size = 64 * words, 8 * words + PARITY + 4 + 16
     plan_ = plan(nodes.select("fp"), bits, reach, choices)
 
-    def entered(labelled: DataFrame) -> DataFrame:
-        return entries(labelled.select("fp"), bits, *plan_).unionByName(key_entries(labelled))
-
-    kept = similar(links(entered(nodes), words, near, block), nodes, docs, width, least)
+    kept = similar(links(key_entries(nodes), words, near, block, least=least), nodes, docs, width, least)
+    for nearest in (*NEAREST, None):
+        parts = components(kept).withColumnRenamed("node", "fp")
+        labelled = stored(nodes.select("fp", "mins").join(parts, "fp", "left").select(
+            F.concat("fp", F.unhex(F.md5(F.coalesce("component", "fp")))).alias("fp"), "mins"), "labelled")
+        met = key_entries(labelled)
+        if nearest is None:
+            met = met.unionByName(entries(labelled.select("fp"), bits, *plan_))
+        more = links(met, words, radius, block, True, nearest, least).select(*[F.substring(c, 1, size).alias(c) for c in ("a", "b")])
+        kept = stored(kept.union(similar(more, nodes, docs, width, least)), "kept")
     parts = components(kept).withColumnRenamed("node", "fp")
-    labelled = nodes.select("fp", "mins").join(parts, "fp", "left").select(
-        F.concat("fp", F.unhex(F.md5(F.coalesce("component", "fp")))).alias("fp"), "mins")
-    more = links(entered(stored(labelled, "labelled")), words, radius, block, labelled=True)
-    more = similar(more.select(*[F.substring(c, 1, size).alias(c) for c in ("a", "b")]), nodes, docs, width, least)
-    parts = components(kept.union(more)).withColumnRenamed("node", "fp")
     nodes = stored(nodes.join(parts, "fp", "left").select("digest", "fp", "least", F.coalesce("component", "fp").alias("component")), "components")
     heads = stored(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "heads")
     named = nodes.join(heads, "component").select("digest", "component_id")

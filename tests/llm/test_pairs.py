@@ -260,3 +260,21 @@ def test_similar_groups_against_brute_force(spark, block):
     out = simhash.similar_groups(documents(spark, rows), **near, block=block).collect()
     assert {r.doc_id: r.component_id for r in out} == label and len(out) == len(rows)
     assert simhash.similar_groups(documents(spark, []), **near).collect() == []
+
+
+def test_parities_never_rule_out_similar_sets():
+    """The bound holds for sets of any size and overlap, and rules out most pairs that are not similar enough."""
+    import pandas as pd
+
+    rng, out = np.random.default_rng(5), []
+    for n in (1, 5, 20, 80, 300, 2000):
+        for share in (0.5, 0.7, 0.79, 0.8, 0.81, 0.9, 1.0):
+            common = rng.integers(0, 2 ** 63, max(1, round(n * share)))
+            a, b = (np.unique(np.r_[common, rng.integers(0, 2 ** 63, n - len(common))[: (n - len(common)) // 2 + k]]) for k in (0, 1))
+            both, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+            fp = pd.Series([bytes(8) + simhash.parities(x) + bytes(16) for x in (a, b)])
+            possible = bool(simhash.Members(fp, 1, 0.8).possible(np.array([0]), 1)[0])
+            assert possible or both < 0.8 * union
+            out.append((n, both / union, possible))
+    low = [p for n, j, p in out if 20 <= n <= 300 and j < 0.72]
+    assert low and not any(low)
