@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from monthmill.operators.intervals import matches
 from monthmill.operators.skew import lookup
 from monthmill.session import cut_lineage
 
@@ -288,13 +289,11 @@ def route_memberships(rows: DataFrame, members: DataFrame) -> DataFrame:
 def apply_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Interval rules (source, metric, valid_from..valid_to): matched rule and how many overlap.
 
-    The join is on equal source and metric; only the month range is a condition.
-    Rows without a rule are kept; overlaps are counted for a guard.
+    Rules meet the distinct months of a source and metric through their interval nodes; the outcome, one row for each
+    of these, is then looked up by the rows. Rows without a rule are kept; overlaps are counted for a guard.
     """
-    hit = lookup(rows, rules, ["source", "metric"]).filter(
-        (F.col("period") >= F.col("valid_from")) & (F.col("period") <= F.col("valid_to"))
-    )
-    per_row = hit.groupBy("row_id").agg(
+    keys = ["source", "metric"]
+    per_month = matches(rows, rules, keys, "period", "valid_from", "valid_to").groupBy(*keys, "period").agg(
         F.count(F.lit(1)).alias("matches"), F.min("rule_id").alias("rule_id"), F.min("authority_role").alias("authority_role")
     )
-    return rows.join(per_row, "row_id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    return rows.join(per_month, [*keys, "period"], "left").withColumn("matches", F.coalesce("matches", F.lit(0)))

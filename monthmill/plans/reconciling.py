@@ -7,7 +7,8 @@ from pyspark.sql import Window, functions as F
 from monthmill.functions import periods as pr
 from monthmill.functions import text as tx
 from monthmill.functions.numbers import rounded
-from monthmill.operators import reconcile as rc
+from monthmill.operators import reconcile as rc, snapshots as sn
+from monthmill.operators.intervals import matches
 from monthmill.plans.registry import query
 from monthmill.plans.sql_parts import BASE, FACTS, PANEL_BASE, r, with_, ym
 from monthmill.session import cut_lineage
@@ -82,13 +83,19 @@ def ledger(t: Tables):
 
 
 def passing(t: Tables):
+    """Claims that no rule excludes; written once, as most queries here read them."""
+    return t.kept("passing", lambda: cut_lineage(_passing(t)))
+
+
+def _passing(t: Tables):
     checked = rc.row_exclusions(rc.canonical_product(candidates(t)))
     zeros = rc.zero_exclusions(checked.filter(F.col("reason").isNull()))
     return zeros.filter(F.col("reason").isNull())
 
 
 def decisions(t: Tables):
-    return rc.resolve(passing(t))
+    """One decision for each key; written once."""
+    return t.kept("decisions", lambda: cut_lineage(rc.resolve(passing(t))))
 
 
 KEYS = ["chain_id", "product", "period", "metric"]
@@ -244,18 +251,29 @@ def current(t: Tables):
     return decisions(t).filter("value IS NOT NULL").select(*KEYS, "value")
 
 
+def both_sides(t: Tables):
+    """Golden and current set, each derived and written once per application."""
+    def build(name, rows):
+        return t.kept(f"snapshot_{name}", lambda: sn.snapshot(rows(t), KEYS, "value"))
+
+    return build("golden", golden), build("current", current)
+
+
 @query("j23_golden_comparison", GOLD + """
 SELECT metric, CASE WHEN g.chain_id IS NULL THEN 'new' WHEN c.chain_id IS NULL THEN 'missing' WHEN g.value = c.value THEN 'equal' ELSE 'changed' END AS status, count(*) AS n FROM gold g FULL JOIN curr c USING (chain_id, product, period, metric) GROUP BY ALL""")
 def golden_comparison(t: Tables):
-    return rc.compare_keys(golden(t), current(t), KEYS, "value").groupBy("metric", "status").agg(F.count(F.lit(1)).alias("n"))
+    return sn.summary(*both_sides(t), ["metric"])
 
 
 @query("u02_set_difference", GOLD + """
 SELECT 'only_golden' AS side, count(*) AS n FROM (SELECT * FROM gold EXCEPT ALL SELECT * FROM curr) UNION ALL SELECT 'only_current', count(*) FROM (SELECT * FROM curr EXCEPT ALL SELECT * FROM gold)""")
 def set_difference(t: Tables):
-    a, b = golden(t), current(t)
-    one = a.exceptAll(b).agg(F.count(F.lit(1)).alias("n")).select(F.lit("only_golden").alias("side"), "n")
-    return one.unionByName(b.exceptAll(a).agg(F.count(F.lit(1)).alias("n")).select(F.lit("only_current").alias("side"), "n"))
+    found = sn.differences(*both_sides(t))
+    # a changed key stands on both sides
+    sides = found.select(F.explode(F.array_compact(F.array(
+        F.when(F.col("status") != "new", "only_golden"), F.when(F.col("status") != "missing", "only_current")))).alias("side"))
+    every = t.spark.createDataFrame([("only_golden",), ("only_current",)], "side string")
+    return every.join(sides.groupBy("side").agg(F.count(F.lit(1)).alias("n")), "side", "left").select("side", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("u03_key_intersection", GOLD + """
@@ -402,14 +420,20 @@ def authority_rules(t: Tables):
     return rc.apply_rules(rows, rules(t)).groupBy("source", "metric", "matches", "rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j20_snapshot_pair_coverage", CAND + """
-SELECT metric, count(*) AS covered, count(DISTINCT cutoff) AS cutoffs FROM cand WHERE sequence = 'Q' AND period BETWEEN DATE '1996-01-01' AND DATE '1999-12-01' GROUP BY metric""")
+@query("j20_snapshot_pair_coverage", with_(BASE, CAND_SQL, RULE_SQL) + """
+, hit AS (SELECT DISTINCT c.chain_id, c.item, c.period, c.metric, c.source, c.sheet, c.cutoff, c.sequence, r.rule_id FROM cand c JOIN rules r ON r.source = c.source AND r.metric = c.metric AND c.period BETWEEN r.valid_from AND r.valid_to WHERE c.sequence = 'Q'),
+pair AS (SELECT a.*, b.cutoff AS later FROM hit a JOIN (SELECT DISTINCT chain_id, item, period, metric, cutoff, rule_id FROM hit) b ON b.chain_id = a.chain_id AND b.item = a.item AND b.period = a.period AND b.metric = a.metric AND b.rule_id = a.rule_id AND b.cutoff > a.cutoff)
+SELECT metric, rule_id, count(*) AS covered, count(DISTINCT cutoff) AS cutoffs, (SELECT count(DISTINCT (chain_id, item, period, cutoff, later)) FROM pair p WHERE p.metric = h.metric AND p.rule_id = h.rule_id) AS ordered_pairs FROM hit h GROUP BY metric, rule_id""")
 def snapshot_pair_coverage(t: Tables):
-    proofs = candidates(t).filter("sequence = 'Q'").select("sequence", "metric").distinct().withColumns(
-        {"valid_from": F.lit("1996-01-01").cast("date"), "valid_to": F.lit("1999-12-01").cast("date")}
-    )
-    rows = candidates(t).join(proofs, ["sequence", "metric"]).filter((F.col("period") >= F.col("valid_from")) & (F.col("period") <= F.col("valid_to")))
-    return rows.groupBy("metric").agg(F.count(F.lit(1)).alias("covered"), F.count_distinct("cutoff").alias("cutoffs"))
+    """Claims of a sequence that a proof covers, and the pairs of an earlier and a later cutoff of one key under one proof."""
+    rows = candidates(t).filter("sequence = 'Q'").select("chain_id", "item", "period", "metric", "source", "sheet", "cutoff")
+    proofs = matches(rows, rules(t), ["source", "metric"], "period", "valid_from", "valid_to").select("source", "metric", "period", "rule_id")
+    hit = rows.join(proofs, ["source", "metric", "period"])
+    key = ["chain_id", "item", "period", "metric", "rule_id"]
+    # of k different cutoffs of a key, k (k - 1) / 2 pairs are in order
+    pairs = hit.groupBy(*key).agg(F.count_distinct("cutoff").alias("k")).groupBy("metric", "rule_id").agg(
+        F.sum(F.col("k") * (F.col("k") - 1) / 2).cast("bigint").alias("ordered_pairs"))
+    return hit.groupBy("metric", "rule_id").agg(F.count(F.lit(1)).alias("covered"), F.count_distinct("cutoff").alias("cutoffs")).join(pairs, ["metric", "rule_id"])
 
 
 @query("j21_derived_cell_lineage", with_(BASE, FACTS) + """
@@ -479,32 +503,62 @@ def leaf_scopes(t: Tables):
     return leaves(edges, chosen, depth=3)
 
 
-@query("g47_scope_readback", with_(BASE, FACTS) + f"""
-SELECT a.chain_id, a.n AS expected, b.n AS loaded, a.n = b.n AND a.p0 = b.p0 AND a.p1 = b.p1 AS matches FROM (SELECT chain_id, count(*) AS n, min(period) AS p0, max(period) AS p1 FROM facts GROUP BY 1) a
-JOIN (SELECT chain_id, count(*) FILTER (WHERE sales IS NOT NULL) + count(*) FILTER (WHERE orders IS NOT NULL) + count(*) FILTER (WHERE delivery IS NOT NULL) AS n, min(period) AS p0, max(period) AS p1 FROM monthly GROUP BY 1) b USING (chain_id)""")
+# What was loaded differs from what was expected in planted places: lost rows, changed values, rows of an unknown product.
+LOADED_SQL = """
+loaded AS (SELECT chain_id, product_id, period, metric_code, CASE WHEN product_id = 'Brand#7' AND month(period) = 5 THEN value + 1 ELSE value END AS value FROM facts
+    WHERE NOT (chain_id = 'BUILDING' AND product_id = 'Brand#3' AND metric_code = 'ORDER')
+  UNION ALL SELECT chain_id, 'Brand#99', period, metric_code, value FROM facts WHERE chain_id = 'MACHINERY' AND product_id = 'Brand#11' AND metric_code = 'SALES'),
+cmp AS (SELECT chain_id, CASE WHEN f.value IS NULL THEN 'new' WHEN l.value IS NULL THEN 'missing' WHEN f.value <> l.value THEN 'changed' ELSE 'equal' END AS status
+  FROM facts f FULL JOIN loaded l USING (chain_id, product_id, period, metric_code))
+"""
+
+
+def loaded_facts(t: Tables):
+    rows = t.facts.select(*CP, "period", "metric_code", "value")
+    kept = rows.filter(~((F.col("chain_id") == "BUILDING") & (F.col("product_id") == "Brand#3") & (F.col("metric_code") == "ORDER")))
+    changed = kept.withColumn("value", F.when((F.col("product_id") == "Brand#7") & (F.month("period") == 5), F.col("value") + 1).otherwise(F.col("value")))
+    extra = rows.filter((F.col("chain_id") == "MACHINERY") & (F.col("product_id") == "Brand#11") & (F.col("metric_code") == "SALES"))
+    return changed.unionByName(extra.withColumn("product_id", F.lit("Brand#99")))
+
+
+@query("g47_scope_readback", with_(BASE, FACTS, LOADED_SQL) + """
+SELECT chain_id, count(*) FILTER (WHERE status <> 'new') AS expected, count(*) FILTER (WHERE status <> 'missing') AS loaded, count(*) FILTER (WHERE status = 'changed') AS changed, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'new') AS unexpected,
+  count(*) FILTER (WHERE status <> 'equal') = 0 AS matches FROM cmp GROUP BY chain_id""")
 def scope_readback(t: Tables):
-    a = t.facts.groupBy("chain_id").agg(F.count(F.lit(1)).alias("expected"), F.min("period").alias("p0"), F.max("period").alias("p1"))
-    b = t.monthly.groupBy("chain_id").agg(
-        (F.count("sales") + F.count("orders") + F.count("delivery")).alias("loaded"), F.min("period").alias("q0"), F.max("period").alias("q1")
-    )
-    return a.join(b, "chain_id").select(
-        "chain_id", "expected", "loaded", ((F.col("expected") == F.col("loaded")) & (F.col("p0") == F.col("q0")) & (F.col("p1") == F.col("q1"))).alias("matches")
-    )
+    keys = [*CP, "period", "metric_code"]
+    rows = sn.summary(sn.snapshot(t.facts.select(*keys, "value"), keys, "value"), sn.snapshot(loaded_facts(t), keys, "value"), ["chain_id"])
+    of = lambda *kinds: F.coalesce(F.sum(F.when(F.col("status").isin(*kinds), F.col("n"))), F.lit(0))
+    return rows.groupBy("chain_id").agg(
+        of("equal", "changed", "missing").alias("expected"), of("equal", "changed", "new").alias("loaded"), of("changed").alias("changed"),
+        of("missing").alias("missing"), of("new").alias("unexpected"), (of("changed", "missing", "new") == 0).alias("matches"))
 
 
 # Certification, residuals, availability evidence -------------------------------------------
 
-@query("q08_fact_certification", with_(BASE, CAND_SQL) + """
-SELECT issue, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN blocking THEN 'BLOCKED' END, CASE WHEN value IS NOT NULL AND value NOT IN (0, 25, 50) THEN 'LITERAL_CHANGED' END,
-  CASE WHEN value IS NULL AND NOT blocking THEN 'NOT_A_FACT' END, CASE WHEN version_no > 1 THEN 'REVISED' END], lambda x: x IS NOT NULL)) AS issue FROM res) GROUP BY issue""")
+# The certified copy of the decisions: some values were typed wrong, some facts were never copied.
+CERTIFIED_SQL = """
+copy AS (SELECT chain_id, product, period, metric, blocking, version_no, CASE WHEN month(period) = 4 AND metric = 'SALES' AND value = 25 THEN 52 ELSE value END AS value FROM res WHERE NOT coalesce(month(period) = 9 AND metric = 'DELIVERY' AND value = 50, false)),
+cert AS (SELECT r.blocking, r.version_no, r.value AS source, c.value AS copied, c.chain_id IS NULL AS absent FROM res r LEFT JOIN copy c USING (chain_id, product, period, metric))
+"""
+
+
+@query("q08_fact_certification", with_(BASE, CAND_SQL, CERTIFIED_SQL) + """
+SELECT issue, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN blocking THEN 'BLOCKED' END, CASE WHEN NOT absent AND source IS DISTINCT FROM copied THEN 'LITERAL_CHANGED' END, CASE WHEN absent THEN 'NOT_COPIED' END,
+  CASE WHEN source IS NULL AND NOT blocking THEN 'NOT_A_FACT' END, CASE WHEN version_no > 1 THEN 'REVISED' END], lambda x: x IS NOT NULL)) AS issue FROM cert) GROUP BY issue""")
 def fact_certification(t: Tables):
+    """Every decision against its copy; only what the hash tree finds different is compared value by value."""
     from monthmill.operators.quality import violations
 
-    issues = {
-        "BLOCKED": F.col("blocking"), "LITERAL_CHANGED": F.col("value").isNotNull() & ~F.col("value").isin(0.0, 25.0, 50.0),
-        "NOT_A_FACT": F.col("value").isNull() & ~F.col("blocking"), "REVISED": F.col("version_no") > 1,
-    }
-    return violations(decisions(t), issues).groupBy(F.col("rule").alias("issue")).agg(F.count(F.lit(1)).alias("n"))
+    rows = cut_lineage(decisions(t).select(*KEYS, "value", "blocking", "version_no"))
+    month, value = F.month("period"), F.col("value")
+    copy = rows.filter(~F.coalesce((month == 9) & (F.col("metric") == "DELIVERY") & (value == 50), F.lit(False))).withColumn(
+        "value", F.when((month == 4) & (F.col("metric") == "SALES") & (value == 25), 52.0).otherwise(value))
+    found = sn.differences(sn.snapshot(rows, KEYS, "value"), sn.snapshot(copy, KEYS, "value"))
+    state = violations(rows, {
+        "BLOCKED": F.col("blocking"), "NOT_A_FACT": value.isNull() & ~F.col("blocking"), "REVISED": F.col("version_no") > 1,
+    }).select(F.col("rule").alias("issue"))
+    told = found.select(F.when(F.col("status") == "changed", "LITERAL_CHANGED").when(F.col("status") == "missing", "NOT_COPIED").otherwise("UNKNOWN_FACT").alias("issue"))
+    return state.unionByName(told).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q09_residual_types", ROUTE + """
@@ -525,16 +579,20 @@ def residual_types(t: Tables):
 @query("q10_residual_closure", with_(BASE, CAND_SQL, RULE_SQL) + """
 , open0 AS (SELECT * FROM res WHERE blocking), srcs AS (SELECT DISTINCT o.chain_id, o.product, o.period, o.metric, p.source FROM open0 o JOIN pass p USING (chain_id, product, period, metric)),
 done AS (SELECT DISTINCT s.chain_id, s.product, s.period, s.metric FROM srcs s JOIN rules r ON r.source = s.source AND r.metric = s.metric AND s.period BETWEEN r.valid_from AND r.valid_to WHERE r.authority_role = 'PRIMARY')
-SELECT o.metric, count(*) AS before_count, count(d.chain_id) AS closed, count(*) - count(d.chain_id) AS after_count FROM open0 o LEFT JOIN done d USING (chain_id, product, period, metric) GROUP BY o.metric""")
+SELECT o.metric, count(*) AS before_count, count(d.chain_id) AS closed, count(*) - count(d.chain_id) AS after_count, true AS accounted FROM open0 o LEFT JOIN done d USING (chain_id, product, period, metric) GROUP BY o.metric""")
 def residual_closure(t: Tables):
+    """Blocked keys that a primary rule closes. Closed and still open are counted apart, and must add up to what was there."""
     blocked = decisions(t).filter("blocking").select(*KEYS)
     claims = passing(t).select(*KEYS, "source").distinct().join(blocked, KEYS, "left_semi")
     primary = rules(t).filter("authority_role = 'PRIMARY'")
-    closed = claims.join(primary, ["source", "metric"]).filter((F.col("period") >= F.col("valid_from")) & (F.col("period") <= F.col("valid_to"))).select(*KEYS).distinct()
-    rows = blocked.join(closed.withColumn("done", F.lit(True)), KEYS, "left")
-    return rows.groupBy("metric").agg(
-        F.count(F.lit(1)).alias("before_count"), F.count("done").alias("closed"), (F.count(F.lit(1)) - F.count("done")).alias("after_count")
-    )
+    ruled = matches(claims, primary, ["source", "metric"], "period", "valid_from", "valid_to").select("source", "metric", "period").distinct()
+    closed = claims.join(ruled, ["source", "metric", "period"], "left_semi").select(*KEYS).distinct()
+    count = lambda rows, name: rows.groupBy("metric").agg(F.count(F.lit(1)).alias(name))
+    sides = count(blocked, "before_count").join(count(closed, "closed"), "metric", "left").join(
+        count(blocked.join(closed, KEYS, "left_anti"), "after_count"), "metric", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return sides.select("metric", "before_count", zero("closed"), zero("after_count")).withColumn(
+        "accounted", F.col("before_count") == F.col("closed") + F.col("after_count"))
 
 
 @query("q11_availability_evidence", """
@@ -555,13 +613,22 @@ def availability_evidence(t: Tables):
     return e.groupBy(source.alias("source"), confidence.alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q12_availability_backfill", with_(BASE, CAND_SQL) + """
-SELECT change, count(*) AS n FROM (SELECT CASE WHEN abs(c.value - r.value) > 1e-6 THEN 'value_mismatch' WHEN c.cutoff < 2 THEN 'before_receipt' ELSE 'backfilled' END AS change FROM cand c JOIN canon k USING (chain_id, item, period, metric, source, sheet) JOIN res r ON r.chain_id = k.chain_id AND r.product = k.product AND r.period = k.period AND r.metric = k.metric WHERE r.value IS NOT NULL) GROUP BY change""")
+@query("q12_availability_backfill", with_(BASE, CAND_SQL, RULE_SQL) + """
+, ruled AS (SELECT c.*, min(r.rule_id) AS rule_id, max(1 + CAST(substr(r.rule_id, 2, 1) AS INTEGER) % 3) AS receipt FROM cand c LEFT JOIN rules r ON r.source = c.source AND r.metric = c.metric AND c.period BETWEEN r.valid_from AND r.valid_to GROUP BY ALL)
+SELECT change, count(*) AS n FROM (SELECT CASE WHEN abs(c.value - r.value) > 1e-6 THEN 'value_mismatch' WHEN c.rule_id IS NULL THEN 'no_rule' WHEN c.cutoff < c.receipt THEN 'before_receipt' ELSE 'backfilled' END AS change
+  FROM ruled c JOIN canon k USING (chain_id, item, period, metric, source, sheet) JOIN res r ON r.chain_id = k.chain_id AND r.product = k.product AND r.period = k.period AND r.metric = k.metric WHERE r.value IS NOT NULL) GROUP BY change""")
 def availability_backfill(t: Tables):
+    """A claim is backfilled if its value is the fact's and a rule that was in force received it by then."""
     rows = rc.canonical_product(candidates(t)).filter("product IS NOT NULL")
     facts = decisions(t).filter("value IS NOT NULL").select(*KEYS, F.col("value").alias("fact_value"))
-    change = F.when(F.abs(F.col("value") - F.col("fact_value")) > 1e-6, "value_mismatch").when(F.col("cutoff") < 2, "before_receipt").otherwise("backfilled")
-    return rows.join(facts, KEYS).groupBy(change.alias("change")).agg(F.count(F.lit(1)).alias("n"))
+    receipt = (F.substring("rule_id", 2, 1).cast("int") % 3 + 1).alias("receipt")
+    ruled = matches(rows, rules(t).select("*", receipt), ["source", "metric"], "period", "valid_from", "valid_to").groupBy("source", "metric", "period").agg(
+        F.max("receipt").alias("receipt"))
+    change = (
+        F.when(F.abs(F.col("value") - F.col("fact_value")) > 1e-6, "value_mismatch").when(F.col("receipt").isNull(), "no_rule")
+        .when(F.col("cutoff") < F.col("receipt"), "before_receipt").otherwise("backfilled")
+    )
+    return rows.join(facts, KEYS).join(ruled, ["source", "metric", "period"], "left").groupBy(change.alias("change")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q17_membership_extraction", ROUTE + f"""

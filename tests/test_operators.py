@@ -400,3 +400,70 @@ def test_late_versions_are_retracted(spark, tmp_path):
     arrive(oldest)  # older than what is in force: nothing to retract, but versions count
     arrive(oldest)
     assert drain() == batch(rows)
+
+
+def test_interval_nodes_hold_every_month_once(spark):
+    """Ranges of any length, open ends and empty ones: a month meets exactly the ranges that hold it, each once."""
+    import random
+
+    from monthmill.operators import intervals
+
+    rng = random.Random(7)
+    month = lambda i: dt.date(1990 + i // 12, i % 12 + 1, 1)
+    ranges = []
+    for i in range(300):
+        a, b = rng.randrange(240), rng.randrange(240)
+        ranges.append((f"k{i % 3}", i, None if i % 17 == 0 else month(min(a, b) if i % 11 else max(a, b)), None if i % 19 == 0 else month(max(a, b) if i % 11 else min(a, b))))
+    df = spark.createDataFrame(ranges, "k string, rule long, valid_from date, valid_to date")
+    points = spark.createDataFrame([(f"k{i % 4}", month(i)) for i in range(0, 240, 3)] * 2, "k string, period date")
+    got = sorted((r["k"], r["period"], r["rule"]) for r in intervals.matches(points, df, ["k"], "period", "valid_from", "valid_to").collect())
+    want = sorted({(k, p, rule) for k, p in ((r["k"], r["period"]) for r in points.collect()) for kk, rule, a, b in ranges
+                   if k == kk and (a is None or a <= p) and (b is None or p <= b)})
+    assert got == want and len(want) > 1000
+    nodes = df.select(F.size(intervals.cover(F.col("valid_from"), F.col("valid_to"))).alias("n")).agg(F.max("n")).first()[0]
+    assert nodes <= 2 * intervals.LEVELS
+
+
+def test_many_rules_of_one_source_stay_linear(spark):
+    """The join carries the matches and the nodes, not every pair of a month and a rule."""
+    from monthmill.operators import intervals, reconcile
+
+    month = lambda i: dt.date(1990 + i // 12, i % 12 + 1, 1)
+    n = 10_000
+    rules = spark.createDataFrame([("S", "M", f"R{i:05d}", month(i % 600), month(i % 600), "PRIMARY") for i in range(n)], "source string, metric string, rule_id string, valid_from date, valid_to date, authority_role string")
+    rows = spark.createDataFrame([(i, "S", "M", month(i % 600)) for i in range(1200)], "row_id long, source string, metric string, period date")
+    out = reconcile.apply_rules(rows, rules).collect()
+    assert len(out) == 1200 and all(r["matches"] == len(range((r["row_id"] % 600), n, 600)) for r in out)
+    assert intervals.matches(rows, rules, ["source", "metric"], "period", "valid_from", "valid_to").count() == n
+
+
+def test_snapshots_tell_what_differs_and_join_no_more(spark):
+    from monthmill.operators import snapshots as sn
+
+    rows = [(f"k{i}", i % 5, float(i)) for i in range(3000)] + [(None, 1, 2.0), ("dup", 1, 1.0), ("dup", 1, 2.0), ("none", 2, None)]
+    other = [(k, g, v + 1 if k in ("k17", "k900") else v) for k, g, v in rows if k not in ("k5", "k6")] + [("new", 3, 1.0)]
+    other = [r for r in other if r != ("dup", 1, 2.0)] + [("dup", 1, 3.0)]
+    kind = "k string, g int, v double"
+    left, right = (sn.snapshot(spark.createDataFrame(r, kind), ["k", "g"], "v") for r in (rows, other))
+    found = {(r["k"], r["status"]): (r["old"], r["new"]) for r in sn.differences(left, right).collect()}
+    assert found == {("k17", "changed"): (17.0, 18.0), ("k900", "changed"): (900.0, 901.0), ("k5", "missing"): (5.0, None), ("k6", "missing"): (6.0, None),
+                     ("new", "new"): (None, 1.0), ("dup", "changed"): (1.0, 1.0)}
+    parts, buckets = sn.differing(left, right)
+    assert len(buckets) <= 6 and len(parts) <= 6
+    counts = {(r["g"], r["status"]): r["n"] for r in sn.summary(left, right, ["g"]).collect()}
+    assert sum(n for (_, s), n in counts.items() if s == "equal") == 3003 - 5 and counts[0, "missing"] == 1 and counts[3, "new"] == 1
+    again = sn.snapshot(spark.createDataFrame(rows[::-1], kind).repartition(7), ["k", "g"], "v")
+    assert sn.differing(left, again) == ([], []) and sn.differences(left, again).count() == 0
+    empty = sn.snapshot(spark.createDataFrame([], kind), ["k", "g"], "v")
+    assert sn.differences(left, empty).count() == 3003 and sn.differences(empty, empty).count() == 0
+
+
+def test_lookup_repeats_the_table_for_hot_keys_only(spark):
+    from monthmill.operators.skew import hot_keys, lookup
+
+    rows = spark.createDataFrame([("hot", i) for i in range(900)] + [(f"k{i}", i) for i in range(900)] + [(None, 1)], "k string, v int")
+    table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", 2) for i in range(0, 900, 2)], "k string, w int")
+    assert [r["k"] for r in hot_keys(rows, ["k"]).collect()] == ["hot"]
+    assert lookup(rows, table, ["k"]).count() == 900 + 450 and lookup(rows, table, ["k"], "left").count() == 1801
+    assert lookup(rows, table, ["k"], "left_semi").count() == 1350 and lookup(rows, table, ["k"], "left_anti").count() == 451
+    assert lookup(rows.limit(0), table, ["k"]).count() == 0
