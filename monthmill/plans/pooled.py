@@ -182,6 +182,7 @@ paired AS (SELECT c.chain_id, c.product_id, c.issue, c.target AS period, c.horiz
 """
 _RUN = (RECORD_VALS, PATHS, BT_SQL, CLASS_SQL, ALLOWED_SQL, RUN_SQL)
 RECORDS_SQL = with_(PANEL_BASE, q.FEATURE_SQL, q.valid_folds(3), q.RIDGE_SQL, *_RUN, WINNER_SQL) + ", rec AS (SELECT * FROM paired WHERE actual IS NOT NULL)\n"
+WHOLE_SQL = with_(PANEL_BASE, q.FEATURE_SQL, q.valid_and_future_folds(3), q.RIDGE_SQL, *_RUN, WINNER_SQL) + ", rec AS (SELECT * FROM paired WHERE actual IS NOT NULL)\n"
 NEXT_SQL = with_(PANEL_BASE, q.FEATURE_SQL, q.FUTURE_FOLDS, q.RIDGE_SQL, *_RUN, WINNER_SQL)
 
 

@@ -57,6 +57,12 @@ def valid_folds(last: int, horizons: str = "horizon") -> str:
         f"SELECT horizon, t FROM cnt WHERE before >= {MIN_TRAIN} AND horizon IN ({horizons}) QUALIFY row_number() OVER (PARTITION BY horizon ORDER BY t DESC) <= {last}")
 
 
+def valid_and_future_folds(last: int) -> str:
+    """The folds of the records and, behind them, those of the months after the issue month."""
+    past = f"SELECT horizon, t FROM cnt WHERE before >= {MIN_TRAIN} QUALIFY row_number() OVER (PARTITION BY horizon ORDER BY t DESC) <= {last}"
+    return _numbered(f"SELECT horizon, t FROM ({past}) UNION ALL SELECT h, year({ISSUE}) * 12 + month({ISSUE}) - 1 + h FROM (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS h)")
+
+
 # d holds 1, the standardised values, the missing flags, and the label last
 RIDGE_SQL = f"""
 tr AS (SELECT f.fold, r.* FROM folds f JOIN rw r ON r.horizon = f.horizon AND r.t < f.t AND r.label IS NOT NULL),

@@ -174,18 +174,24 @@ def selection_events(t: Tables):
 
 
 @query("l10_decision_lineage", CALC + """
-SELECT h.calculation_id, count(*) FILTER (WHERE CASE n.selected_candidate WHEN 'STATISTICAL' THEN sv WHEN 'ML' THEN mv ELSE ensemble_value END IS DISTINCT FROM CASE n.selected_candidate WHEN 'STATISTICAL' THEN statistical_value WHEN 'ML' THEN ml_value ELSE ensemble_value END) AS mismatches, count(*) AS points
-FROM hor h JOIN seln n USING (calculation_id) GROUP BY h.calculation_id""")
+, told AS (SELECT h.calculation_id, h.horizon, n.selected_candidate, CASE n.selected_candidate WHEN 'STATISTICAL' THEN statistical_value WHEN 'ML' THEN ml_value ELSE ensemble_value END AS value FROM hor h JOIN seln n USING (calculation_id)),
+event AS (SELECT calculation_id, horizon, selected_candidate, CASE WHEN month(issue) = 6 AND horizon = 5 THEN value + 1 ELSE value END AS value FROM told JOIN (SELECT calculation_id, issue FROM calc) USING (calculation_id) WHERE NOT (month(issue) = 9 AND horizon = 12))
+SELECT t.calculation_id, count(*) AS points, count(*) FILTER (WHERE e.calculation_id IS NULL) AS missing, count(*) FILTER (WHERE e.calculation_id IS NOT NULL AND e.value IS DISTINCT FROM t.value) AS mismatches,
+  count(*) FILTER (WHERE e.calculation_id IS NULL OR e.value IS DISTINCT FROM t.value) = 0 AS valid FROM told t LEFT JOIN event e USING (calculation_id, horizon) GROUP BY t.calculation_id""")
 def decision_lineage(t: Tables):
+    """Curves as the events keep them, some with a changed or a lost point, against the stored horizons they were chosen from."""
+    month = F.month("issue")
     points = lv.selection_curves(horizons(t), selections(t)).select("calculation_id", "selected_candidate", F.inline("curve"))
-    stored = horizons(t).select("calculation_id", "horizon", "statistical_value", "ml_value", "ensemble_value")
+    events = points.join(calculations(t).select("calculation_id", "issue"), "calculation_id").filter(~((month == 9) & (F.col("horizon") == 12))).select(
+        "calculation_id", "horizon", F.when((month == 6) & (F.col("horizon") == 5), F.col("value") + 1).otherwise(F.col("value")).alias("told"), F.lit(True).alias("there"))
+    stored = horizons(t).join(selections(t).select("calculation_id", "selected_candidate"), "calculation_id")
     value = (
         F.when(F.col("selected_candidate") == "STATISTICAL", F.col("statistical_value"))
         .when(F.col("selected_candidate") == "ML", F.col("ml_value")).otherwise(F.col("ensemble_value"))
     )
-    return points.join(stored, ["calculation_id", "horizon"], "left").groupBy("calculation_id").agg(
-        F.count_if(~F.col("value").eqNullSafe(value)).alias("mismatches"), F.count(F.lit(1)).alias("points")
-    )
+    gone, other = F.col("there").isNull(), F.col("there").isNotNull() & ~F.col("told").eqNullSafe(value)
+    return stored.join(events, ["calculation_id", "horizon"], "left").groupBy("calculation_id").agg(
+        F.count(F.lit(1)).alias("points"), F.count_if(gone).alias("missing"), F.count_if(other).alias("mismatches"), (F.count_if(gone | other) == 0).alias("valid"))
 
 
 @query("w05_latest_calculation", CALC + """

@@ -7,8 +7,9 @@ from pyspark.sql import Window, functions as F
 from monthmill.functions import periods as pr
 from monthmill.functions.numbers import rounded, snapped
 from monthmill.operators import backtest as bt, bands, metrics as em, models as m, records as rec, selection as sel, series as sr
+from monthmill.operators.quantiles import exact_quantiles
 from monthmill.plans.models import ALLOWED_SQL, BT_SQL, CLASS_SQL, RUN_SQL
-from monthmill.plans.pooled import NEXT_SQL, RECORDS_SQL, family_records, future_records, records
+from monthmill.plans.pooled import NEXT_SQL, RECORDS_SQL, WHOLE_SQL, family_records, future_records, records
 from monthmill.plans.registry import query
 from monthmill.plans.scoring import PAIRS_SQL, metric_sql, lpairs, pairs
 from monthmill.plans.sql_parts import (
@@ -474,3 +475,58 @@ def forecast_quality_gate(t: Tables):
     return sel.quality_gate(level("last"), level("mean3"), CP).select(
         *CP, F.col("cw").alias("candidate_wape"), F.col("bw").alias("baseline_wape"), rounded(F.col("degradation")).alias("degradation"), "status"
     )
+
+
+# Published forecast --------------------------------------------------------------------------
+
+OFFICIAL_SQL = """
+inc AS (SELECT * FROM wcand WHERE strategy = 'statistical'),
+el AS (SELECT b.chain_id, b.strategy <> 'statistical' AND least(i.wape, 60e0) - b.wape >= 0.25 AND b.observations >= 24 AND b.windows >= 3 AND abs(b.bias) <= abs(i.bias) + 5 AND b.stability <= i.stability + 10 AND b.score < i.score AS eligible
+  FROM bst b JOIN inc i USING (chain_id)),
+off AS (SELECT w.chain_id, w.strategy, w.statistical_weight AS wt, w.wape, w.stability FROM wcand w JOIN el USING (chain_id) JOIN bst b USING (chain_id) WHERE w.statistical_weight = CASE WHEN eligible THEN b.statistical_weight ELSE 1e0 END),
+ores AS (SELECT chain_id, product_id, horizon, actual - greatest(0e0, statistical * wt + ml * (1 - wt)) AS residual FROM rec JOIN off USING (chain_id)),
+oq AS (SELECT chain_id, product_id, horizon, count(*) AS n, quantile_cont(residual, [0.1, 0.9, 0.95]) AS q FROM ores GROUP BY ALL),
+aq AS (SELECT chain_id, horizon, count(*) AS n, quantile_cont(residual, [0.1, 0.9, 0.95]) AS q FROM ores GROUP BY ALL),
+nxt AS (SELECT p.*, off.strategy, wt, wape, stability, greatest(0e0, statistical * wt + ml * (1 - wt)) AS value, 100 * abs(statistical - ml) / greatest(abs(statistical), 1e0) AS dv,
+    coalesce(oq.n, aq.n, 0) AS n, coalesce(oq.q, aq.q) AS q, CASE WHEN coalesce(oq.n, aq.n, 0) < 5 THEN sqrt(p.horizon) ELSE 1e0 END AS sc
+  FROM paired p JOIN off USING (chain_id) LEFT JOIN oq USING (chain_id, product_id, horizon) LEFT JOIN aq USING (chain_id, horizon) WHERE p.issue = """ + ISSUE_SQL + """ AND p.actual IS NULL)
+"""
+
+
+def official(t: Tables):
+    """The strategy in use of each chain: the best candidate if it may challenge, the statistical one otherwise."""
+    states = sel.strategy_states(sel.weight_search(records(t), ["chain_id"]), ["chain_id"], reference_wape=60.0)
+    rank = F.when(F.col("state") == "challenger", 0).when(F.col("state") == "champion", 1)
+    fields = F.struct("strategy", F.col("statistical_weight").alias("w"), "wape", "stability")
+    return states.filter(rank.isNotNull()).groupBy("chain_id").agg(F.min_by(fields, rank).alias("o")).select("chain_id", "o.*")
+
+
+@query("f28_published_forecast", WHOLE_SQL.rstrip() + ",\n" + WEIGHT_SQL.strip() + ", " + BEST_SQL + "," + OFFICIAL_SQL + f"""
+SELECT chain_id, product_id, horizon, {ym('period')} AS target, strategy, statistical, ml, wt AS statistical_weight, {rs('value')} AS value, {rs('dv')} AS divergence, dv >= 30 AS divergence_alert, n AS comparable,
+  CASE WHEN pts >= 7 THEN 'Alta' WHEN pts >= 4 THEN 'Media' ELSE 'Baja' END AS confidence,
+  {rs('least(value, greatest(0e0, value + q[1] * sc))')} AS p10, {rs('greatest(value, value + q[2] * sc)')} AS p90, {rs('greatest(greatest(value, value + q[2] * sc), value + q[3] * sc)')} AS p95
+FROM (SELECT *, CASE WHEN wape <= 20 THEN 2 WHEN wape <= 35 THEN 1 ELSE 0 END + CASE WHEN stability <= 8 THEN 2 WHEN stability <= 18 THEN 1 ELSE 0 END + CASE WHEN dv <= 15 THEN 2 WHEN dv <= 30 THEN 1 ELSE 0 END
+  + CASE WHEN n >= 120 THEN 2 WHEN n >= 48 THEN 1 ELSE 0 END AS pts FROM nxt)""")
+def published_forecast(t: Tables):
+    """Twelve months of every series by its chain's strategy, with bands of the records' residuals and a confidence.
+
+    Bands come from the series' own records at the same horizon, widened by the root of the horizon if there are fewer
+    than five, or from those of the whole chain.
+    """
+    weights = official(t)
+    value = sel.blend(F.col("statistical"), F.col("ml"), F.col("w"))
+    residuals = cut_lineage(records(t).join(weights.select("chain_id", "w"), "chain_id").select(*CP, "horizon", (F.col("actual") - value).alias("residual")))
+    probabilities = F.array(*[F.lit(p) for p in bands.PROBABILITIES])
+    # a series has at most as many records at a horizon as there are folds
+    own = residuals.groupBy(*CP, "horizon").agg(F.count("residual").alias("n_own"), F.percentile("residual", probabilities).alias("q_own"))
+    wide = exact_quantiles(residuals, ["chain_id", "horizon"], "residual", bands.PROBABILITIES).withColumnsRenamed({"n": "n_all", "quantiles": "q_all"})
+    rows = future_records(t).join(weights, "chain_id").join(own, [*CP, "horizon"], "left").join(wide, ["chain_id", "horizon"], "left")
+    rows = rows.withColumns({
+        "value": value, "n": F.coalesce("n_own", "n_all", F.lit(0)), "q": F.coalesce("q_own", "q_all"), "divergence": sel.divergence(F.col("statistical"), F.col("ml")),
+    })
+    b = bands.ordered_bands(F.col("value"), F.col("q"), 4, F.when(F.col("n") < 5, F.sqrt("horizon")).otherwise(1.0))
+    return rows.select(
+        *CP, "horizon", pr.label("period").alias("target"), "strategy", "statistical", "ml", F.col("w").alias("statistical_weight"), rounded(snapped(F.col("value"))).alias("value"),
+        rounded(snapped(F.col("divergence"))).alias("divergence"), (F.col("divergence") >= 30).alias("divergence_alert"), F.col("n").alias("comparable"),
+        sel.confidence(F.col("wape"), F.col("stability"), F.col("divergence"), F.col("n")).alias("confidence"), *[b[n].alias(n) for n in ("p10", "p90", "p95")],
+    )
