@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from monthmill.functions.numbers import rounded
 from monthmill.operators.metrics import error_metrics
@@ -21,8 +21,15 @@ def adjusted_value(base: Column, method: Column, value: Column) -> Column:
     )
 
 
-def decide(points: DataFrame, proposals: DataFrame, keys: list[str]) -> DataFrame:
-    """Points with their proposal (default: none), deltas, band flags and blockers."""
+# Roles that may leave the band.
+BAND_ROLES = ["manager"]
+
+
+def decide(points: DataFrame, proposals: DataFrame, keys: list[str], role: str | None = None) -> DataFrame:
+    """Points with their proposal (default: none), deltas, band flags, governance alerts and blockers.
+
+    `role` names the column with the role of the author; only some roles may propose values outside the band.
+    """
     rows = points.join(proposals, keys, "left").withColumns(
         {
             "method": F.coalesce("method", F.lit("none")), "proposed": F.coalesce("proposed", F.lit(0.0)),
@@ -35,12 +42,15 @@ def decide(points: DataFrame, proposals: DataFrame, keys: list[str]) -> DataFram
     percent = F.when((base == 0) & (F.col("delta") == 0), 0.0).when(base != 0, F.col("delta") / F.when(base != 0, base) * 100)
     out = out.withColumn("percent", percent)
     significant = (F.col("percent").isNull() | (F.abs("percent") >= SIGNIFICANT_PERCENT)) & (F.col("delta") != 0)
+    outside = F.coalesce(F.col("adjusted") > F.col("p95"), F.lit(False)) | F.coalesce(F.col("adjusted") < F.col("p10"), F.lit(False))
+    alerts = F.array_compact(F.array(F.when(outside, "outside_probability_range"), F.when(significant, "significant_adjustment")))
+    unauthorised = outside & ~F.coalesce(F.col(role).isin(*BAND_ROLES), F.lit(False)) if role else F.lit(False)
     blockers = F.array_compact(
         F.array(
             F.when(~F.col("method").isin(*METHODS), "invalid_method"), F.when(~F.col("reason").isin(*REASONS), "invalid_reason"),
             F.when((F.col("method") != "none") & (F.trim("explanation") == ""), "explanation_required"),
             F.when((F.col("method") == "none") & (F.col("reason") != "no_adjustment"), "no_adjustment_reason_required"),
-            F.when(F.col("adjusted") < 0, "negative_adjusted_forecast"),
+            F.when(F.col("adjusted") < 0, "negative_adjusted_forecast"), F.when(unauthorised, "outside_band_authorization_required"),
         )
     )
     return out.withColumns(
@@ -48,11 +58,19 @@ def decide(points: DataFrame, proposals: DataFrame, keys: list[str]) -> DataFram
             "within_p90": F.coalesce((F.col("adjusted") >= F.coalesce("p10", F.lit(0.0))) & (F.col("adjusted") <= F.col("p90")), F.lit(False)),
             "outside_p95": F.coalesce(F.col("adjusted") > F.col("p95"), F.lit(False)),
             "below_p10": F.coalesce(F.col("adjusted") < F.col("p10"), F.lit(False)),
-            "significant": significant, "blockers": F.array_join(blockers, ","),
+            "significant": significant, "alerts": F.array_join(alerts, ","), "blockers": F.array_join(blockers, ","),
         }
     )
 
 
+def version_chain(decisions: DataFrame, scope: list[str], order: list[str], prefix: str, period: str) -> DataFrame:
+    """Adds revision, version and previous_version: decisions on one scope, in order, each a revision of the one before."""
+    w = Window.partitionBy(*scope).orderBy(*order)
+    name = F.concat(F.lit(prefix), F.date_format(period, "yyyy-MM"), F.lit("-V"), F.lpad(F.col("revision").cast("string"), 2, "0"))
+    rows = decisions.withColumn("revision", F.row_number().over(w)).withColumn("version", name)
+    return rows.withColumn("previous_version", F.lag("version").over(w))
+
+
 def value_class(points: Column, intervened: Column, tolerance: float = NEUTRAL_POINTS) -> Column:
     return (
         F.when(~intervened, "no_intervention").when(points > tolerance, "positive")

@@ -342,3 +342,22 @@ def tune(series: DataFrame, keys: list[str], name: str) -> DataFrame:
     return scored.groupBy(*keys).agg(
         F.min_by(F.struct(*fields), F.struct("mae", "g")).alias("params"), F.min("mae").alias("mae")
     )
+
+
+def tuned_paths(series: DataFrame, tuned: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys, path: twelve raw steps after the last month, with the parameters that `tune` chose for each series."""
+    fields = list(GRIDS[name][0])
+    rows = series.join(tuned.select(*keys, *[F.col(f"params.{f}").alias(f) for f in fields]), keys)
+    demand = "if(s[size(s) - 1].seen, s[size(s) - 1].size / greatest(s[size(s) - 1].interval, 1e-9D), 0D)"
+    states, step = {
+        "SES": (lambda: ses_states("alpha"), "element_at(s, -1)"),
+        "Holt": (lambda: holt_states("alpha", "beta"), "element_at(s, -1).level + element_at(s, -1).trend * h"),
+        "Holt-Winters": (
+            lambda: holt_winters_states("alpha", "beta", "gamma"),
+            "element_at(s, -1).level + element_at(s, -1).trend * h + element_at(s, -1).seasonal[cast((size(values) + h - 1) % 12 as int)]"),
+        "Croston": (lambda: intermittent_states("alpha", "beta"), demand),
+        "SBA": (lambda: intermittent_states("alpha", "beta"), f"{demand} * (1D - beta / 2D)"),
+        "TSB": (lambda: intermittent_states("alpha", "beta"), "if(element_at(s, -1).seen, element_at(s, -1).p * element_at(s, -1).size, 0D)"),
+    }[name]
+    scanned = rows.select(*keys, "values", *fields, states().alias("s")).filter(F.size("values") >= REQUIREMENTS[name])
+    return scanned.select(*keys, F.expr(f"transform(sequence(1, {STEPS}), h -> {step})").alias("path"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 from monthmill.functions import periods as pr
 from monthmill.functions import text as tx
 from monthmill.functions.numbers import rounded
-from monthmill.operators import bands, champions, coldstart as cs, replay as rp, series as sr
+from monthmill.operators import bands, champions, coldstart as cs, models as m, replay as rp, series as sr
 from monthmill.plans.facts import RAW_SQL, raw_cells
 from monthmill.plans.models import ALLOWED_SQL, BT_SQL, CLASS_SQL, RUN_SQL
 from monthmill.plans.reconciling import CAND_SQL, candidates
@@ -137,11 +137,33 @@ def source_manifest(t: Tables):
     )
 
 
+AVAILABLE = "CAST(period + to_months(CAST(1 + CAST(substr(product_id, 7) AS INTEGER) % 3 AS INTEGER)) AS DATE)"
+
+
+def read_history(facts, chain: str, metric: str, until, cutoff=None, product: str | None = None):
+    """The current values of one chain and metric up to a month, known at a cutoff if one is given.
+
+    Every condition is one on a column of the store, so it reaches the scan. Two rows of a product and month are an error.
+    """
+    rows = facts.filter((F.col("chain_id") == chain) & (F.col("metric_code") == metric) & (F.col("period") <= until))
+    if product is not None:
+        rows = rows.filter(F.col("product_id") == product)
+    if cutoff is not None:
+        rows = rows.filter(F.col("available_at").isNotNull() & (F.col("available_at") <= cutoff))
+    one = F.count(F.lit(1)).over(Window.partitionBy("product_id", "period"))
+    checked = rows.withColumn("_n", one).withColumn("value", F.when(F.col("_n") > 1, F.raise_error(F.lit("duplicate observation"))).otherwise(F.col("value")))
+    return checked.drop("_n")
+
+
 @query("s09_chain_reader", with_(BASE, FACTS) + f"""
-SELECT product_id, {ym('period')} AS period, value FROM facts WHERE chain_id = 'BUILDING' AND metric_code = 'SALES' AND period <= {ISSUE_SQL} - INTERVAL 12 MONTH""")
+SELECT product_id, {ym('period')} AS period, value, {ym(AVAILABLE)} AS available FROM facts WHERE chain_id = 'BUILDING' AND metric_code = 'SALES' AND period <= {ISSUE_SQL} - INTERVAL 12 MONTH AND {AVAILABLE} <= {ISSUE_SQL} - INTERVAL 11 MONTH""")
 def chain_reader(t: Tables):
-    f = t.facts.filter((F.col("chain_id") == "BUILDING") & (F.col("metric_code") == "SALES") & (F.col("period") <= F.add_months(F.lit(ISSUE), -12)))
-    return f.select("product_id", pr.label("period").alias("period"), "value")
+    """Sales of one chain as they were known eleven months before the issue month."""
+    delay = 1 + F.substring("product_id", 7, 9).cast("int") % 3
+    facts = t.facts.withColumn("available_at", F.add_months("period", delay))
+    at = lambda months: F.add_months(F.lit(ISSUE), months)
+    rows = read_history(facts, "BUILDING", "SALES", at(-12), at(-11))
+    return rows.select("product_id", pr.label("period").alias("period"), "value", pr.label("available_at").alias("available"))
 
 
 @query("s11_line_actuals", with_(BASE) + f"""
@@ -323,11 +345,18 @@ def dense_training_matrix(t: Tables):
     return t.panel.select(*CP, pr.label("period").alias("period"), "sales", "orders", "delivery", F.lag("sales", 12).over(w).alias("year_before"))
 
 
-@query("j09_expansion", with_(PANEL_BASE) + f"""
-SELECT chain_id, product_id, {ym('period')} AS origin, h AS horizon, {ym('period + to_months(h)')} AS target FROM panel, (SELECT CAST(unnest([1, 3, 6, 12]) AS INTEGER) AS h) WHERE sales IS NOT NULL""")
+@query("j09_expansion", with_(PANEL_BASE, ALLOWED_SQL) + f"""
+SELECT chain_id, product_id, {ym('period')} AS origin, h AS horizon, {ym('period + to_months(h)')} AS target, list_aggregate(list_sort(list(model)), 'string_agg', ',') AS models
+FROM (SELECT *, count(sales) OVER (PARTITION BY chain_id, product_id ORDER BY idx) AS known FROM panel), (SELECT CAST(unnest([1, 3, 6, 12]) AS INTEGER) AS h), reg WHERE sales IS NOT NULL AND need <= known GROUP BY ALL""")
 def expansion(t: Tables):
-    rows = t.panel.filter("sales IS NOT NULL").select(*CP, "period", F.explode(F.array(*[F.lit(h) for h in (1, 3, 6, 12)])).alias("horizon"))
-    return rows.select(*CP, pr.label("period").alias("origin"), "horizon", pr.label(F.add_months("period", F.col("horizon"))).alias("target"))
+    """Every origin, horizon and model that the months known by then are enough for; the models of a point in one list."""
+    w = Window.partitionBy(*SERIES).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    known = t.panel.withColumn("known", F.count("sales").over(w)).filter("sales IS NOT NULL")
+    able = F.array_compact(F.array(*[F.when(F.col("known") >= need, name) for name, need in m.REQUIREMENTS.items()]))
+    rows = known.select(*CP, "period", able.alias("models"), F.explode(F.array(*[F.lit(h) for h in (1, 3, 6, 12)])).alias("horizon"))
+    return rows.select(
+        *CP, pr.label("period").alias("origin"), "horizon", pr.label(F.add_months("period", F.col("horizon"))).alias("target"),
+        F.array_join(F.array_sort("models"), ",").alias("models"))
 
 
 # Quality, dashboards, replays ---------------------------------------------------------------------
@@ -396,6 +425,20 @@ def eligibility_counts(t: Tables):
     return t.part_values.groupBy(sr.lifecycle_label(positive).alias("lifecycle")).agg(F.count(F.lit(1)).alias("series"))
 
 
+@query("b22_not_eligible_scopes", with_(PART_BASE, PART_VALS) + """
+, life AS (SELECT sid, CASE WHEN max(v) <= 0 THEN 'PRE-LAUNCH' WHEN count(*) < 18 THEN 'COLD_START' WHEN coalesce(max(v) FILTER (WHERE idx > n - 6), 0) = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS lifecycle FROM vals GROUP BY sid)
+SELECT p_brand || '|' || p_size AS scope, count(lifecycle) AS products, count(*) FILTER (WHERE lifecycle = 'ACTIVE') AS eligible, CASE WHEN count(*) FILTER (WHERE lifecycle = 'ACTIVE') = 0 THEN 'NOT_ELIGIBLE' ELSE 'ELIGIBLE' END AS status
+FROM part LEFT JOIN life ON CAST(p_partkey AS VARCHAR) = sid GROUP BY 1""")
+def not_eligible_scopes(t: Tables):
+    """A brand and size is eligible if one of its products is active; products without a line have no lifecycle."""
+    positive = F.when(F.exists("values", lambda x: x > 0), F.col("values"))
+    life = t.part_values.select(F.col("part_id").alias("p_partkey"), sr.lifecycle_label(positive).alias("lifecycle"))
+    rows = t.read("part").select("p_partkey", F.concat_ws("|", "p_brand", F.col("p_size").cast("string")).alias("scope")).join(life, "p_partkey", "left")
+    eligible = F.count_if(F.col("lifecycle") == "ACTIVE")
+    return rows.groupBy("scope").agg(
+        F.count("lifecycle").alias("products"), eligible.alias("eligible"), F.when(eligible == 0, "NOT_ELIGIBLE").otherwise("ELIGIBLE").alias("status"))
+
+
 # Publications: every order proposes a version for the chain and objective it belongs to. Who may publish, what is
 # certified and which version the author expects in force follow from its numbers.
 EVENTS_SQL = """

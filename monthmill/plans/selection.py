@@ -227,24 +227,65 @@ def tuned_holt(t: Tables):
     )
 
 
-@query("f15_tuned_all")
-def tuned_all(t: Tables):
-    parts = [
-        m.tune(t.brand_values, CP, name).select(*CP, F.lit(name).alias("model"), F.to_json("params").alias("params"), rounded(F.col("mae")).alias("inner_mae"))
-        for name in ("SES", "Holt", "Holt-Winters", "Croston", "SBA", "TSB")
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+# All six families in SQL: each grid runs as its own recursion, numbered in search order.
+GRIDS_SQL = """
+g1 AS (SELECT row_number() OVER () AS g, alpha, CAST(NULL AS DOUBLE) AS beta, CAST(NULL AS DOUBLE) AS gamma FROM (SELECT unnest([0.15e0, 0.35e0, 0.65e0, 0.85e0]) AS alpha)),
+g2 AS (SELECT row_number() OVER (ORDER BY alpha, beta) AS g, alpha, beta, CAST(NULL AS DOUBLE) AS gamma FROM (SELECT unnest([0.2e0, 0.5e0, 0.8e0]) AS alpha), (SELECT unnest([0.1e0, 0.3e0]) AS beta)),
+g3 AS (SELECT row_number() OVER (ORDER BY alpha, beta, gamma) AS g, alpha, beta, gamma FROM (SELECT unnest([0.2e0, 0.5e0]) AS alpha), (SELECT unnest([0.1e0, 0.3e0]) AS beta), (SELECT unnest([0.1e0, 0.3e0]) AS gamma)),
+sr AS (SELECT sid, g, alpha, idx, v AS f FROM vals, g1 WHERE idx = 1 UNION ALL SELECT r.sid, r.g, r.alpha, x.idx, r.alpha * x.v + (1 - r.alpha) * r.f FROM sr r JOIN vals x ON x.sid = r.sid AND x.idx = r.idx + 1),
+lr AS (SELECT a.sid, g, alpha, beta, a.idx, a.v AS l, b.v - a.v AS tr FROM vals a JOIN vals b ON b.sid = a.sid AND b.idx = 2, g2 WHERE a.idx = 1 UNION ALL
+  SELECT sid, g, alpha, beta, idx, l2, beta * (l2 - l) + (1 - beta) * tr FROM (SELECT r.*, x.idx AS idx2, r.alpha * x.v + (1 - r.alpha) * (r.l + r.tr) AS l2 FROM lr r JOIN vals x ON x.sid = r.sid AND x.idx = r.idx + 1) q(sid, g, alpha, beta, old, l, tr, idx, l2)),
+wr0 AS (SELECT sid, lvl, (m2 - lvl) / 12e0 AS tr, list_transform(f12, lambda q: q - lvl) AS seas FROM (
+  SELECT sid, avg(v) FILTER (WHERE idx <= 12) AS lvl, avg(v) FILTER (WHERE idx BETWEEN 13 AND 24) AS m2, list(v ORDER BY idx) FILTER (WHERE idx <= 12) AS f12 FROM vals WHERE n >= 24 GROUP BY sid)),
+hwr AS (SELECT sid, g, alpha, beta, gamma, CAST(0 AS BIGINT) AS idx, lvl, tr, seas FROM wr0, g3 UNION ALL
+  SELECT sid, g, alpha, beta, gamma, idx, lv2, beta * (lv2 - lvl) + (1 - beta) * tr, list_transform(seas, lambda q, i: CASE WHEN i - 1 = (idx - 1) % 12 THEN gamma * (v - lv2) + (1 - gamma) * q ELSE q END)
+  FROM (SELECT h.sid, h.g, h.alpha, h.beta, h.gamma, x.idx, h.lvl, h.tr, h.seas, x.v, h.alpha * (x.v - h.seas[(x.idx - 1) % 12 + 1]) + (1 - h.alpha) * (h.lvl + h.tr) AS lv2 FROM hwr h JOIN vals x ON x.sid = h.sid AND x.idx = h.idx + 1)),
+ir AS (SELECT sid, g, alpha, beta, idx, v > 0 AS seen, CASE WHEN v > 0 THEN v ELSE 0e0 END AS z, CASE WHEN v > 0 THEN 1e0 ELSE 0e0 END AS iv, 1e0 AS gap, CASE WHEN v > 0 THEN 1e0 ELSE 0e0 END AS p FROM vals, g2 WHERE idx = 1 UNION ALL
+  SELECT r.sid, r.g, r.alpha, r.beta, x.idx, r.seen OR x.v > 0, CASE WHEN NOT r.seen THEN CASE WHEN x.v > 0 THEN x.v ELSE 0e0 END WHEN x.v > 0 THEN r.alpha * x.v + (1 - r.alpha) * r.z ELSE r.z END,
+    CASE WHEN NOT r.seen THEN CASE WHEN x.v > 0 THEN CAST(x.idx AS DOUBLE) ELSE 0e0 END WHEN x.v > 0 THEN r.beta * r.gap + (1 - r.beta) * r.iv ELSE r.iv END, CASE WHEN NOT r.seen OR x.v > 0 THEN 1e0 ELSE r.gap + 1 END,
+    CASE WHEN NOT r.seen THEN CASE WHEN x.v > 0 THEN 1e0 / x.idx ELSE 0e0 END ELSE r.beta * CASE WHEN x.v > 0 THEN 1e0 ELSE 0e0 END + (1 - r.beta) * r.p END FROM ir r JOIN vals x ON x.sid = r.sid AND x.idx = r.idx + 1),
+st6 AS (SELECT 'SES' AS model, 1 AS fam, sid, g, alpha, CAST(NULL AS DOUBLE) AS beta, CAST(NULL AS DOUBLE) AS gamma, idx, step, f FROM sr, steps6
+  UNION ALL SELECT 'Holt', 2, sid, g, alpha, beta, NULL, idx, step, l + tr * step FROM lr, steps6 WHERE idx >= 3
+  UNION ALL SELECT 'Holt-Winters', 3, sid, g, alpha, beta, gamma, idx, step, lvl + tr * step + seas[(idx + step - 1) % 12 + 1] FROM hwr, steps6 WHERE idx >= 24
+  UNION ALL SELECT 'Croston', 4, sid, g, alpha, beta, NULL, idx, step, CASE WHEN seen THEN z / greatest(iv, 1e-9) ELSE 0e0 END FROM ir, steps6
+  UNION ALL SELECT 'SBA', 5, sid, g, alpha, beta, NULL, idx, step, CASE WHEN seen THEN z / greatest(iv, 1e-9) * (1 - beta / 2) ELSE 0e0 END FROM ir, steps6
+  UNION ALL SELECT 'TSB', 6, sid, g, alpha, beta, NULL, idx, step, CASE WHEN seen THEN p * z ELSE 0e0 END FROM ir, steps6),
+er6 AS (SELECT s.model, s.sid, s.g, any_value(s.alpha) AS alpha, any_value(s.beta) AS beta, any_value(s.gamma) AS gamma, avg(abs(v2.v - greatest(0e0, s.f))) AS mae FROM st6 s JOIN vals v2 ON v2.sid = s.sid AND v2.idx = s.idx + 1
+  WHERE s.step = 1 AND s.idx >= greatest(6, v2.n - 5) AND v2.n > 6 GROUP BY s.model, s.sid, s.g),
+tuned AS (SELECT * FROM er6 QUALIFY row_number() OVER (PARTITION BY model, sid ORDER BY mae, g) = 1)
+"""
+TUNED = TUNE_HEAD.rstrip() + ", steps6 AS (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS step)," + GRIDS_SQL
+
+
+def tuned(t: Tables):
+    """The parameters of every family for every series, with all six in one table."""
+    out = None
+    for name in ("SES", "Holt", "Holt-Winters", "Croston", "SBA", "TSB"):
+        fields = m.GRIDS[name][0]
+        part = m.tune(t.brand_values, CP, name).select(
+            *CP, F.lit(name).alias("model"), *[(F.col(f"params.{p}") if p in fields else F.lit(None).cast("double")).alias(p) for p in ("alpha", "beta", "gamma")], "mae")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("f16_parameterised_prediction", TUNE_HEAD + f""", rec AS (SELECT sid, idx, v AS f FROM vals WHERE idx = 1 UNION ALL
-  SELECT r.sid, x.idx, 0.65e0 * x.v + (1 - 0.65e0) * r.f FROM rec r JOIN vals x ON x.sid = r.sid AND x.idx = r.idx + 1)
-SELECT split_part(sid, '|', 1) AS chain_id, split_part(sid, '|', 2) AS product_id, {r('greatest(0e0, f)')} AS forecast FROM rec WHERE (sid, idx) IN (SELECT sid, n FROM vals)""")
+@query("f15_tuned_all", TUNED + f"""
+SELECT split_part(sid, '|', 1) AS chain_id, split_part(sid, '|', 2) AS product_id, model, alpha, beta, gamma, {r('mae')} AS inner_mae FROM tuned""")
+def tuned_all(t: Tables):
+    return tuned(t).select(*CP, "model", "alpha", "beta", "gamma", rounded(F.col("mae")).alias("inner_mae"))
+
+
+@query("f16_parameterised_prediction", TUNED + f"""
+SELECT split_part(s.sid, '|', 1) AS chain_id, split_part(s.sid, '|', 2) AS product_id, s.model, s.step AS horizon, {rs('greatest(0e0, s.f)', 2)} AS forecast
+FROM st6 s JOIN tuned u ON u.model = s.model AND u.sid = s.sid AND u.g = s.g JOIN (SELECT sid, max(n) AS n FROM vals GROUP BY sid) z ON z.sid = s.sid AND s.idx = z.n""")
 def parameterised_prediction(t: Tables):
-    level = F.element_at(m.ses_states("0.65D"), -1)
-    return t.brand_values.select(*CP, rounded(F.greatest(F.lit(0.0), level)).alias("forecast"))
+    """Twelve months of every family at its own tuned parameters."""
+    out = None
+    for name in ("SES", "Holt", "Holt-Winters", "Croston", "SBA", "TSB"):
+        part = m.tuned_paths(t.brand_values, m.tune(t.brand_values, CP, name), CP, name).select(
+            *CP, F.lit(name).alias("model"), F.posexplode("path").alias("p", "raw"))
+        out = part if out is None else out.unionByName(part)
+    if_finite = F.when(F.isnan("raw") | (F.abs("raw") == float("inf")), F.raise_error(F.lit("a parameterised prediction is not finite"))).otherwise(F.col("raw"))
+    return out.select(*CP, "model", (F.col("p") + 1).alias("horizon"), rounded(snapped(F.greatest(F.lit(0.0), if_finite)), 2).alias("forecast"))
 
 
 # Total series ------------------------------------------------------------------------

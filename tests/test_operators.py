@@ -467,3 +467,34 @@ def test_lookup_repeats_the_table_for_hot_keys_only(spark):
     assert lookup(rows, table, ["k"]).count() == 900 + 450 and lookup(rows, table, ["k"], "left").count() == 1801
     assert lookup(rows, table, ["k"], "left_semi").count() == 1350 and lookup(rows, table, ["k"], "left_anti").count() == 451
     assert lookup(rows.limit(0), table, ["k"]).count() == 0
+
+
+def test_governance_alerts_and_roles(spark):
+    from monthmill.operators import decisions as dcs
+
+    kind = "k string, horizon int, base double, p10 double, p90 double, p95 double, role string"
+    points = spark.createDataFrame([(k, 1, 100.0, 60.0, 140.0, 160.0, r) for k, r in (("a", "manager"), ("b", "editor"), ("c", "editor"), ("d", None), ("e", "editor"))], kind)
+    proposals = spark.createDataFrame(
+        [("a", 1, "final_value", 170.0, "promotion", "x"), ("b", 1, "final_value", 170.0, "promotion", "x"), ("c", 1, "absolute", 10.0, "promotion", "x"),
+         ("d", 1, "absolute", -50.0, "promotion", "x")], "k string, horizon int, method string, proposed double, reason string, explanation string")
+    out = {r["k"]: (r["alerts"], r["blockers"]) for r in dcs.decide(points, proposals, ["k", "horizon"], "role").collect()}
+    both = "outside_probability_range,significant_adjustment"
+    assert out == {"a": (both, ""), "b": (both, "outside_band_authorization_required"), "c": ("", ""), "d": (both, "outside_band_authorization_required"), "e": ("", "")}
+    rows = spark.createDataFrame([("p", dt.date(2024, 5, 1), i) for i in (3, 1, 2)] + [("q", dt.date(2024, 6, 1), 9)], "product string, period date, seq int")
+    chain = {(r["product"], r["seq"]): (r["version"], r["previous_version"]) for r in dcs.version_chain(rows, ["product", "period"], ["seq"], "DEC-", "period").collect()}
+    assert chain == {("p", 1): ("DEC-2024-05-V01", None), ("p", 2): ("DEC-2024-05-V02", "DEC-2024-05-V01"), ("p", 3): ("DEC-2024-05-V03", "DEC-2024-05-V02"), ("q", 9): ("DEC-2024-06-V01", None)}
+
+
+def test_duplicate_observations_stop_the_history_reader(spark):
+    from monthmill.plans.intake import read_history
+
+    kind = "chain_id string, product_id string, metric_code string, period date, value double, available_at date"
+    d = lambda m: dt.date(2024, m, 1)
+    rows = [("a", "p", "SALES", d(1), 1.0, d(2)), ("a", "p", "SALES", d(2), 2.0, d(5)), ("a", "p", "SALES", d(3), 3.0, None), ("a", "q", "SALES", d(1), 4.0, d(2)),
+            ("a", "p", "ORDER", d(1), 9.0, d(2)), ("b", "p", "SALES", d(1), 9.0, d(2)), ("a", "p", "SALES", d(9), 9.0, d(9))]
+    facts = spark.createDataFrame(rows, kind)
+    at = F.lit(d(6))
+    assert sorted((r["product_id"], r["value"]) for r in read_history(facts, "a", "SALES", at).collect()) == [("p", 1.0), ("p", 2.0), ("p", 3.0), ("q", 4.0)]
+    assert [r["value"] for r in read_history(facts, "a", "SALES", at, F.lit(d(3)), "p").collect()] == [1.0]
+    with pytest.raises(Exception, match="duplicate observation"):
+        read_history(facts.union(facts), "a", "SALES", at).collect()
