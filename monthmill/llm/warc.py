@@ -242,7 +242,8 @@ def lookup(index: CaptureIndex, keys: DataFrame) -> DataFrame:
                         })
 
     wanted = keys.select("key").distinct().mapInArrow(assign, "shard string, key string")
-    return wanted.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(search, CAPTURE)
+    # as many tasks as shards: their searches are long, though their keys are few bytes
+    return wanted.repartition(max(1, len(names)), "shard").sortWithinPartitions("shard", "key").mapInArrow(search, CAPTURE)
 
 
 def read_records(captures: DataFrame, target: str) -> DataFrame:
@@ -297,5 +298,5 @@ def archive(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> tuple[Captu
 def op7_warc(spark: SparkSession, root: str) -> DataFrame:
     index, target, captures = archive(table(spark, root, "pages"))
     # every URL is looked up in the index and its records are read from the archives
-    found = lookup(index, captures.select("key"))
+    found = stored(lookup(index, captures.select("key")), "found")  # the ranges below sample their input first
     return read_records(found, target).drop("payload")
