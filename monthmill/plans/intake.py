@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 from monthmill.functions import periods as pr
 from monthmill.functions import text as tx
 from monthmill.functions.numbers import rounded
-from monthmill.operators import bands, champions, coldstart as cs, models as m, replay as rp, series as sr
+from monthmill.operators import bands, champions, coldstart as cs, launchforest as lf, models as m, replay as rp, series as sr
 from monthmill.plans.facts import RAW_SQL, raw_cells
 from monthmill.plans.models import ALLOWED_SQL, BT_SQL, CLASS_SQL, RUN_SQL
 from monthmill.plans.reconciling import CAND_SQL, candidates
@@ -681,3 +681,36 @@ def cold_start_forecast(t: Tables):
     return cs.launch_forecasts(cold_targets(t), cold_peers(t)).select(
         "chain_id", "part_id", "age", "model", F.col("step").alias("horizon"), rounded(F.col("forecast"), 2).alias("forecast")
     )
+
+
+# Three methods ------------------------------------------------------------------------------------
+
+def three_methods(t: Tables):
+    """Sets of peers scored by all methods, once per application and folder."""
+    groups, sets = lf.peer_sets(cold_targets(t), cold_peers(t))
+    scores = t.kept("cold_scores", lambda: cut_lineage(lf.scored(cut_lineage(sets))))
+    return groups, scores
+
+
+@query("b24_three_methods")
+def cold_start_three_methods(t: Tables):
+    """The method chosen for every group among flat level, analog and forest, ages 0 to 5."""
+    groups, scores = three_methods(t)
+    info = cs.target_groups(cold_targets(t)).select("group_id", "chain_id", "category_id", "term_key", "age").distinct()
+    figures = [f"{m}_{c}" for m in ("baseline", "analog", "ml") for c in ("wape", "bias")]
+    return info.join(groups, "group_id").join(lf.choose(scores), "set_id").select("chain_id", "category_id", "term_key", "age", "model", *figures)
+
+
+@query("j13_leave_one_out_horizons")
+def leave_one_out_horizons(t: Tables):
+    """Error and bias of the three methods at horizons 1, 3, 6 and 12 for every set of peers."""
+    _, scores = three_methods(t)
+    return scores.filter("horizon > 0").select("set_id", "method", "horizon", rounded(F.col("wape"), 2).alias("wape"), rounded(F.col("bias"), 2).alias("bias"))
+
+
+@query("f26_cold_start_launch")
+def cold_start_launch(t: Tables):
+    """Twelve provisional months of every new product by the method chosen for its peers."""
+    groups, scores = three_methods(t)
+    rows = lf.launch(cold_targets(t), cold_peers(t), lf.choose(scores), groups)
+    return rows.select("chain_id", "part_id", "age", "model", "step", rounded(F.col("forecast"), 2).alias("forecast"))

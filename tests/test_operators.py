@@ -498,3 +498,55 @@ def test_duplicate_observations_stop_the_history_reader(spark):
     assert [r["value"] for r in read_history(facts, "a", "SALES", at, F.lit(d(3)), "p").collect()] == [1.0]
     with pytest.raises(Exception, match="duplicate observation"):
         read_history(facts.union(facts), "a", "SALES", at).collect()
+
+
+def test_three_cold_start_methods(spark):
+    """Flat level and analog agree with the column expressions; the forest is scored beside them and its choice follows the rules."""
+    from monthmill.operators import launchforest as lf
+
+    rng = np.random.default_rng(3)
+    hist = {f"B{i}": [float(20 + 5 * i + 12 * np.sin((j + i) / 2) + rng.integers(0, 4)) for j in range(30)] for i in range(5)}
+    kind = "chain_id string, category_id string, {} string, terms array<string>, values array<double>"
+    peers = spark.createDataFrame([("c", "k", p, ["red"], v) for p, v in hist.items()], kind.format("product_id"))
+    targets = spark.createDataFrame([("c", "k", f"t{i}{a}", ["red"] if i else ["red", "ring"], [3.0 + i] * a) for i in range(2) for a in range(6)], kind.format("part_id"))
+    groups, sets = lf.peer_sets(targets, peers)
+    assert groups.count() == 12 and sets.count() == 6  # one fit for each age: the peers are the same
+    scores = lf.scored(sets)
+    chosen = {r["set_id"]: r for r in lf.choose(scores).collect()}
+    members = {r["group_id"]: r["set_id"] for r in groups.collect()}
+    for r in cs.leave_one_out(cs.peer_ratios(cs.select_peers(cs.target_groups(targets), peers))).collect():
+        c = chosen[members[r["group_id"]]]
+        for name in ("analog", "baseline"):
+            assert c[f"{name}_wape"] == pytest.approx(r[f"{name}_wape"], abs=0.011) and c[f"{name}_bias"] == pytest.approx(r[f"{name}_bias"], abs=0.011)
+    for c in chosen.values():
+        allowed = [(c[f"{m}_wape"], i, n) for i, (m, n) in enumerate((("analog", "analog"), ("ml", "ml_random_forest"))) if abs(c[f"{m}_bias"]) <= abs(c["baseline_bias"]) + 5]
+        best = min(allowed)[2] if allowed and min(allowed)[0] < c["baseline_wape"] else "baseline"
+        assert c["model"] == best
+    by_horizon = scores.filter("horizon > 0").collect()
+    assert len(by_horizon) == 6 * 3 * 4
+    # the forest of a set, by hand
+    ages = {r["set_id"]: r["age"] for r in sets.collect()}
+    for set_id, age in ages.items():
+        actual, guess = [], []
+        for p in sorted(hist):
+            others = [hist[q] for q in sorted(hist) if q != p]
+            on = lf.level(hist[p][:age]) if age else float(np.median([lf.level(o[:3]) for o in others]))
+            actual += hist[p][age:age + 12]
+            guess += list(lf.predict(lf.forest(others, age), hist[p][:age], age, on))
+        assert chosen[set_id]["ml_wape"] == pytest.approx(100 * sum(abs(a - g) for a, g in zip(actual, guess)) / sum(actual), abs=0.006)
+    out = lf.launch(targets, peers, lf.choose(scores), groups).collect()
+    assert len(out) == 144 and all(r["forecast"] >= 0 for r in out)
+    for r in out:
+        if r["model"] == "baseline" and r["age"]:
+            assert r["forecast"] == pytest.approx(lf.level([3.0 + int(r["part_id"][1])] * r["age"]))
+
+
+def test_launch_trees_split_where_the_error_falls_most():
+    from monthmill.operators import launchforest as lf
+
+    x = np.array([[i / 12, 0.2, 0.0, 0.0] for i in range(1, 13)] * 6)
+    y = np.where(x[:, 0] > 0.66, 9.0, 1.0)
+    trees = [lf.grow(x, y, np.random.default_rng(s)) for s in range(40)]
+    assert max(abs(lf.walk(t, x) - y).max() for t in trees if len(t) == 4 and t[0] == 0) < 8
+    assert any(len(t) == 4 and t[0] == 0 and abs(t[1] - np.quantile(x[:, 0], 0.66)) < 1e-9 for t in trees)
+    assert lf.grow(x[:8], y[:8], np.random.default_rng(0)) == [float(y[:8].mean())]
