@@ -28,6 +28,7 @@ from monthmill.llm.common import lean, query, table, texts, values
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CACHE, CHUNK, THREADS = 600_000, 1 << 19, 2
+LEARNED = 20_000  # new words that are encoded, checked and decoded together
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
 
@@ -163,8 +164,9 @@ class Encoder:
         if fresh and len(self.known) + len(fresh) > self.size:
             self.clear()
             fresh = list(set(every))
+        for i in range(0, len(fresh), LEARNED):
+            self.learn(fresh[i:i + LEARNED])
         if fresh:
-            self.learn(fresh)
             missing = np.flatnonzero(at < 0) if len(fresh) < len(self.known) else np.arange(len(every))
             at[missing] = self.places([every[i] for i in missing])
         ids, ends = np.array(self.ids, dtype=np.int32), np.array(self.ends, dtype=np.int64)
