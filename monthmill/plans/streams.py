@@ -95,19 +95,25 @@ def frozen_forecasts(versions: DataFrame) -> DataFrame:
     return versions.groupBy("event_type", following).agg(mean.alias("forecast"))
 
 
+PER_BUCKET = 20_000  # versions whose state is kept together
+
+
 @query("x02_late_corrections", WEEK_SQL + """
 SELECT event_type, strftime(week, '%Y-%m-%d') AS week, CAST(sum(versions) AS BIGINT) AS versions, count(*) AS facts, CAST(sum(cents) AS BIGINT) AS actual,
   CAST(sum(abs(cents - forecast)) AS BIGINT) AS error, CAST(sum(cents - forecast) AS BIGINT) AS bias FROM cur JOIN f USING (event_type, week) GROUP BY event_type, week""")
 def late_corrections(t: Tables):
-    """Every event arrives in one of three files, of which the last holds the oldest versions; the first file comes twice."""
+    """Every event arrives in one of three loads, of which the last holds the oldest versions; the first load comes twice."""
     folder = work_dir(t, "rescore")
     versions = weekly_versions(t)
     third = F.col("event_id") % 3
-    arrivals = versions.withColumn("file", F.when(F.dayofmonth("ts") <= 10, 2).otherwise((third == 0).cast("int")))
-    for file in (1, 0, 2, 1):
-        arrivals.filter(F.col("file") == file).drop("file").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    arrivals = versions.withColumn("load", F.when(F.dayofmonth("ts") <= 10, 2).otherwise((third == 0).cast("int")))
     forecasts = cut_lineage(frozen_forecasts(versions))
-    stream = jobs.file_stream(t.spark, f"{folder}/in", versions.schema, per_trigger=1)
-    writer = jobs.rescore(stream, ["event_type", "user_id", "week"], "ts", "event_id", "cents", forecasts, ["event_type", "week"], "forecast", f"{folder}/out")
-    writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    buckets = t.events.count() // PER_BUCKET + 1
+    for load in (1, 0, 2, 1):
+        arrivals.filter(F.col("load") == load).drop("load").write.mode("append").parquet(f"{folder}/in")
+        # the stream goes on from its checkpoint and takes the files of this load as one micro-batch
+        stream = jobs.file_stream(t.spark, f"{folder}/in", versions.schema)
+        writer = jobs.rescore(
+            stream, ["event_type", "user_id", "week"], "ts", "event_id", "cents", forecasts, ["event_type", "week"], "forecast", f"{folder}/out", buckets)
+        writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return jobs.scores(t.spark, f"{folder}/out", ["event_type", "week"]).withColumn("week", F.date_format("week", "yyyy-MM-dd"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StringType, StructType, TimestampNTZType, TimestampType
 
 from monthmill.sources.monthly_files import append_versions, parse_monthly
 
@@ -32,39 +33,80 @@ def ingest_monthly(stream: DataFrame, profile: dict[str, str], facts_path: str,
     return stream.writeStream.foreachBatch(write)
 
 
-# State of a fact: the version in force, and the ids of all versions seen, so that a repeated file changes nothing.
-IN_FORCE = "at timestamp, id long, value long, seen array<long>"
-
-
-def changes(stream: DataFrame, keys: list[str], at: str, version: str, value: str) -> DataFrame:
+# State of a bucket of facts, as Arrow tables: the version in force of each, and the ids of all versions seen, by the
+# number of their fact, so that a repeated file changes nothing.
+IN_FORCE = "facts binary, seen binary"
+BUCKETS = 64
+
+
+def packed(table: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    columns = pa.Table.from_pandas(table, preserve_index=False)
+    with pa.ipc.new_stream(sink, columns.schema) as out:
+        out.write_table(columns)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(data)).read_pandas()
+
+
+def take_versions(facts: pd.DataFrame, seen: pd.DataFrame, arrived: pd.DataFrame, keys: list[str]) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
+    """The facts of a bucket and the ids seen after versions arrived, and keys, old, new and added of the facts they touch."""
+    every = pd.concat([facts[keys], arrived[keys]], ignore_index=True)
+    numbers = every.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()  # held facts keep their numbers
+    arrived = arrived.assign(_fact=numbers[len(facts):])
+    ids = pd.concat([seen, arrived[["_fact", "_id"]]], ignore_index=True)
+    fresh = ~ids.duplicated().to_numpy()
+    arrived = arrived[fresh[len(seen):]]
+    # of the versions of a fact the latest, then the one of the largest id, stands last
+    latest = arrived.sort_values(["_fact", "_at", "_id"], na_position="first").drop_duplicates("_fact", keep="last").set_index("_fact")
+    added = arrived["_fact"].value_counts().reindex(latest.index).to_numpy()
+    known = latest.index < len(facts)
+    held = facts.loc[latest.index[known]]
+    old = pd.Series(pd.NA, index=latest.index, dtype="Int64")
+    old[held.index] = held["_value"].to_numpy()
+    mine = latest.loc[held.index]
+    later = (mine["_at"] > held["_at"]) | ((mine["_at"] == held["_at"]) & (mine["_id"] > held["_id"]))
+    facts = pd.concat([facts, latest[~known][facts.columns]]).sort_index()  # new facts are numbered in order of arrival
+    facts.loc[later.index[later], ["_at", "_id", "_value"]] = mine.loc[later, ["_at", "_id", "_value"]]
+    now = facts.loc[latest.index]
+    return facts, ids[fresh], now[keys].assign(old=old, new=now["_value"], added=added)
+
+
+def changes(stream: DataFrame, keys: list[str], at: str, version: str, value: str, buckets: int = BUCKETS) -> DataFrame:
     """keys, old, new, added: how each micro-batch changes the version in force of a fact.
 
     The version with the latest time, then the largest id, is in force, in whatever order versions arrive. `value` is a
     whole number (hundredths, say), so sums of it are exact. `old` is null for a fact seen for the first time; old and
     new are equal if only older versions arrived; a version that arrives again is not counted. State is kept for each
     fact, so neither the facts nor earlier batches are read again.
+
+    Facts are dealt into `buckets` by the hash of their key, and one call takes all versions of a bucket at once; a call
+    for each fact would cost more than its versions. Some ten thousand versions to a bucket are right. The number of buckets
+    belongs to the checkpoint and must not change.
     """
-    names = [*keys, "old", "new", "added"]
+    types = {f.name: f.dataType for f in stream.select(*keys).schema}
+    # numbers and flags as text, which keeps them exact beside nulls in pandas
+    exact = {k: F.col(k) if isinstance(kind, (StringType, TimestampType, TimestampNTZType, DateType)) else F.col(k).cast("string") for k, kind in types.items()}
+    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = tuple(state.get) if state.exists else (None, None, None, [])
-        seen, best = set(held[3] if held[3] is not None else []), held[:3] if state.exists else None
-        old, added = best[2] if best else None, 0
-        for frame in frames:
-            for when, number, amount in zip(frame[at], frame[version].tolist(), frame[value].tolist()):
-                if number in seen:
-                    continue
-                seen.add(number)
-                added += 1
-                if best is None or (pd.Timestamp(when), number) > (pd.Timestamp(best[0]), best[1]):
-                    best = (when, number, amount)
-        state.update((pd.Timestamp(best[0]).to_pydatetime(), int(best[1]), int(best[2]), sorted(seen)))
-        if added:
-            yield pd.DataFrame({n: [v] for n, v in zip(names, [*key, old, int(best[2]), added])}).astype({"old": "Int64"})
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.select(*keys).schema)
-    return stream.select(*keys, at, version, value).groupBy(*keys).applyInPandasWithState(
+        arrived = pd.concat(list(frames), ignore_index=True).drop(columns="_bucket")
+        if state.exists:
+            facts, seen = [unpacked(part) for part in state.get]
+        else:
+            facts, seen = arrived.head(0), pd.DataFrame({"_fact": pd.Series(dtype="int64"), "_id": pd.Series(dtype="int64")})
+        facts, seen, touched = take_versions(facts, seen, arrived, keys)
+        if len(touched):
+            state.update((packed(facts), packed(seen)))
+            yield touched
+
+    rows = stream.select(bucket.alias("_bucket"), *[c.alias(k) for k, c in exact.items()], F.col(at).alias("_at"), F.col(version).alias("_id"), F.col(value).alias("_value"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    touched = rows.groupBy("_bucket").applyInPandasWithState(
         update, f"{kinds}, old long, new long, added long", IN_FORCE, "update", GroupStateTimeout.NoTimeout)
+    return touched.select(*[F.col(k).cast(kind).alias(k) for k, kind in types.items()], "old", "new", "added")
 
 
 def retractions(changed: DataFrame, forecasts: DataFrame, scope: list[str], forecast: str) -> DataFrame:
@@ -86,7 +128,8 @@ def retractions(changed: DataFrame, forecasts: DataFrame, scope: list[str], fore
 
 
 def rescore(
-    stream: DataFrame, keys: list[str], at: str, version: str, value: str, forecasts: DataFrame, scope: list[str], forecast: str, path: str
+    stream: DataFrame, keys: list[str], at: str, version: str, value: str, forecasts: DataFrame, scope: list[str], forecast: str, path: str,
+    buckets: int = BUCKETS,
 ) -> DataStreamWriter:
     """Keeps the error sums of frozen forecasts up to date as facts and corrections arrive, late ones included.
 
@@ -97,7 +140,7 @@ def rescore(
     def write(batch: DataFrame, batch_id: int) -> None:
         retractions(batch, forecasts, scope, forecast).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return changes(stream, keys, at, version, value).writeStream.outputMode("update").foreachBatch(write)
+    return changes(stream, keys, at, version, value, buckets).writeStream.outputMode("update").foreachBatch(write)
 
 
 def scores(spark: SparkSession, path: str, scope: list[str]) -> DataFrame:

@@ -402,6 +402,37 @@ def test_late_versions_are_retracted(spark, tmp_path):
     assert drain() == batch(rows)
 
 
+def test_a_bucket_takes_all_versions_of_its_facts_at_once():
+    """Three loads of one bucket, with null and repeated keys and versions of equal time, against a loop."""
+    import random
+
+    import pandas as pd
+
+    from monthmill.streaming import jobs
+
+    rng, keys = random.Random(8), ["scope", "fact"]
+    empty = pd.DataFrame({"scope": pd.Series(dtype=str), "fact": pd.Series(dtype=str), "_at": pd.Series(dtype="datetime64[us]"), "_id": pd.Series(dtype="int64"), "_value": pd.Series(dtype="int64")})
+    facts, seen = empty, pd.DataFrame({"_fact": pd.Series(dtype="int64"), "_id": pd.Series(dtype="int64")})
+    best, ids = {}, set()
+    for load in range(3):
+        rows = [(rng.choice(["a", None]), rng.choice(["1", "2", "3", None]), dt.datetime(2024, 1, 1 + rng.randrange(4)), rng.randrange(60), 2 ** 60 + rng.randrange(9)) for _ in range(40)]
+        facts, seen = jobs.unpacked(jobs.packed(facts)), jobs.unpacked(jobs.packed(seen))
+        arrived = pd.DataFrame(rows, columns=empty.columns).astype({"_at": "datetime64[us]"})
+        facts, seen, touched = jobs.take_versions(facts, seen, arrived, keys)
+        before, added = dict(best), {}
+        for scope, fact, at, number, value in rows:
+            key = scope, fact
+            if (key, number) not in ids:
+                ids.add((key, number))
+                added[key] = added.get(key, 0) + 1
+                best[key] = max(best.get(key, (dt.datetime.min, -1, 0)), (at, number, value), key=lambda v: v[:2])
+        none = lambda v: None if pd.isna(v) else v
+        got = {(none(r.scope), none(r.fact)): (none(r.old), r.new, r.added) for r in touched.itertuples()}
+        assert got == {k: (before[k][2] if k in before else None, best[k][2], n) for k, n in added.items()}
+        assert len(facts) == len(best) and len(seen) == len(ids)
+        assert not len(jobs.take_versions(facts, seen, arrived, keys)[2])
+
+
 def test_interval_nodes_hold_every_month_once(spark):
     """Ranges of any length, open ends and empty ones: a month meets exactly the ranges that hold it, each once."""
     import random
