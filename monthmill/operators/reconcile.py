@@ -157,10 +157,10 @@ def classification(reason: Column) -> Column:
 
 
 def ledger(candidates: DataFrame) -> DataFrame:
-    """Excluded rows and resolved keys in one table."""
-    checked = row_exclusions(canonical_product(candidates))
+    """Excluded rows and resolved keys in one table. The rows of either check are read several times, so they are written."""
+    checked = cut_lineage(row_exclusions(canonical_product(candidates)))
     excluded = checked.filter(F.col("reason").isNotNull())
-    zeros = zero_exclusions(checked.filter(F.col("reason").isNull()))
+    zeros = cut_lineage(zero_exclusions(checked.filter(F.col("reason").isNull())))
     excluded_zero = zeros.filter(F.col("reason").isNotNull())
     resolved = resolve(zeros.filter(F.col("reason").isNull()))
     shape = lambda d: d.select(

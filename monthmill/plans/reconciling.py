@@ -58,6 +58,11 @@ CAND = with_(BASE, CAND_SQL)
 
 
 def candidates(t: Tables):
+    """Claims of all sources; written once, as every query here reads them several times."""
+    return t.kept("candidates", lambda: cut_lineage(_candidates(t)))
+
+
+def _candidates(t: Tables):
     """Each line number is a source claiming a coarse monthly value per return flag (its sheet)."""
     g = t.lines.groupBy(
         "chain_id", F.col("product_id").alias("item"), F.col("ship_m").alias("period"), F.col("l_linenumber").alias("ln"),
@@ -78,6 +83,11 @@ def candidates(t: Tables):
     )
 
 
+def canonical(t: Tables):
+    """Claims with their product; written once."""
+    return t.kept("canonical", lambda: cut_lineage(rc.canonical_product(candidates(t))))
+
+
 def ledger(t: Tables):
     return rc.ledger(candidates(t))
 
@@ -88,7 +98,7 @@ def passing(t: Tables):
 
 
 def _passing(t: Tables):
-    checked = rc.row_exclusions(rc.canonical_product(candidates(t)))
+    checked = rc.row_exclusions(canonical(t))
     zeros = rc.zero_exclusions(checked.filter(F.col("reason").isNull()))
     return zeros.filter(F.col("reason").isNull())
 
@@ -107,7 +117,7 @@ def ymd(df):
 
 @query("j15_identity_bridge", CAND + f"SELECT chain_id, item, {ym('period')} AS period, metric, source, sheet, product, ambiguous FROM canon")
 def identity_bridge(t: Tables):
-    return ymd(rc.canonical_product(candidates(t)).select("chain_id", "item", "period", "metric", "source", "sheet", "product", "ambiguous"))
+    return ymd(canonical(t).select("chain_id", "item", "period", "metric", "source", "sheet", "product", "ambiguous"))
 
 
 @query("g21_resolution", CAND + f"SELECT chain_id, product, {ym('period')} AS period, metric, reason, blocking, claims, value, version_no FROM res")
@@ -124,7 +134,7 @@ def simple_reconcile(t: Tables):
 
 @query("g23_activation", CAND + f"SELECT chain_id, product, {ym('first_active')} AS first_active FROM act")
 def activation(t: Tables):
-    checked = rc.row_exclusions(rc.canonical_product(candidates(t))).filter(F.col("reason").isNull())
+    checked = rc.row_exclusions(canonical(t)).filter(F.col("reason").isNull())
     return rc.activation(checked).select("chain_id", "product", pr.label("first_active").alias("first_active"))
 
 
@@ -149,9 +159,8 @@ clus AS (SELECT chain_id, year(period) AS year, metric, reason, pattern, count(*
 
 
 def clusters(t: Tables):
-    rows = cut_lineage(passing(t))  # read by the decisions and by the claims
-    blocked = rc.resolve(rows).filter("blocking").select(*KEYS, "reason")
-    claims = rows.filter("level = 'A'").select(*KEYS, F.concat_ws(":", "source", "sheet").alias("locator")).distinct()
+    blocked = decisions(t).filter("blocking").select(*KEYS, "reason")
+    claims = passing(t).filter("level = 'A'").select(*KEYS, F.concat_ws(":", "source", "sheet").alias("locator")).distinct()
     # a key has one locator per source sheet: as many as there are files
     patterns = claims.groupBy(*KEYS).agg(F.array_join(F.array_sort(F.collect_set("locator")), ",").alias("pattern"))
     rows = blocked.join(patterns, KEYS)
@@ -243,7 +252,7 @@ GOLD = with_(BASE, CAND_SQL, GOLD_SQL)
 
 
 def golden(t: Tables):
-    rows = rc.canonical_product(candidates(t)).filter("product IS NOT NULL AND literal_class = 'VALUE'")
+    rows = canonical(t).filter("product IS NOT NULL AND literal_class = 'VALUE'")
     return rc.simple_reconcile(rows, KEYS).filter("NOT conflict").select(*KEYS, "value")
 
 
@@ -319,7 +328,7 @@ SELECT kind, count(*) AS n FROM (SELECT CASE WHEN b.chain_id IS NOT NULL THEN CA
  FROM (SELECT chain_id, product, period, metric, max(value) AS value, month(period) % 2 = 0 AS rv FROM canon WHERE product IS NOT NULL GROUP BY ALL) i LEFT JOIN curr a USING (chain_id, product, period, metric)
  LEFT JOIN (SELECT * FROM res WHERE blocking) b USING (chain_id, product, period, metric)) GROUP BY kind""")
 def incoming_classification(t: Tables):
-    incoming = rc.canonical_product(candidates(t)).filter("product IS NOT NULL").groupBy(*KEYS).agg(F.max("value").alias("value")).withColumn(
+    incoming = canonical(t).filter("product IS NOT NULL").groupBy(*KEYS).agg(F.max("value").alias("value")).withColumn(
         "reviewed", F.month("period") % 2 == 0
     )
     d = decisions(t)
@@ -462,7 +471,7 @@ SELECT chain_id, outcome, count(*) AS n FROM oc GROUP BY ALL""")
 def baseline_trace(t: Tables):
     old_key = ["chain_id", "item", "period", "metric"]
     old = rc.simple_reconcile(candidates(t), old_key).filter("conflict").select(*old_key)
-    links = rc.canonical_product(candidates(t)).filter("product IS NOT NULL").select("chain_id", "item", "product", "period", "metric").distinct()
+    links = canonical(t).filter("product IS NOT NULL").select("chain_id", "item", "product", "period", "metric").distinct()
     traced = old.join(links, old_key, "left").join(decisions(t).select(*KEYS, "reason", "value", "blocking"), KEYS, "left")
     outcome = traced.groupBy(*old_key).agg(
         F.when(F.count_if("blocking") > 0, "STILL_BLOCKED").when(F.count("reason") == 0, "UNACCOUNTED").when(F.count("value") == 0, "NO_LONGER_A_FACT")
@@ -549,7 +558,7 @@ def fact_certification(t: Tables):
     """Every decision against its copy; only what the hash tree finds different is compared value by value."""
     from monthmill.operators.quality import violations
 
-    rows = cut_lineage(decisions(t).select(*KEYS, "value", "blocking", "version_no"))
+    rows = decisions(t).select(*KEYS, "value", "blocking", "version_no")
     month, value = F.month("period"), F.col("value")
     copy = rows.filter(~F.coalesce((month == 9) & (F.col("metric") == "DELIVERY") & (value == 50), F.lit(False))).withColumn(
         "value", F.when((month == 4) & (F.col("metric") == "SALES") & (value == 25), 52.0).otherwise(value))
@@ -619,7 +628,7 @@ SELECT change, count(*) AS n FROM (SELECT CASE WHEN abs(c.value - r.value) > 1e-
   FROM ruled c JOIN canon k USING (chain_id, item, period, metric, source, sheet) JOIN res r ON r.chain_id = k.chain_id AND r.product = k.product AND r.period = k.period AND r.metric = k.metric WHERE r.value IS NOT NULL) GROUP BY change""")
 def availability_backfill(t: Tables):
     """A claim is backfilled if its value is the fact's and a rule that was in force received it by then."""
-    rows = rc.canonical_product(candidates(t)).filter("product IS NOT NULL")
+    rows = canonical(t).filter("product IS NOT NULL")
     facts = decisions(t).filter("value IS NOT NULL").select(*KEYS, F.col("value").alias("fact_value"))
     receipt = (F.substring("rule_id", 2, 1).cast("int") % 3 + 1).alias("receipt")
     ruled = matches(rows, rules(t).select("*", receipt), ["source", "metric"], "period", "valid_from", "valid_to").groupBy("source", "metric", "period").agg(

@@ -581,3 +581,12 @@ def test_launch_trees_split_where_the_error_falls_most():
     assert max(abs(lf.walk(t, x) - y).max() for t in trees if len(t) == 4 and t[0] == 0) < 8
     assert any(len(t) == 4 and t[0] == 0 and abs(t[1] - np.quantile(x[:, 0], 0.66)) < 1e-9 for t in trees)
     assert lf.grow(x[:8], y[:8], np.random.default_rng(0)) == [float(y[:8].mean())]
+
+
+def test_claims_are_derived_from_the_lines_once(spark, root):
+    """Claims, products and ledger are written: no query of the decisions reads the order lines in its own plan."""
+    from monthmill.plans.catalog import QUERIES
+
+    for name in ("u07_incoming_classification", "q12_availability_backfill", "u03_key_intersection", "j11_backlog_anti_join", "j22_baseline_trace",
+                 "u01_ledger_union", "g24_ledger_summary", "g25_conflict_clusters", "g21_resolution"):
+        assert not any("lineitem" in f for f in QUERIES[name](spark, root).inputFiles()), name
