@@ -590,3 +590,34 @@ def test_claims_are_derived_from_the_lines_once(spark, root):
     for name in ("u07_incoming_classification", "q12_availability_backfill", "u03_key_intersection", "j11_backlog_anti_join", "j22_baseline_trace",
                  "u01_ledger_union", "g24_ledger_summary", "g25_conflict_clusters", "g21_resolution"):
         assert not any("lineitem" in f for f in QUERIES[name](spark, root).inputFiles()), name
+
+
+def test_lines_are_dealt_to_tasks_of_bounded_size(spark, root, monkeypatch):
+    """Beyond the usual number of tasks lines are dealt by order, and grouping single lines needs no further shuffle."""
+    from monthmill.sources import tables as tb
+
+    whole = tb.Tables(spark, root)
+    assert whole.line_tasks == 1 and whole.dealt(whole.lines, "l_orderkey") is whole.lines
+    monkeypatch.setattr(tb, "ROWS_PER_TASK", 300)
+    t = tb.Tables(spark, root)
+    assert t.line_tasks == whole.read("lineitem").count() // 300 + 1
+    assert t.lines.rdd.getNumPartitions() == t.line_tasks
+    # the same rows, as many times
+    assert t.lines.exceptAll(whole.lines).count() == 0 and whole.lines.exceptAll(t.lines).count() == 0
+
+
+def test_a_forest_is_walked_once_for_all_targets_of_a_set():
+    import random
+
+    import numpy as np
+
+    from monthmill.operators import launchforest as lf
+
+    rng = random.Random(3)
+    peers = [[float(rng.randint(0, 40)) for _ in range(20)] for _ in range(6)]
+    for age in (0, 1, 4):
+        trees = lf.forest(peers, age)
+        prefixes = [[float(rng.randint(0, 40)) for _ in range(age)] for _ in range(7)]
+        on = [lf.scale(peers, p) for p in prefixes]
+        alone = [lf.predict(trees, p, age, o) for p, o in zip(prefixes, on)]
+        assert np.array_equal(lf.forest_paths(trees, prefixes, age, on), np.array(alone))
