@@ -71,6 +71,13 @@ def scale(peers: list[list[float]], prefix: list[float]) -> float:
     return level(prefix) if prefix else statistics.median(level(p[:3]) for p in peers)
 
 
+def forest_paths(trees: list[list], prefixes: list[list[float]], age: int, on: list[float]) -> np.ndarray:
+    """The paths of many targets of one age by one forest: every tree is walked once for all their months."""
+    x = np.concatenate([features(p, age) for p in prefixes])
+    mean = np.mean([walk(t, x) for t in trees], axis=0).reshape(len(prefixes), STEPS)
+    return np.maximum(0.0, np.maximum(0.0, mean) * np.array(on)[:, None])
+
+
 def predict(trees: list[list], prefix: list[float], age: int, on: float) -> np.ndarray:
     mean = np.mean([walk(t, features(prefix, age)) for t in trees], axis=0)
     return np.maximum(0.0, np.maximum(0.0, mean) * on)
@@ -158,23 +165,32 @@ def choose(scores: DataFrame) -> DataFrame:
 
 
 def launch(targets: DataFrame, peers: DataFrame, chosen: DataFrame, groups: DataFrame) -> DataFrame:
-    """Twelve months of every target by the method chosen for its peers, on the target's own level."""
-    rows = target_groups(targets.filter(F.size("values") <= MAX_AGE)).join(groups, "group_id").join(chosen, "set_id")
+    """Twelve months of every target by the method chosen for its peers, on the target's own level.
+
+    The targets of a set stand together, so that its forest is read and walked once for a batch of them.
+    """
+    rows = target_groups(targets.filter(F.size("values") <= MAX_AGE)).join(groups, "group_id")
     names = [*SCOPE, "part_id", "age", "model"]
+    # a merge join leaves the targets of a set in one run, and only rows without forests are sorted
+    wanted = rows.join(chosen.hint("merge"), "set_id").select(*names, "set_id", "values", "trees", "new_scale", "analog_curve", "baseline_curve")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, out = batch.select(names), []
-            for r in batch.select(["age", "model", "values", "trees", "new_scale", "analog_curve", "baseline_curve"]).to_pylist():
-                prefix = r["values"]
-                if r["model"] == METHODS[2]:
-                    path = predict(json.loads(r["trees"]), prefix, r["age"], level(prefix) if prefix else r["new_scale"])
+            keep, out = batch.select(names), [None] * batch.num_rows
+            ids = batch.column("set_id").to_pylist()
+            starts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
+            for start, end in zip(starts, [*starts[1:], len(ids)]):
+                # what belongs to the set is read from its first row
+                one = batch.slice(start, 1).select(["age", "model", "trees", "new_scale", "analog_curve", "baseline_curve"]).to_pylist()[0]
+                prefixes = batch.column("values").slice(start, end - start).to_pylist()
+                if one["model"] == METHODS[2]:
+                    on = [level(p) if p else one["new_scale"] for p in prefixes]
+                    out[start:end] = forest_paths(json.loads(one["trees"]), prefixes, one["age"], on).tolist()
                 else:  # the curves are on a level of one
-                    path = np.array(r[f"{r['model']}_curve"]) * (level(prefix) if prefix else 1.0)
-                out.append(path.tolist())
+                    curve, on = np.array(one[f"{one['model']}_curve"]), np.array([level(p) if p else 1.0 for p in prefixes])
+                    out[start:end] = (curve[None, :] * on[:, None]).tolist()
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(out, pa.list_(pa.float64()))], [*names, "path"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-    wanted = rows.select(*names, "values", "trees", "new_scale", "analog_curve", "baseline_curve")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.select(*names).schema)
     return wanted.mapInArrow(run, f"{kinds}, path array<double>").select(*names, F.posexplode("path").alias("p", "forecast")).select(
         *names, (F.col("p") + 1).alias("step"), "forecast")

@@ -625,19 +625,32 @@ COLD = with_(BASE, COLD_SQL, COLD2_SQL)
 
 
 def cold_targets(t: Tables):
-    from monthmill.operators.series import observed_values
+    """Parts of a chain with at most five months up to the issue; written once, as groups, sets and launches read them."""
+    return t.kept("cold_targets", lambda: cut_lineage(_cold_targets(t)))
+
+
+def _cold_targets(t: Tables):
+    from monthmill.operators.series import drop_leading_zeros
 
     keys = ["chain_id", "part_id", "category_id", "p_name"]
-    known = t.lines.filter(F.col("ship_m") <= F.lit(ISSUE))
-    monthly = known.groupBy(*keys, F.col("ship_m").alias("period")).agg(F.sum(F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("qty"))).alias("s"))
-    series = observed_values(monthly, keys, "s").filter(F.size("values") <= cs.MAX_AGE).select(*keys, "values")
-    # sold by the chain, but not yet at the issue: no history
-    first = t.lines.groupBy(*keys).agg(F.min("ship_m").alias("first")).filter(F.col("first") > F.lit(ISSUE))
-    series = series.unionByName(first.select(*keys, F.array().cast("array<double>").alias("values")))
-    return series.withColumn("terms", tx.terms(F.col("p_name"), []))
+    # a part sells in few months of a chain: its lines are dealt by the part, and one shuffle serves both groupings
+    rows = t.dealt(t.lines.select(*keys, F.col("ship_m").alias("period"), "l_returnflag", "qty"), *keys)
+    monthly = rows.groupBy(*keys, "period").agg(F.sum(F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("qty"))).alias("s"))
+    known = F.when((F.col("period") <= F.lit(ISSUE)) & F.col("s").isNotNull(), F.struct("period", F.col("s").alias("value")))
+    points = monthly.groupBy(*keys).agg(F.array_sort(F.collect_list(known)).alias("points"), F.min("period").alias("since"))
+    series = drop_leading_zeros(points, [*keys, "since"])
+    # a part sold by the chain, but not yet at the issue, has no history
+    young = (F.size("periods") > 0) & (F.size("values") <= cs.MAX_AGE)
+    targets = series.filter(young | (F.col("since") > F.lit(ISSUE))).select(*keys, "values")
+    return targets.withColumn("terms", tx.terms(F.col("p_name"), []))
 
 
 def cold_peers(t: Tables):
+    """Brand series with their terms; written once."""
+    return t.kept("cold_peers", lambda: cut_lineage(_cold_peers(t)))
+
+
+def _cold_peers(t: Tables):
     name = t.read("part").groupBy(F.col("p_brand").alias("product_id")).agg(F.min_by("p_name", "p_partkey").alias("p_name"))
     return t.brand_values.join(name, "product_id").withColumn("terms", tx.terms(F.col("p_name"), []))
 
@@ -688,7 +701,7 @@ def cold_start_forecast(t: Tables):
 def three_methods(t: Tables):
     """Sets of peers scored by all methods, once per application and folder."""
     groups, sets = lf.peer_sets(cold_targets(t), cold_peers(t))
-    scores = t.kept("cold_scores", lambda: cut_lineage(lf.scored(cut_lineage(sets))))
+    scores = t.kept("cold_scores", lambda: cut_lineage(lf.scored(cut_lineage(sr.spread(sets, ["set_id"])))))
     return groups, scores
 
 
