@@ -24,8 +24,8 @@ class Tables:
 
     # what was written to the checkpoint folder of this application: (application, folder, name) to its rows
     stored: dict[tuple[str, str, str], DataFrame] = {}
-    # number of order lines: (application, folder) to it
-    counted: dict[tuple[str, str], int] = {}
+    # number of rows: (application, folder, table) to it
+    counted: dict[tuple[str, str, str], int] = {}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -41,13 +41,17 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def size(self, name: str) -> int:
+        """Rows of a table, counted once per application and folder."""
+        key = (self.spark.sparkContext.applicationId, self.root, name)
+        if key not in self.counted:
+            self.counted[key] = self.read(name).count()
+        return self.counted[key]
+
     @cached_property
     def line_tasks(self) -> int:
         """How many tasks give each at most ROWS_PER_TASK order lines."""
-        key = (self.spark.sparkContext.applicationId, self.root)
-        if key not in self.counted:
-            self.counted[key] = self.read("lineitem").count()
-        return self.counted[key] // ROWS_PER_TASK + 1
+        return self.size("lineitem") // ROWS_PER_TASK + 1
 
     def dealt(self, rows: DataFrame, *keys: str) -> DataFrame:
         """Rows as many as the order lines, by key into more tasks than usual where those would get too many of them.
@@ -57,6 +61,10 @@ class Tables:
         usual = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return rows.repartition(self.line_tasks, *keys) if self.line_tasks > usual else rows
 
+    def dealt_to(self, name: str, rows: DataFrame, key: str) -> DataFrame:
+        """Rows dealt to meet a table, unless that has at most ROWS_PER_TASK rows: it may be sent to all tasks instead."""
+        return self.dealt(rows, key) if self.line_tasks > 1 and self.size(name) > ROWS_PER_TASK else rows
+
     @cached_property
     def lines(self) -> DataFrame:
         """Order lines with their chain (segment), product (brand) and months."""
@@ -69,9 +77,9 @@ class Tables:
         part = self.read("part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size")
         # orders get their customer before they meet the lines, which are thus shuffled twice, not three times; the lines
         # come out dealt by order
-        placed = orders.join(customer, F.col("o_custkey") == customer.c_custkey)
+        placed = self.dealt_to("customer", orders, "o_custkey").join(customer, F.col("o_custkey") == customer.c_custkey)
         return (
-            self.dealt(li.join(part, F.col("l_partkey") == part.p_partkey), "l_orderkey")
+            self.dealt(self.dealt_to("part", li, "l_partkey").join(part, F.col("l_partkey") == part.p_partkey), "l_orderkey")
             .join(self.dealt(placed, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
             .select(
                 F.col("c_mktsegment").alias("chain_id"),

@@ -598,10 +598,11 @@ def test_lines_are_dealt_to_tasks_of_bounded_size(spark, root, monkeypatch):
 
     whole = tb.Tables(spark, root)
     assert whole.line_tasks == 1 and whole.dealt(whole.lines, "l_orderkey") is whole.lines
-    monkeypatch.setattr(tb, "ROWS_PER_TASK", 300)
+    monkeypatch.setattr(tb, "ROWS_PER_TASK", 100)
     t = tb.Tables(spark, root)
-    assert t.line_tasks == whole.read("lineitem").count() // 300 + 1
+    assert t.line_tasks == whole.read("lineitem").count() // 100 + 1
     assert t.lines.rdd.getNumPartitions() == t.line_tasks
+    assert t.dealt_to("part", t.read("part"), "p_partkey").rdd.getNumPartitions() == t.line_tasks
     # the same rows, as many times
     assert t.lines.exceptAll(whole.lines).count() == 0 and whole.lines.exceptAll(t.lines).count() == 0
 
