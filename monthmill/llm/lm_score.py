@@ -12,13 +12,13 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,6 +31,7 @@ END = 50256
 WIDTH, OVERLAP, DIM, INPUTS, CLASSES = 16, 4, 16, 1024, 64
 RATE, ROUNDS, BATCH, STEP = 1, 4, 64, 0.01
 SHARE, CACHE, WINDOWS = 1e-6, 500_000, 128
+WORDS = pa.large_list(pa.large_binary())
 
 
 class Subwords:
@@ -66,19 +67,26 @@ class Subwords:
         self.units.extend(0.0 if v is None else v for v in found)
         self.rare.extend(v is None for v in found)
 
-    def place(self, docs: list[list[bytes]]) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
-        """All words, a None closing each text; their places in the cache; and the end of each text."""
-        every = list(chain.from_iterable(chain(d, (None,)) for d in docs))
-        at = np.fromiter(map(self.known.get, every, repeat(-1)), dtype=np.int64, count=len(every))
+    def places(self, words: list[bytes | None]) -> np.ndarray:
+        """Places of different words in the cache; those not yet in it are learned."""
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         missing = np.flatnonzero(at < 0)
-        fresh = list(dict.fromkeys(map(every.__getitem__, missing)))
-        if len(self.known) + len(fresh) > CACHE:
+        if len(self.known) + len(missing) > CACHE:
             self.clear()
-            missing, fresh = np.arange(len(every)), list(dict.fromkeys(every))
-        if fresh:
+            missing = np.arange(len(words))
+        if len(missing):
+            fresh = [words[i] for i in missing]
             self.learn(fresh)
-            at[missing] = np.fromiter(map(self.known.__getitem__, map(every.__getitem__, missing)), dtype=np.int64, count=len(missing))
-        return every, at, np.cumsum([len(d) + 1 for d in docs])
+            at[missing] = np.fromiter(map(self.known.__getitem__, fresh), dtype=np.int64, count=len(fresh))
+        return at
+
+    def place(self, docs: pa.Array | list[list[bytes]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """All words; the places in the cache of these and of a None that closes each text; and the end of each text."""
+        docs = pa.array(docs, WORDS) if isinstance(docs, list) else docs
+        stops = docs.offsets.to_numpy()[1:]
+        coded = docs.values.dictionary_encode()
+        spots = self.places([*coded.dictionary.to_numpy(zero_copy_only=False), None])
+        return docs.values, np.insert(spots[coded.indices.to_numpy()], stops, spots[-1]), stops + np.arange(1, len(stops) + 1)
 
     def flat(self, at: np.ndarray, texts_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the placed words one after the other, and the end of each text in them."""
@@ -132,11 +140,17 @@ def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[-1])
 
 
+def row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the last axis, which stays with length 1."""
+    return times(x, np.ones((x.shape[-1], 1), dtype=x.dtype))
+
+
 class Attention:
     """Embedding, one masked self-attention layer, one hidden layer, class logits; weights in one flat vector."""
 
     SHAPES = {"e": (INPUTS, DIM), "p": (WIDTH, DIM), "qkv": (DIM, 3 * DIM), "o": (DIM, DIM), "w1": (DIM, DIM),
               "w2": (DIM, DIM), "u": (DIM, CLASSES), "b": (CLASSES,)}
+    CELLS = np.arange(INPUTS * DIM).reshape(INPUTS, DIM)
 
     def __init__(self, flat: np.ndarray):
         self.flat, at = flat, 0
@@ -153,67 +167,93 @@ class Attention:
         parts[-1] = bias
         return np.concatenate(parts).astype(np.float32)
 
-    def forward(self, slots: np.ndarray) -> dict[str, np.ndarray]:
-        x = self.e[slots] + self.p
+    def forward(self, slots: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+        """Attention over whole windows; what follows it only for the flat positions `at`, the ones to be scored."""
+        x = self.e.take(slots, axis=0)
+        x += self.p
         q, k, v = np.split(times(x, self.qkv), 3, axis=-1)
-        s = np.clip((q * np.float32(DIM ** -0.5)) @ k.transpose(0, 2, 1), -30, 30)
-        a = np.exp(s, out=s)
+        s = q @ k.transpose(0, 2, 1)
+        s *= DIM ** -0.5
+        a = np.exp(s.clip(-30, 30, out=s), out=s)
         a *= self.mask
-        a /= a.sum(axis=-1, keepdims=True)
+        a /= row_sums(a)
         c = a @ v
-        h = x + times(c, self.o)
-        z = np.maximum(times(h, self.w1), 0)
-        y = h + times(z, self.w2)
-        return {"x": x, "q": q, "k": k, "v": v, "a": a, "c": c, "h": h, "z": z, "y": y}
+        own = c.reshape(-1, DIM).take(at, axis=0)
+        h = own @ self.o
+        h += x.reshape(-1, DIM).take(at, axis=0)
+        z = h @ self.w1
+        np.maximum(z, 0, out=z)
+        y = z @ self.w2
+        y += h
+        return {"x": x, "q": q, "k": k, "v": v, "a": a, "c": c, "own": own, "h": h, "z": z, "y": y}
+
+    def logits(self, y: np.ndarray) -> np.ndarray:
+        p = y @ self.u
+        p += self.b
+        return p.clip(-40, 40, out=p)
 
     def class_logs(self, slots: np.ndarray, kinds: np.ndarray, use: np.ndarray) -> np.ndarray:
         """Log probability of the class of each target in use, in one row."""
-        logits = np.clip(self.forward(slots)["y"][use] @ self.u + self.b, -40, 40)
-        picked = logits[np.arange(len(logits)), kinds[use]]
-        return picked - np.log(np.exp(logits, out=logits).sum(axis=-1))
+        at = np.flatnonzero(use)
+        p = self.logits(self.forward(slots, at)["y"])
+        picked = p.take(np.arange(0, p.size, CLASSES) + kinds.take(at))
+        return picked - np.log(row_sums(np.exp(p, out=p))[:, 0])
 
     def gradient(self, slots: np.ndarray, kinds: np.ndarray, use: np.ndarray) -> tuple[float, np.ndarray]:
-        f = self.forward(slots)
-        y, n = f["y"], max(1, int(use.sum()))
-        own, rows = kinds[use], np.arange(n)
-        p = np.clip(y[use] @ self.u + self.b, -40, 40) if use.any() else np.zeros((1, CLASSES), dtype=np.float32)
-        np.exp(p, out=p)
-        p /= p.sum(axis=-1, keepdims=True)
-        loss = -np.log(p[rows, own] + 1e-12).sum() / n if use.any() else 0.0
-        p[rows[:len(own)], own] -= 1
-        p *= np.float32(use.any() / n)
-
-        def outer(left, right):
-            return left.reshape(-1, left.shape[-1]).T @ right.reshape(-1, right.shape[-1])
-
-        g = {"u": y[use].T @ p[:len(own)], "b": p.sum(axis=0)}
-        dy = np.zeros_like(y)
-        dy[use] = p[:len(own)] @ self.u.T
-        g["w2"] = outer(f["z"], dy)
-        dz = times(dy, self.w2.T) * (f["z"] > 0)
-        g["w1"] = outer(f["h"], dz)
-        dh = dy + times(dz, self.w1.T)
-        g["o"] = outer(f["c"], dh)
-        dc = times(dh, self.o.T)
-        da = dc @ f["v"].transpose(0, 2, 1)
-        ds = f["a"] * (da - (da * f["a"]).sum(axis=-1, keepdims=True)) * np.float32(DIM ** -0.5)
-        dq, dk, dv = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"], f["a"].transpose(0, 2, 1) @ dc
-        dqkv = np.concatenate([dq, dk, dv], axis=-1)
-        g["qkv"] = outer(f["x"], dqkv)
-        dx = dh + times(dqkv, self.qkv.T)
-        g["p"] = dx.sum(axis=0)
-        flat = slots.ravel()
-        g["e"] = np.stack([np.bincount(flat, weights=dx[..., i].ravel(), minlength=INPUTS) for i in range(DIM)], axis=1)
-        return float(loss), np.concatenate([g[n].ravel() for n in self.SHAPES]).astype(np.float32)
+        at = np.flatnonzero(use)
+        f, g, n = self.forward(slots, at), Attention(np.empty_like(self.flat)), max(1, len(at))
+        p = self.logits(f["y"])
+        sums = row_sums(np.exp(p, out=p))
+        own = np.arange(0, p.size, CLASSES) + kinds.take(at)
+        loss = -np.log(p.take(own) / sums[:, 0] + 1e-12).sum() / n
+        sums *= n
+        p /= sums
+        p.ravel()[own] -= 1 / n
+        np.matmul(f["y"].T, p, out=g.u)
+        np.matmul(np.ones(len(at), dtype=p.dtype), p, out=g.b)
+        dh = p @ self.u.T
+        np.matmul(f["z"].T, dh, out=g.w2)
+        dz = dh @ self.w2.T
+        dz *= f["z"] > 0
+        np.matmul(f["h"].T, dz, out=g.w1)
+        dh += dz @ self.w1.T
+        np.matmul(f["own"].T, dh, out=g.o)
+        dx = np.zeros_like(f["x"])
+        dx.reshape(-1, DIM)[at] = dh
+        dc = times(dx, self.o.T)
+        ds = dc @ f["v"].transpose(0, 2, 1)
+        # what the softmax takes off: the sum of a * ds in a row is that of c * dc
+        ds -= row_sums(f["c"] * dc)
+        ds *= f["a"]
+        ds *= DIM ** -0.5
+        dqkv = np.empty((*slots.shape, 3 * DIM), dtype=p.dtype)
+        np.matmul(ds, f["k"], out=dqkv[..., :DIM])
+        np.matmul(ds.transpose(0, 2, 1), f["q"], out=dqkv[..., DIM:2 * DIM])
+        np.matmul(f["a"].transpose(0, 2, 1), dc, out=dqkv[..., 2 * DIM:])
+        g.qkv[:] = (dqkv.reshape(-1, 3 * DIM).T @ f["x"].reshape(-1, DIM)).T
+        dx += times(dqkv, self.qkv.T)
+        np.sum(dx, axis=0, out=g.p)
+        cells = self.CELLS.take(slots.ravel(), axis=0).ravel()
+        g.e[:] = np.bincount(cells, weights=dx.ravel(), minlength=g.e.size).reshape(g.e.shape)
+        return float(loss), g.flat
 
 
 def descend(flat: np.ndarray, slots: np.ndarray, kinds: np.ndarray, use: np.ndarray, order: np.random.Generator) -> np.ndarray:
-    """One pass of Adam over the windows."""
+    """One pass of Adam over the windows; the moments are kept without their factors of 0.1 and 0.01."""
     flat, m, v = flat.copy(), np.zeros_like(flat), np.zeros_like(flat)
     for t, batch in enumerate(np.array_split(order.permutation(len(slots)), max(1, len(slots) // BATCH)), start=1):
         _, g = Attention(flat).gradient(slots[batch], kinds[batch], use[batch])
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        flat -= STEP * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
+        m *= 0.9
+        m += g
+        g *= g
+        v *= 0.99
+        v += g
+        scale = float(np.sqrt(0.01 / (1 - 0.99 ** t)))
+        np.sqrt(v, out=g)
+        g += 1e-8 / scale
+        np.divide(m, g, out=g)
+        g *= STEP * 0.1 / (1 - 0.9 ** t) / scale
+        flat -= g
     return flat
 
 
@@ -229,9 +269,13 @@ class Model:
         return float(np.log10((count + 0.5) / (self.total + 0.5 * (self.kinds + 1))))
 
 
-def split_words(text: str) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased, in UTF-8; both are what bytes do by themselves."""
-    return text.encode().lower().split()
+def split_words(texts_: list[str]) -> pa.Array:
+    """For each text its words between ASCII white space, A-Z lower-cased, in UTF-8."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts_, pa.large_string())))
+    # white space at either end of a text leaves an empty word there
+    kept = pc.greater(pc.binary_length(split.values), 0)
+    stops = np.r_[0, np.cumsum(kept.to_numpy(zero_copy_only=False))][split.offsets.to_numpy()]
+    return pa.LargeListArray.from_arrays(pa.array(stops), split.values.filter(kept).cast(pa.large_binary()))
 
 
 def chunks(texts_: Iterable[str], size: int = 1 << 20) -> Iterator[list[str]]:
@@ -253,21 +297,25 @@ def train(docs: DataFrame, held_out, path: str = RANKS, rate: int = RATE, rounds
     learn = texts(docs.filter(~held_out).select("doc_id", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen, rows = [], 0
 
-        def flush() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays(
-                [pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "c"]
-            )
-            seen.clear()
-            return rows
+        def merged() -> pa.Table:
+            every = pa.table({"word": pa.concat_arrays([w for w, _ in seen]), "c": pa.concat_arrays([c for _, c in seen])})
+            return every.group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"]).combine_chunks()
 
         for batch in batches:
             for part in chunks(values(batch.column(1))):
-                seen.update(chain.from_iterable(map(split_words, part)))
-                if len(seen) > CACHE:
-                    yield flush()
-        yield flush()
+                found = split_words(part).values.cast(pa.binary()).value_counts()
+                seen.append((found.field("values"), found.field("counts")))
+                rows += len(found)
+                if rows > CACHE:
+                    table_, seen, rows = merged(), [], 0
+                    if len(table_) > CACHE // 2:
+                        yield from table_.to_batches()
+                    else:
+                        seen, rows = [tuple(table_.column(c).chunk(0) for c in ("word", "c"))], len(table_)
+        if seen:
+            yield from merged().to_batches()
 
     counts = learn.mapInArrow(lean(count), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     counts = stored(counts, "counts")
@@ -312,7 +360,7 @@ def averaged(learn: DataFrame, ranks: dict[bytes, int], vocabulary: Vocabulary,
         subwords, now, seen, i = Subwords(ranks), flat, 0, 0
         for batch in batches:
             for part in chunks(values(batch.column(1))):
-                _, at, stops = subwords.place([split_words(t) for t in part])
+                _, at, stops = subwords.place(split_words(part))
                 before, target, use, _ = windows(*subwords.flat(at, stops))
                 order = np.random.default_rng(1000 * number + i)
                 now = descend(now, vocabulary.slot[before], vocabulary.kind[target], use, order)
@@ -346,8 +394,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             at = 0
             for part in chunks(values(batch.column(1))):
-                split = [split_words(t) for t in part]
-                words, place, ends = subwords.place(split)
+                words, place, ends = subwords.place(split_words(part))
                 before, target, use, owner = windows(*subwords.flat(place, ends))
                 logs, n = np.zeros(len(part)), len(part)
                 for i in range(0, len(owner), WINDOWS):
@@ -363,30 +410,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     pa.array(np.diff(np.r_[0, ends]) - np.diff(offsets) - 1 + closed, pa.int64()),
                     pa.array(np.bincount(of, np.array(subwords.units)[place], n), pa.float64()),
                     pa.array(logs / np.log(10), pa.float64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array([words[i] for i in rare], pa.binary())),
+                    # before a place in text k come the ends of k texts
+                    pa.ListArray.from_arrays(pa.array(offsets), words.take(pa.array(rare - of[rare])).cast(pa.binary())),
                 ], ["doc_id", "row", "n_tokens", "hits", "base", "score", "words"])
                 at += n
 
-    rows = texts(docs).withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(
+    rows = texts(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(
         lean(run), "doc_id long, row long, n_tokens long, hits long, base double, score double, words array<binary>"
     )
     rows = stored(rows, "scored")
-    rest = rows.filter(F.size("words") > 0).select(
-        "doc_id", "row", F.explode("words").alias("word")
-    )
     c = F.coalesce("c", F.lit(0))
     unit = F.log10((c + 0.5) / F.lit(model.total + 0.5 * (model.kinds + 1)))
-    rest = rest.join(model.counts, "word", "left").groupBy("doc_id", "row").agg(
+    rest = rows.select("row", F.explode("words").alias("word")).join(model.counts, "word", "left").groupBy("row").agg(
         F.sum(unit).alias("more"), F.sum((c > 0).cast("long")).alias("found")
     )
-    # equal rows were counted together
-    copies = rows.filter(F.size("words") > 0).groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
-    rest = rest.withColumnsRenamed({"doc_id": "id", "row": "r"}).join(
-        copies.filter("copies > 1").withColumnsRenamed({"doc_id": "i2", "row": "r2"}),
-        F.col("id").eqNullSafe(F.col("i2")) & (F.col("r") == F.col("r2")), "left",
-    ).select("id", "r", (F.col("more") / F.coalesce("copies", F.lit(1))).alias("more"),
-             (F.col("found") / F.coalesce("copies", F.lit(1))).cast("long").alias("found"))
-    return rows.join(rest, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("r")), "left").select(
+    return rows.drop("words").join(rest, "row", "left").select(
         "doc_id", "n_tokens", (F.col("hits") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
     )

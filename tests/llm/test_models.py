@@ -131,6 +131,32 @@ def test_subwords_are_those_of_single_words():
     assert stops.tolist() == [sum(map(len, one)) + 1, sum(map(len, one)) + 2, len(ids)]
 
 
+def test_words_of_texts_are_looked_up_once():
+    """Texts are split as bytes split, and the cache is asked once for each different word of a chunk."""
+    rows = ["", " \n", "\x1c a\x1f", "".join(map(chr, range(0x250))), "A\u0085B C\u2003d\u3000E İ ẞ", "x  Y x\x0b", "日本 Ab x x"]
+    split = lm_score.split_words(rows)
+    assert split.to_pylist() == [t.encode().lower().split() for t in rows]
+    sub, asked = lm_score.Subwords(ranks()), []
+    places = sub.places
+    sub.places = lambda words: asked.extend(words) or places(words)
+    words, at, ends = sub.place(split)
+    assert Counter(asked) == Counter({*words.to_pylist(), None})
+    assert [sub.known[w] for w in split.to_pylist()[-1]] == at[ends[-2]:-1].tolist() and at[ends[0] - 1] == sub.known[None]
+    assert sub.place(lm_score.split_words(["", " "]))[1].tolist() == [sub.known[None]] * 2
+
+
+def test_only_positions_in_use_pass_the_hidden_layer():
+    net = lm_score.Attention(lm_score.Attention.initial(np.zeros(lm_score.CLASSES, dtype=np.float32)))
+    rng = np.random.default_rng(0)
+    slots, kinds = (rng.integers(0, n, (5, lm_score.WIDTH)) for n in (lm_score.INPUTS, lm_score.CLASSES))
+    use = rng.random(slots.shape) < 0.6
+    assert net.forward(slots, np.flatnonzero(use))["y"].shape == (use.sum(), lm_score.DIM)
+    every = net.class_logs(slots, kinds, np.ones_like(use))
+    assert np.allclose(net.class_logs(slots, kinds, use), every[use.ravel()], atol=1e-5)
+    loss, g = net.gradient(slots, kinds, np.zeros_like(use))
+    assert loss == 0 and not g.any()
+
+
 def test_every_token_is_scored_once():
     lengths = np.array([1, 2, 4, 5, 15, 16, 17, 28, 29, 100])
     ids = np.arange(lengths.sum()).astype(np.int32)
