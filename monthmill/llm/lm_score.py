@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
+from types import SimpleNamespace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
@@ -30,7 +30,11 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 END = 50256
 WIDTH, OVERLAP, DIM, INPUTS, CLASSES = 16, 4, 16, 1024, 64
 RATE, ROUNDS, BATCH, STEP = 1, 4, 64, 0.01
-SHARE, CACHE, WINDOWS = 1e-6, 500_000, 128
+SHARE, CACHE, WINDOWS = 1e-6, 500_000, 64
+# characters of the texts taken together: by a model, and to be split into words, of which more are then met before
+CHARS, TEXT = 1 << 20, 1 << 21
+# columns behind a table of queries
+GAP = 16
 WORDS = pa.large_list(pa.large_binary())
 
 
@@ -97,21 +101,24 @@ class Subwords:
         return flat, stops[texts_end - 1]
 
 
-def windows(ids: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets, which positions to score, and the text of each window; every token is scored in one window."""
+def windows(ids: np.ndarray, stops: np.ndarray, inputs: np.ndarray | None = None, targets: np.ndarray | None = None):
+    """Inputs, targets, which positions to score, and the text of each window; every token is scored in one window.
+
+    Tokens in use come in the order of the texts. With tables of `inputs` and `targets`, ids are looked up in these.
+    """
     starts = np.r_[0, stops[:-1]]
-    length = stops - starts
     step = WIDTH - OVERLAP
-    count = np.maximum(1, -(-(length - OVERLAP) // step))
+    count = np.maximum(1, -(-(stops - starts - OVERLAP) // step))
     owner = np.repeat(np.arange(len(stops)), count)
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = (starts[owner] + nth * step).astype(np.int32)[:, None] + np.arange(WIDTH, dtype=np.int32)
-    inside = at < stops[owner][:, None]
-    target = ids[np.minimum(at, len(ids) - 1)]
-    before = ids[np.clip(at - 1, 0, len(ids) - 1)]
-    before = np.where(at == starts[owner][:, None], END, before)  # a text begins after an end
-    use = inside & ((nth == 0)[:, None] | (np.arange(WIDTH) >= OVERLAP))
-    return before, target, use, owner
+    at = starts[owner] + nth * step
+    use = np.arange(WIDTH) < (stops[owner] - at)[:, None]
+    use[:, :OVERLAP] &= (nth == 0)[:, None]
+    before = np.r_[ids[:1], ids[:-1]]
+    before[starts] = END  # a text begins after an end
+    before, ids = (v if t is None else t[v] for v, t in ((before, inputs), (ids, targets)))
+    # a window at the end may reach beyond the last text, with positions out of use
+    return *(np.lib.stride_tricks.sliding_window_view(np.r_[v, v[-1:].repeat(WIDTH)], WIDTH)[at] for v in (before, ids)), use, owner
 
 
 class Vocabulary:
@@ -135,14 +142,35 @@ class Vocabulary:
         self.bias = np.log(total / total.sum()).astype(np.float32)
 
 
-def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """x @ w as one product of two matrices and not one for each window."""
-    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[-1])
+class Room:
+    """Arrays of steps over `n` windows, used again by each of them: their memory stays near the processor."""
+
+    def __init__(self, n: int, kind: np.dtype):
+        cells = n * WIDTH
+        self.x, self.c, self.dx = (np.empty((cells, DIM), dtype=kind) for _ in range(3))
+        self.dh = np.zeros((cells + 1, DIM), dtype=kind)
+        self.back, self.order = np.empty(cells, dtype=np.int64), np.arange(cells)
+        # logits, and once these are used up, gradients of queries and values
+        self.p = np.empty(cells * max(CLASSES, 2 * DIM), dtype=kind)
+        self.qv, self.dqv = np.empty((cells, 2 * DIM), dtype=kind), self.p[:cells * 2 * DIM].reshape(cells, 2 * DIM)
+        self.q, self.v = self.qv.reshape(n, WIDTH, 2, DIM).transpose(2, 0, 1, 3)
+        self.dq, self.dv = self.dqv.reshape(n, WIDTH, 2, DIM).transpose(2, 0, 1, 3)
+        self.t, self.a, self.mask, self.ds = (rows(k, cells, kind) for k in (DIM, WIDTH, WIDTH, WIDTH))
+        each(self.mask, n)[:] = np.triu(np.ones((WIDTH, WIDTH)))
+        self.te, self.ae, self.dse = (each(r, n) for r in (self.t, self.a, self.ds))
+        self.xe, self.ce, self.dxe = (r.reshape(n, WIDTH, DIM) for r in (self.x, self.c, self.dx))
+        self.sums, self.ones = np.zeros(cells + GAP, dtype=kind), np.ones(max(cells, CLASSES), dtype=kind)
+        self.cells = np.empty((cells, DIM), dtype=np.int64)
+
 
+def rows(count: int, cells: int, kind: np.dtype) -> np.ndarray:
+    """A row for each key or dimension, a column for each query; behind them a gap, as rows of 2^n bytes evict one another."""
+    return np.ones((count, cells + GAP), dtype=kind)
 
-def row_sums(x: np.ndarray) -> np.ndarray:
-    """Sums of the last axis, which stays with length 1."""
-    return times(x, np.ones((x.shape[-1], 1), dtype=x.dtype))
+
+def each(table_: np.ndarray, n: int) -> np.ndarray:
+    """The part of every window, without the gap."""
+    return table_[:, :table_.shape[1] - GAP].reshape(len(table_), n, -1).transpose(1, 0, 2)
 
 
 class Attention:
@@ -153,12 +181,12 @@ class Attention:
     CELLS = np.arange(INPUTS * DIM).reshape(INPUTS, DIM)
 
     def __init__(self, flat: np.ndarray):
-        self.flat, at = flat, 0
+        self.flat, self.rooms, at = flat, {}, 0
         for name, shape in self.SHAPES.items():
             size = int(np.prod(shape))
             setattr(self, name, flat[at:at + size].reshape(shape))
             at += size
-        self.mask = np.tril(np.ones((WIDTH, WIDTH), dtype=np.float32))
+        self.q, self.k, self.v = (self.qkv[:, i:i + DIM] for i in range(0, 3 * DIM, DIM))
 
     @classmethod
     def initial(cls, bias: np.ndarray) -> np.ndarray:
@@ -167,82 +195,160 @@ class Attention:
         parts[-1] = bias
         return np.concatenate(parts).astype(np.float32)
 
+    def room(self, n: int) -> Room:
+        if n not in self.rooms:
+            if len(self.rooms) > 1:
+                self.rooms.clear()
+            self.rooms[n] = Room(n, self.flat.dtype)
+        return self.rooms[n]
+
+    def products(self) -> np.ndarray:
+        """Queries by keys, and values by `o`: matrices that meet with nothing between them, as one each."""
+        w = np.empty((DIM, 2 * DIM), dtype=self.flat.dtype)
+        np.matmul(self.q * DIM ** -0.5, self.k.T, out=w[:, :DIM])
+        np.matmul(self.v, self.o, out=w[:, DIM:])
+        return w
+
     def forward(self, slots: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-        """Attention over whole windows; what follows it only for the flat positions `at`, the ones to be scored."""
-        x = self.e.take(slots, axis=0)
-        x += self.p
-        q, k, v = np.split(times(x, self.qkv), 3, axis=-1)
-        s = q @ k.transpose(0, 2, 1)
-        s *= DIM ** -0.5
-        a = np.exp(s.clip(-30, 30, out=s), out=s)
-        a *= self.mask
-        a /= row_sums(a)
-        c = a @ v
-        own = c.reshape(-1, DIM).take(at, axis=0)
-        h = own @ self.o
-        h += x.reshape(-1, DIM).take(at, axis=0)
+        """Attention over whole windows; what follows it only for the flat positions `at`, the ones to be scored.
+
+        Attention is left in the room of so many windows, where the next pass overwrites it.
+        """
+        r, w = self.room(len(slots)), self.products()
+        # indices are within the table; only a mode other than "raise" writes to `out` without a copy
+        self.e.take(slots.ravel(), axis=0, out=r.x, mode="clip")
+        r.xe += self.p
+        np.matmul(r.x, w, out=r.qv)
+        np.matmul(w[:, :DIM].T, r.x.T, out=r.t[:, :len(r.x)])
+        attend(r.xe, r.te, r.a, r.mask, r.sums)
+        np.matmul(r.ae.transpose(0, 2, 1), r.v, out=r.ce)
+        h = r.c.take(at, axis=0)
+        h += r.x.take(at, axis=0)
         z = h @ self.w1
         np.maximum(z, 0, out=z)
         y = z @ self.w2
         y += h
-        return {"x": x, "q": q, "k": k, "v": v, "a": a, "c": c, "own": own, "h": h, "z": z, "y": y}
-
-    def logits(self, y: np.ndarray) -> np.ndarray:
-        p = y @ self.u
-        p += self.b
-        return p.clip(-40, 40, out=p)
+        return {"w": w, "h": h, "z": z, "y": y}
 
     def class_logs(self, slots: np.ndarray, kinds: np.ndarray, use: np.ndarray) -> np.ndarray:
         """Log probability of the class of each target in use, in one row."""
-        at = np.flatnonzero(use)
-        p = self.logits(self.forward(slots, at)["y"])
-        picked = p.take(np.arange(0, p.size, CLASSES) + kinds.take(at))
-        return picked - np.log(row_sums(np.exp(p, out=p))[:, 0])
-
-    def gradient(self, slots: np.ndarray, kinds: np.ndarray, use: np.ndarray) -> tuple[float, np.ndarray]:
-        at = np.flatnonzero(use)
-        f, g, n = self.forward(slots, at), Attention(np.empty_like(self.flat)), max(1, len(at))
-        p = self.logits(f["y"])
-        sums = row_sums(np.exp(p, out=p))
-        own = np.arange(0, p.size, CLASSES) + kinds.take(at)
-        loss = -np.log(p.take(own) / sums[:, 0] + 1e-12).sum() / n
+        frozen, out, whole = Frozen(self), np.empty(use.shape, dtype=self.flat.dtype), use[:, :OVERLAP].any(axis=1)
+        for since, which in ((0, np.flatnonzero(whole)), (OVERLAP, np.flatnonzero(~whole))):
+            for i in range(0, len(which), WINDOWS):
+                some = which[i:i + WINDOWS]
+                out[some, since:] = frozen.logs(slots.take(some, axis=0), kinds.take(some, axis=0)[:, since:])
+        return out[use]
+
+    def gradient(self, slots: np.ndarray, kinds: np.ndarray, use: np.ndarray, into: Attention | None = None) -> tuple[float, np.ndarray]:
+        """Mean loss and its gradient; one that goes `into` the weights of another comes without the loss."""
+        at, r = np.flatnonzero(use), self.room(len(slots))
+        f, g, count, n = self.forward(slots, at), into or Attention(np.empty_like(self.flat)), len(at), max(1, len(at))
+        w, h, z, y = f.values()
+        p = r.p[:count * CLASSES].reshape(CLASSES, count)
+        np.matmul(self.u.T, y.T, out=p)
+        p += self.b[:, None]
+        np.exp(p.clip(-40, 40, out=p), out=p)
+        sums = r.ones[:CLASSES] @ p
+        cells, every = kinds.take(at) * count + r.order[:count], p.reshape(-1)
+        picked = every.take(cells)
+        loss = -np.log(picked / sums + 1e-12).sum() / n if into is None else np.nan
+        every[cells] = picked - sums
         sums *= n
-        p /= sums
-        p.ravel()[own] -= 1 / n
-        np.matmul(f["y"].T, p, out=g.u)
-        np.matmul(np.ones(len(at), dtype=p.dtype), p, out=g.b)
-        dh = p @ self.u.T
-        np.matmul(f["z"].T, dh, out=g.w2)
-        dz = dh @ self.w2.T
-        dz *= f["z"] > 0
-        np.matmul(f["h"].T, dz, out=g.w1)
-        dh += dz @ self.w1.T
-        np.matmul(f["own"].T, dh, out=g.o)
-        dx = np.zeros_like(f["x"])
-        dx.reshape(-1, DIM)[at] = dh
-        dc = times(dx, self.o.T)
-        ds = dc @ f["v"].transpose(0, 2, 1)
-        # what the softmax takes off: the sum of a * ds in a row is that of c * dc
-        ds -= row_sums(f["c"] * dc)
-        ds *= f["a"]
-        ds *= DIM ** -0.5
-        dqkv = np.empty((*slots.shape, 3 * DIM), dtype=p.dtype)
-        np.matmul(ds, f["k"], out=dqkv[..., :DIM])
-        np.matmul(ds.transpose(0, 2, 1), f["q"], out=dqkv[..., DIM:2 * DIM])
-        np.matmul(f["a"].transpose(0, 2, 1), dc, out=dqkv[..., 2 * DIM:])
-        g.qkv[:] = (dqkv.reshape(-1, 3 * DIM).T @ f["x"].reshape(-1, DIM)).T
-        dx += times(dqkv, self.qkv.T)
-        np.sum(dx, axis=0, out=g.p)
-        cells = self.CELLS.take(slots.ravel(), axis=0).ravel()
-        g.e[:] = np.bincount(cells, weights=dx.ravel(), minlength=g.e.size).reshape(g.e.shape)
+        p *= np.divide(1, sums, out=sums)
+        np.matmul(y.T, p.T, out=g.u)
+        np.matmul(p, r.ones[:count], out=g.b)
+        dh = np.matmul(p.T, self.u.T, out=r.dh[:count])
+        np.matmul(z.T, dh, out=g.w2)
+        dz = dh @ self.w2.T.copy()
+        dz *= np.sign(z)
+        np.matmul(h.T, dz, out=g.w1)
+        dh += dz @ self.w1.T.copy()
+        # at positions not in use the gradient is the row of zeros behind the others
+        r.dh[count] = 0
+        r.back.fill(count)
+        r.back[at] = r.order[:count]
+        dx = r.dh.take(r.back, axis=0, out=r.dx, mode="clip")
+        r.t[:, :len(dx)] = dx.T
+        np.matmul(r.v, r.te, out=r.dse)
+        # what the softmax takes off: the sum of a * ds of a query is that of c * dc
+        np.matmul(np.multiply(r.c, dx, out=r.c), r.ones[:DIM], out=r.sums[:len(dx)])
+        r.ds -= r.sums
+        r.ds *= r.a
+        np.matmul(r.dse.transpose(0, 2, 1), r.xe, out=r.dq)
+        np.matmul(r.ae, r.dxe, out=r.dv)
+        np.matmul(r.dse, r.q, out=r.ce)
+        dx += r.c
+        dw = r.x.T @ r.dqv
+        dqk, dvo = dw[:, :DIM] * DIM ** -0.5, dw[:, DIM:]
+        np.matmul(dqk, self.k, out=g.q)
+        np.matmul(dqk.T, self.q, out=g.k)
+        np.matmul(dvo, self.o.T, out=g.v)
+        np.matmul(self.v.T, dvo, out=g.o)
+        dx += np.matmul(r.dqv, w.T.copy(), out=r.x)
+        np.matmul(r.ones[:len(slots)], dx.reshape(len(slots), -1), out=g.p.reshape(-1))
+        self.CELLS.take(slots.ravel(), axis=0, out=r.cells, mode="clip")
+        g.e.reshape(-1)[:] = np.bincount(r.cells.ravel(), weights=dx.ravel(), minlength=g.e.size)
         return float(loss), g.flat
 
 
+def attend(keys: np.ndarray, queries: np.ndarray, a: np.ndarray, mask: np.ndarray, sums: np.ndarray) -> None:
+    """Into `a` the weight of every key for every query."""
+    np.matmul(keys, queries, out=each(a, len(keys)))
+    a.clip(-30, 30, out=a)
+    np.exp(a, out=a)
+    a *= mask
+    np.add.reduce(a, axis=0, out=sums)
+    a *= np.divide(1, sums, out=sums)
+
+
+class Frozen:
+    """A model whose weights stay, for queries of the last positions of windows."""
+
+    def __init__(self, net: Attention):
+        # the bias of a class as a factor
+        self.net, self.w, self.share, self.rooms = net, net.products(), np.exp(net.b), {}
+
+    def room(self, n: int, queries: int) -> SimpleNamespace:
+        if (n, queries) not in self.rooms:
+            r, cells, size, kind = SimpleNamespace(), n * WIDTH, n * queries, self.w.dtype
+            r.x, r.v = (np.empty((cells, DIM), dtype=kind) for _ in range(2))
+            r.h, r.z, r.y = (np.empty((size, DIM), dtype=kind) for _ in range(3))
+            r.xe, r.ve, r.he = r.x.reshape(n, WIDTH, DIM), r.v.reshape(n, WIDTH, DIM), r.h.reshape(n, queries, DIM)
+            r.t, r.a, r.mask = rows(DIM, cells, kind), rows(WIDTH, size, kind), rows(WIDTH, size, kind)
+            r.te, r.ae = each(r.t, n)[..., -queries:], each(r.a, n)
+            each(r.mask, n)[:] = np.triu(np.ones((WIDTH, WIDTH)))[:, -queries:]
+            r.p, r.sums, r.order = np.empty((CLASSES, size), dtype=kind), r.a[0].copy(), np.arange(size)
+            self.rooms[n, queries] = r
+        return self.rooms[n, queries]
+
+    def logs(self, slots: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Log probabilities of the classes of targets at the last positions of windows."""
+        n, queries = kinds.shape
+        r, net = self.room(n, queries), self.net
+        net.e.take(slots.ravel(), axis=0, out=r.x, mode="clip")
+        r.xe += net.p
+        np.matmul(r.x, self.w[:, DIM:], out=r.v)
+        np.matmul(self.w[:, :DIM].T, r.x.T, out=r.t[:, :len(r.x)])
+        attend(r.xe, r.te, r.a, r.mask, r.sums)
+        np.matmul(r.ae.transpose(0, 2, 1), r.ve, out=r.he)
+        r.he += r.xe[:, -queries:]
+        np.matmul(r.h, net.w1, out=r.z)
+        np.maximum(r.z, 0, out=r.z)
+        np.matmul(r.z, net.w2, out=r.y)
+        r.y += r.h
+        p = np.matmul(net.u.T, r.y.T, out=r.p)
+        p.clip(-40, 40, out=p)
+        own = kinds.ravel()
+        picked = p.ravel().take(own * len(r.h) + r.order) + net.b.take(own)
+        return (picked - np.log(self.share @ np.exp(p, out=p))).reshape(n, queries)
+
+
 def descend(flat: np.ndarray, slots: np.ndarray, kinds: np.ndarray, use: np.ndarray, order: np.random.Generator) -> np.ndarray:
     """One pass of Adam over the windows; the moments are kept without their factors of 0.1 and 0.01."""
     flat, m, v = flat.copy(), np.zeros_like(flat), np.zeros_like(flat)
+    net, into = Attention(flat), Attention(np.empty_like(flat))
     for t, batch in enumerate(np.array_split(order.permutation(len(slots)), max(1, len(slots) // BATCH)), start=1):
-        _, g = Attention(flat).gradient(slots[batch], kinds[batch], use[batch])
+        _, g = net.gradient(*(part.take(batch, axis=0) for part in (slots, kinds, use)), into)
         m *= 0.9
         m += g
         g *= g
@@ -257,18 +363,24 @@ def descend(flat: np.ndarray, slots: np.ndarray, kinds: np.ndarray, use: np.ndar
     return flat
 
 
-class Model:
-    """What scoring needs: counts' total and kinds of tokens, frequent words, and the trained attention model."""
+class Words:
+    """Counts of the words of the training texts: total and kinds of tokens, ends of texts, frequent words, and a table of all."""
 
-    def __init__(self, ranks, total, kinds, ends, frequent, vocabulary, flat, counts):
-        self.ranks, self.total, self.kinds, self.ends, self.frequent = ranks, total, kinds, ends, frequent
-        self.vocabulary, self.flat, self.counts = vocabulary, flat, counts
+    def __init__(self, ranks, total, kinds, ends, frequent, counts):
+        self.ranks, self.total, self.kinds, self.ends, self.frequent, self.counts = ranks, total, kinds, ends, frequent, counts
 
     def unit(self, count: float) -> float:
         """Base log10 probability of a token with this count."""
         return float(np.log10((count + 0.5) / (self.total + 0.5 * (self.kinds + 1))))
 
 
+class Model:
+    """What scoring needs: the words, the vocabulary of subwords, and the trained attention model."""
+
+    def __init__(self, words: Words, vocabulary: Vocabulary, flat: np.ndarray):
+        self.words, self.vocabulary, self.flat = words, vocabulary, flat
+
+
 def split_words(texts_: list[str]) -> pa.Array:
     """For each text its words between ASCII white space, A-Z lower-cased, in UTF-8."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts_, pa.large_string())))
@@ -278,20 +390,25 @@ def split_words(texts_: list[str]) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(stops), split.values.filter(kept).cast(pa.large_binary()))
 
 
-def chunks(texts_: Iterable[str], size: int = 1 << 20) -> Iterator[list[str]]:
+def chunks(texts_: Iterable, limit: int = CHARS, size: Callable = len) -> Iterator[list]:
     out, held = [], 0
     for v in texts_:
-        if out and held + len(v) > size:
+        if out and held + size(v) > limit:
             yield out
             out, held = [], 0
         out.append(v)
-        held += len(v)
+        held += size(v)
     if out:
         yield out
 
 
 def train(docs: DataFrame, held_out, path: str = RANKS, rate: int = RATE, rounds: int = ROUNDS, share: float = SHARE) -> Model:
     """Counts and model from all rows for which `held_out` is false; with a rate over 1 the model sees one text in `rate`."""
+    words = counted(docs, held_out, path, share)
+    return fitted(coded(docs.filter(~held_out), words, F.lit(True)), words, rate, rounds)
+
+
+def counted(docs: DataFrame, held_out, path: str = RANKS, share: float = SHARE) -> Words:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     learn = texts(docs.filter(~held_out).select("doc_id", "text"))
@@ -304,7 +421,7 @@ def train(docs: DataFrame, held_out, path: str = RANKS, rate: int = RATE, rounds
             return every.group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"]).combine_chunks()
 
         for batch in batches:
-            for part in chunks(values(batch.column(1))):
+            for part in chunks(values(batch.column(1)), TEXT):
                 found = split_words(part).values.cast(pa.binary()).value_counts()
                 seen.append((found.field("values"), found.field("counts")))
                 rows += len(found)
@@ -324,46 +441,95 @@ def train(docs: DataFrame, held_out, path: str = RANKS, rate: int = RATE, rounds
     total, kinds = sums.n + ends, sums.v + (ends > 0)
     # words with at least this share of all tokens: at most 1 / share of them
     frequent = {r.word: r.c for r in counts.filter(F.col("c") >= max(1.0, share * total)).collect()}
+    return Words(ranks, total, kinds, ends, frequent, counts)
 
-    def subword_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        subwords, out = Subwords(ranks), np.zeros(END + 1)
-        for frame in frames:
-            if len(frame):
-                ids, stops = subwords.pieces(list(frame.word))
-                times = np.repeat(frame.c.to_numpy(), np.diff(np.r_[0, stops]))
-                out += np.bincount(ids, weights=times, minlength=END + 1)
+
+def coded(docs: DataFrame, words: Words, learn) -> DataFrame:
+    """Every text split once, stored: subword ids, base over its frequent words, its other words; `learn` marks texts to train on."""
+    frequent = docs.sparkSession.sparkContext.broadcast(
+        {w: words.unit(c) for w, c in words.frequent.items()} | {None: words.unit(words.ends)}
+    )
+    ranks, closed = words.ranks, int(words.ends > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords = Subwords(ranks, frequent.value)
+        for batch in batches:
+            at = 0
+            for part in chunks(values(batch.column("text")), TEXT):
+                found, place, ends = subwords.place(split_words(part))
+                ids, stops = subwords.flat(place, ends)
+                n, tokens = len(part), np.diff(np.r_[0, ends])
+                of = np.repeat(np.arange(n), tokens)
+                rare = np.flatnonzero(np.array(subwords.rare, dtype=bool)[place])
+                offsets = np.searchsorted(of[rare], np.arange(n + 1)).astype(np.int32)
+                lists = pa.py_buffer((np.r_[0, stops] * 2).astype(np.int64)), pa.py_buffer(ids.astype(np.uint16))
+                yield pa.RecordBatch.from_arrays([
+                    *(batch.column(c).slice(at, n) for c in ("doc_id", "row", "mark", "learn")),
+                    pa.array(list(map(len, part)), pa.int64()), pa.array(tokens, pa.int64()),
+                    pa.array(tokens - np.diff(offsets) - 1 + closed, pa.int64()),
+                    pa.array(np.bincount(of, np.array(subwords.units)[place], n), pa.float64()),
+                    pa.Array.from_buffers(pa.large_binary(), n, [None, *lists]).cast(pa.binary()),
+                    # before a place in text k come the ends of k texts
+                    pa.ListArray.from_arrays(pa.array(offsets), found.take(pa.array(rare - of[rare])).cast(pa.binary())),
+                ], ["doc_id", "row", "mark", "learn", "size", "n_tokens", "hits", "base", "ids", "words"])
+                at += n
+
+    rows = texts(docs, F.coalesce(learn, F.lit(False)).alias("learn")).select(
+        "*", F.monotonically_increasing_id().alias("row"), mark().alias("mark")
+    )
+    return stored(rows.mapInArrow(lean(run), "doc_id long, row long, mark long, learn boolean, size long, n_tokens long, "
+                                             "hits long, base double, ids binary, words array<binary>"), "coded")
+
+
+def fitted(rows: DataFrame, words: Words, rate: int = RATE, rounds: int = ROUNDS) -> Model:
+    """The model trained on the coded texts that are marked for it."""
+    learn = rows.filter("learn").select("mark", "size", "ids")
+
+    def subword_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(END + 1, dtype=np.int64)
+        for batch in batches:
+            for _, ids, _ in opened(batch, CHARS):
+                out += np.bincount(ids, minlength=END + 1)
         at = np.flatnonzero(out)
-        yield pd.DataFrame({"id": at, "n": out[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["id", "n"])
 
-    vocabulary_counts = np.zeros(END + 1)
-    vocabulary_counts[END] = ends
+    counts = np.zeros(END + 1)
     # at most one row for each id of the vocabulary
-    for r in counts.mapInPandas(subword_counts, "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        vocabulary_counts[r.id] += r.n
-    vocabulary = Vocabulary(vocabulary_counts)
-
+    for r in learn.mapInArrow(lean(subword_counts), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        counts[r.id] = r.n
+    vocabulary = Vocabulary(counts)
     flat = Attention.initial(vocabulary.bias)
     for k in range(rounds):
-        flat = averaged(part_of(learn, k, rounds, rate), ranks, vocabulary, flat, k)
-    return Model(ranks, total, kinds, ends, frequent, vocabulary, flat, counts)
+        flat = averaged(part_of(learn, k, rounds, rate), vocabulary, flat, k)
+    return Model(words, vocabulary, flat)
+
+
+def mark():
+    return F.xxhash64("doc_id", "text")
 
 
 def part_of(learn: DataFrame, number: int, rounds: int, rate: int) -> DataFrame:
     """The training texts of one round: with rate 1, every text is in exactly one of the rounds."""
-    return learn.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rate * rounds)) == number)
+    return learn.filter(F.pmod(F.col("mark") if "mark" in learn.columns else mark(), F.lit(rate * rounds)) == number)
 
 
-def averaged(learn: DataFrame, ranks: dict[bytes, int], vocabulary: Vocabulary, flat: np.ndarray, number: int) -> np.ndarray:
+def opened(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows of a batch with texts of up to `limit` characters together: which they are, their ids, the end of each text in these."""
+    for part in chunks(range(len(batch)), limit, batch.column("size").to_pylist().__getitem__):
+        coded_ = batch.column("ids").slice(part[0], len(part)).cast(pa.large_binary())
+        ends = np.frombuffer(coded_.buffers()[1], dtype=np.int64)[coded_.offset:coded_.offset + len(part) + 1] // 2
+        yield slice(part[0], part[-1] + 1), np.frombuffer(coded_.buffers()[2], dtype=np.uint16)[ends[0]:ends[-1]], ends[1:] - ends[0]
+
+
+def averaged(learn: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, number: int) -> np.ndarray:
     """One round: each task trains on all windows of its texts from the same weights; the mean of theirs, by number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, now, seen, i = Subwords(ranks), flat, 0, 0
+        now, seen, i = flat, 0, 0
         for batch in batches:
-            for part in chunks(values(batch.column(1))):
-                _, at, stops = subwords.place(split_words(part))
-                before, target, use, _ = windows(*subwords.flat(at, stops))
-                order = np.random.default_rng(1000 * number + i)
-                now = descend(now, vocabulary.slot[before], vocabulary.kind[target], use, order)
+            for _, ids, stops in opened(batch, CHARS):
+                slots, wanted, use, _ = windows(ids, stops, vocabulary.slot, vocabulary.kind)
+                now = descend(now, slots, wanted, use, np.random.default_rng(1000 * number + i))
                 seen, i = seen + len(use), i + 1
         if seen:
             weights = [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(now.astype(np.float64) * seen)]
@@ -384,55 +550,44 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     scored like others. Without training rows every token is unknown and the model is the untrained one. An empty
     table gives no rows.
     """
-    frequent = docs.sparkSession.sparkContext.broadcast(
-        {w: model.unit(c) for w, c in model.frequent.items()} | {None: model.unit(model.ends)}
-    )
-    ranks, vocabulary, flat, closed = model.ranks, model.vocabulary, model.flat, int(model.ends > 0)
+    return rated(coded(docs, model.words, F.lit(False)), model)
+
+
+def rated(rows: DataFrame, model: Model) -> DataFrame:
+    """Scores of coded texts, as `score` gives them."""
+    vocabulary, flat, total, kinds = model.vocabulary, model.flat, model.words.total, model.words.kinds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, net = Subwords(ranks, frequent.value), Attention(flat)
+        net = Attention(flat)
         for batch in batches:
-            at = 0
-            for part in chunks(values(batch.column(1))):
-                words, place, ends = subwords.place(split_words(part))
-                before, target, use, owner = windows(*subwords.flat(place, ends))
-                logs, n = np.zeros(len(part)), len(part)
-                for i in range(0, len(owner), WINDOWS):
-                    w = slice(i, i + WINDOWS)
-                    row, own = use[w], target[w]
-                    value = net.class_logs(vocabulary.slot[before[w]], vocabulary.kind[own], row) + vocabulary.within[own[row]]
-                    logs += np.bincount(np.repeat(owner[w], row.sum(axis=1)), weights=value, minlength=n)
-                of = np.repeat(np.arange(n), np.diff(np.r_[0, ends]))
-                rare = np.flatnonzero(np.array(subwords.rare, dtype=bool)[place])
-                offsets = np.searchsorted(of[rare], np.arange(n + 1)).astype(np.int32)
+            for rows_, ids, stops in opened(batch, CHARS):
+                logs = net.class_logs(*windows(ids, stops, vocabulary.slot, vocabulary.kind)[:3]) + vocabulary.within[ids].astype(np.float64)
+                sums = np.add.reduceat(logs, np.r_[0, stops[:-1]])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(np.diff(np.r_[0, ends]), pa.int64()),
-                    pa.array(np.diff(np.r_[0, ends]) - np.diff(offsets) - 1 + closed, pa.int64()),
-                    pa.array(np.bincount(of, np.array(subwords.units)[place], n), pa.float64()),
-                    pa.array(logs / np.log(10), pa.float64()),
-                    # before a place in text k come the ends of k texts
-                    pa.ListArray.from_arrays(pa.array(offsets), words.take(pa.array(rare - of[rare])).cast(pa.binary())),
-                ], ["doc_id", "row", "n_tokens", "hits", "base", "score", "words"])
-                at += n
+                    *(batch.column(c).slice(rows_.start, len(stops)) for c in ("doc_id", "row", "n_tokens", "hits", "base")),
+                    pa.array(sums / np.log(10), pa.float64()),
+                ], ["doc_id", "row", "n_tokens", "hits", "base", "score"])
 
-    rows = texts(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        lean(run), "doc_id long, row long, n_tokens long, hits long, base double, score double, words array<binary>"
+    scored = rows.select("doc_id", "row", "n_tokens", "hits", "base", "size", "ids").mapInArrow(
+        lean(run), "doc_id long, row long, n_tokens long, hits long, base double, score double"
     )
-    rows = stored(rows, "scored")
+    scored = stored(scored, "scored")
     c = F.coalesce("c", F.lit(0))
-    unit = F.log10((c + 0.5) / F.lit(model.total + 0.5 * (model.kinds + 1)))
-    rest = rows.select("row", F.explode("words").alias("word")).join(model.counts, "word", "left").groupBy("row").agg(
+    unit = F.log10((c + 0.5) / F.lit(total + 0.5 * (kinds + 1)))
+    rest = rows.select("row", F.explode("words").alias("word")).join(model.words.counts, "word", "left").groupBy("row").agg(
         F.sum(unit).alias("more"), F.sum((c > 0).cast("long")).alias("found")
     )
-    return rows.drop("words").join(rest, "row", "left").select(
+    return scored.join(rest, "row", "left").select(
         "doc_id", "n_tokens", (F.col("hits") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
     )
 
 
 @query("op4_lm_score")
 def op4_lm_score(spark: SparkSession, root: str) -> DataFrame:
     docs, held = table(spark, root, "documents"), remainder(F.col("doc_id")) == 1
-    out = score(docs, train(docs, held))
+    words = counted(docs, held)
+    rows = coded(docs, words, ~held)
+    out = rated(rows, fitted(rows, words))
     return out.select("doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                       "base_score", "score")

@@ -157,6 +157,46 @@ def test_only_positions_in_use_pass_the_hidden_layer():
     assert loss == 0 and not g.any()
 
 
+def test_frozen_weights_score_as_the_model_in_training():
+    """Whichever positions are in use, log probabilities are those of the forward pass, in the order of the positions."""
+    rng = np.random.default_rng(0)
+    net = lm_score.Attention(lm_score.Attention.initial(rng.normal(size=lm_score.CLASSES)))
+    slots, kinds = (rng.integers(0, n, (200, lm_score.WIDTH)) for n in (lm_score.INPUTS, lm_score.CLASSES))
+    use = rng.random(slots.shape) < 0.6
+    use[::3, :lm_score.OVERLAP] = False
+    at = np.flatnonzero(use)
+    p = net.forward(slots, at)["y"] @ net.u + net.b
+    want = p[np.arange(len(at)), kinds.ravel()[at]] - np.log(np.exp(p).sum(axis=1))
+    assert np.allclose(net.class_logs(slots, kinds, use), want, atol=1e-4)
+    queries = []
+    logs = lm_score.Frozen.logs
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lm_score.Frozen, "logs", lambda self, s, k: queries.append(k.shape) or logs(self, s, k))
+        net.class_logs(slots, kinds, use)
+    # windows of which the first positions are only context have no queries there
+    assert {q for _, q in queries} == {lm_score.WIDTH, lm_score.WIDTH - lm_score.OVERLAP}
+    assert sum(n for n, _ in queries) == len(slots)
+
+
+def test_texts_are_coded_once(spark):
+    """Training and scoring read stored ids, not texts: every text is split into its subwords in one pass."""
+    rows = [*corpus(n=40), *ODD, (7, "one two"), (7, "one two")]
+    docs, held = documents(spark, rows), remainder(lm_score.F.col("doc_id")) == 1
+    words = lm_score.counted(docs, held)
+    coded = lm_score.coded(docs, words, ~held)
+    assert "text" not in coded.columns
+    sub, got, want = lm_score.Subwords(ranks()), Counter(), Counter()
+    for r in coded.collect():
+        got[r.doc_id, tuple(np.frombuffer(r.ids, dtype=np.uint16).tolist()), r.size, r.learn] += 1
+    for i, t in rows:
+        _, at, ends = sub.place(lm_score.split_words([t or ""]))
+        learn = i is None or zlib.crc32(str(i).encode()) % 5 != 1
+        want[i, tuple(sub.flat(at, ends)[0].tolist()), len(t or ""), learn] += 1
+    assert got == want
+    scores = by_id(lm_score.rated(coded, lm_score.fitted(coded, words)), "n_tokens", "score")
+    assert scores == by_id(lm_score.score(docs, lm_score.train(docs, held)), "n_tokens", "score")
+
+
 def test_every_token_is_scored_once():
     lengths = np.array([1, 2, 4, 5, 15, 16, 17, 28, 29, 100])
     ids = np.arange(lengths.sum()).astype(np.int32)
