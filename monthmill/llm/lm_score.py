@@ -287,7 +287,8 @@ class Attention:
         dx += np.matmul(r.dqv, w.T.copy(), out=r.x)
         np.matmul(r.ones[:len(slots)], dx.reshape(len(slots), -1), out=g.p.reshape(-1))
         self.CELLS.take(slots.ravel(), axis=0, out=r.cells, mode="clip")
-        g.e.reshape(-1)[:] = np.bincount(r.cells.ravel(), weights=dx.ravel(), minlength=g.e.size)
+        g.e.fill(0)
+        np.add.at(g.e.reshape(-1), r.cells.ravel(), dx.ravel())
         return float(loss), g.flat
 
 
